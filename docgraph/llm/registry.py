@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docgraph.llm import mixing, quotes
+from docgraph.llm import jaccard, mixing, quotes
 
 QUERIES = {
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quotation_linking": quotes.op10_quotation_linking,
 }
