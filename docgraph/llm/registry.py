@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docgraph.llm import jaccard, mixing, quotes
+from docgraph.llm import jaccard, mixing, quotes, repeats
 
 QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op7_substring_dedup": repeats.op7_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_quotation_linking": quotes.op10_quotation_linking,
 }
 
-ORACLES = {"op10_quotation_linking": quotes.ORACLE_SQL}
+ORACLES = {"op7_substring_dedup": repeats.ORACLE_SQL, "op10_quotation_linking": quotes.ORACLE_SQL}
