@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docgraph.llm import bpe, jaccard, mixing, quotes, repeats
+from docgraph.llm import bpe, jaccard, language, mixing, quotes, repeats
 
 QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_language_id": language.op4_language_id,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_substring_dedup": repeats.op7_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
