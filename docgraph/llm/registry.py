@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docgraph.llm import bpe, jaccard, language, mixing, neighbours, quotes, repeats
+from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, quotes, repeats
 
 QUERIES = {
+    "op2_arc_to_warc": archives.op2_arc_to_warc,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_language_id": language.op4_language_id,
     "op5_byte_bpe": bpe.op5_byte_bpe,
