@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, quotes, repeats
+from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, pages, quotes, repeats
 
 QUERIES = {
     "op2_arc_to_warc": archives.op2_arc_to_warc,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_language_id": language.op4_language_id,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_main_text": pages.op6_main_text,
     "op7_substring_dedup": repeats.op7_substring_dedup,
     "op8_nearest": neighbours.op8_nearest,
     "op9_mixing": mixing.op9_mixing,
