@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, pages, quotes, repeats
+from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, pages, quotes, repeats, webp
 
 QUERIES = {
+    "op1_lossless_webp": webp.op1_lossless_webp,
     "op2_arc_to_warc": archives.op2_arc_to_warc,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_language_id": language.op4_language_id,
