@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SUBBATCH = 1 << 20
+#: 64-bit words of the filters of ids: 1 MB, whatever they are filled with.
+FILTER_WORDS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _mask(ids: DataFrame) -> np.ndarray:
+    """A fixed-size filter of doc_ids: may let others pass, never loses one."""
+    key = F.xxhash64("doc_id")
+    bits = ids.groupBy(F.pmod(key, F.lit(FILTER_WORDS)).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 17), 64) as int))")).alias("v"))
+    mask = np.zeros(FILTER_WORDS, np.uint64)
+    got = bits.toPandas()  # at most FILTER_WORDS rows
+    mask[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint64)
+    return mask
+
+
+def only(docs: DataFrame, ids: DataFrame, hit: bool = True) -> DataFrame:
+    """docs whose doc_id may be in ids, which spares the shuffle the others; or, without hit, just the others."""
+    mask = docs.sparkSession.sparkContext.broadcast(_mask(ids))
+    schema, wanted = docs.schema, np.uint64(hit)
+
+    def run(batches):
+        bits = mask.value
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index("__key")).to_numpy(zero_copy_only=False)
+            found = (bits[key % FILTER_WORDS] >> ((key >> 17) % 64).astype(np.uint64)) & np.uint64(1)
+            yield batch.take(pa.array(np.flatnonzero(found == wanted))).drop_columns(["__key"])
+
+    return docs.withColumn("__key", F.xxhash64("doc_id")).mapInArrow(run, schema)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -205,11 +205,12 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         .agg(F.sort_array(F.collect_list(F.struct("word_lo", "word_hi"))).alias("parts"))
     )
     copy = W.partitionBy("doc_id", "text_hash", "epoch").orderBy("six", "bucket", "rn")
-    taken = taken.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "epoch", "parts", F.col("size").alias("__size"), F.row_number().over(copy).alias("__copy"))
-    rows = docs.withColumn("__h", F.xxhash64(F.col(text)))
-    same = W.partitionBy(F.col(doc_id), F.col("__h")).orderBy(F.col(source))
-    rows = rows.withColumn("__n", F.row_number().over(same))
-    joined = rows.join(taken, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")) & (F.col("__n") == F.col("__copy")))
+    none = F.lit(-(2**63))
+    taken = taken.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("__k"), F.col("text_hash").alias("__h"), "epoch", "parts", F.col("size").alias("__size"), F.row_number().over(copy).alias("__copy"))
+    rows = docs.withColumn("__k", F.coalesce(F.col(doc_id).cast("long"), none)).withColumn("__h", F.xxhash64(F.col(text)))
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("__k", "__h").orderBy(F.col(source))))
+    # rows equal in id and text are told apart by their number; written so that the join keeps the window's partitioning
+    joined = rows.join(taken, ["__k", "__h"]).filter("__n <= __copy and __n >= __copy")
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     parts = F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), p["word_lo"] + 1, p["word_hi"] - p["word_lo"])))
     whole = (F.size("parts") >= 1) & (F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["word_hi"] - p["word_lo"]) == F.col("__size"))
