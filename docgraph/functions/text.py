@@ -78,7 +78,7 @@ def slugify(c: Column | str) -> Column:
     c = _col(c)
     slug = F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(c, r"(?<=[Ѐ-ӿ])['’ʼ](?=[Ѐ-ӿ])|\p{M}", "")), "[^a-z0-9]+", "_"), "^_|_$", "")
     mark = F.substring(F.sha2(c, 256), 1, 16)
-    return F.when(slug == "", F.concat(F.lit("page_"), mark)).when(F.length(slug) > LONGEST_SLUG, F.concat(F.rtrim(F.lit("_"), F.substring(slug, 1, LONGEST_SLUG)), F.lit("_"), mark)).otherwise(slug)
+    return F.when(slug == "", F.concat(F.lit("page_"), mark)).when(F.length(slug) > LONGEST_SLUG, F.concat(F.regexp_replace(F.substring(slug, 1, LONGEST_SLUG), "_+$", ""), F.lit("_"), mark)).otherwise(slug)
 
 
 def title_case(c: Column | str) -> Column:
@@ -199,10 +199,14 @@ def literal_hit(words: Column, token: str) -> Column:
     parts = [p for p in re.split(r"[\W_]+", token) if p]
     out = F.lit(True)
     for p in parts:
-        out = out & F.exists(words, lambda w, p=p: w.startswith(p))
+        out = out & _some_starts(words, p)
     return out
 
 
+def _some_starts(words: Column, part: str) -> Column:
+    return F.exists(words, lambda w: w.startswith(part))
+
+
 STEM_TIER = 0.3
 
 

@@ -1,7 +1,7 @@
 """Links, mentions, ranks and walks on edge tables (src, dst).
 
-Walks keep a frontier and what was seen as tables; each round is one join on the frontier and an anti-join. Rounds are
-cut with checkpoint(), which survives lost executors, where a checkpoint folder is set.
+Walks keep a frontier and what was seen as tables; each round is one join on the frontier and an anti-join. Rounds end
+in a table in the shared folder, which survives lost executors.
 """
 
 from __future__ import annotations
@@ -11,13 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.sources.shared import cut
 
-DAMPING, ROUNDS, CUT = 0.85, 40, 8
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder, if the session has one; else compute once and keep."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
+DAMPING, ROUNDS, CUT = 0.85, 40, 4
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -30,13 +26,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     edges = cut(edges.join(out, "src"))
     ranks = cut(nodes.join(out, nodes["id"] == out["src"], "left").select("id", "out").withColumn("rank", F.lit(1.0 / n)))
-    for k in range(rounds):
+    for _ in range(rounds):
         given = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         loose = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")))  # one row
         ranks = ranks.select("id", "out").join(given, F.col("id") == F.col("dst"), "left").crossJoin(loose)
         ranks = ranks.select("id", "out", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % CUT == CUT - 1:
-            ranks = cut(ranks)
+        ranks = cut(ranks)
     return ranks.select("id", "rank")
 
 

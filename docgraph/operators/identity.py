@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
-from docgraph.operators.graph import cut
+from docgraph.sources.shared import cut
 
 #: Ids that the catalog's own files have.
 RESERVED = ("index", "llms", "agents", "graph")
@@ -21,8 +21,9 @@ def assign(pages: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     the strictly least (source rank, number of dots) add the file's kind; what still collides, or is taken or
     reserved, is numbered by path. Only pages whose id is shared take part in a round; others are settled."""
     spark = pages.sparkSession
-    folders = F.split(F.substring_index(F.col("path"), "/", F.size(F.split("path", "/")) - 1), "/")
-    rows = pages.withColumn("__rank", T.source_rank("path")).withColumn("id", T.slugify("name")).withColumn("__dirs", F.when(F.col("path").contains("/"), folders).otherwise(F.array().cast("array<string>"))).withColumn("__deep", F.lit(0))
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    rows = pages.withColumn("__rank", T.source_rank("path")).withColumn("id", T.slugify("name")).withColumn("__dirs", folders).withColumn("__deep", F.lit(0))
     group = W.partitionBy("id")
     for _ in range(ROUNDS):
         deeper = F.when(F.size("__dirs") > F.col("__deep"), F.element_at("__dirs", -(F.col("__deep") + 1)))

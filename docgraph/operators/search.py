@@ -79,10 +79,10 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
             w = w + F.when(T.literal_hit(F.col("__summary"), t), SUMMARY).otherwise(0.0)
         for column, weight in ((fields.aliases, ALIAS), (fields.headings, HEADING)):
             if column:
-                w = w + F.when(F.exists(F.col(column), lambda a, t=t: T.literal_hit(T.field_words(a), t)), weight).otherwise(0.0)
+                w = w + F.when(_some_hit(F.col(column), t), weight).otherwise(0.0)
         if fields.symbols:
             whole = F.array_contains(F.transform(F.col(fields.symbols), F.lower), t)
-            part = F.exists(F.col(fields.symbols), lambda s, t=t: F.array_contains(T.name_words(s), t))
+            part = F.array_contains(F.flatten(F.transform(F.col(fields.symbols), T.name_words)), t)
             w = w + F.when(whole, SYMBOL).when(part, SYMBOL_WORD).otherwise(0.0)
         if fields.docs:
             w = w + F.when(T.literal_hit(F.col("__docs"), t), SYMBOL_DOC).otherwise(0.0)
@@ -92,6 +92,10 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
     return out.drop("__body", *[f"__{n}" for n in ("title", "summary", "docs", "symbols")])
 
 
+def _some_hit(texts: Column, token: str) -> Column:
+    return F.exists(texts, lambda a: T.literal_hit(T.field_words(a), token))
+
+
 def statistics(rows: DataFrame, k: int) -> DataFrame:
     """One row over all rows of facts(): n, total (words), df_i and named_i."""
     counts = [F.sum(F.col(f"hit_{i}").cast("long")).alias(f"df_{i}") for i in range(k)]

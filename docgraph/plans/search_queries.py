@@ -32,7 +32,7 @@ def _bm25(terms: list[str], where: str) -> str:
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * case when tf{i} > 0 then tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / (total / n))) else 0 end" for i in range(len(terms)))
     hit = " or ".join(f"tf{i} > 0" for i in range(len(terms)))
     return rf"""
-        with d as (select doc_id, lower(text) as t, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> ''))::double as l from documents where {where}),
+        with d as (select doc_id, lower(text) as t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::double as l from documents where {where}),
         f as (select doc_id, l, {tf} from d), s as (select count(*)::double as n, sum(l) as total, {df} from f)
         select doc_id, round({score}, 6) as score from f, s where {hit} order by score desc, doc_id limit 20"""
 
@@ -49,10 +49,10 @@ def _field_sql() -> str:
     words = ["red", "bolt", "small"]
     w = ", ".join(
         f"""case when exists_title_{x} then 3.0 else 0 end + case when whole then 3.0 else 0 end
-          + case when len(list_filter(b, x -> starts_with(x, '{x}'))) > 0 then 2.0 else 0 end + case when len(list_filter(y, x -> starts_with(x, '{x}'))) > 0 then 1.5 else 0 end as w{i}"""
+          + case when len(list_filter(b, lambda x: starts_with(x, '{x}'))) > 0 then 2.0 else 0 end + case when len(list_filter(y, lambda x: starts_with(x, '{x}'))) > 0 then 1.5 else 0 end as w{i}"""
         for i, x in enumerate(words)
     )
-    flags = ", ".join(f"len(list_filter(a, x -> starts_with(x, '{x}'))) > 0 as exists_title_{x}" for x in words)
+    flags = ", ".join(f"len(list_filter(a, lambda x: starts_with(x, '{x}'))) > 0 as exists_title_{x}" for x in words)
     df = ", ".join(f"count_if(w{i} > 0) as df{i}" for i in range(3))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * w{i}" for i in range(3))
     return rf"""
@@ -74,7 +74,7 @@ def _rarest_sql() -> str:
     score = " + ".join(f"(case when {i} in (select i from kept) then ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) else 0 end) * case when tf{i} > 0 then tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * l / (total / n))) else 0 end" for i in range(6))
     hit = " or ".join(f"tf{i} > 0" for i in range(6))
     return rf"""
-        with d as (select doc_id, lower(text) as t, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> ''))::double as l from documents),
+        with d as (select doc_id, lower(text) as t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::double as l from documents),
         f as (select doc_id, l, {tf} from d), s as (select count(*)::double as n, sum(l) as total, {df} from f),
         kept as (select i from ({rows}) where df > 0 order by df, i limit 3)
         select doc_id, round({score}, 6) as score from f, s where {hit} order by score desc, doc_id limit 20"""
@@ -118,7 +118,7 @@ def doc_dedupe(spark, sf):
 def dated_token(spark, sf):
     o = table(spark, sf, "orders")
     days = query_dates("shipped 1998-10-03 or 28.05.1997, also 4 July and May 5 1996")
-    return o.filter(dated_on(F.col("o_orderdate"), days)).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return o.filter(dated_on(F.col("o_orderdate"), days)).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 def notes_tail(spark, sf):
@@ -168,7 +168,7 @@ QUERIES = {
     "field_weighted_search": (field_weighted_search, _field_sql()),
     "rarest_terms_cut": (rarest_terms_cut, _rarest_sql()),
     "names_file_boost": (names_file_boost, _NAMES_SQL),
-    "title_and_subset_sets": (title_and_subset_sets, "select p_partkey, list_sort(list_distinct(w)) = ['bolt', 'red'] as whole, list_contains(w, 'bolt') and list_contains(w, 'red') as inside, len(list_filter(list_distinct(w), x -> x not in ('bolt', 'red')))::bigint as more from (select p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') as w from part)"),
+    "title_and_subset_sets": (title_and_subset_sets, "select p_partkey, list_sort(list_distinct(w)) = ['bolt', 'red'] as whole, list_contains(w, 'bolt') and list_contains(w, 'red') as inside, len(list_filter(list_distinct(w), lambda x: x not in ('bolt', 'red')))::bigint as more from (select p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') as w from part)"),
     "top3_per_page": (top3_per_page, "select * from (select l_orderkey, l_partkey, l_linenumber, l_extendedprice, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey) as rn from lineitem) where rn <= 3"),
     "relative_cut": (relative_cut, """
         with s as (select l_orderkey, l_suppkey, max(l_extendedprice) as score from lineitem group by all)
@@ -176,11 +176,11 @@ QUERIES = {
     "doc_dedupe": (doc_dedupe, """
         with s as (select l_orderkey, l_partkey, min(l_returnflag) as doc from lineitem group by all)
         select l_orderkey, l_partkey, case when row_number() over (partition by l_orderkey, doc order by l_partkey) = 1 then doc end as doc from s"""),
-    "dated_token": (dated_token, "select o_orderkey, o_orderdate::date as day from orders where o_orderdate::date in (date '1998-10-03', date '1997-05-28', date '1996-05-05') or (month(o_orderdate) = 7 and day(o_orderdate) = 4)"),
+    "dated_token": (dated_token, "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderdate::date in (date '1998-10-03', date '1997-05-28', date '1996-05-05') or (month(o_orderdate) = 7 and day(o_orderdate) = 4)"),
     "notes_tail": (notes_tail, r"""
         select id, score, trust from (
           select item_id as id, length(text)::double as score, case when item_id % 2 = 0 then 1.0::double else 0.5::double end as trust from benchmark
-          where item_id % 7 <> 0 and (length(text) >= 200 or len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), x -> starts_with(x, 'then') or starts_with(x, 'what'))) > 0)
+          where item_id % 7 <> 0 and (length(text) >= 200 or len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: starts_with(x, 'then') or starts_with(x, 'what'))) > 0)
           order by score desc, id limit 10)
         order by trust desc, score desc, id limit 2"""),
     "eval_mrr": (eval_mrr, _EVAL_SQL),
@@ -192,5 +192,5 @@ QUERIES = {
     "doc_label_rows": (doc_label_rows, r"""
         select 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as doc, i::bigint as line
         from (select *, unnest(string_split(text, chr(10))) as r, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where contains(text, ' | '))
-        where contains(' ' || array_to_string(list_transform(regexp_extract_all(lower(r), '[\p{L}\p{N}_.\-]+'), x -> x), ' ') || ' ', ' que ')"""),
+        where contains(' ' || array_to_string(list_transform(regexp_extract_all(lower(r), '[\p{L}\p{N}_.\-]+'), lambda x: x), ' ') || ' ', ' que ')"""),
 }

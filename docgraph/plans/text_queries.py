@@ -105,7 +105,7 @@ def visible_names(spark, sf):
 QUERIES = {
     "catalog_pages": (catalog_pages, r"""
         select 'doc_' || doc_id as id, 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path, 'Doc ' || doc_id as title, 'text' as kind,
-          (length(text) // 4)::bigint as tokens, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> ''))::bigint as words, 'Doc ' || doc_id as derived
+          (length(text) // 4)::bigint as tokens, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint as words, 'Doc ' || doc_id as derived
         from documents"""),
     "kind_tag_filter": (kind_tag_filter, "select 'doc_' || doc_id as id, 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path from documents where lang = 'fr'"),
     "slugify_names": (slugify_names, r"""
@@ -113,9 +113,9 @@ QUERIES = {
         from (select c_name as name from customer union select p_name || ' ' || p_brand from part)"""),
     "name_words": (name_words, r"""
         select name, lower(replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' ')) as words from (
-          select distinct list_aggregate(list_transform(string_split(p_name, ' '), x -> upper(x[1]) || lower(x[2:])), 'string_agg', '') || '_' || p_type as name from part)
+          select distinct list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') || '_' || p_type as name from part)
         where true""".replace("where true", "")),
-    "title_case": (title_case, "select name, list_aggregate(list_transform(string_split(name, ' '), x -> upper(x[1]) || lower(x[2:])), 'string_agg', ' ') as title from (select distinct p_name || ' ' || lower(p_type) as name from part)"),
+    "title_case": (title_case, "select name, list_aggregate(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') as title from (select distinct p_name || ' ' || lower(p_type) as name from part)"),
     "clip": (clip, r"select doc_id, case when length(t) > 80 then substr(t, 1, 79) || '…' else t end as line from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)"),
     "body_counts": (body_counts, "select doc_id, " + ", ".join(f"((length(t) - length(replace(t, '{w}', ''))) // 3)::bigint as n_{w}" for w in ("the", "ver", "eau", "ing")) + " from (select doc_id, lower(text) as t from documents)"),
     "snippet": (snippet, "select doc_id, p::bigint as first, substr(text, greatest(p - 60, 1), 64) as around from (select doc_id, text, instr(lower(text), 'eren') as p from documents) where p > 0"),
@@ -127,7 +127,7 @@ QUERIES = {
             from (select item_id, unnest(regexp_split_to_array(lower(text), '\s+')) as w, generate_subscripts(regexp_split_to_array(lower(text), '\s+'), 1) as i from benchmark))
           where w <> '' group by item_id, w) group by item_id"""),
     "token_df": (token_df, r"select word, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as word from documents) group by word having count(*) >= 20"),
-    "corpus_stats": (corpus_stats, r"select lang, count(*) as n, sum(l)::bigint as total, round(avg(l), 6) as average from (select lang, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) as l from documents) group by lang"),
+    "corpus_stats": (corpus_stats, r"select lang, count(*) as n, sum(l)::bigint as total, round(avg(l), 6) as average from (select lang, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as l from documents) group by lang"),
     "resolve_link": (resolve_link, r"""
         select path, link, case when len(f) < 2 then null else array_to_string(list_concat(f[1 : len(f) - 2], ['x', substr(link, 2)]), '/') end as target
         from (select path, string_split(path, '/') as f, unnest(list_distinct(regexp_extract_all(html, 'href="(/[a-zA-Z]+)"', 1))) as link
