@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Words, materialize, mix, partitions, slices, table, text_buffers, windows
+from docgraph.llm.common import Words, materialize, mix, only, partitions, slices, table, text_buffers, windows
 
 WIDTH = 13
 PERIOD = 7
 COVER = np.array([True, True, False, True, False, False, False])
 ANCHOR = WIDTH - PERIOD + 1
-FILTER_WORDS = 1 << 17
-GROUP = 1 << 20
+GROUP = 1 << 19
 
-PACKED = "bucket int, h binary, doc binary, pos binary, doc_id long, starts binary"
+PACKED = "bucket int, d_bucket int, h binary, doc binary, pos binary"
+PACKED_NAMES = ["bucket", "d_bucket", "h", "doc", "pos"]
 
 
 def _documents(batch: pa.RecordBatch, text: int):
@@ -90,19 +90,26 @@ def _by_document(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     cut = np.flatnonzero(np.diff(doc)) + 1
     parts = np.split(pos.astype(np.uint64), cut) if len(doc) else []
     ids = doc[np.concatenate([[0], cut])] if len(doc) else doc
-    k = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "starts"])
+
+
+def _to_documents(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places packed by bucket of their document."""
+    bucket = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pos, doc, bucket))
+    doc, pos, bucket = doc[order], pos[order].astype(np.int64), bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    idx = np.split(np.arange(len(doc)), cut) if len(doc) else []
+    k = len(idx)
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(3)), pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-        ["bucket", "h", "doc", "pos", "doc_id", "starts"],
+        [pa.nulls(k, pa.int32()), pa.array([int(bucket[i[0]]) for i in idx], pa.int32()), pa.nulls(k, pa.binary()), pa.array([np.diff(doc[i], prepend=0).tobytes() for i in idx], pa.binary()), pa.array([pos[i].tobytes() for i in idx], pa.binary())],
+        PACKED_NAMES,
     )
 
 
 def _packed_batch(rows: list) -> pa.RecordBatch:
     k = len(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
-        ["bucket", "h", "doc", "pos", "doc_id", "starts"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.nulls(k, pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], PACKED_NAMES)
 
 
 def _shared(rows: DataFrame, occurrences, all_documents: bool) -> DataFrame:
@@ -110,7 +117,8 @@ def _shared(rows: DataFrame, occurrences, all_documents: bool) -> DataFrame:
 
     occurrences(batch) gives (doc_id, positions, hashes) for each document of a batch of `rows`. With all_documents
     every occurrence of a shared hash is returned, else only those outside the hash's smallest document."""
-    buckets = 4 * partitions(rows.sparkSession)
+    # one bucket to a partition: the number of packed rows is that of a shuffle's blocks
+    buckets = partitions(rows.sparkSession)
 
     def emit(got: list):
         h, doc, pos = (np.concatenate([g[i] for g in got]) for i in (2, 0, 1))
@@ -119,7 +127,7 @@ def _shared(rows: DataFrame, occurrences, all_documents: bool) -> DataFrame:
         h, doc, pos, first, shared = locals_[0]
         mine = shared if all_documents else shared & (doc != first)
         yield _packed_batch(packed)
-        yield _by_document(doc[mine], pos[mine])
+        yield _to_documents(doc[mine], pos[mine], buckets)
 
     def spread(batches):
         got, n = [], 0
@@ -139,7 +147,7 @@ def _shared(rows: DataFrame, occurrences, all_documents: bool) -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             bucket = batch.column(0).to_pylist()
-            cols = [batch.column(i) for i in (1, 2, 3)]
+            cols = [batch.column(i) for i in (2, 3, 4)]
             passed = [k for k, b in enumerate(bucket) if b is None]
             if passed:
                 yield batch.take(pa.array(passed, pa.int64()))
@@ -158,13 +166,20 @@ def _shared(rows: DataFrame, occurrences, all_documents: bool) -> DataFrame:
             shared = np.zeros(len(head), bool)
             shared[run[(doc != first) | known]] = True
             mine = shared[run] if all_documents else doc != first
-            yield _by_document(doc[mine], pos[mine])
+            yield _to_documents(doc[mine], pos[mine], buckets)
+
+    def gather(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, doc, pos in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4))):
+                held.setdefault(b, []).append((doc, pos))
+        for b in list(held):
+            got = held.pop(b)
+            yield _by_document(np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d, _ in got]), np.concatenate([np.frombuffer(p, np.int64) for _, p in got]))
 
-    n = partitions(rows.sparkSession)
-    spread_ = rows.mapInArrow(spread, PACKED)
-    # what is known at once goes along by its document, the rest meets by bucket of its hash
-    met = spread_.repartition(n, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("doc_id"))).mapInArrow(meet, PACKED)
-    return met.filter("starts is not null").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    # what is known at once goes along, the rest meets by bucket of its hash; then all goes by bucket of its document
+    met = rows.mapInArrow(spread, PACKED).repartitionById(buckets, F.coalesce("bucket", "d_bucket")).mapInArrow(meet, PACKED)
+    return met.repartitionById(buckets, "d_bucket").mapInArrow(gather, "doc_id long, starts binary")
 
 
 def _anchors(batch: pa.RecordBatch):
@@ -184,7 +199,7 @@ def _runs(batch: pa.RecordBatch):
         if n <= 0:
             continue
         touched = np.zeros(n + PERIOD, np.int64)
-        anchors = np.concatenate([np.frombuffer(s, np.uint64).astype(np.int64) for s in starts[r]])
+        anchors = np.frombuffer(starts[r], np.uint64).astype(np.int64)
         anchors = anchors[anchors < len(hashes)]
         np.add.at(touched, np.clip(anchors - (PERIOD - 1), 0, n), 1)
         np.add.at(touched, np.clip(anchors + 1, 0, n), -1)
@@ -192,31 +207,6 @@ def _runs(batch: pa.RecordBatch):
         yield ids[r], at | (int(tags[r]) << 32), windows(hashes, WIDTH)[at]
 
 
-def _mask(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of doc_ids: may let others pass, never loses one."""
-    key = F.xxhash64("doc_id")
-    bits = ids.groupBy(F.pmod(key, F.lit(FILTER_WORDS)).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 17), 64) as int))")).alias("v"))
-    mask = np.zeros(FILTER_WORDS, np.uint64)
-    got = bits.toPandas()  # at most FILTER_WORDS rows
-    mask[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint64)
-    return mask
-
-
-def _only(docs: DataFrame, ids: DataFrame, hit: bool = True) -> DataFrame:
-    """docs whose doc_id may be in ids, which spares the shuffle the others; or, without hit, just the others."""
-    mask = docs.sparkSession.sparkContext.broadcast(_mask(ids))
-    schema, wanted = docs.schema, np.uint64(hit)
-
-    def run(batches):
-        bits = mask.value
-        for batch in batches:
-            key = batch.column(batch.schema.get_field_index("__key")).to_numpy(zero_copy_only=False)
-            found = (bits[key % FILTER_WORDS] >> ((key >> 17) % 64).astype(np.uint64)) & np.uint64(1)
-            yield batch.take(pa.array(np.flatnonzero(found == wanted))).drop_columns(["__key"])
-
-    return docs.withColumn("__key", F.xxhash64("doc_id")).mapInArrow(run, schema)
-
-
 def _summaries(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and SHA-256 of the words joined, for each row."""
 
@@ -237,10 +227,10 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _removed(n: int, tag: int, starts: list[bytes] | None) -> np.ndarray:
+def _removed(n: int, tag: int, starts: bytes | None) -> np.ndarray:
     """Which of n words are covered by the windows of this text."""
     gone = np.zeros(n + WIDTH + 1, np.int32)
-    at = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in starts or [b""]]))
+    at = np.frombuffer(starts or b"", np.uint64)
     at = (at[at >> np.uint64(32) == np.uint64(tag)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = at[at + WIDTH <= n]
     gone[at] += 1
@@ -253,7 +243,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text and tag, as _tagged gives them."""
     anchors = materialize(_shared(docs.select("doc_id", "text", "tag"), _anchors, all_documents=True), "anchors")
-    touched = _only(docs, anchors).join(anchors, "doc_id").select("doc_id", "text", "tag", "starts")
+    touched = only(docs, anchors).join(anchors, "doc_id").select("doc_id", "text", "tag", "starts")
     return materialize(_shared(touched, _runs, all_documents=False), "windows")
 
 
@@ -277,7 +267,7 @@ def count_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    less = _only(docs, found).join(found, "doc_id").select("doc_id", "text", "tag", "starts").mapInArrow(cut, schema)
+    less = only(docs, found).join(found, "doc_id").select("doc_id", "text", "tag", "starts").mapInArrow(cut, schema)
     rest = _summaries(docs).join(found.select("doc_id"), "doc_id", "left_anti")
     return less.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
 
@@ -303,10 +293,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["__tag", "__starts"])
 
     keyed = docs.withColumn("__tag", F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 40))
-    maybe = _only(keyed, found)
+    maybe = only(keyed, found)
     starts = found.select(F.col("doc_id").alias("__doc"), F.col("starts").alias("__starts"))
     less = maybe.join(starts, maybe["doc_id"] == starts["__doc"], "left").drop("__doc").mapInArrow(cut, docs.schema)
-    rest = _only(docs, found, hit=False)
+    rest = only(docs, found, hit=False)
     out = less.unionByName(rest).filter("text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
