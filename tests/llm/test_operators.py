@@ -238,13 +238,13 @@ HTML = """<html><head><title>T &amp; t</title><style>p{}</style><script>var a="<
 
 def test_pages(spark):
     menu = "home news sport weather contact about help terms privacy"
-    other = [f"<div>{menu}</div><p>only page {i} says {' '.join(f'u{i}x{k}' for k in range(12))}</p>" for i in range(3)]
+    other = [f"<div>{menu}</div><p>{i} only page says {' '.join(f'u{i}x{k}' for k in range(12))}</p>" for i in range(3)]
     table = [(1, "http://h/1", HTML), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "<p>plain"), (5, "http://h/5", "a <!-- open"), *((10 + i, f"http://k/{i}", h) for i, h in enumerate(other)), (1, "http://h/1", HTML)]
     got = pages.extract(spark.createDataFrame([(*t, "x") for t in table], "page_id long, url string, html string, text string")).collect()
     by = {r.page_id: r.text for r in got}
     assert len(got) == len(table) and all(r.n_chars == len(r.text) for r in got)
     assert by[1] == "Head&line One bold two Three four" and by[2] == "" and by[3] == "" and by[4] == "plain" and by[5] == "a"
-    assert by[10] == "only page 0 says " + " ".join(f"u0x{k}" for k in range(12))
+    assert by[10] == "0 only page says " + " ".join(f"u0x{k}" for k in range(12))
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
