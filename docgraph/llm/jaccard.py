@@ -3,10 +3,10 @@
 Texts with equal shingle sets form one class, named by a 64-bit digest of the set; everything after works on classes.
 Shingles are ordered by a count sketch of their frequency over all documents, rarest first, so that two linked
 sets share one of their first |set| - ceil(0.75 |set|) + 1 shingles (prefix filter). Inverted lists of these prefixes
-with two classes or more give candidates in two rounds. First each list's least class is searched against the rest;
-what that links becomes components. Then, of lists that still hold several components, pairs across components are
-searched, so that pairs already joined are never listed. Pairs must be able to reach the overlap from where
-they first meet (position filter).
+with two classes or more give candidates in rounds. First each list's center (the class nearest to its front there) is
+searched against the rest; what that links becomes components. Then, of lists that still hold several components, pairs
+across components are searched, so that pairs already joined are never listed. Pairs must be able to reach the
+overlap from where they first meet (position filter).
 
 Each search takes one query set against a block of candidates: T-occurrence search by DivideSkip. Lists of the query's
 shingles over the block are split into long ones and short ones; short ones are merged with a heap, and classes seen
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Words, materialize, mix, partitions, slices, table, text_buffers, windows
+from docgraph.llm.common import FILTER_WORDS, Words, materialize, mix, only, partitions, slices, table, text_buffers, windows
 from docgraph.llm.components import components
 
 WIDTH = 5
@@ -35,7 +35,9 @@ PERCENT = 75
 SKETCH_BITS = 20
 CHUNK = 1 << 12
 BLOCK = 256
-FILTER_WORDS = 1 << 17
+#: More rounds of single searches, at most, while pairs across components are more than so many for each list entry.
+ROUNDS = 4
+MANY = 32
 
 
 def sets_of(texts: pa.Array, width: int = WIDTH):
@@ -115,7 +117,10 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
-    """(h, center, cls, size, pos): inverted lists of prefix shingles that hold two classes or more; center is the least."""
+    """(h, center, c_size, c_pos, cls, size, pos): inverted lists of prefix shingles that hold two classes or more.
+
+    center is the class that has the shingle nearest to its front, so the one with the fewest rare shingles of its
+    own: of a text and its edited copies that is the text."""
 
     def prefixes(batches):
         order, seen = sketch.value, set()
@@ -132,25 +137,24 @@ def _lists(docs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
             k = [len(x[0]) for x in out]
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.repeat([x[1] for x in out], k)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), k)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in k]))],
-                    ["h", "cls", "size", "pos"],
+                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in k])), pa.array(np.repeat([x[1] for x in out], k)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), k))],
+                    ["h", "pos", "cls", "size"],
                 )
 
     def runs(batches):
-        """Of rows sorted by h and cls: drop repeats and what stands alone, and add each list's first class."""
+        """Of rows sorted by h, pos and cls: drop repeats and what stands alone, and add each list's first row."""
         held = np.zeros((0, 4), np.int64)  # the last row, not yet known to be alone
-        centre, alone = 0, True
+        centre, alone = held, True
         for batch in batches:
-            got = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            rows = np.concatenate([held, got])
+            rows = np.concatenate([held, np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])])
             if not len(rows):
                 continue
             fresh = np.ones(len(rows), bool)
-            fresh[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+            fresh[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])
             rows = rows[fresh]
             new = np.ones(len(rows), bool)
             new[1:] = rows[1:, 0] != rows[:-1, 0]
-            heads = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)), 1]
+            heads = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
             if len(held):  # the held row goes on with its own list
                 first = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(rows)
                 heads[:first] = centre
@@ -158,23 +162,21 @@ def _lists(docs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
             single[:-1] &= new[1:]
             if len(held) and not alone:
                 single[0] = False
-            ready = np.arange(len(rows) - 1)
-            ready = ready[~single[:-1]]
-            held, centre, alone = rows[-1:], int(heads[-1]), bool(single[-1])
+            ready = np.flatnonzero(~single[:-1])
+            held, centre, alone = rows[-1:], heads[-1:], bool(single[-1])
             if len(ready):
                 yield _record(rows[ready], heads[ready])
         if len(held) and not alone:
-            yield _record(held, np.array([centre]))
+            yield _record(held, centre)
 
     n = partitions(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(prefixes, "h long, cls long, size int, pos int")
-    return rows.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(runs, "h long, center long, cls long, size int, pos int")
+    rows = docs.select("text").mapInArrow(prefixes, "h long, pos int, cls long, size int")
+    return rows.repartition(n, "h").sortWithinPartitions("h", "pos", "cls").mapInArrow(runs, "h long, center long, c_size int, c_pos int, cls long, size int, pos int")
 
 
 def _record(rows: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[:, 0]), pa.array(heads), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["h", "center", "cls", "size", "pos"]
-    )
+    columns = [rows[:, 0], heads[:, 2], heads[:, 3].astype(np.int32), heads[:, 1].astype(np.int32), rows[:, 2], rows[:, 3].astype(np.int32), rows[:, 1].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "center", "c_size", "c_pos", "cls", "size", "pos"])
 
 
 def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -287,6 +289,24 @@ def _pairs(rows: DataFrame, a: tuple, b: tuple, percent: int) -> DataFrame:
     return rows.filter(able).select(F.col(a[0]).alias("a"), F.col(b[0]).alias("b")).distinct()
 
 
+def _across(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, cls, size, pos, comp) of lists that hold several components.
+
+    Components are looked up for the distinct pairs of a list's center and member, far fewer than the entries; only
+    lists with a pair that differs are then taken from the entries, which a fixed-size filter spares the shuffle."""
+    known = found.select(F.col("node").alias("cls"), "comp")
+    pairs = lists.filter("center <> cls").select("center", "cls").distinct()
+    pairs = pairs.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    heads = known.select(F.col("cls").alias("center"), F.col("comp").alias("c_comp"))
+    pairs = pairs.join(heads, "center", "left").filter(F.col("comp") != F.coalesce("c_comp", "center"))
+    differ = materialize(pairs.select("center", "cls", F.xxhash64("center", "cls").alias("doc_id")), "differ")
+    some = only(lists.withColumn("doc_id", F.xxhash64("center", "cls")), differ).join(differ.select("center", "cls"), ["center", "cls"], "left_semi")
+    mixed = materialize(some.select(F.col("h").alias("doc_id")).distinct(), "mixed")
+    members = only(lists.select(F.col("h").alias("doc_id"), "cls", "size", "pos"), mixed).join(mixed, "doc_id", "left_semi")
+    members = members.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return materialize(members.select(F.col("doc_id").alias("h"), "cls", "size", "pos", "comp"), "members")
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of each document with the class of its shingle set, and (node, comp) of classes with links."""
     spark = docs.sparkSession
@@ -296,22 +316,35 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     names = signed.filter("n is not null").select("doc_id", "n", "cls")
     lists = materialize(_lists(docs, width, percent, sketch), "lists")
 
-    # first round: each list's least class against the rest of the list; its size and position come from its own row
-    heads = lists.filter("cls = center").select("h", F.col("size").alias("c_size"), F.col("pos").alias("c_pos"))
-    stars = lists.filter("cls <> center").join(heads, "h")
-    stars = materialize(_pairs(stars, ("center", "c_size", "c_pos"), ("cls", "size", "pos"), percent), "pairs")
+    # first round: each list's center against the rest of the list
+    stars = materialize(_pairs(lists, ("center", "c_size", "c_pos"), ("cls", "size", "pos"), percent), "pairs")
     edges = materialize(_verified(docs, stars, width, percent), "edges")
     found = components(edges)
 
-    # second round: pairs across components, of lists that hold several
-    known = found.select(F.col("node").alias("cls"), "comp")
-    members = lists.select("h", "cls", "size", "pos").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-    members = materialize(members.join(mixed, "h", "left_semi"), "members")
+    # while lists still hold many pairs across components, another member of each is searched against the rest
+    members, used = _across(lists, found), lists.select("h", F.col("center").alias("cls")).distinct()
+    for _ in range(ROUNDS):
+        # sets of like size must meet within the first seventh of both; those further back pair with few
+        near = members.filter(f"pos <= size * {100 - percent} / {100 + percent} + 1")
+        each = near.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"))
+        open_ = each.agg(F.coalesce(F.sum("twice") / 2, F.lit(0.0))).first()[0]
+        if open_ <= MANY * max(members.count(), 10_000):
+            break
+        fresh = members.join(used, ["h", "cls"], "left_anti")
+        heads = materialize(fresh.groupBy("h").agg(F.min(F.struct("pos", "cls", "size", "comp")).alias("c")).selectExpr("h", "c.pos as c_pos", "c.cls as center", "c.size as c_size", "c.comp as c_comp"), "heads")
+        pairs = _pairs(members.join(heads, "h").filter("comp <> c_comp"), ("center", "c_size", "c_pos"), ("cls", "size", "pos"), percent)
+        pairs = materialize(_unseen(pairs, stars), "pairs")
+        stars, used = stars.unionByName(pairs), used.unionByName(heads.select("h", F.col("center").alias("cls")))
+        if pairs.isEmpty():
+            break
+        edges = edges.unionByName(materialize(_verified(docs, pairs, width, percent), "edges"))
+        found = components(edges)
+        members = _across(lists, found)
+
+    # last round: pairs across components, all that can reach the overlap
     other = members.select("h", *[F.col(c).alias(f"o_{c}") for c in ("cls", "size", "pos", "comp")])
-    across = members.join(other, "h").filter("comp < o_comp")
-    across = _pairs(across, ("cls", "size", "pos"), ("o_cls", "o_size", "o_pos"), percent)
-    across = materialize(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+    across = _pairs(members.join(other, "h").filter("comp < o_comp"), ("cls", "size", "pos"), ("o_cls", "o_size", "o_pos"), percent)
+    across = materialize(_unseen(across, stars), "pairs")
     if not across.isEmpty():
         more = materialize(_verified(docs, across, width, percent), "edges")
         if not more.isEmpty():
@@ -319,6 +352,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     return names, found
 
 
+def _unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    both = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     names, found = link(docs, width, percent)
@@ -331,9 +369,14 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without near duplicates: of each component the row of the smallest doc_id stays, of repeated rows one."""
-    firsts = near_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs without near duplicates: of each component the row of the smallest doc_id stays, of repeated ids one row.
+
+    Only rows that may have to go, or whose doc_id repeats, are shuffled. Rows without a doc_id stay."""
+    ids = near_components(docs, width, percent).groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("k"))
+    odd = materialize(ids.filter("doc_id is not null and (first = 0 or k > 1)").select("doc_id", "first"), "odd")
+    gone = odd.filter("first = 0").select("doc_id")
+    some = only(docs, odd).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return only(docs, odd, hit=False).unionByName(some.filter("doc_id is null").unionByName(some.filter("doc_id is not null").dropDuplicates(["doc_id"])))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
