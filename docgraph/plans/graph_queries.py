@@ -98,7 +98,7 @@ def defined_fold(spark, sf):
 
 def tiered_resolution(spark, sf):
     """Each order line's supplier by tier: of the customer's nation, else of its region, else the only one left."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n"))
     n = table(spark, sf, "nation")
     s = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("s_region"))
@@ -109,13 +109,13 @@ def tiered_resolution(spark, sf):
 
 
 def supersedes(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 50 < 2").select("o_orderkey", "o_custkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     n = o.select(
         F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("id"),
         F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("slug"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
         F.array().cast("array<string>").alias("aliases"),
-        F.array(F.concat(F.lit("ORDER "), (F.col("o_orderkey") - 1 - F.col("o_custkey") % 2 * 50).cast("string"))).alias("supersedes"),
+        F.array(F.concat(F.lit("ORDER "), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 2 * 50).cast("string"))).alias("supersedes"),
         (F.col("o_custkey") % 3 != 0).alias("local"),
     )
     return R.supersedes(n)
@@ -162,7 +162,7 @@ def median_split(spark, sf):
 
 
 def strict_winner(spark, sf):
-    return R.strict_winner(table(spark, sf, "part").select("p_name", "p_partkey", "p_size"), "p_name", ["p_size"], "p_partkey")
+    return R.strict_winner(table(spark, sf, "part").select("p_name", "p_partkey", "p_size"), "p_name", ["p_size"], "p_partkey").withColumn("winner", F.coalesce("winner", F.lit(-1).cast("long")))
 
 
 def id_collisions(spark, sf):
@@ -172,7 +172,7 @@ def id_collisions(spark, sf):
 
 def innermost_span(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("site"), (F.col("event_id") % 1000).cast("long").alias("line"))
-    spans = table(spark, sf, "orders").filter("o_orderkey < 3000").select((F.col("o_custkey") % 100).alias("page_id"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 900).alias("start"), (F.col("o_orderkey") % 900 + 20 + F.col("o_custkey") % 200).alias("end"))
+    spans = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("page_id"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 900).alias("start"), (F.col("o_orderkey") % 900 + 20 + F.col("o_custkey") % 200).alias("end"))
     return G.innermost(e, spans).select("page_id", "site", "item")
 
 
@@ -233,12 +233,12 @@ QUERIES = {
         with r as (
           select distinct o_orderkey, l_suppkey as s_suppkey, case when s_nationkey = c_nationkey then 1 when sn.n_regionkey = cn.n_regionkey then 2 else 3 end as tier
           from orders join customer on c_custkey = o_custkey join nation cn on cn.n_nationkey = c_nationkey join lineitem on l_orderkey = o_orderkey
-          join supplier on s_suppkey = l_suppkey join nation sn on sn.n_nationkey = s_nationkey where o_orderkey % 3 = 0),
+          join supplier on s_suppkey = l_suppkey join nation sn on sn.n_nationkey = s_nationkey),
         k as (select *, count(*) over (partition by o_orderkey, tier) as n from r), f as (select * from k where tier < 3 or n = 1),
         b as (select *, min(tier) over (partition by o_orderkey) as best from f)
         select o_orderkey, s_suppkey, tier::bigint as tier from b where tier = best"""),
     "supersedes": (supersedes, """
-        with o as (select o_orderkey as k, o_custkey % 3 <> 0 as local, o_orderkey - 1 - o_custkey % 2 * 50 as t from orders where o_orderkey % 50 < 2)
+        with o as (select o_orderkey as k, o_custkey % 3 <> 0 as local, o_orderkey + 1 + o_custkey % 2 * 50 as t from orders)
         select lpad(a.k::varchar, 9, '0') as id, min(lpad(b.k::varchar, 9, '0')) as superseded_by from o a join o b on b.t = a.k and a.k <> b.k where b.local or not a.local group by 1"""),
     "prior_page": (prior_page, "select o_custkey, o_orderkey as latest from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) where rn = 1"),
     "anti_stale": (anti_stale, "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)"),
@@ -261,11 +261,11 @@ QUERIES = {
         select source, doc_id from g where kept"""),
     "median_split": (median_split, "select s_suppkey, s_acctbal >= (select s_acctbal from supplier order by s_acctbal limit 1 offset (select count(*) // 2 from supplier)) as upper from supplier"),
     "strict_winner": (strict_winner, """
-        select p_name, case when count(*) filter (where p_size = m) = 1 then min(p_partkey) filter (where p_size = m) end as winner
+        select p_name, case when count(*) filter (where p_size = m) = 1 then min(p_partkey) filter (where p_size = m) else -1 end as winner
         from (select *, min(p_size) over (partition by p_name) as m from part) group by p_name"""),
     "id_collisions": (id_collisions, "select p_partkey, case when rn = 1 then s else s || '_' || rn end as id from (select p_partkey, replace(p_name, ' ', '_') as s, row_number() over (partition by p_name order by p_partkey) as rn from part)"),
     "innermost_span": (innermost_span, """
-        with s as (select o_custkey % 100 as page_id, o_orderkey as item, o_orderkey % 900 as a, o_orderkey % 900 + 20 + o_custkey % 200 as b from orders where o_orderkey < 3000)
+        with s as (select o_custkey % 100 as page_id, o_orderkey as item, o_orderkey % 900 as a, o_orderkey % 900 + 20 + o_custkey % 200 as b from orders)
         select page_id, site, item from (
           select e.user_id as page_id, e.event_id as site, s.item, row_number() over (partition by e.user_id, e.event_id order by b - a, a, item) as rn
           from events e join s on s.page_id = e.user_id and e.event_id % 1000 between a and b) where rn = 1"""),
