@@ -248,6 +248,24 @@ def test_pages(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_a_host_are_compared_across_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    notes = [" ".join(f"note{k}x{j}" for j in range(9)) for k in range(30)]
+    texts = []
+    for i in range(120):
+        own = [f"u{i}x{j}" for j in range(rng.integers(3, 30))]
+        at = int(rng.integers(0, len(own)))
+        texts.append(" ".join([*own[:at], notes[i % 30] if i < 60 else f"only{i}", *own[at:], "short shared end"]))
+    texts += texts[:20]  # equal pages count once
+    table = [(i, f"http://h/{i}", f"<p>{t}</p>") for i, t in enumerate(texts)] + [(1000, "http://k/0", f"<p>{notes[0]}</p>")]
+    want = [" ".join(k) for k in pages.unique_runs([t.split(" ") for t in texts])]
+    assert any("note" in t for t in texts) and not any("note" in w for w in want)
+    for shard in (512, 8):
+        monkeypatch.setattr(pages, "SHARD", shard)
+        got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(len(texts))] == want and got[1000] == notes[0]
+
+
 def test_pages_survive_odd_markup():
     for odd in ("<", "<p", "<<p>>", "</p></p>x", '<a href="x>y', "<article><article>a</article>b", "<p>" * 3000 + "x", "<script>never closed", "&#xZZ; &#99999999;", "<div class='ad'><p>q</div>r"):
         pages.main_text(odd)
