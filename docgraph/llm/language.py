@@ -1,9 +1,10 @@
 """Language identification, words first: known words score by their log frequency in each language; words not seen in
 training fall back to the longest character n-grams of theirs that were, from NGRAM letters down to one.
 
-Counts cover all training documents. The model keeps, for each language, the WORDS most frequent words and for each
-n-gram length the GRAMS most frequent n-grams (those tied with the first one left out go too), so that its size is
-bounded by these parameters and the number of languages; it is sent to all tasks.
+Counts cover all training documents, and all words and n-grams of theirs are scored. The WORDS most frequent words of each
+language and the GRAMS most frequent n-grams of each length (without those tied with the first one left out) are sent to
+all tasks, with their counts in all languages. All others stay in a table: a task asks it once for each further word
+of a batch, by a join. So what is sent is bounded by these parameters and the number of languages, and they don't change results.
 
 Edge cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing can be learned; a
 null doc_id is neither trained on nor held out; languages tied for a text go to the first in order of code points;
@@ -18,16 +19,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialize, table
+from docgraph.llm.common import materialize, slices, table, text_buffers
 
 WORDS = 50_000
 GRAMS = 50_000
 NGRAM = 4
 SMOOTH = 0.5
 FLUSH = 200_000
+CHUNK = 16 << 20
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +89,9 @@ def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
 
 
 def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int = NGRAM) -> dict:
-    """The model from rows (lang, text): languages, and for words (0) and n-grams (1, 2, ...) their log frequencies."""
+    """The model from rows (lang, text): languages, and for words (0) and n-grams (1, 2, ...) their log frequencies.
+
+    tables has the frequent ones, tail is a DataFrame (n, item, logs) of all others, or None if there are none."""
     seen = materialize(_word_counts(docs.select("lang", "text")), "words")
     items = seen.unionByName(_gram_counts(seen, longest))
     items = materialize(items, "items")
@@ -94,22 +99,28 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int
     spread = items.groupBy("lang", "n", "freq").agg(F.count("*").alias("k"))
     totals = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in items.groupBy("lang", "n").agg(F.sum("freq").alias("total"), F.count("*").alias("kinds")).collect()}
     most = F.when(F.col("n") == 0, F.lit(words)).otherwise(F.lit(grams))
-    # rare frequencies are many items each, high ones few: below the cut nothing is needed
-    ranked = _bounds(spread, most)
-    kept = items.join(F.broadcast(ranked), ["lang", "n"]).filter("freq >= floor").drop("floor")
+    # rare frequencies are many items each, high ones few: below the floor items stay in the table
+    floors = _bounds(spread, most)
+    kept = F.coalesce(F.col("freq") >= F.col("floor"), F.lit(False))
+    wide = items.join(F.broadcast(floors), ["lang", "n"], "left").groupBy("n", "item").agg(F.max(kept).alias("head"), F.map_from_entries(F.collect_list(F.struct("lang", "freq"))).alias("freqs"))
+    wide = materialize(wide, "wide")
     langs = sorted({k[0] for k in totals})
-    model: dict = {"langs": langs, "tables": []}
-    rows = kept.toPandas()  # at most (words + longest * grams) rows a language
+    below = [[totals.get((c, n), (0, 0))[0] + SMOOTH * (totals.get((c, n), (0, 0))[1] + 1) for c in langs] for n in range(longest + 1)]
+    model: dict = {"langs": langs, "tables": [], "tail": None}
+    if not langs:
+        model["tables"] = [({}, np.zeros((0, 0)))] * (longest + 1)
+        return model
+    names, under = F.array(*map(F.lit, langs)), F.array(*[F.array(*map(F.lit, row)) for row in below])
+    log = lambda i: F.log((F.coalesce(F.try_element_at("freqs", F.get(names, i)), F.lit(0)) + SMOOTH) / F.get(F.get(under, F.col("n")), i))
+    scored = wide.select("n", "item", "head", F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), log).alias("logs"))
     for n in range(longest + 1):
-        own = rows[rows["n"] == n].sort_values(["item", "lang"])
-        index = {w: i for i, w in enumerate(dict.fromkeys(own["item"]))}
-        base = np.array([math.log(SMOOTH / (totals.get((c, n), (0, 0))[0] + SMOOTH * (totals.get((c, n), (0, 0))[1] + 1))) for c in langs])
-        logs = np.tile(base, (len(index), 1))
-        for lang, item, freq in zip(own["lang"], own["item"], own["freq"]):
-            c = langs.index(lang)
-            total, kinds = totals[lang, n]
-            logs[index[item], c] = math.log((freq + SMOOTH) / (total + SMOOTH * (kinds + 1)))
-        model["tables"].append((index, logs))
+        rows = scored.filter(f"head and n = {n}").select("item", "logs").toArrow()  # at most words or grams items a language
+        index = {w.as_py(): i for i, w in enumerate(rows["item"])}
+        model["tables"].append((index, rows["logs"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))))
+        del rows
+    tail = scored.filter("not head").select("n", "item", "logs")
+    if not tail.isEmpty():
+        model["tail"] = tail
     return model
 
 
@@ -126,7 +137,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.tables = model["langs"], model["tables"]
-        self._reset()
+        self.index: dict[str, int] | None = None
 
     def _reset(self) -> None:
         index, logs = self.tables[0]
@@ -146,6 +157,8 @@ class Scorer:
         found = RUN.findall((text or "").lower())
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
+        if self.index is None:
+            self._reset()
         total = np.zeros(len(self.langs))
         for lo in range(0, len(found), FLUSH):
             if len(self.index) + FLUSH > len(self.logs):
@@ -158,13 +171,40 @@ class Scorer:
                     self.logs[i] = self.word(w)
                 rows.append(i)
             total += self.logs[rows].sum(axis=0)
+        return self.best(total)
+
+    def best(self, total: np.ndarray) -> tuple[str, float]:
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
+    def part(self, text: str | None) -> tuple[np.ndarray | None, Counter]:
+        """Log likelihoods of the words of the first table, and the other words; None for a text without a letter."""
+        found = RUN.findall((text or "").lower())
+        if not any(c.isalpha() for w in found for c in w):
+            return None, Counter()
+        index, logs = self.tables[0]
+        total = np.zeros(len(self.langs))
+        for lo in range(0, len(found), FLUSH):
+            total += logs[[index[w] for w in found[lo : lo + FLUSH] if w in index]].sum(axis=0)
+        return total, Counter(w for w in found if w not in index)
+
+    def levels(self, word: str):
+        """(n, known, sum of their logs, n-grams to look up) from the longest n-grams down to the first that the tables know."""
+        for n in range(len(self.tables) - 1, 0, -1):
+            index, logs = self.tables[n]
+            grams = _grams(word, n)
+            known = [index[g] for g in grams if g in index]
+            if grams:
+                yield n, len(known), logs[known].sum(axis=0).tolist(), [g for g in grams if g not in index]
+            if known:
+                break
+
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("langs", "tables")})
+    if model.get("tail") is not None:
+        return _predict_by_table(docs, model["tail"], sent)
 
     def run(batches):
         scorer = Scorer(sent.value)
@@ -177,6 +217,68 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def _predict_by_table(docs: DataFrame, tail: DataFrame, sent) -> DataFrame:
+    """predict() where words and n-grams are in the table `tail`: each batch is a chunk that asks for its distinct words."""
+    names = [c for c in docs.columns if c != "__text"]
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
+
+    def first(batches):
+        scorer, k = None, TaskContext.get().partitionId() << 32
+        for whole in batches:
+            scorer = scorer or Scorer(sent.value)
+            at = whole.schema.get_field_index("__text")
+            for lo, hi in slices(text_buffers(whole.column(at))[1], CHUNK):
+                batch = whole.slice(lo, hi - lo)
+                got = [scorer.part(t) for t in batch.column(at).to_pylist()]
+                batch = batch.drop_columns(["__text"])
+                more = [
+                    pa.array([k] * len(got), pa.int64()), pa.array([None if p is None else p.tolist() for p, _ in got], pa.list_(pa.float64())),
+                    pa.array([list(w) for _, w in got], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in got], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "__chunk", "__part", "__words", "__times"])
+                k += 1
+
+    # chunks are numbered as rows come: written once, so that they stay
+    parts = materialize(docs.mapInArrow(first, f"{plain}, __chunk long, __part array<double>, __words array<string>, __times array<long>"), "parts")
+    asked = parts.select(F.col("__chunk").alias("chunk"), F.explode("__words").alias("item")).distinct()
+    seen = tail.filter("n = 0").select("item", "logs")
+    unseen = asked.select("item").distinct().join(seen.select("item"), "item", "left_anti")
+    answers = asked.join(seen.unionByName(_by_grams(unseen, tail, sent)), "item")
+
+    def last(group: pa.Table, answer: pa.Table) -> pa.Table:
+        scorer = Scorer(sent.value)
+        logs = dict(zip(answer["item"].to_pylist(), map(np.array, answer["logs"].to_pylist())))
+        none, got = np.zeros(len(scorer.langs)), []
+        for part, words, times in zip(*(group[c].to_pylist() for c in ("__part", "__words", "__times"))):
+            total = None if part is None else sum((n * logs.get(w, none) for w, n in zip(words, times)), np.array(part))
+            got.append((UNKNOWN, 0.0) if total is None else scorer.best(total))
+        out = group.select(names)
+        return out.append_column("lang_pred", pa.array([g[0] for g in got], pa.string())).append_column("score", pa.array([g[1] for g in got], pa.float64()))
+
+    return parts.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last, f"{plain}, lang_pred string, score double")
+
+
+def _by_grams(words: DataFrame, tail: DataFrame, sent) -> DataFrame:
+    """item and logs of distinct words never trained on: the mean over their longest known n-grams, sent or in the table."""
+
+    def run(batches):
+        scorer = None
+        for batch in batches:
+            scorer = scorer or Scorer(sent.value)
+            rows = [(w, *level) for w in batch.column(0).to_pylist() for level in scorer.levels(w)]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "n", "k", "part", "grams"])
+
+    levels = materialize(words.mapInArrow(run, "item string, n int, k long, part array<double>, grams array<string>"), "levels")
+    asked = levels.select("item", "n", F.explode("grams").alias("gram"))
+    found = asked.join(tail.filter("n > 0").select("n", F.col("item").alias("gram"), "logs"), ["n", "gram"])
+    found = found.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("gram", "logs"))).alias("found"))
+    total = F.when(F.col("found").isNull(), F.col("part")).otherwise(F.aggregate("found", F.col("part"), lambda acc, x: F.zip_with(acc, x["logs"], lambda a, b: a + b)))
+    known = levels.join(found, ["item", "n"], "left").select("item", "n", total.alias("total"), (F.col("k") + F.coalesce(F.size("found"), F.lit(0))).alias("k"))
+    best = known.filter("k > 0").groupBy("item").agg(F.max_by(F.struct("total", "k"), "n").alias("b"))
+    return best.select("item", F.transform("b.total", lambda x: x / F.col("b.k")).alias("logs"))
+
+
 def train_on(docs: DataFrame) -> dict:
     return train(docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
 

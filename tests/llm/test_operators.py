@@ -144,6 +144,34 @@ def test_language_falls_back_to_shorter_grams():
     assert scorer.text("Known!")[0] == "a" and scorer.text("qxyz")[0] == "a" and scorer.text("qz")[0] == "b" and scorer.text("123 ½")[0] == "und"
 
 
+def test_language_scores_rare_words_and_grams(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = {c: ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(80)] for c, letters in (("a", "abcdefg"), ("b", "abcdxyz"), ("c", "cdegxz"))}
+    rows = [(c, " ".join(rng.choice(v, 12))) for c, v in vocabulary.items() for _ in range(20 if c == "a" else 4)]
+    texts = [t for _, t in rows[::5]] + [" ".join("".join(rng.choice(list("abcdefgxyzq"), rng.integers(1, 8))) for _ in range(4)) for _ in range(40)] + ["qqq", "12", None]
+    counts = [{} for _ in range(5)]
+    for c, t in rows:
+        for w in t.split():
+            counts[0].setdefault(w, dict.fromkeys("abc", 0))[c] += 1
+    for w, own in counts[0].items():
+        for c in "abc":
+            for n in range(1, 5) if own[c] else ():
+                for g in language._grams(w, n):
+                    counts[n].setdefault(g, dict.fromkeys("abc", 0))[c] += 1
+    tables = []
+    for own in counts:
+        below = {c: sum(f[c] for f in own.values()) + 0.5 * (sum(f[c] > 0 for f in own.values()) + 1) for c in "abc"}
+        tables.append(({w: i for i, w in enumerate(own)}, np.array([[np.log((f[c] + 0.5) / below[c]) for c in "abc"] for f in own.values()])))
+    scorer = language.Scorer({"langs": list("abc"), "tables": tables})
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, __text string")
+    train = spark.createDataFrame(rows, "lang string, text string")
+    for kept in (1, 10, 100_000):
+        got = {r.k: (r.lang_pred, r.score) for r in language.predict(df, language.train(train, kept, kept)).collect()}
+        for k, t in enumerate(texts):
+            want = scorer.text(t)
+            assert got[k][0] == want[0] and abs(got[k][1] - want[1]) < 1e-9
+
+
 def test_bpe(docs):
     import public_tokenizers as p
 
