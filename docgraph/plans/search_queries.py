@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
@@ -127,7 +129,7 @@ def notes_tail(spark, sf):
 
 
 def eval_mrr(spark, sf):
-    """Each benchmark item as a query: the documents that hold most of its long words."""
+    """Each benchmark item as a query: the documents that hold most of its long words, as its SQL has it; eval_mrr_whole has no such cuts."""
     words = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.field_words("text"))).alias("w")).filter("length(w) >= 8")
     docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.field_words("text"))).alias("w")).filter("length(w) >= 8")
     hits = words.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
@@ -139,6 +141,52 @@ def eval_mrr(spark, sf):
     return all_.agg(F.round(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def _shared_words(docs, items, k):
+    """item_id, doc_id and n: how many distinct words they share, for at least the k best documents of each item.
+
+    The items' words are sent to all tasks: a benchmark doesn't grow with the documents."""
+    rows = items.select("item_id", F.array_distinct(T.field_words(F.coalesce("text", F.lit("")))).alias("words")).orderBy("item_id").collect()
+    ids, postings = np.array([r.item_id for r in rows], np.int64), {}
+    for i, r in enumerate(rows):
+        for w in r.words:
+            postings.setdefault(w, []).append(i)
+    sent = docs.sparkSession.sparkContext.broadcast((ids, {w: np.array(p, np.int64) for w, p in postings.items()}))
+
+    def run(batches):
+        ids, postings = sent.value
+        block = max(1, (4 << 20) // max(1, len(ids)))
+        for whole in batches:
+            for lo in range(0, len(whole), block):
+                batch = whole.slice(lo, block)
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                n = np.zeros((len(doc), len(ids)), np.int64)
+                for row, words in zip(n, batch.column(1).to_pylist()):
+                    own = [postings[w] for w in words if w in postings]
+                    if own:
+                        row += np.bincount(np.concatenate(own), minlength=len(ids))
+                by = np.argsort(doc, kind="stable")
+                best = by[np.argsort(-n[by], axis=0, kind="stable")[:k]]
+                item = np.broadcast_to(np.arange(len(ids)), best.shape)
+                best, item = best.ravel(), item.ravel()
+                hit = n[best, item] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[item[hit]]), pa.array(doc[best[hit]]), pa.array(n[best, item][hit])], ["item_id", "doc_id", "n"])
+
+    words = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(T.field_words("text")).alias("words"))
+    return words.mapInArrow(run, "item_id long, doc_id long, n long")
+
+
+def eval_mrr_whole(spark, sf):
+    """Each benchmark item as a query of all its words; the documents that hold its whole text are the expected ones."""
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    hits = S.top_per_group(_shared_words(docs, items, 10), ["item_id"], [F.desc("n"), "doc_id"], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), F.col("rn").alias("rank"))
+    whole = items.select(F.col("item_id").alias("query"), F.regexp_replace("text", r"\s+", " ").alias("part"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"\s+", " ").alias("t"))
+    holding = texts.join(F.broadcast(hits), "id").join(F.broadcast(whole), "query").filter(F.contains("t", "part"))
+    expected = holding.groupBy("query").agg(F.min_by("id", "rank").alias("expected"))
+    cases = items.select(F.col("item_id").alias("query")).join(expected, "query", "left")
+    return S.reciprocal_rank(hits, cases).select(F.round("top1", 6).alias("top1"), F.round("mrr", 6).alias("mrr"))
+
+
 _EVAL_SQL = r"""
     with w as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from benchmark),
     d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents),
@@ -184,6 +232,7 @@ QUERIES = {
           order by score desc, id limit 10)
         order by trust desc, score desc, id limit 2"""),
     "eval_mrr": (eval_mrr, _EVAL_SQL),
+    "eval_mrr_whole": (eval_mrr_whole, None),
     "label_search": (label_search, """
         with s as (select conv_id, turn, role, length(text) - length(replace(text, chr(10), '')) + 1 as n from conversations),
         l as (select *, coalesce(sum(n + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) + 1 as start from s)

@@ -164,6 +164,25 @@ def test_tree_walk_obeys_ignore_rules(spark, tmp_path):
     assert set(got) == {"a.py", "keep.log", "run.sh", "sub/c.py"} and got["a.py"] == "x = 1\n"
 
 
+def test_whole_evaluation_uses_short_words_and_whole_texts(spark, tmp_path):
+    from docgraph.plans import search_queries
+
+    start = "one two six ten red sun sky sea hat cup "
+    items = [(1, start * 2 + "end a"), (2, "a cat sat on  the mat"), (3, "nowhere to be found"), (4, None)]
+    docs = [(10, start * 2 + "end b"), (11, "x " + start * 2 + "end a y"), (12, "the mat the cat"), (13, "cat a the sat mat on a cat sat on the"), (14, "so a cat\nsat on the mat"), (15, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = []
+    for _, text in items:
+        own = set((text or "").split())
+        best = sorted((-len(own & set((t or "").split())), d, " ".join((t or "").split())) for d, t in docs if own & set((t or "").split()))
+        ranks.append(next((k + 1 for k, (_, _, t) in enumerate(best[:10]) if " ".join((text or "").split()) in t), None))
+    assert ranks == [1, 2, None, None]
+    got = search_queries.eval_mrr_whole(spark, str(tmp_path)).first()
+    assert tuple(got) == (0.25, 0.375)
+    assert search_queries.eval_mrr(spark, str(tmp_path)).first()["mrr"] == 0.0
+
+
 def test_generator_is_the_same_under_any_partitioning(spark):
     assert generate(spark, 50, 1).orderBy("path").collect() == generate(spark, 50, 1).repartition(7).orderBy("path").collect()
     assert generate(spark, 50, 2).orderBy("path").collect() != generate(spark, 50, 1).orderBy("path").collect()
