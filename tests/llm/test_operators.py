@@ -301,6 +301,14 @@ def test_pages_survive_odd_markup():
     assert pages.main_text("<article>x<div class=ads>y</div>z</article>")[0] == "x z"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a <svg width=1/> b <svg><path/></svg> c", "a b c"), ("a <MATH /> b", "a b"), ("a <select><option>x</select> b <select> c", "a b c"), ("a <video src=x> b", "a b"),
+    ("a <svg> b", "a b"), ("a <script>x</SCRIPT > b <script> c", "a b"), ("İİİİ <script>x</script>y z", "İİİİ y z"), ("a <style>x</ſtyle></STYLE>b", "a b"),
+])
+def test_pages_keep_text_around_raw_elements(page, text):
+    assert " ".join(t for _, t in pages.blocks(page)) == text
+
+
 TALK = [
     (1, 0, "u", "Hello there friend.\nSecond line of it."),
     (1, 1, "a", "On Monday, Ann wrote:\n> Hello there friend.\n> Second line of it.\n\nHi Ann"),
