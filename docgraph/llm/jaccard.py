@@ -369,14 +369,38 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without near duplicates: of each component the row of the smallest doc_id stays, of repeated ids one row.
-
-    Only rows that may have to go, or whose doc_id repeats, are shuffled. Rows without a doc_id stay."""
-    ids = near_components(docs, width, percent).groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("k"))
-    odd = materialize(ids.filter("doc_id is not null and (first = 0 or k > 1)").select("doc_id", "first"), "odd")
-    gone = odd.filter("first = 0").select("doc_id")
-    some = only(docs, odd).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return only(docs, odd, hit=False).unionByName(some.filter("doc_id is null").unionByName(some.filter("doc_id is not null").dropDuplicates(["doc_id"])))
+    """docs without near duplicates: of each component one row of the smallest doc_id stays.
+
+    Rows of one doc_id are told apart by the class of their text; texts without shingles are alone, of those only rows equal in
+    doc_id and text are one. Only rows that may have to go are shuffled. Rows without a doc_id stay."""
+    names, found = link(docs, width, percent)
+    labels = names.filter("doc_id is not null").join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    labels = labels.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cls"))).groupBy("doc_id", "cls", "comp").agg(F.count("*").alias("k"))
+    labels = materialize(labels, "labels")
+    least = labels.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    told = labels.join(least, "comp", "left").withColumn("goes", F.coalesce(F.col("doc_id") != F.col("least"), F.lit(False)))
+    # doc_ids with a row that goes, or with several rows
+    odd = told.groupBy("doc_id").agg(F.max("goes").alias("goes"), F.sum("k").alias("k")).filter("goes or k > 1").select("doc_id")
+    odd = materialize(odd, "odd")
+
+    def name(batches):
+        for batch in batches:
+            classes = [digest(s) for s in sets_of(batch.column(batch.schema.get_field_index("text")), width)]
+            yield batch.append_column("__cls", pa.array(classes, pa.int64()))
+
+    some = only(docs, odd)
+    here = some.filter("doc_id is not null").mapInArrow(name, f"{_ddl(some)}, __cls long")
+    gone = told.filter("goes").select(F.col("doc_id").alias("g_id"), F.col("cls").alias("g_cls"))
+    here = here.join(gone, [F.col("doc_id").cast("long") == F.col("g_id"), F.col("__cls") == F.col("g_cls")], "left_anti")
+    comps = told.filter("not goes").select(F.col("doc_id").alias("c_id"), F.col("cls").alias("c_cls"), "comp")
+    here = here.join(comps, [F.col("doc_id").cast("long") == F.col("c_id"), F.col("__cls") == F.col("c_cls")], "left")
+    here = here.withColumn("__text", F.when(F.col("comp").isNull(), F.coalesce("text", F.lit(""))))
+    here = here.dropDuplicates(["doc_id", "comp", "__text"]).select(*docs.columns)
+    return only(docs, odd, hit=False).unionByName(some.filter("doc_id is null")).unionByName(here)
+
+
+def _ddl(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

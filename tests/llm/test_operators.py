@@ -126,6 +126,15 @@ def test_components_of_chains_and_loops(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((200, 201, 202), 200)}
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a), (2, b), (2, a + " more"), (2, b), (3, c), (3, b + " end"), (3, c + " too"), (4, ""), (4, c), (4, ""), (5, a), (None, a), (None, a), (6, None), (6, b), (7, d), (7, e), (7, d)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [t for k, t in got if k == 3]
+    assert len(texts) == 1 and texts[0] in (c, c + " too")
+    assert [r for r in got if r[0] != 3] == [(0, a), (0, a), (1, a), (2, b), (4, ""), (6, ""), (7, d), (7, e)]
+
+
 def test_language(docs, spark):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (3, 4, 5))
