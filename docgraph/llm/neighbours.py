@@ -6,11 +6,17 @@ of the table to its most probable part; a query goes to as many of its most prob
 vectors that the classifier was not trained on, and is ranked there against all rows by the exact inner product.
 
 Equal vectors are one entry that keeps its TOP + 1 smallest ids, which is all that a query can return of them; so a
-vector that a third of all rows share costs one row. Parts are searched in blocks of rows and blocks of queries of
-bounded size. Sample size, rows a part and probes are parameters; nothing depends on the size of the table otherwise.
+vector that a third of all rows share costs one row. Rows go to cells: single parts where a query probes few of them, else
+CELLS runs of parts that the bisection left side by side; so a query visits CELLS cells at most, and each answers with
+its TOP + 1 best, however many parts there are. A cell is searched in blocks of rows and of queries: the queries of a
+block stay in memory while its rows stream past, part by part.
+
+The sample has SAMPLE_A_PART vectors a part, LEAST_SAMPLE at least and MOST_SAMPLE at most, from which it follows that
+there are at most MOST_SAMPLE / SAMPLE_A_PART parts; parts of a larger table are larger. A table of ROWS_A_PART entries
+or less is one part. These are parameters; nothing else depends on the size of the table.
 
 Edge cases: vectors that are null, empty, zero, of another length than most of the sample, or hold null or non-finite
-components take no part, and neither does a null vec_id; with less than TOP other vectors a query returns those found;
+components take no part, and neither does a null vec_id; a query whose parts hold less than TOP others is searched in all parts;
 ties go to the smaller vec_id; repeated rows of a vec_id count once; an empty table gives no rows; other columns
 don't matter.
 """
@@ -27,10 +33,13 @@ from docgraph.llm.common import materialize, table
 
 TOP = 20
 EVERY = 20
-SAMPLE = 4096
-ROWS_A_PART = 1500
-ROWS_A_BLOCK = 4096
-QUERIES_A_BLOCK = 1024
+LEAST_SAMPLE = 4096
+SAMPLE_A_PART = 64
+MOST_SAMPLE = 1 << 16
+ROWS_A_PART = 400
+CELLS = 8
+ROWS_A_BLOCK = 1 << 16
+QUERIES_A_BLOCK = 4096
 NEAR = 12
 RECALL = 0.94
 HIDDEN = 128
@@ -40,8 +49,8 @@ SEED = 5
 def knn(x: np.ndarray, queries: np.ndarray, k: int, own: bool) -> np.ndarray:
     """Indexes of the k rows of x of largest inner product, for each query; own: queries are x itself."""
     out = []
-    for lo in range(0, len(queries), 1024):
-        s = queries[lo : lo + 1024] @ x.T
+    for lo in range(0, len(queries), 256):
+        s = queries[lo : lo + 256] @ x.T
         if own:
             s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
         out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
@@ -101,22 +110,28 @@ class Classifier:
                     self.w[i] = self.w[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
 
-def learn(sample: np.ndarray, rows: int, recall: float = RECALL, rows_a_part: int = ROWS_A_PART) -> tuple[Classifier | None, int, float]:
-    """Classifier, how many parts to probe, and the recall that this reached on held-out sample vectors."""
+def depth_of(rows: int, rows_a_part: int = ROWS_A_PART) -> int:
+    """How often the graph is halved for parts of about rows_a_part rows."""
     depth = 0
-    while rows >> depth > rows_a_part and len(sample) >> depth > 128:
+    while rows >> depth > rows_a_part and SAMPLE_A_PART << (depth + 1) <= MOST_SAMPLE:
         depth += 1
-    if not depth:
+    return depth
+
+
+def learn(sample: np.ndarray, depth: int, recall: float = RECALL) -> tuple[Classifier | None, int, float]:
+    """Classifier, how many of the 2 ** depth parts to probe, and the recall that this reached on held-out sample vectors."""
+    if not depth or len(sample) < 16:
         return None, 1, 1.0
     rng = np.random.default_rng(SEED)
     sample = sample[rng.permutation(len(sample))]
     test, known = sample[: len(sample) // 8], sample[len(sample) // 8 :]
-    graph = knn(known, known, NEAR, own=True)
+    near = min(NEAR, len(known) - 1)
+    graph = knn(known, known, near, own=True)
     part = bisect(graph, depth, rng)
     parts = 1 << depth
     target = np.zeros((len(known), parts))
-    np.add.at(target, (np.repeat(np.arange(len(known)), NEAR), part[graph].ravel()), 1.0)
-    target[np.arange(len(known)), part] += NEAR / 2
+    np.add.at(target, (np.repeat(np.arange(len(known)), near), part[graph].ravel()), 1.0)
+    target[np.arange(len(known)), part] += near / 2
     model = Classifier(sample.shape[1], parts, rng)
     model.fit(known, target / target.sum(axis=1, keepdims=True), rng)
     # rows are dealt by the classifier, so recall is measured on such parts; near ones by the sample's own density
@@ -145,22 +160,38 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _best(ids: list[int], q: np.ndarray, vids: list, lists: list, x: np.ndarray, top: int) -> tuple[list, list, list]:
-    """(query, id, score): for each query the `top` best ids of the entries, ties to smaller ids."""
-    out_q, out_v, out_s = [], [], []
-    for lo in range(0, len(ids), 256):
-        rough = q[lo : lo + 256] @ x.T
-        k = min(top, len(x))
-        floor = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
-        for r in range(len(rough)):
-            at = np.flatnonzero(rough[r] >= floor[r] - 1e-9 * (1 + abs(floor[r])))
-            score = exact(np.broadcast_to(q[lo + r], (len(at), q.shape[1])), x[at])
-            many = [(-s, v) for s, i in zip(score.tolist(), at.tolist()) for v in lists[i]]
-            for s, v in sorted(many)[:top]:
-                out_q.append(ids[lo + r])
-                out_v.append(v)
-                out_s.append(-s)
-    return out_q, out_v, out_s
+class Best:
+    """The `top` best (score, id) of each query, ties to smaller ids, while rows stream past."""
+
+    def __init__(self, q: np.ndarray, top: int):
+        self.q, self.top = q, top
+        self.score = np.full((len(q), top), -np.inf)
+        self.id = np.full((len(q), top), np.iinfo(np.int64).max)
+
+    def see(self, some: np.ndarray, x: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Rank the queries `some` against rows x; row i stands for counts[i] of the ids."""
+        first = np.cumsum(counts) - counts
+        for lo in range(0, len(some), 256):
+            own = some[lo : lo + 256]
+            rough = self.q[own] @ x.T
+            k = min(self.top, len(x))
+            floor = np.maximum(np.partition(rough, len(x) - k, axis=1)[:, len(x) - k], self.score[own, -1])
+            with np.errstate(invalid="ignore"):
+                row, at = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
+            score = exact(self.q[own[row]], x[at])
+            times = counts[at]
+            which = np.repeat(first[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row = np.concatenate([np.repeat(row, times), np.repeat(np.arange(len(own)), self.top)])
+            score = np.concatenate([np.repeat(score, times), self.score[own].ravel()])
+            id_ = np.concatenate([ids[which], self.id[own].ravel()])
+            order = np.lexsort((id_, -score, row))
+            start = np.searchsorted(row[order], np.arange(len(own)))
+            order = order[start[:, None] + np.arange(self.top)]
+            self.score[own], self.id[own] = score[order], id_[order]
+
+    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(self.id[row, col]), pa.array(self.score[row, col])], ["qid", "vec_id", "score"])
 
 
 def entries(vectors: DataFrame, top: int) -> DataFrame:
@@ -173,16 +204,22 @@ def entries(vectors: DataFrame, top: int) -> DataFrame:
     return rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vid"), "v", "ids")
 
 
-def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, sample: int = SAMPLE, rows_a_part: int = ROWS_A_PART, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, rows_a_part: int = ROWS_A_PART, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: nearest found of each row whose vec_id is divisible by `every`, itself left out."""
     spark = vectors.sparkSession
     index = materialize(entries(vectors, top), "entries")
     n = index.count()
-    # the sample: the entries of least hash, a bounded number
-    drawn = index.select("v").orderBy(F.xxhash64("vid")).limit(sample).toPandas()["v"].tolist()
-    d = int(np.bincount([len(x) for x in drawn]).argmax()) if drawn else 1
+    depth = depth_of(n, rows_a_part)
+    size = min(max(LEAST_SAMPLE, SAMPLE_A_PART << depth), MOST_SAMPLE)
+    # the sample: the entries of least hash, a bounded number, of which those that can't be are left out first
+    mark = F.pmod(F.xxhash64("vid"), F.lit(1 << 30))
+    drawn = index.select(mark.alias("mark"), "vid", "v").filter(F.col("mark") < int((1 << 30) * min(1.0, 1.2 * size / max(n, 1) + 64 / max(n, 1))))
+    drawn = drawn.orderBy("mark", "vid").limit(size).select("v").toArrow()["v"].combine_chunks()
+    long_ = np.diff(drawn.offsets.to_numpy()) if len(drawn) else np.zeros(0, np.int64)
+    d = int(np.bincount(long_).argmax()) if len(drawn) else 1
     index = index.filter(F.size("v") == d)
-    model, probes, _ = learn(np.array([x for x in drawn if len(x) == d], float).reshape(-1, d), n, recall, rows_a_part)
+    model, probes, _ = learn(_matrix(drawn.filter(pa.array(long_ == d)), d), depth, recall)
+    parts = 1 << depth if model else 1
     sent = spark.sparkContext.broadcast(model)
 
     def deal(batches):
@@ -191,38 +228,92 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, sample: int =
             part = sent.value.logits(x).argmax(axis=1) if sent.value else np.zeros(len(x), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["vid", "v", "ids", "part"])
 
-    def route(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1), d)
-            to = np.argsort(-sent.value.logits(x), axis=1, kind="stable")[:, :probes] if sent.value else np.zeros((len(x), 1), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], ["qid", "q", "parts"])
-
-    dealt = index.mapInArrow(deal, "vid long, v array<double>, ids array<long>, part int")
+    dealt = materialize(index.mapInArrow(deal, "vid long, v array<double>, ids array<long>, part int"), "dealt")
     # rows of `vectors` that are queries, by the entry of their vector
     v = F.transform(F.col("embedding").cast("array<double>"), lambda e: e + F.lit(0.0))
     asked = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), v.alias("v")).distinct()
     asked = materialize(asked.join(index.select("v", F.col("vid").alias("qid")), "v").select("query_id", "qid"), "asked")
-    queries = index.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").select(F.col("vid").alias("qid"), F.col("v").alias("q"))
-    routed = queries.mapInArrow(route, "qid long, q array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts")
-    dealt, routed = materialize(dealt, "dealt"), materialize(routed, "routed")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows")).join(routed.groupBy("part").agg(F.count("*").alias("asks")), "part")
-    sizes = sizes.select("part", F.expr(f"rows div {ROWS_A_BLOCK} + 1").alias("nb"), F.expr(f"asks div {QUERIES_A_BLOCK} + 1").alias("nq"))
-    sizes = F.broadcast(sizes)  # a row for each part
-    right = dealt.join(sizes, "part").select("part", F.pmod(F.xxhash64("vid"), "nb").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qblock"), "vid", "v", "ids")
-    left = routed.join(sizes, "part").select(F.col("part").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("qid"), "nq").alias("qb"), "qid", "q")
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = ([], [], [])
-        if left.num_rows and right.num_rows:
-            got = _best(left["qid"].to_pylist(), _matrix(left["q"], d), right["vid"].to_pylist(), right["ids"].to_pylist(), _matrix(right["v"], d), top + 1)
-        return pa.table({"qid": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    found = left.groupBy("p", "b", "qb").cogroup(right.groupBy("part", "block", "qblock")).applyInArrow(rank, "qid long, vec_id long, score double")
     order = [F.desc("score"), F.asc("vec_id")]
-    found = found.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("k") <= top + 1).drop("k")
-    found = asked.join(found, "qid").filter("vec_id <> query_id")
-    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top)
-    return found.select("query_id", "rank", "vec_id", "score")
+
+    def best(asked: DataFrame, probes: int) -> DataFrame:
+        found = _probed(dealt, asked, sent, d, parts, probes, top + 1)
+        found = found.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("k") <= top + 1).drop("k")
+        found = asked.join(found, "qid").filter("vec_id <> query_id")
+        return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    if probes == parts:
+        return best(asked, probes)
+    found = materialize(best(asked, probes), "found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("k")).filter(F.col("k") >= top)
+    short = materialize(asked.join(full.select("query_id"), "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(best(short, parts))
+
+
+def _probed(dealt: DataFrame, asked: DataFrame, sent, d: int, parts: int, probes: int, top: int) -> DataFrame:
+    """(qid, vec_id, score): the `top` best of each query in each cell that it visits."""
+    spark = dealt.sparkSession
+    wide = 1 if probes <= CELLS else -(-parts // CELLS)  # parts a cell
+
+    def route(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1), d)
+            to = np.sort(np.argsort(-sent.value.logits(x), axis=1, kind="stable")[:, :probes], axis=1) if sent.value else np.zeros((len(x), 1), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], ["qid", "q", "parts"])
+
+    queries = dealt.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").select(F.col("vid").alias("qid"), F.col("v").alias("q"))
+    cells = F.array_distinct(F.transform("parts", lambda p: F.floor(p / wide).cast("int")))
+    routed = materialize(queries.mapInArrow(route, "qid long, q array<double>, parts array<int>").withColumn("cell", F.explode(cells)), "routed")
+    dealt = dealt.withColumn("cell", F.floor(F.col("part") / wide).cast("int"))
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("rows")).join(routed.groupBy("cell").agg(F.count("*").alias("asks")), "cell").orderBy("cell").collect()  # a row for each cell
+    lines, groups = [], 0
+    for r in sizes:
+        nb, nq = r["rows"] // ROWS_A_BLOCK + 1, r["asks"] // QUERIES_A_BLOCK + 1
+        lines.append((r["cell"], groups, nb, nq))
+        groups += nb * nq
+    plan = F.broadcast(spark.createDataFrame(lines, "cell int, base int, nb int, nq int"))  # a row for each cell
+    none = F.lit(None)
+    block = F.col("base") + F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int") * F.col("nq")
+    right = dealt.join(plan, "cell").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda k: block + k)).alias("g"), F.col("part").alias("part"), F.col("vid").alias("id"), "v", "ids", none.cast("array<int>").alias("parts"))
+    first = F.col("base") + F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")
+    left = routed.join(plan, "cell").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: first + k * F.col("nq"))).alias("g"), F.lit(-1).alias("part"), F.col("qid").alias("id"), F.col("q").alias("v"), none.cast("array<long>").alias("ids"), "parts")
+
+    def rank(batches):
+        """Groups one after another: of each first its queries, then its rows by part."""
+        now, held, qid, probed, best = None, [], None, None, None
+        for batch in batches:
+            g, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(g)]
+            for lo, hi in zip(cut, cut[1:]):
+                if hi == lo:
+                    continue
+                piece = batch.slice(lo, hi - lo)
+                if g[lo] != now:
+                    if best is not None:
+                        yield best.rows(qid)
+                    now, held, best = g[lo], [], None
+                if part[lo] < 0:
+                    held.append(piece)
+                    continue
+                if not held and best is None:
+                    continue  # no queries come here
+                if best is None:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    qid, held = rows["id"].to_numpy(), []
+                    best = Best(_matrix(rows["v"], d), top)
+                    probed = np.zeros((len(qid), parts), bool)
+                    lists = rows["parts"].combine_chunks()
+                    probed[np.repeat(np.arange(len(qid)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+                some = np.flatnonzero(probed[:, part[lo]])
+                if len(some):
+                    ids = piece.column(4)
+                    best.see(some, _matrix(piece.column(3), d), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()))
+        if best is not None:
+            yield best.rows(qid)
+
+    rows = left.unionByName(right).select("g", "part", "id", "v", "ids", "parts").repartitionById(max(1, min(groups, 10_000)), F.expr(f"g % {max(1, min(groups, 10_000))}"))
+    return rows.sortWithinPartitions("g", "part").mapInArrow(rank, "qid long, vec_id long, score double")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
