@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SUBBATCH = 1 << 20
-#: 64-bit words of the filters of ids: 1 MB, whatever they are filled with.
-FILTER_WORDS = 1 << 17
+#: Filters of ids: bytes of a block, bits set for each id, room for each id, and bytes of all blocks at most.
+FILTER_BLOCK = 1 << 16
+FILTER_PROBES = 3
+FILTER_BITS_AN_ID = 12
+FILTER_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,29 +54,73 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _mask(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of doc_ids: may let others pass, never loses one."""
-    key = F.xxhash64("doc_id")
-    bits = ids.groupBy(F.pmod(key, F.lit(FILTER_WORDS)).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 17), 64) as int))")).alias("v"))
-    mask = np.zeros(FILTER_WORDS, np.uint64)
-    got = bits.toPandas()  # at most FILTER_WORDS rows
-    mask[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint64)
-    return mask
+class IdFilter:
+    """A set of 64-bit hashes told by bits: it may let others pass (1 % at FILTER_BITS_AN_ID), it never loses one.
+
+    It grows with the ids up to FILTER_BYTES; beyond some 20 million ids more others pass, which costs their shuffle only."""
+
+    def __init__(self, blocks: int):
+        self.blocks = blocks
+        self.data = np.zeros(blocks * FILTER_BLOCK, np.uint8)
+
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        h = h.astype(np.uint64)
+        base = (h >> np.uint64(33)) % np.uint64(self.blocks) * np.uint64(8 * FILTER_BLOCK)
+        bits = mix(h)
+        return [base + ((bits >> np.uint64(19 * k)) & np.uint64(8 * FILTER_BLOCK - 1)) for k in range(FILTER_PROBES)]
+
+    def add(self, h: np.ndarray) -> None:
+        for at in self._places(h):
+            np.bitwise_or.at(self.data, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for at in self._places(h):
+            out &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def id_filter(ids: DataFrame, key: Column) -> IdFilter:
+    """The filter of the hashes `key` of the rows of ids, whose blocks are filled by the executors."""
+    blocks = int(min(FILTER_BYTES // FILTER_BLOCK, 1 + ids.count() * FILTER_BITS_AN_ID // (8 * FILTER_BLOCK)))
+    whole = IdFilter(blocks)
+
+    def fill(batches):
+        held: dict[int, IdFilter] = {}
+        for batch in batches:
+            block, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
+            for b in np.unique(block).tolist():
+                if b not in held:
+                    held[b] = IdFilter(1)
+                held[b].add(h[block == b])
+        for b, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([own.data.tobytes()], pa.binary())], ["block", "bits"])
+
+    rows = ids.select(key.alias("h")).filter("h is not null").select(F.pmod(F.shiftrightunsigned("h", 33), F.lit(blocks)).cast("int").alias("block"), "h")
+    for row in rows.repartition(min(blocks, 16), "block").mapInArrow(fill, "block int, bits binary").collect():  # FILTER_BYTES at most
+        whole.data[row["block"] * FILTER_BLOCK : (row["block"] + 1) * FILTER_BLOCK] |= np.frombuffer(row["bits"], np.uint8)
+    return whole
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, or with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def only(docs: DataFrame, ids: DataFrame, hit: bool = True) -> DataFrame:
     """docs whose doc_id may be in ids, which spares the shuffle the others; or, without hit, just the others."""
-    mask = docs.sparkSession.sparkContext.broadcast(_mask(ids))
-    schema, wanted = docs.schema, np.uint64(hit)
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids, F.xxhash64("doc_id")))
+    schema, key = docs.schema, free_name(docs.columns, "key")
 
     def run(batches):
-        bits = mask.value
         for batch in batches:
-            key = batch.column(batch.schema.get_field_index("__key")).to_numpy(zero_copy_only=False)
-            found = (bits[key % FILTER_WORDS] >> ((key >> 17) % 64).astype(np.uint64)) & np.uint64(1)
-            yield batch.take(pa.array(np.flatnonzero(found == wanted))).drop_columns(["__key"])
+            found = held.value.has(batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False))
+            yield batch.take(pa.array(np.flatnonzero(found == hit))).drop_columns([key])
 
-    return docs.withColumn("__key", F.xxhash64("doc_id")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
