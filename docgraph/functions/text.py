@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALNUM = r"\p{IsAlphabetic}\p{N}"
-SPACE = r"(?U)\s+"
+#: Characters that Unicode calls white space.
+WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{WHITE}]+"
 #: Extensions of C and C++ headers.
 HEADERS = ("h", "hpp", "hh", "hxx")
 #: File stems that stand for their directory.
@@ -40,7 +42,7 @@ def field_words(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of words between white space."""
-    return F.size(F.filter(F.split(_col(c), SPACE), lambda w: w != ""))
+    return F.regexp_count(_col(c), F.lit(f"[^{WHITE}]+"))
 
 
 def name_words(c: Column | str) -> Column:
@@ -49,11 +51,11 @@ def name_words(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(cut), "[_-]"), lambda w: w != "")
 
 
-#: Latin letters with marks and what they fold to, one to one.
-FOLD_FROM = "àáâãåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõøōőŕřśšťùúûūůűýÿźżž"
-FOLD_TO = "aaaaaaaacccddeeeeeeeeiiiiiilnnnooooooorrsstuuuuuuyyzzz"
-#: Letters that fold to two or more.
-FOLD_MORE = {"ß": "ss", "æ": "ae", "œ": "oe", "ä": "a", "ö": "o", "ü": "u", "þ": "th", "ð": "d"}
+#: Latin letters with marks by what they fold to.
+LATIN = {
+    "a": "àáâãäåāăą", "ae": "æ", "c": "çćĉċč", "d": "ďđð", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "ij": "ĳ", "j": "ĵ", "k": "ķĸ", "l": "ĺļľŀł",
+    "n": "ñńņňŉŋ", "o": "òóôõöøōŏő", "oe": "œ", "r": "ŕŗř", "s": "śŝşšſ", "ss": "ß", "t": "ţťŧ", "th": "þ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
 #: Cyrillic letters (Ukrainian national system, Russian letters added).
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "h", "ґ": "g", "д": "d", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "i", "й": "i",
@@ -65,11 +67,12 @@ LONGEST_SLUG = 200
 
 def fold(c: Column | str) -> Column:
     """Lower case, Latin marks dropped, Cyrillic spelled in Latin letters."""
-    out = F.translate(F.lower(_col(c)), FOLD_FROM, FOLD_TO)
-    single = {k: v for k, v in CYRILLIC.items() if len(v) == 1}
-    out = F.translate(out, "".join(single), "".join(single.values()))
-    for k, v in {**FOLD_MORE, **{k: v for k, v in CYRILLIC.items() if len(v) != 1}}.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
+    table = {letter: out for out, letters in LATIN.items() for letter in letters} | CYRILLIC
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    out = F.translate(F.lower(_col(c)), "".join(single), "".join(single.values()))
+    for k, v in table.items():
+        if k not in single:
+            out = F.replace(out, F.lit(k), F.lit(v))
     return out
 
 
@@ -328,3 +331,14 @@ def fingerprint(*parts: Column) -> Column:
 def trust(origin: Column, edited: Column, mine: Column) -> Column:
     """How far a note is trusted: local, own or edited here, other."""
     return F.when(origin.isNull() | (origin == "local"), 1.0).when(mine | edited, 0.8).otherwise(0.5)
+
+
+def map_slug(c: Column | str) -> Column:
+    """Slug of a name on a map: runs of ASCII letters and digits joined by _, `fn` if there are none."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.when(slug == "", "fn").otherwise(slug)
+
+
+def unfence(c: Column | str) -> Column:
+    """A code body without the fence lines around it."""
+    return F.regexp_replace(_col(c), r"(?s)^\s*(`{3,}|~{3,})[^\n]*\n(.*?)\n?\1\s*$", "$2")

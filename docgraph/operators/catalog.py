@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
@@ -60,3 +61,68 @@ def index_lines(rows: DataFrame) -> DataFrame:
     """One line a page, in order of id: what an index file holds."""
     line = F.concat(F.lit("- [["), F.col("id"), F.lit("]] "), T.link_text("title"), F.when(F.col("summary").isNotNull(), F.concat(F.lit(": "), T.clip(T.one_line("summary"), 120))).otherwise(""))
     return rows.orderBy("id").select("id", line.alias("line"))
+
+
+def prior_pages(live: DataFrame, written: DataFrame) -> DataFrame:
+    """(source, file): which written page (source, file) a live page (source, file) goes on from: its own, else the least."""
+    old = written.select("source", F.col("file").alias("old"))
+    own = F.struct((F.col("old") != F.col("file")).alias("other"), "old")
+    return live.select("source", "file").join(old, "source").groupBy("source", F.col("file")).agg(F.min(own)["old"].alias("prior"))
+
+
+def stale_pages(written: DataFrame, live: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(id): pages written before that no longer live; those with notes still to be moved (`kept`) stay."""
+    gone = written.select("id").distinct().join(live.select("id"), "id", "left_anti")
+    return gone if kept is None else gone.join(kept.select("id"), "id", "left_anti")
+
+
+def outside(files: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
+    """files that lie under none of the roots."""
+    keep = F.lit(True)
+    for r in roots:
+        keep = keep & (F.col(path) != r) & ~F.col(path).startswith(r.rstrip("/") + "/")
+    return files.filter(keep)
+
+
+def once(tables: list[DataFrame], key: str) -> DataFrame:
+    """Rows of the tables, of equal keys the one of the first table."""
+    rows = None
+    for k, t in enumerate(tables):
+        t = t.withColumn("__table", F.lit(k))
+        rows = t if rows is None else rows.unionByName(t)
+    first = F.row_number().over(W.partitionBy(key).orderBy("__table"))
+    return rows.withColumn("__first", first).filter("__first = 1").drop("__table", "__first")
+
+
+def exports(items: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, exports): signatures of public items, each once: members beside the type that owns them, types before members."""
+    kind = F.when(F.col("kind") == "type", 0).when(F.col("kind").isin("fn", "method"), 1).otherwise(2)
+    key = F.struct(F.coalesce("owner", "name").alias("group"), F.when(F.col("owner").isNull(), kind).otherwise(3).alias("kind"), "name", "signature")
+    rows = items.filter("public").groupBy(page).agg(F.array_sort(F.collect_set(key)).alias("all"))
+    return rows.select(page, F.array_distinct(F.transform("all", lambda x: x["signature"])).alias("exports"))
+
+
+def lint_totals(pages: DataFrame) -> DataFrame:
+    """One row: pages, pages of code, pages of text that are too large."""
+    large = ~F.col("kind").startswith("code") & (F.floor((F.length("body") + 7) / 4) > LARGE)
+    return pages.agg(F.count("*").alias("pages"), F.count_if(F.col("kind").startswith("code")).alias("code"), F.count_if(large).alias("large"))
+
+
+def with_notes(pages: DataFrame, written: DataFrame) -> DataFrame:
+    """pages (source, body, ...) with `notes`: the Notes section of the page written for the source before; a placeholder is none."""
+    text = F.regexp_replace(F.regexp_extract("page", r"(?s)\n## Notes[ \t]*\n(.*)$", 1), r"^\s+|\s+$", "")
+    notes = F.when((text != "") & ~text.rlike(r"^_.*_$"), text)
+    return pages.join(written.select("source", notes.alias("notes")).filter("notes is not null").dropDuplicates(["source"]), "source", "left")
+
+
+def write_changed(pages: DataFrame, prints: DataFrame, path: str) -> DataFrame:
+    """Append to `path` the pages (id, page, fingerprint) whose fingerprint is not among `prints` (id, fingerprint); returns them."""
+    new = pages.join(prints.select("id", "fingerprint"), ["id", "fingerprint"], "left_anti")
+    new.write.mode("append").parquet(path)
+    return new
+
+
+def owner_runs(items: DataFrame) -> DataFrame:
+    """items (page_id, start_line, owner, ...) with `header`: the owner, where it differs from that of the item before."""
+    before = F.lag(F.coalesce("owner", F.lit(""))).over(W.partitionBy("page_id").orderBy("start_line", "end_line", "name"))
+    return items.withColumn("header", F.when(F.col("owner").isNotNull() & (F.coalesce(before, F.lit("")) != F.col("owner")), F.col("owner")))

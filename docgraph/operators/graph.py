@@ -6,7 +6,11 @@ in a table in the shared folder, which survives lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,7 +51,7 @@ def walk(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataF
 
     depth: levels at most; None walks to the end."""
     seen = cut(starts.select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(None).cast(starts.schema["id"].dataType).alias("via")))
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     frontier, level = seen, 0
     while depth is None or level < depth:
         level += 1
@@ -92,15 +96,26 @@ def mentions(pages: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """(src, dst): names (id, name) that bodies (id, body) mention.
 
     At each word the longest name that starts there wins, ties going to the least id; a page's own name wins its place
-    but is no edge. Runs of up to `most` words equi-join the names, with no pair of pages ever listed."""
+    but is no edge. Runs of words, of the lengths that names have, are told by 96 bits of two hashes and equi-join the
+    names, with no pair of pages ever listed; a page's runs are made from its word array in one go."""
     word = r"[\p{L}\p{M}0-9']+"
     phrase = names.select("id", F.regexp_extract_all(F.lower("name"), F.lit(word), F.lit(0)).alias("w")).filter(F.size("w").between(1, most))
-    phrase = phrase.select(F.array_join("w", " ").alias("phrase"), F.size("w").alias("n"), F.col("id").alias("dst")).groupBy("phrase", "n").agg(F.min("dst").alias("dst"))
+    phrase = phrase.select(F.size("w").alias("n"), F.array_join("w", " ").alias("phrase"), F.col("id").alias("dst")).groupBy("n", "phrase").agg(F.min("dst").alias("dst"))
+    phrase = cut(phrase.select("n", F.xxhash64("phrase").alias("h"), F.hash("phrase").alias("g"), "dst"))
+    lengths = sorted(r["n"] for r in phrase.select("n").distinct().collect())  # `most` at most
     words = pages.select(F.col("id").alias("src"), F.regexp_extract_all(F.lower("body"), F.lit(word), F.lit(0)).alias("w"))
-    places = words.select("src", "w", F.explode(F.expr(f"case when size(w) > 0 then sequence(1, size(w)) end")).alias("pos"))
-    grams = places.select("src", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("pos") + 1)), lambda k: F.array_join(F.slice("w", F.col("pos"), k), " "))).alias("phrase"))
-    hits = grams.join(phrase, "phrase")
-    best = hits.groupBy("src", "pos").agg(F.max_by("dst", F.col("n")).alias("dst"))
+
+    def run(k: int) -> Column:
+        def one(at: Column) -> Column:
+            text = F.get("w", at) if k == 1 else F.array_join(F.slice("w", at + 1, k), " ")
+            return F.struct(at.alias("pos"), F.lit(k).alias("n"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"))
+
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), one)).otherwise(F.array().cast("array<struct<pos:int,n:int,h:bigint,g:int>>"))
+
+    if not lengths:
+        return words.join(phrase, F.col("src") == F.col("dst")).filter("src <> dst").select("src", "dst")
+    grams = words.select("src", F.inline(F.concat(*map(run, lengths))))
+    best = grams.join(phrase, ["n", "h", "g"]).groupBy("src", "pos").agg(F.max_by("dst", "n").alias("dst"))
     return best.filter("src <> dst").select("src", "dst").distinct()
 
 
@@ -117,29 +132,44 @@ def sees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def median_split(rows: DataFrame, value: str) -> DataFrame:
-    """rows with `upper`: at or above the upper median. The median's place is found by counting, with one sort."""
-    n = rows.count()
-    if not n:
+    """rows with `upper`: at or above the upper median, found by counts of values in ranges and then in one range."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    counts = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    totals = sorted((r["part"], r["k"]) for r in counts.groupBy("part").agg(F.sum("k").alias("k")).collect())  # a row for each range
+    if not totals:
         return rows.withColumn("upper", F.lit(True))
-    middle = rows.select(value).orderBy(value).offset(n // 2).limit(1)
-    return rows.crossJoin(F.broadcast(middle.withColumnRenamed(value, "__m"))).withColumn("upper", F.col(value) >= F.col("__m")).drop("__m")
+    left = sum(k for _, k in totals) // 2
+    for part, k in totals:
+        if left < k:
+            break
+        left -= k
+    run = F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    middle = counts.filter(F.col("part") == part).withColumn("upto", run).filter(F.col("upto") > left).agg(F.min("v").alias("v"))
+    return rows.withColumn("upper", F.col(value) >= F.lit(middle.first()["v"]))
+
+
+BLOCK = 64
 
 
 def innermost(sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each call site (page_id, site, line) with the narrowest span (page_id, item, start, end) around its line."""
-    # a range join within a page, whose spans are few
-    inside = sites.join(spans, "page_id").filter("line between start and end")
+    """Each call site (page_id, site, line) with the narrowest span (page_id, item, start, end) around its line.
+
+    Spans go to the blocks of BLOCK lines that they touch, sites to their own, so that both meet by equi-join."""
+    there = spans.filter("start <= end").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
+    inside = sites.withColumn("block", F.floor(F.col("line") / BLOCK)).join(there, ["page_id", "block"]).filter("line between start and end")
     return inside.groupBy("page_id", "site", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), F.col("start"), "item"))["item"].alias("item"))
 
 
 def next_at_most(rows: DataFrame, group: list[str], at: str, level: str, last: str) -> DataFrame:
     """rows with `ends`: one before the next row of the group at the same level or above, else `last`.
 
-    A fold over each group's rows in order, kept as an array expression: groups are documents' labels."""
-    by = F.array_sort(F.collect_list(F.struct(at, level)))
-    lists = rows.groupBy(*group).agg(by.alias("__all"))
-    later = F.filter("__all", lambda x: (x[at] > F.col(at)) & (x[level] <= F.col(level)))
-    return rows.join(lists, group).withColumn("ends", F.coalesce(F.array_min(F.transform(later, lambda x: x[at])) - 1, F.col(last))).drop("__all")
+    One running minimum over the rows that follow for each level, of which labels have eight."""
+    levels = sorted(r[0] for r in rows.select(level).distinct().collect() if r[0] is not None)
+    after = W.partitionBy(*group).orderBy(F.desc(at)).rangeBetween(W.unboundedPreceding, -1)
+    later = F.lit(None).cast(rows.schema[at].dataType)
+    for k in reversed(levels):
+        later = F.when(F.col(level) == k, F.min(F.when(F.col(level) <= k, F.col(at))).over(after)).otherwise(later)
+    return rows.withColumn("ends", F.coalesce(later - 1, F.col(last)))
 
 
 def longest_prefix(rows: DataFrame, group: list[str], order: list, size: str, budget: int) -> DataFrame:
@@ -149,14 +179,59 @@ def longest_prefix(rows: DataFrame, group: list[str], order: list, size: str, bu
 
 
 def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group that a scan in order admits: what does not fit is left out and the scan goes on.
-
-    Groups are candidate lists of one answer; each is folded as an array, without Python."""
-    items = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("__size")))).alias("__all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.filter("__all", lambda x: F.lit(False)).alias("kept"))
-    fold = F.aggregate(
-        "__all",
-        start,
-        lambda s, x: F.when(s["used"] + x["__size"] <= budget, F.struct((s["used"] + x["__size"]).alias("used"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s),
-    )
-    return items.select(*group, F.explode(fold["kept"]).alias("x")).select(*group, "x.*").drop("__size")
+    """Rows (group, order) of each group that a scan in order admits: what does not fit is left out and the scan goes on.
+
+    Rows stream past in order, so that a group of any size takes the memory of a batch; what can never fit stays out of
+    the shuffle."""
+    rows = rows.select(*group, *order, F.col(size).cast("long").alias("__size")).filter(F.col("__size") <= budget)
+    out = rows.drop("__size").schema
+    key = F.struct(*group)
+    rows = rows.withColumn("__group", F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256))
+
+    def scan(batches):
+        now, left = None, budget
+        for batch in batches:
+            names = batch.column(batch.num_columns - 1).to_pylist()
+            sizes = batch.column(batch.num_columns - 2).to_numpy()
+            kept, lo = [], 0
+            while lo < len(names):
+                if names[lo] != now:
+                    now, left = names[lo], budget
+                hi = bisect_right(names, now, lo)
+                while lo < hi:
+                    fit = np.flatnonzero(sizes[lo:hi] <= left)
+                    if not len(fit):
+                        lo = hi
+                        break
+                    lo += int(fit[0])
+                    run = int(np.searchsorted(np.cumsum(sizes[lo:hi]), left, "right"))
+                    kept.extend(range(lo, lo + run))
+                    left -= int(sizes[lo : lo + run].sum())
+                    lo += run
+            yield batch.take(pa.array(kept, pa.int64())).select(batch.schema.names[:-2])
+
+    return rows.repartition("__group").sortWithinPartitions("__group", *order).mapInArrow(scan, out)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(id, reached): what each node of edges reaches in one step or more, to the fixpoint, itself only over a loop.
+
+    Each round doubles the steps that are covered."""
+    known = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("reached")).distinct())
+    size = known.count()
+    while True:
+        step = known.alias("a").join(known.alias("b"), F.col("a.reached") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.reached").alias("reached"))
+        known = cut(known.unionByName(step).distinct())
+        now = known.count()
+        if now == size:
+            return known
+        size = now
+
+
+def code_mentions(mentions: DataFrame, pages: DataFrame) -> DataFrame:
+    """mentions (src, dst) without those of a code page that the text does not mention the way code does.
+
+    pages: id, kind, path, body."""
+    to = pages.select(F.col("id").alias("dst"), "kind", T.module_stem("path").alias("stem"), T.extension("path").alias("ext"))
+    said = mentions.join(to, "dst").join(pages.select(F.col("id").alias("src"), "body"), "src")
+    return said.filter(~F.col("kind").startswith("code:") | T.refers_to_module(F.col("body"), F.col("stem"), F.col("ext"))).select("src", "dst")

@@ -59,3 +59,17 @@ def ordinals(rows: DataFrame, slug: str, order: list[str]) -> DataFrame:
     """rows with id: the slug for the first of each, slug_2, slug_3, ... for the rest in order."""
     rn = F.row_number().over(W.partitionBy(slug).orderBy(*order))
     return rows.withColumn("id", F.when(rn == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("_"), rn.cast("string"))))
+
+
+def remap_reserved(rows: DataFrame, id_: str = "id") -> DataFrame:
+    """rows whose reserved ids take _page, or _page_2, _page_3, ... where that is taken, in order of id."""
+    target = F.concat(F.col(id_), F.lit("_page"))
+    odd = F.col(id_).isin(*RESERVED)
+    taken = rows.filter(~odd).select(F.regexp_extract(id_, r"^(.*_page)(?:_([0-9]+))?$", 1).alias("__t"), F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(`{id_}`, '_page_([0-9]+)$', 1), '') as int)"), F.lit(1)).alias("__n")).filter("__t <> ''")
+    held = taken.groupBy("__t").agg(F.collect_set("__n").alias("__held"))
+    rows = rows.withColumn("__t", F.when(odd, target)).join(F.broadcast(held.filter(F.col("__t").isin(*[f"{r}_page" for r in RESERVED]))), "__t", "left")  # a row for each reserved id
+    nth = F.row_number().over(W.partitionBy("__t").orderBy(id_))
+    free = F.filter(F.sequence(F.lit(1), F.size(F.coalesce("__held", F.array().cast("array<int>"))) + nth), lambda k: ~F.array_contains(F.coalesce("__held", F.array().cast("array<int>")), k))
+    n = F.get(free, nth - 1)
+    new = F.when(n == 1, F.col("__t")).otherwise(F.concat("__t", F.lit("_"), n.cast("string")))
+    return rows.withColumn("__new", F.when(F.col("__t").isNotNull(), new).otherwise(F.col(id_))).drop("__t", "__held", id_).withColumnRenamed("__new", id_)

@@ -13,12 +13,42 @@ from docgraph.functions import text as T
 
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
-STEP = re.compile(r"^\s*(?:(?:[-*+]|\d+[.)])\s+)?(?:\[[ xX]\]\s+)?\*\*(.+?)\*\*")
+LEAD = re.compile(r"^\s*(?:(?:[-*+]|\d+[.)])\s+)?(?:\[[ xX]\]\s+)?")
+ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s")
+#: Fixed value: lines that a bold label may run on past its first.
+WRAP = 3
+MARKS = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Words that do not tell labels apart.
-STOP = {"a", "an", "and", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with"}
+STOP = {"a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "via", "with"}
 SCHEMA = "doc string, start int, end int, level int, label string"
 
 
+def bold(lines: list[str]) -> str | None:
+    """The bold label that opens on the first of the lines: closed there, or further down in the same block.
+
+    A block ends at a blank line, heading, list item or other bold line. Past the first line the closing marks must stand
+    right after a word. A label that ends in a colon is a field."""
+    start = LEAD.match(lines[0]).end()
+    if not lines[0].startswith("**", start):
+        return None
+    text, closed, rest = lines[0][start + 2 :].partition("**")
+    text = text.strip()
+    if closed:
+        return None if not text or text.endswith(":") or rest.lstrip().startswith(":") else text
+    for line in lines[1 : 1 + WRAP]:
+        if not line.strip() or HEADING.match(line) or ITEM.match(line) or line.startswith("**", LEAD.match(line).end()):
+            return None
+        part, closed, rest = line.partition("**")
+        if closed:
+            before, after = part[-1:], rest[:1]
+            if not before or before.isspace() or before in MARKS and after and not after.isspace() and after not in MARKS:
+                return None
+            text = f"{text} {part.strip()}"
+            return None if text.endswith(":") else text
+        text = f"{text} {line.strip()}"
+    return None
+
+
 def find(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, level, label) with lines from 1: headings have levels 1 to 6, bold names 7, indented ones 8.
 
@@ -36,8 +66,8 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
             continue
         if (m := HEADING.match(line)) and m[2]:
             found.append((k, len(m[1]), m[2]))
-        elif (m := STEP.match(line)) and not m[1].rstrip().endswith(":") and not line[m.end() :].lstrip().startswith(":"):
-            found.append((k, 8 if line[:1].isspace() else 7, m[1].strip()))
+        elif label := bold(lines[k - 1 : k + WRAP]):
+            found.append((k, 8 if line[:1].isspace() else 7, label))
     out = []
     for i, (start, level, label) in enumerate(found):
         end = next((s - 1 for s, lv, _ in found[i + 1 :] if lv <= level), len(lines))

@@ -162,3 +162,9 @@ def outline(pages_: DataFrame, items: DataFrame, most: int) -> DataFrame:
     fold = F.aggregate("all", F.struct(F.lit(0).alias("used"), F.lit("").alias("text"), F.lit(0).alias("left")), lambda s, x: F.when((s["left"] == 0) & (s["used"] + x["n"] + 1 <= most), F.struct((s["used"] + x["n"] + 1).alias("used"), F.concat(s["text"], x["line"], F.lit("\n")).alias("text"), s["left"].alias("left"))).otherwise(F.struct(s["used"].alias("used"), s["text"].alias("text"), (s["left"] + 1).alias("left"))))
     text = F.concat(fold["text"], F.when(fold["left"] > 0, F.concat(F.lit("("), fold["left"].cast("string"), F.lit(" more)"))).otherwise(""))
     return pages_.select("path").join(lists, "path").select("path", text.alias("outline"))
+
+
+def content_text(sections_: DataFrame, chrome: tuple[str, ...]) -> DataFrame:
+    """(path, text): section texts of each page in order of their names, without the sections that rendering adds."""
+    kept = sections_.filter(~F.col("section").isin(*chrome))
+    return kept.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n").alias("text"))

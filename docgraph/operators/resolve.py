@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,3 +169,67 @@ def resolve_id(pages: DataFrame, wanted: str) -> DataFrame:
     counts = rows.groupBy("tier").agg(F.count("*").alias("n")).filter("n = 1")
     best = counts.agg(F.min("tier").alias("tier"))
     return rows.join(F.broadcast(best), "tier").drop("tier")
+
+
+def folded(path: Column) -> Column:
+    """A path with . and .. folded away; .. at the root is dropped."""
+    parts = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when((x == "") | (x == "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.array_join(parts, "/")
+
+
+def source_join(sourced: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, literal, target): the file that a script's `source` line means.
+
+    A path without expansions is read from the root, then from the script's folder. Else, or if neither is a file, what
+    follows the last expansion must be the end of one file's path alone. sourced: path, literal; files: path."""
+    bare = F.regexp_replace("literal", "[\"']", "")
+    tail = F.regexp_replace(F.regexp_replace(bare, r"^.*\$(?:\w*)(?:.*[})])?", ""), r"^(?:\./)+|^/+", "")
+    rows = sourced.select("path", "literal").distinct().withColumn("tail", F.regexp_replace(tail, "^/+", "")).filter("tail <> ''").withColumn("plain", ~bare.contains("$"))
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rows = rows.withColumn("rooted", F.when(F.col("plain"), folded(F.col("tail")))).withColumn("beside", F.when(F.col("plain"), folded(F.concat(folder, F.lit("/"), F.col("tail")))))
+    rows = rows.withColumn("tail", F.regexp_replace("tail", r"^(?:\.\./)+", ""))
+    at = files.select("path").distinct()
+    ends = at.select(F.explode(suffixes(F.col("path"))).alias("tail"), F.col("path").alias("t_path")).groupBy("tail").agg(F.min("t_path").alias("by_tail"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    rows = rows.join(at.select(F.col("path").alias("rooted"), F.col("path").alias("by_root")), "rooted", "left")
+    rows = rows.join(at.select(F.col("path").alias("beside"), F.col("path").alias("by_folder")), "beside", "left").join(ends, "tail", "left")
+    return rows.withColumn("target", F.coalesce("by_root", "by_folder", "by_tail")).filter("target is not null").select("path", "literal", "target")
+
+
+def candidate_ids(pages: DataFrame, wanted: str, most: int = 5) -> DataFrame:
+    """(id): what a reader may have meant when no page was found: ends of paths, else equal file names, else a shared word."""
+    w = wanted.strip().lower()
+    words = F.array(*[F.lit(x) for x in re.findall(r"[^\W_]+", w)]) if re.search(r"[^\W_]", w) else F.array().cast("array<string>")
+    path = F.lower("path")
+    tier = F.when(path.endswith("/" + w.lstrip("/")), 1).when(T.basename(path) == w.rpartition("/")[2], 2).when(F.arrays_overlap(F.concat(T.field_words("id"), T.field_words("title")), words), 3)
+    rows = pages.withColumn("tier", tier).filter("tier is not null")
+    best = F.broadcast(rows.agg(F.min("tier").alias("best")))  # one row
+    return rows.join(best, F.col("tier") == F.col("best")).select("id").orderBy("id").limit(most)
+
+
+def caller_count(calls: DataFrame, twins: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, callers): distinct callers of an item or of its twin, without the roots. calls: src, dst; twins: id, twin; roots: id."""
+    both = twins.select("id", F.explode(F.array("id", "twin")).alias("dst")).filter("dst is not null")
+    seen = calls.join(both, "dst").join(roots.select(F.col("id").alias("src")), "src", "left_anti")
+    return seen.groupBy("id").agg(F.countDistinct("src").alias("callers"))
+
+
+def stem_pages(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id): pages whose file is known by a name, in any case; never a note. pages: id, path, memory."""
+    stems = pages.filter(~F.col("memory")).select(F.col("id"), T.module_stem("path").alias("stem"))
+    return names.select("name", F.lower("name").alias("stem")).join(stems, "stem").select("name", "id")
+
+
+def not_found(names: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(name): asked names that neither an item (name, qualified) nor a page's file has."""
+    has = items.select(F.explode(F.array("name", "qualified")).alias("name"))
+    return names.join(has, "name", "left_anti").join(stem_pages(pages, names), "name", "left_anti").select("name")
+
+
+def agreed(bindings: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """(by, kind): a local keeps its type only if all its bindings have the same one."""
+    types = bindings.groupBy(*by).agg(F.min(kind).alias(kind), F.max(kind).alias("__max"), F.count_if(F.col(kind).isNull()).alias("__none"))
+    return types.filter(f"`{kind}` = __max and __none = 0").select(*by, kind)

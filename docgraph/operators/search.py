@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
 from docgraph.functions.dates import QueryDate, dated_on, query_dates
+from docgraph.sources.shared import cut
 
 #: Weights of the fields of a page and of an item.
 NAME, TITLE, FILE, ALIAS, SYMBOL, SYMBOL_WORD, IN_ONE_NAME, SYMBOL_DOC, SYMBOL_DOC_REST, SUMMARY, HEADING, BODY = 3.0, 3.0, 6.0, 2.0, 2.8, 2.0, 1.0, 0.75, 0.375, 1.5, 1.0, 1.0
@@ -135,12 +136,17 @@ def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
         terms = terms or PROMPT_TERMS
     if not tokens:
         return pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
-    rows = facts(pages, tokens, fields, prompt)
+    # what scores need of each page is written once: statistics, scores and ranks come from a few numbers a page
+    numbers = [f"{c}_{i}" for i in range(len(tokens)) for c in ("w", "tf", "file", "hit")]
+    rows = cut(facts(pages, tokens, fields, prompt).select(F.col(fields.id), "len", *numbers, *([rank] if rank else [])))
     found = scored(rows, statistics(rows, len(tokens)), len(tokens), terms, digits)
     order = [F.desc("score"), *([F.desc(rank)] if rank else []), F.asc(fields.id)]
-    top = found.orderBy(*order).limit(limit)
-    shown = T.snippet(F.col(fields.body), tokens) if fields.body else F.lit(None).cast("string")
-    return top.withColumn("snippet", shown).select(fields.id, "score", "snippet")
+    top = found.orderBy(*order).limit(limit).select(fields.id, "score", *([rank] if rank else []))
+    if not fields.body:
+        return top.withColumn("snippet", F.lit(None).cast("string")).select(fields.id, "score", "snippet")
+    # `limit` rows go out to the pages for their texts
+    shown = pages.select(F.col(fields.id), T.snippet(F.col(fields.body), tokens).alias("snippet"))
+    return shown.join(F.broadcast(top), fields.id).orderBy(*order).select(fields.id, "score", "snippet")
 
 
 def tagged(pages: DataFrame, tag: str, path: str = "path", id_: str = "id", tags: str = "tags", limit: int | None = None) -> DataFrame:

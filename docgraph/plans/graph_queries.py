@@ -62,11 +62,32 @@ def link_edges(spark, sf):
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.countDistinct("page_id").alias("pages"))
 
 
+def _runs_of_items(spark, sf, length):
+    """(id, name): every run of `length` words of each benchmark item, as a name of the item."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}0-9']+"), F.lit(0))
+    items = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), length.cast("int").alias("n"), words.alias("w")).filter("size(w) >= n")
+    return items.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("name"))
+
+
 def mention_ngram_join(spark, sf):
+    """Documents that hold five words in a row of a benchmark item."""
     pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}0-9']+"), F.lit(0))
-    names = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.array_join(F.slice(words, 1, 5), " ").alias("name"))
-    return G.mentions(pages, names, 5)
+    return G.mentions(pages, _runs_of_items(spark, sf, F.lit(5)), 5)
+
+
+def mention_longest(spark, sf):
+    """The same with runs of one to six words as names, of which the longest at each word counts."""
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return G.mentions(pages, _runs_of_items(spark, sf, 1 + F.col("item_id") % 6), 6)
+
+
+_RUNS = r"""
+        it as (select -1 - item_id as dst, {n} as n, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}0-9'']+') as w from benchmark),
+        n as (select n, phrase, min(dst) as dst from (select dst, n, array_to_string(w[i : i + n - 1], ' ') as phrase from (select *, unnest(range(1, len(w) - n + 2)) as i from it where len(w) >= n)) group by all),
+        d as (select doc_id as src, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}0-9'']+') as w from documents),
+        g as (select src, i, k as n, array_to_string(w[i : i + k - 1], ' ') as phrase from (select src, w, unnest(range(1, len(w) + 1)) as i from d) cross join (select distinct n as k from it) where i + k - 1 <= len(w)),
+        h as (select src, i, arg_max(n.dst, n.n) as dst from g join n using (n, phrase) group by src, i)
+        select distinct src, dst from h"""
 
 
 def suffix_join(spark, sf):
@@ -212,11 +233,8 @@ QUERIES = {
         select id, sum(i)::bigint as degree_in, sum(o)::bigint as degree_out from (select src as id, 0 as i, 1 as o from e union all select dst, 1, 0 from e) group by id"""),
     "orphans": (orphans, "select p_partkey as id from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 48)"),
     "link_edges": (link_edges, "select href, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) group by href"),
-    "mention_ngram_join": (mention_ngram_join, r"""
-        with n as (select min(-1 - item_id) as dst, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{M}0-9'']+')[1:5], ' ') as phrase from benchmark group by 2),
-        d as (select doc_id as src, regexp_extract_all(lower(text), '[\p{L}\p{M}0-9'']+') as w from documents),
-        g as (select src, array_to_string(w[i : i + 4], ' ') as phrase from (select src, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5))
-        select distinct src, dst from g join n using (phrase)"""),
+    "mention_ngram_join": (mention_ngram_join, "with" + _RUNS.format(n="5")),
+    "mention_longest": (mention_longest, "with" + _RUNS.format(n="1 + item_id % 6")),
     "suffix_join": (suffix_join, r"""
         with p as (select page_id as id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') as path from pages),
         w as (select distinct array_to_string(string_split(path, '/')[-2:], '/') as include from p)

@@ -128,19 +128,6 @@ def notes_tail(spark, sf):
     return S.notes_tail(n, "then what", 100.0, ["text"]).select("id", "score", "trust")
 
 
-def eval_mrr(spark, sf):
-    """Each benchmark item as a query: the documents that hold most of its long words, as its SQL has it; eval_mrr_whole has no such cuts."""
-    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.field_words("text"))).alias("w")).filter("length(w) >= 8")
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.field_words("text"))).alias("w")).filter("length(w) >= 8")
-    hits = words.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    hits = S.top_per_group(hits, ["item_id"], [F.desc("n"), "doc_id"], 10)
-    holds = table(spark, sf, "benchmark").select("item_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40).alias("part"))
-    found = hits.join(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t")), "doc_id").join(F.broadcast(holds), "item_id").filter(F.contains("t", "part"))
-    best = found.groupBy("item_id").agg(F.min("rn").alias("rank"))
-    all_ = table(spark, sf, "benchmark").select("item_id").join(best, "item_id", "left")
-    return all_.agg(F.round(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
-
-
 def _shared_words(docs, items, k):
     """item_id, doc_id and n: how many distinct words they share, for at least the k best documents of each item.
 
@@ -189,11 +176,11 @@ def eval_mrr_whole(spark, sf):
 
 _EVAL_SQL = r"""
     with w as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from benchmark),
-    d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents),
-    h as (select item_id, doc_id, count(*) as n from (select * from w where length(w) >= 8) join (select * from d where length(w) >= 8) using (w) group by all),
+    d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents where doc_id is not null),
+    h as (select item_id, doc_id, count(*) as n from w join d using (w) group by all),
     r as (select *, row_number() over (partition by item_id order by n desc, doc_id) as rn from h),
     f as (select r.item_id, min(rn) as rank from r join documents using (doc_id) join benchmark b on b.item_id = r.item_id
-      where rn <= 10 and contains(regexp_replace(documents.text, '\s+', ' ', 'g'), substr(regexp_replace(b.text, '\s+', ' ', 'g'), 1, 40)) group by r.item_id)
+      where rn <= 10 and contains(regexp_replace(documents.text, '\s+', ' ', 'g'), regexp_replace(b.text, '\s+', ' ', 'g')) group by r.item_id)
     select round(avg(case when rank = 1 then 1.0 else 0.0 end), 6) as top1, round(avg(coalesce(1.0 / rank, 0)), 6) as mrr from benchmark left join f using (item_id)"""
 
 
@@ -231,8 +218,7 @@ QUERIES = {
           where item_id % 7 <> 0 and (length(text) >= 200 or len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: starts_with(x, 'then') or starts_with(x, 'what'))) > 0)
           order by score desc, id limit 10)
         order by trust desc, score desc, id limit 2"""),
-    "eval_mrr": (eval_mrr, _EVAL_SQL),
-    "eval_mrr_whole": (eval_mrr_whole, None),
+    "eval_mrr": (eval_mrr_whole, _EVAL_SQL),
     "label_search": (label_search, """
         with s as (select conv_id, turn, role, length(text) - length(replace(text, chr(10), '')) + 1 as n from conversations),
         l as (select *, coalesce(sum(n + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) + 1 as start from s)

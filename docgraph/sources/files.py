@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that are never part of a corpus.
-SKIPPED = ("node_modules", "target", "__pycache__", "venv", "dist", "build", "vendor")
+SKIPPED = ("superpowers", "third_party", "third-party", "vendor", "vendored", "node_modules")
 SHEBANG = r"^#!.*\b(ba)?sh\b"
 
 
@@ -64,7 +64,25 @@ def scripts(files: DataFrame) -> DataFrame:
     return files.withColumn("path", F.when(plain & F.substring("content", 1, 128).rlike(SHEBANG), F.concat("path", F.lit(".sh"))).otherwise(F.col("path")))
 
 
-def skipped(paths: DataFrame) -> DataFrame:
-    """(rule, files): how many files lie under each skipped folder, counted at the outermost one."""
-    found = F.element_at(F.filter(F.split("path", "/"), lambda p: p.isin(*SKIPPED)), 1)
-    return paths.withColumn("rule", found).filter("rule is not null").groupBy("rule").agg(F.count("*").alias("files"))
+def skipped(paths: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(rule, files): how many files lie under each skipped folder, counted at the outermost one; `ignored` are further
+    files that a listing obeying the ignore files (kept: path) does not have."""
+    found = F.get(F.filter(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: p.isin(*SKIPPED)), 0)
+    rows = paths.select("path", F.when(F.size(F.split("path", "/")) > 1, found).alias("rule"))
+    if kept is not None:
+        there = kept.select("path", F.lit(True).alias("there")).distinct()
+        rows = rows.join(there, "path", "left").withColumn("rule", F.when(F.col("rule").isNull() & F.col("there").isNull(), "ignored").otherwise(F.col("rule")))
+    return rows.filter("rule is not null").groupBy("rule").agg(F.count("*").alias("files"))
+
+
+def relevant(changes: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
+    """changes (path) that may alter a catalog of files (path): known files and folders; new files that a reader takes,
+    and ignore files, in a known folder."""
+    known = files.select("path").distinct()
+    parts = F.split("path", "/")
+    folders = known.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).distinct()
+    old = changes.join(known.unionByName(folders.filter("path <> ''")).distinct(), "path", "left_semi")
+    name = F.substring_index("path", "/", -1)
+    taken = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin(*extensions) | name.isin(".gitignore", ".ignore")
+    new = changes.filter(taken).withColumn("__folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).join(folders.withColumnRenamed("path", "__folder"), "__folder", "left_semi").drop("__folder")
+    return old.unionByName(new.select(old.columns)).distinct()
