@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import FILTER_WORDS, Words, materialize, mix, only, partitions, slices, table, text_buffers, windows
+from docgraph.llm.common import Words, free_name, id_filter, materialize, mix, only, partitions, slices, table, text_buffers, windows
 from docgraph.llm.components import components
 
 WIDTH = 5
@@ -244,20 +244,14 @@ def search(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) of classes, those that link."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    bits = wanted.groupBy(F.pmod("cls", F.lit(FILTER_WORDS)).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(shiftright(cls, 17), 64) as int)))").alias("v"))
-    mask = np.zeros(FILTER_WORDS, np.uint64)
-    got = bits.toPandas()  # at most FILTER_WORDS rows
-    mask[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).astype(np.uint64)
-    filter_ = spark.sparkContext.broadcast(mask)
+    filter_ = spark.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), F.col("cls")))
 
     def named(batches):
-        mask, seen = filter_.value, set()
+        seen = set()
         for batch in batches:
             name = np.array([digest(s) for s in sets_of(batch.column(0), width)], np.int64)
-            hit = (mask[name % FILTER_WORDS] >> ((name >> 17) % 64).astype(np.uint64)) & np.uint64(1)
             keep = []
-            for k in np.flatnonzero(hit):
+            for k in np.flatnonzero(filter_.value.has(name)):
                 if int(name[k]) not in seen:
                     seen.add(int(name[k]))
                     keep.append(k)
@@ -363,7 +357,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = names.select("doc_id", "n", "cls").join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left")
     # without shingles a text is alone
     labels = labels.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cls")))
-    least = labels.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles and a component of many rows can be split
+    least = materialize(labels.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = labels.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -377,25 +372,28 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     labels = names.filter("doc_id is not null").join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left")
     labels = labels.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cls"))).groupBy("doc_id", "cls", "comp").agg(F.count("*").alias("k"))
     labels = materialize(labels, "labels")
-    least = labels.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = materialize(labels.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     told = labels.join(least, "comp", "left").withColumn("goes", F.coalesce(F.col("doc_id") != F.col("least"), F.lit(False)))
     # doc_ids with a row that goes, or with several rows
     odd = told.groupBy("doc_id").agg(F.max("goes").alias("goes"), F.sum("k").alias("k")).filter("goes or k > 1").select("doc_id")
     odd = materialize(odd, "odd")
 
+    cls, text = free_name(docs.columns, "cls"), free_name(docs.columns, "left")
+
     def name(batches):
         for batch in batches:
             classes = [digest(s) for s in sets_of(batch.column(batch.schema.get_field_index("text")), width)]
-            yield batch.append_column("__cls", pa.array(classes, pa.int64()))
+            yield batch.append_column(cls, pa.array(classes, pa.int64()))
 
     some = only(docs, odd)
-    here = some.filter("doc_id is not null").mapInArrow(name, f"{_ddl(some)}, __cls long")
-    gone = told.filter("goes").select(F.col("doc_id").alias("g_id"), F.col("cls").alias("g_cls"))
-    here = here.join(gone, [F.col("doc_id").cast("long") == F.col("g_id"), F.col("__cls") == F.col("g_cls")], "left_anti")
-    comps = told.filter("not goes").select(F.col("doc_id").alias("c_id"), F.col("cls").alias("c_cls"), "comp")
-    here = here.join(comps, [F.col("doc_id").cast("long") == F.col("c_id"), F.col("__cls") == F.col("c_cls")], "left")
-    here = here.withColumn("__text", F.when(F.col("comp").isNull(), F.coalesce("text", F.lit(""))))
-    here = here.dropDuplicates(["doc_id", "comp", "__text"]).select(*docs.columns)
+    here = some.filter("doc_id is not null").mapInArrow(name, f"{_ddl(some)}, `{cls}` long")
+    id_, comp = free_name(docs.columns, "id"), free_name(docs.columns, "comp")
+    told = told.select(F.col("doc_id").alias(id_), F.col("cls").alias(f"{cls}_"), F.col("comp").alias(comp), "goes")
+    same = [F.col("doc_id").cast("long") == F.col(id_), F.col(cls) == F.col(f"{cls}_")]
+    here = here.join(told.filter("goes").select(id_, f"{cls}_"), same, "left_anti")
+    here = here.join(told.filter("not goes").drop("goes"), same, "left")
+    here = here.withColumn(text, F.when(F.col(comp).isNull(), F.coalesce("text", F.lit(""))))
+    here = here.dropDuplicates(["doc_id", comp, text]).select(*docs.columns)
     return only(docs, odd, hit=False).unionByName(some.filter("doc_id is null")).unionByName(here)
 
 
