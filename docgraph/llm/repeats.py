@@ -10,8 +10,9 @@ smallest document of the task, the others being known to repeat. So a run in a t
 document a task. A fixed-size filter of doc_ids keeps texts that can't be concerned out of the later shuffles.
 
 Edge cases: a null text has no words; documents under WIDTH words lose nothing and take nothing; rows that repeat a
-doc_id are each other's equals, neither earlier, so a run repeated only there or within one document stays; an empty
-table gives no rows; other columns don't matter. Windows are judged on the input, not on what is left.
+doc_id are each other's equals, neither earlier, so a run repeated only there or within one document stays; a null
+doc_id has no place in the order: such rows lose nothing and nothing is lost to them; an empty table gives no rows; other
+columns don't matter. Windows are judged on the input, not on what is left.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Words, materialize, mix, only, partitions, slices, table, text_buffers, windows
+from docgraph.llm.common import Words, free_name, materialize, mix, only, partitions, slices, table, text_buffers, windows
 
 WIDTH = 13
 PERIOD = 7
@@ -242,6 +243,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, starts): for each document with windows to remove, where they start, marked with the text they are of.
 
     docs: doc_id, text and tag, as _tagged gives them."""
+    docs = docs.filter("doc_id is not null")
     anchors = materialize(_shared(docs.select("doc_id", "text", "tag"), _anchors, all_documents=True), "anchors")
     touched = only(docs, anchors).join(anchors, "doc_id").select("doc_id", "text", "tag", "starts")
     return materialize(_shared(touched, _runs, all_documents=False), "windows")
@@ -275,29 +277,30 @@ def count_repeats(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated words: what is left of a text is joined by one space, other texts stay as they are.
 
-    Documents of which nothing is left go. n_chars, if there is such a column, follows the text."""
+    Documents all of whose words are repeated go; texts without words stay. n_chars, if there is such a column, follows the text."""
     found = find_repeats(_tagged(docs))
     columns = docs.columns
+    tag, id_, places = (free_name(columns, c) for c in ("tag", "id", "starts"))
 
     def cut(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            tags, starts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__tag", "__starts"))
-            texts = batch.column(at).to_pylist()
+            tags, starts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (tag, places))
+            texts, keep = batch.column(at).to_pylist(), []
             for k, s in enumerate(starts):
-                if s:
-                    words = _split(texts[k])
-                    gone = _removed(len(words), tags[k], s)
-                    if gone.any():
-                        texts[k] = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["__tag", "__starts"])
-
-    keyed = docs.withColumn("__tag", F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 40))
-    maybe = only(keyed, found)
-    starts = found.select(F.col("doc_id").alias("__doc"), F.col("starts").alias("__starts"))
-    less = maybe.join(starts, maybe["doc_id"] == starts["__doc"], "left").drop("__doc").mapInArrow(cut, docs.schema)
-    rest = only(docs, found, hit=False)
-    out = less.unionByName(rest).filter("text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+                words = _split(texts[k]) if s else []
+                gone = _removed(len(words), tags[k], s)
+                if gone.any():
+                    texts[k] = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
+                if not len(gone) or not gone.all():
+                    keep.append(k)
+            batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([tag, places])
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    keyed = docs.withColumn(tag, F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 40))
+    starts = found.select(F.col("doc_id").alias(id_), F.col("starts").alias(places))
+    less = only(keyed, found).join(starts, F.col("doc_id") == F.col(id_), "left").drop(id_).mapInArrow(cut, docs.schema)
+    out = less.unionByName(only(docs, found, hit=False))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
