@@ -1,13 +1,16 @@
 """Mixing sources to target weights.
 
 Each source's words form one stream, packed into blocks of a fixed number of words. Every output shard draws
-multinomial counts of its slots by source; a slot's running number within its source goes through a pseudorandom
+multinomial counts of its slots by source, in proportion to what each source still has to give, so that the last shard's
+draw leaves each source at its target. A slot's running number within its source goes through a pseudorandom
 permutation of that source's blocks (a new one for each pass over the source), and blocks join by their index.
-A source's last pass stops within a block, so that it gives its target to the word.
+A source's last pass stops within a block, so that it gives its target to the word. What the draws decide is which
+shard holds which words: mix_documents(by_shard=True) gives the shards, mix_counts each document's first one.
 
 Edge cases: a null text has no words; documents without words take part in nothing and have taken 0; a null source
-is a source of its own, last in order; rows that repeat a doc_id each count; without any words all targets are 0;
-an empty table gives no rows. Other columns than doc_id, text and source don't matter.
+is a source of its own, last in order; rows that repeat a doc_id each count, and rows equal in doc_id, text and source
+are told apart by their number; without any words all targets are 0; an empty table gives no rows. Other columns than
+doc_id, text and source don't matter, whatever they are called. One row for each source comes to the driver.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import WORD, table, word_count
+from docgraph.llm.common import WORD, free_name, table, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 MOST_SHARDS = 100_000
-ROWS_A_BUCKET = 5_000
+ROWS_A_BUCKET = 2_000
 SEED = 17
 
 
@@ -94,41 +97,51 @@ def _key(seed: int, source: int, epoch: int) -> int:
     return (seed * 1_000_003 + source) * 1_000_003 + epoch
 
 
+def draws(quota: np.ndarray, each: int, seed: int):
+    """For each shard of `each` slots (the last may have less) how many are each source's: multinomial counts by what is
+    left of the quotas; what a draw has beyond a source's rest is drawn again among the others."""
+    left, shard = quota.astype(np.int64).copy(), 0
+    while (total := int(left.sum())) > 0:
+        rng, want, got = np.random.default_rng((seed, shard)), min(each, total), np.zeros(len(left), np.int64)
+        while want:
+            rest = left - got
+            drawn = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
+            got += drawn
+            want -= int(drawn.sum())
+        left -= got
+        yield shard, got
+        shard += 1
+
+
 def _slots(spark: SparkSession, plan: list[tuple], block: int, seed: int) -> DataFrame:
-    """(six, block, epoch, words): the blocks that the mix takes, each slot dealt to a shard."""
+    """(shard, six, block, epoch, words): the blocks that the mix takes, each slot dealt to a shard."""
     total = sum(p[-1] for p in plan)
     each = max(SHARD_SLOTS, -(-total // MOST_SHARDS))
-    shards = -(-total // each)
-    share = np.array([p[-1] for p in plan], float) / max(total, 1)
+    quota = np.array([p[-1] for p in plan], np.int64)
+    sixes = np.array([p[0] for p in plan], np.int32)
 
     def draw(batches):
-        for pdf in batches:
-            got = [np.random.default_rng((seed, int(s))).multinomial(min(each, total - int(s) * each), share) for s in pdf["id"]]
-            for s, counts in zip(pdf["id"], got):
-                at = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": s, "six": at.astype("int32"), "n": counts[at]})
-
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 64))).mapInPandas(draw, "shard long, six int, n long")
-    run = W.partitionBy("six").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    drawn = drawn.withColumn("hi", F.sum("n").over(run)).select("shard", "six", (F.col("hi") - F.col("n")).alias("lo"), "hi")
-    quota = spark.createDataFrame([(p[0], p[-1]) for p in plan], "six int, quota long")
-    # what the draws leave below a source's quota goes into further shards of its own
-    left = (
-        quota.join(drawn.groupBy("six").agg(F.max("hi").alias("drawn")), "six", "left")
-        .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-        .filter("drawn < quota")
-        .select(F.explode(F.sequence(F.lit(0), F.expr(f"cast((quota - drawn - 1) div {each} as int)"))).alias("k"), "six", "quota", "drawn")
-        .selectExpr(f"{shards} + k as shard", "six", f"drawn + k * {each} as lo", f"least(drawn + (k + 1) * {each}, quota) as hi")
-    )
+        for _ in batches:
+            hi, out = np.zeros(len(quota), np.int64), []
+            for shard, got in draws(quota, each, seed):
+                at = np.flatnonzero(got)
+                out.append(pd.DataFrame({"shard": shard, "six": sixes[at], "lo": hi[at], "hi": hi[at] + got[at]}))
+                hi += got
+                if len(out) == 1000:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
+
+    # one task draws, as each shard depends on those before: a few numbers for each of at most MOST_SHARDS shards
+    drawn = spark.range(0, 1, 1, 1).mapInPandas(draw, "shard long, six int, lo long, hi long").repartition("shard", "six")
     lines = {p[0]: p for p in plan}
 
     def fill(batches):
         for pdf in batches:
-            for six, lo, hi in zip(pdf["six"], pdf["lo"], pdf["hi"]):
-                _, _, size, _, blocks, full, rest, slots = lines[six]
-                i = np.arange(lo, min(hi, slots))
-                if not len(i):
-                    continue
+            for shard, six, lo, hi in zip(pdf["shard"], pdf["six"], pdf["lo"], pdf["hi"]):
+                _, _, size, _, blocks, full, rest, _ = lines[six]
+                i = np.arange(lo, hi)
                 epoch, index = i // blocks, i % blocks
                 at, words = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
                 last = size - (blocks - 1) * block
@@ -141,15 +154,15 @@ def _slots(spark: SparkSession, plan: list[tuple], block: int, seed: int) -> Dat
                         before = index[mine] * block - (block - last) * (tail < index[mine])
                         length = np.clip(rest - before, 0, length)
                     words[mine] = length
-                yield pd.DataFrame({"six": np.int32(six), "block": at, "epoch": epoch.astype("int32"), "words": words})
+                yield pd.DataFrame({"shard": shard, "six": np.int32(six), "block": at, "epoch": epoch.astype("int32"), "words": words})
 
-    return drawn.unionByName(left).mapInPandas(fill, "six int, block long, epoch int, words long")
+    return drawn.mapInPandas(fill, "shard long, six int, block long, epoch int, words long")
 
 
 def _placed(docs: DataFrame, doc_id: str, text: str, source: str, block: int, weights: tuple, repeats: int, seed: int) -> tuple[DataFrame, list, list[Column]]:
     """Documents with their place in their source's stream, and the plan."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
     stats = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()  # a row for each source
     plan = _plan(stats, block, weights, repeats, seed)
     buckets = 1 + sum(r["docs"] for r in stats) // ROWS_A_BUCKET
@@ -159,6 +172,8 @@ def _placed(docs: DataFrame, doc_id: str, text: str, source: str, block: int, we
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
     order = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "text_hash")
     local = base.withColumn("rn", F.row_number().over(order)).withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    # of rows equal in doc_id, text and source the first, second, ...
+    local = local.withColumn("copy", F.col("rn") - F.min("rn").over(W.partitionBy("source", "bucket", "doc_id", "size", "text_hash")))
     run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     offsets = base.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("offset", F.sum("n").over(run) - F.col("n"))
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset")
@@ -181,43 +196,47 @@ def _taken(placed: DataFrame, plan: list, block: int, seed: int) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken: how many of its words, repeats counted, the mix takes."""
+    """doc_id, size, source_size, target, taken (how many of its words, repeats counted, the mix takes) and first_shard."""
     placed, plan, key = _placed(docs, doc_id, text, source, block, weights, repeats, seed)
     taken = _taken(placed, plan, block, seed)
     return (
         taken.groupBy(*key)
-        .agg(F.coalesce(F.sum(F.col("word_hi") - F.col("word_lo")), F.lit(0)).alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(F.coalesce(F.sum(F.col("word_hi") - F.col("word_lo")), F.lit(0)).alias("taken"), F.min(F.when(F.col("word_hi") > F.col("word_lo"), F.col("shard"))).alias("first_shard"))
+        .select("doc_id", "size", "source_size", "target", "taken", "first_shard")
     )
 
 
-def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, by_shard: bool = False) -> DataFrame:
     """The mix itself: documents, once for each pass that takes words of them, text holding the words taken.
 
-    A document taken whole keeps its text as it is; else its words are joined by one space. n_chars, if there is
-    such a column, follows the text."""
+    by_shard: once for each pass and shard instead, with the shard's number in a further column `shard`, which takes the
+    place of one so called. A document taken whole keeps its text as it is; else its words are joined by one space.
+    n_chars, if there is such a column, follows the text."""
     placed, plan, _ = _placed(docs, doc_id, text, source, block, weights, repeats, seed)
-    columns = docs.columns
-    taken = (
-        _taken(placed, plan, block, seed)
-        .filter("word_hi > word_lo")
-        .groupBy("doc_id", "text_hash", "six", "bucket", "rn", "size", "epoch")
-        .agg(F.sort_array(F.collect_list(F.struct("word_lo", "word_hi"))).alias("parts"))
-    )
-    copy = W.partitionBy("doc_id", "text_hash", "epoch").orderBy("six", "bucket", "rn")
+    columns = [c for c in docs.columns if not (by_shard and c == "shard")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    names = ("k", "h", "s", "e", "copy", "n", "whole", "parts", "words", "shard", "size")
+    own = {c: free_name(columns, f"mix_{c}") for c in names}
+    by = ["doc_id", "text_hash", "source", "copy", "size", "epoch", *(["shard"] if by_shard else [])]
     none = F.lit(-(2**63))
-    taken = taken.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("__k"), F.col("text_hash").alias("__h"), "epoch", "parts", F.col("size").alias("__size"), F.row_number().over(copy).alias("__copy"))
-    rows = docs.withColumn("__k", F.coalesce(F.col(doc_id).cast("long"), none)).withColumn("__h", F.xxhash64(F.col(text)))
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("__k", "__h").orderBy(F.col(source))))
-    # rows equal in id and text are told apart by their number; written so that the join keeps the window's partitioning
-    joined = rows.join(taken, ["__k", "__h"]).filter("__n <= __copy and __n >= __copy")
+    taken = _taken(placed, plan, block, seed).filter("word_hi > word_lo").groupBy("bucket", *by).agg(F.sort_array(F.collect_list(F.struct("word_lo", "word_hi"))).alias("parts"))
+    taken = taken.select(
+        F.coalesce(F.col("doc_id").cast("long"), none).alias(own["k"]), F.col("text_hash").alias(own["h"]), F.coalesce("source", F.lit("")).alias(own["s"]), F.col("source").isNull().alias(own["e"]),
+        (F.col("copy") + 1).alias(own["copy"]), F.col("size").alias(own["size"]), F.col("parts").alias(own["parts"]), *([F.col("shard").alias(own["shard"])] if by_shard else []),
+    )
+    keys = [own[c] for c in ("k", "h", "s", "e")]
+    rows = docs.withColumns({own["k"]: F.coalesce(F.col(doc_id).cast("long"), none), own["h"]: F.xxhash64(F.col(text)), own["s"]: F.coalesce(F.col(source).cast("string"), F.lit("")), own["e"]: F.col(source).isNull()})
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = rows.withColumn(own["n"], F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*plain))))
+    # rows equal in id, text and source are told apart by their number; written so that the join keeps the window's partitioning
+    joined = rows.join(taken, keys).filter(F.expr(f"{own['n']} <= {own['copy']} and {own['n']} >= {own['copy']}"))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    parts = F.flatten(F.transform("parts", lambda p: F.slice(F.col("__words"), p["word_lo"] + 1, p["word_hi"] - p["word_lo"])))
-    whole = (F.size("parts") >= 1) & (F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["word_hi"] - p["word_lo"]) == F.col("__size"))
-    joined = joined.withColumn("__words", F.when(~whole, words)).withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(parts, " ")))
+    parts = F.flatten(F.transform(own["parts"], lambda p: F.slice(F.col(own["words"]), p["word_lo"] + 1, p["word_hi"] - p["word_lo"])))
+    whole = F.aggregate(own["parts"], F.lit(0).cast("long"), lambda a, p: a + p["word_hi"] - p["word_lo"]) == F.col(own["size"])
+    joined = joined.withColumn(own["whole"], whole).withColumn(own["words"], F.when(~F.col(own["whole"]), words)).withColumn(text, F.when(F.col(own["whole"]), F.col(text)).otherwise(F.array_join(parts, " ")))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*columns)
+    return joined.select(*[F.col(f"`{c}`") for c in columns], *([F.col(own["shard"]).alias("shard")] if by_shard else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
