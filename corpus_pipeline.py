@@ -32,9 +32,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids); docs are rows of files, as run() and the check write each stage's result."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    return bpe.encode(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, settled=True).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

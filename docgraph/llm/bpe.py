@@ -4,7 +4,8 @@ Texts are cut into pre-tokens. Each task numbers the distinct words among its do
 its documents as numbers, in order of position. The words themselves go, packed by bucket of their hash, to a global
 shuffle, where each distinct word of a bucket is encoded once for all tasks that ask; ids go back to the askers,
 join there by number, and the documents are put together again by position. Decoding joins ids with the
-token-byte table, whose size the vocabulary fixes.
+token-byte table, whose size the vocabulary fixes. Both runs over the documents must see the same batches: documents that
+are not rows of files are written first.
 
 Pre-tokens are cut with array operations on character classes, which follow the pattern exactly; texts in which a
 contraction may stand ('s, 't, ...) are cut by the regular expression itself.
@@ -18,8 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -27,25 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import _BYTE, mix, partitions, powers, table
+from docgraph.llm.common import _BYTE, materialize, mix, partitions, powers, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHARS = 1 << 20
+#: Characters that are cut at once, and that a task's batch of documents has about.
+CHARS = 1 << 19
+BATCH = 1 << 23
+#: A pattern that takes a word as it is.
+WHOLE = r"(?s:.+)"
 CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
+@lru_cache(maxsize=4)
+def _regex(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of each code point: letter, number, white space or other."""
-    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = LETTER
-        elif k == "N":
-            kinds[c] = NUMBER
+    kinds = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        for m in _regex(name).finditer(every):
+            kinds[m.start() : m.end()] = kind
     kinds[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     return kinds
 
@@ -63,13 +71,6 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table_
 
 
-@lru_cache(maxsize=4)
-def _regex(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
-
-
 def cuts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters of the texts joined, where pre-tokens start, and each text's first character; no contractions."""
     joined = "".join(texts)
@@ -190,24 +191,35 @@ def _chunk(ids: list, texts: list[str]) -> int:
 
 
 def _batches(batches):
+    """(name, ids, texts) of runs of documents with about BATCH characters; a longer one stands alone."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        if ids:
-            yield _chunk(ids, texts), ids, texts
+        lo = 0
+        while lo < len(ids):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(ids) and size + len(texts[hi]) <= BATCH:
+                size += len(texts[hi])
+                hi += 1
+            yield _chunk(ids[lo:hi], texts[lo:hi]), ids[lo:hi], texts[lo:hi]
+            lo = hi
+
 
+def encode(docs: DataFrame, path: str, pattern: str, settled: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_text, decoded): ids as an array, as decimals joined by a space, and decoded again.
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_text, decoded): ids as an array, as decimals joined by a space, and decoded again."""
-    return _encoded(docs, path, pattern, True, "doc_id long, n_tokens long, ids array<int>, ids_text string, decoded binary")
+    settled: docs are rows of files, which every reading finds in the same batches; others are written first."""
+    return _encoded(docs, path, pattern, True, "doc_id long, n_tokens long, ids array<int>, ids_text string, decoded binary", settled)
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return _encoded(docs, path, pattern, False, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, path: str, pattern: str, settled: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256); settled as in encode."""
+    return _encoded(docs, path, pattern, False, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", settled)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool, schema: str, settled: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not settled:
+        docs = materialize(docs, "texts")
     buckets = 2 * partitions(docs.sparkSession)
 
     def asked(batches):
@@ -228,23 +240,28 @@ def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool, schema: str)
 
     def encoded(batches):
         """Of each bucket, every distinct word once; answers by batch."""
-        enc, _ = encoder(path, pattern)
-        known: dict[int, dict[bytes, list[int]]] = {}
+        enc, bytes_ = encoder(path, WHOLE)
+        raw, size = _varint(np.arange(len(bytes_)))
+        ends = np.cumsum(size).tolist()
+        raw = raw.tobytes()
+        spelled = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        known: dict[int, dict[bytes, tuple[int, bytes]]] = {}
         for batch in batches:
             cols = [batch.column(i) for i in range(5)]
             counts, ids = [], []
             for k in range(batch.num_rows):
                 cache = known.setdefault(cols[0][k].as_py(), {})
                 lengths = _unvarint(np.frombuffer(cols[3][k].as_py(), np.uint8)).tolist()
-                raw, at, got = cols[4][k].as_py(), 0, []
+                words, at, got = cols[4][k].as_py(), 0, []
                 for n in lengths:
-                    word = raw[at : at + n]
+                    word = words[at : at + n]
                     at += n
                     if (x := cache.get(word)) is None:
-                        x = cache[word] = enc._encode_single_piece(word)
+                        own = enc.encode_ordinary(word.decode())
+                        x = cache[word] = (len(own), b"".join([spelled[i] for i in own]))
                     got.append(x)
-                counts.append(_varint(np.array([len(x) for x in got], np.int64))[0].tobytes())
-                ids.append(_varint(np.array([i for x in got for i in x], np.int64))[0].tobytes())
+                counts.append(_varint(np.array([x[0] for x in got], np.int64))[0].tobytes())
+                ids.append(b"".join([x[1] for x in got]))
             yield pa.RecordBatch.from_arrays([cols[1], cols[2], pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "numbers", "counts", "ids"])
 
     def numbered(batches):
@@ -259,7 +276,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool, schema: str)
 
     def joined(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Ids joined back by number, documents put together by position."""
-        _, bytes_ = encoder(path, pattern)
+        _, bytes_ = encoder(path, WHOLE)
         size = 1 + max((int(_unvarint(np.frombuffer(r, np.uint8)).sum()) for r in right["numbers"].to_pylist()), default=-1)
         text, plain, count = [b""] * size, [b""] * size, np.zeros(size, np.int64)
         lists = [None] * size
@@ -305,4 +322,4 @@ def _lengths(words: list[bytes]) -> bytes:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, settled=True)
