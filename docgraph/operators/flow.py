@@ -186,8 +186,12 @@ def chart_edges(files: DataFrame) -> DataFrame:
 
 def coverage(steps_: DataFrame) -> DataFrame:
     """How many steps of each kind a function has."""
-    kinds = ("branch", "match", "loop", "endless", "try", "call", "exit", "nested")
-    return steps_.groupBy("path", "fn").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return counts_by(steps_, ["path", "fn"], "kind", ("branch", "match", "loop", "endless", "try", "call", "exit", "nested"))
+
+
+def counts_by(rows: DataFrame, by: list[str], kind: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(by, a column for each kind): how many rows of each kind a group has."""
+    return rows.groupBy(*by).agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
 
 
 def mermaid(steps_: list[tuple], edges_: list[tuple[int, int, str]]) -> str:

@@ -79,16 +79,16 @@ def callers(starts: DataFrame, calls: DataFrame, depth: int | None = 1) -> DataF
     return walk(starts, calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth).filter("level > 0")
 
 
-def links(pages: DataFrame, body: str = "body", path: str = "path") -> DataFrame:
-    """(path, target): each relative link of a page and the path it means."""
+def links(pages: DataFrame, body: str = "body", path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, path, target): each relative link of a page and the path it means."""
     found = F.explode(F.regexp_extract_all(F.col(body), F.lit(r"\]\(([^)\s]+)"), F.lit(1)))
-    return pages.select(path, found.alias("link")).select(path, T.resolve_link(F.col(path), F.col("link")).alias("target")).filter("target is not null").distinct()
+    return pages.select(*keep, path, found.alias("link")).select(*keep, path, T.resolve_link(F.col(path), F.col("link")).alias("target")).filter("target is not null").distinct()
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): links joined to the page at the path; of pages with one path the largest id."""
     at = pages.groupBy(F.col("path").alias("target")).agg(F.max("id").alias("dst"))
-    found = links(pages).join(pages.select("path", F.col("id").alias("src")), "path")
+    found = links(pages, keep=("id",)).select(F.col("id").alias("src"), "target")
     return found.join(at, "target").filter("src <> dst").select("src", "dst").distinct()
 
 

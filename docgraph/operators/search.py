@@ -74,7 +74,7 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
         w = F.lit(0.0)
         if fields.title:
             hit = T.literal_hit(F.col("__title"), t)
-            whole = (F.size(F.array_except(wanted, F.col("__title"))) == 0) & (F.size(F.array_except(F.col("__title"), wanted)) == 0)
+            whole, _, _ = word_sets(F.col("__title"), wanted)
             w = w + F.when(hit, NAME).otherwise(0.0) + F.when(whole, TITLE).otherwise(0.0)
         if fields.summary:
             w = w + F.when(T.literal_hit(F.col("__summary"), t), SUMMARY).otherwise(0.0)
@@ -93,6 +93,12 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
     return out.drop("__body", *[f"__{n}" for n in ("title", "summary", "docs", "symbols")])
 
 
+def word_sets(words: Column, wanted: Column) -> tuple[Column, Column, Column]:
+    """Whether a field's words are the wanted ones, whether they hold them all, and how many others they hold."""
+    missing, others = F.size(F.array_except(wanted, words)), F.size(F.array_except(words, wanted))
+    return (missing == 0) & (others == 0), missing == 0, others
+
+
 def _some_hit(texts: Column, token: str) -> Column:
     return F.exists(texts, lambda a: T.literal_hit(T.field_words(a), token))
 

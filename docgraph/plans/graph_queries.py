@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.operators import catalog as C
+from docgraph.operators import flow
 from docgraph.operators import graph as G
 from docgraph.operators import identity as I
 from docgraph.operators import labels as L
@@ -58,8 +60,13 @@ def orphans(spark, sf):
 
 
 def link_edges(spark, sf):
+    """Pages whose links are written as Markdown: each page is the one at the first link of the page before it, too."""
     p = table(spark, sf, "pages")
-    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.countDistinct("page_id").alias("pages"))
+    hrefs = F.filter(F.regexp_extract_all("html", F.lit('href="(/[a-zA-Z]+)"'), F.lit(1)), lambda h: h != "")
+    body = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("[x]("), h, F.lit(")"))), " ")
+    own = p.select("page_id", F.get(hrefs, F.lit(0)).alias("first")).filter("first is not null").select((F.col("page_id") + 1).alias("page_id"), F.substring("first", 2, 999).alias("own"))
+    rows = p.select("page_id", body.alias("body")).join(own, "page_id", "left")
+    return G.link_edges(rows.select(F.col("page_id").alias("id"), F.coalesce("own", F.concat(F.lit("p/"), F.col("page_id").cast("string"))).alias("path"), "body"))
 
 
 def _runs_of_items(spark, sf, length):
@@ -113,7 +120,7 @@ def same_name(spark, sf):
 
 
 def defined_fold(spark, sf):
-    p = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), (F.crc32(F.col("p_partkey").cast("string")) % 4).alias("rank"))
+    p = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), ((F.col("p_partkey") * 7919 / 13).cast("long") % 4).alias("rank"))
     return R.defined_fold(p)
 
 
@@ -143,18 +150,20 @@ def supersedes(spark, sf):
 
 
 def prior_page(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    written = table(spark, sf, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("file"))
+    return C.prior_pages(table(spark, sf, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") * 3).alias("file")), written)
 
 
 def anti_stale(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    live = table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("id"))
+    return C.stale_pages(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), live).select(F.col("id").alias("c_custkey"))
 
 
 def anti_broken(spark, sf):
     names = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("slug")).distinct()
-    wanted = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.field_words("text"))).alias("slug"))
-    return wanted.join(names, "slug", "left_anti").groupBy("item_id").agg(F.count("*").alias("broken"))
+    links = F.array_join(F.transform(T.field_words("text"), lambda w: F.concat(F.lit("[["), w, F.lit("]]"))), " ")
+    pages = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), links.alias("body"))
+    return C.broken_links(pages, names.select(F.col("slug").alias("id"))).groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("broken"))
 
 
 def label_end(spark, sf):
@@ -202,7 +211,7 @@ def debounce_sessions(spark, sf):
 
 
 def coverage_pivot(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "error", "purchase", "signup", "view")])
+    return flow.counts_by(table(spark, sf, "events"), ["user_id"], "event_type", ("click", "error", "purchase", "signup", "view"))
 
 
 def target_form(spark, sf):
@@ -232,7 +241,11 @@ QUERIES = {
         with e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem)
         select id, sum(i)::bigint as degree_in, sum(o)::bigint as degree_out from (select src as id, 0 as i, 1 as o from e union all select dst, 1, 0 from e) group by id"""),
     "orphans": (orphans, "select p_partkey as id from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 48)"),
-    "link_edges": (link_edges, "select href, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) group by href"),
+    "link_edges": (link_edges, r"""
+        with h as (select page_id, regexp_extract_all(html, 'href="(/[a-zA-Z]+)"', 1) as h from pages),
+        p as (select a.page_id as id, coalesce(substr(b.h[1], 2), 'p/' || a.page_id) as path, a.h from h a left join h b on b.page_id + 1 = a.page_id),
+        t as (select path, max(id) as dst from p group by path)
+        select distinct p.id as src, dst from (select *, unnest(h) as href from p) p join t on t.path = substr(p.href, 2) where p.id <> dst"""),
     "mention_ngram_join": (mention_ngram_join, "with" + _RUNS.format(n="5")),
     "mention_longest": (mention_longest, "with" + _RUNS.format(n="1 + item_id % 6")),
     "suffix_join": (suffix_join, r"""
@@ -246,7 +259,10 @@ QUERIES = {
     "same_name": (same_name, """
         with i as (select p_partkey as id, p_brand as page_id, p_name || '/' || p_type || '/' || p_size as name from part)
         select a.id, b.id as other from i a join i b on a.name = b.name and a.id <> b.id and a.page_id <> b.page_id where a.name in (select name from i group by name having count(*) = 2)"""),
-    "defined_fold": (defined_fold, None),
+    "defined_fold": (defined_fold, """
+        with r as (select distinct p_name || ' ' || p_size as name, lpad(p_partkey::varchar, 9, '0') as id, p_partkey * 7919 // 13 % 4 as rank from part),
+        m as (select *, min(rank) over (partition by name order by id rows between unbounded preceding and 1 preceding) as before from r)
+        select name, case when bool_or(rank = before) then null else arg_min(id, rank) end as id from m group by name"""),
     "tiered_resolution": (tiered_resolution, """
         with r as (
           select distinct o_orderkey, l_suppkey as s_suppkey, case when s_nationkey = c_nationkey then 1 when sn.n_regionkey = cn.n_regionkey then 2 else 3 end as tier
@@ -258,7 +274,7 @@ QUERIES = {
     "supersedes": (supersedes, """
         with o as (select o_orderkey as k, o_custkey % 3 <> 0 as local, o_orderkey + 1 + o_custkey % 2 * 50 as t from orders)
         select lpad(a.k::varchar, 9, '0') as id, min(lpad(b.k::varchar, 9, '0')) as superseded_by from o a join o b on b.t = a.k and a.k <> b.k where b.local or not a.local group by 1"""),
-    "prior_page": (prior_page, "select o_custkey, o_orderkey as latest from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) where rn = 1"),
+    "prior_page": (prior_page, "select c_custkey as source, c_custkey * 3 as file, coalesce(max(case when o_orderkey = c_custkey * 3 then o_orderkey end), min(o_orderkey)) as prior from customer join orders on o_custkey = c_custkey group by all"),
     "anti_stale": (anti_stale, "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)"),
     "anti_broken": (anti_broken, r"""
         select item_id, count(*) as broken from (select distinct item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from benchmark)

@@ -96,9 +96,8 @@ _NAMES_SQL = r"""
 
 
 def title_and_subset_sets(spark, sf):
-    p = table(spark, sf, "part").withColumn("w", T.field_words("p_name"))
-    q = F.array(F.lit("bolt"), F.lit("red"))
-    return p.select("p_partkey", (F.array_sort(F.array_distinct("w")) == q).alias("whole"), ((F.size(F.array_except(q, "w")) == 0)).alias("inside"), F.size(F.array_except("w", q)).cast("long").alias("more"))
+    whole, inside, more = S.word_sets(T.field_words("p_name"), F.array(F.lit("bolt"), F.lit("red")))
+    return table(spark, sf, "part").select("p_partkey", whole.alias("whole"), inside.alias("inside"), more.cast("long").alias("more"))
 
 
 def top3_per_page(spark, sf):
@@ -194,7 +193,7 @@ def doc_label_rows(spark, sf):
     from docgraph.operators import labels as L
 
     d = text_pages(spark, sf).filter(F.contains("body", F.lit(" | "))).select("path", F.concat(F.lit("| "), F.regexp_replace("body", "\n", "\n| ")).alias("text"))
-    return L.table_rows(d, "que").select("doc", F.col("line").cast("long").alias("line"))
+    return L.table_rows(d, "the").select("doc", F.col("line").cast("long").alias("line"))
 
 
 QUERIES = {
@@ -227,5 +226,5 @@ QUERIES = {
     "doc_label_rows": (doc_label_rows, r"""
         select 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as doc, i::bigint as line
         from (select *, unnest(string_split(text, chr(10))) as r, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where contains(text, ' | '))
-        where contains(' ' || array_to_string(list_transform(regexp_extract_all(lower(r), '[\p{L}\p{N}_.\-]+'), lambda x: x), ' ') || ' ', ' que ')"""),
+        where contains(' ' || array_to_string(list_transform(regexp_extract_all(lower(r), '[\p{L}\p{N}_.\-]+'), lambda x: x), ' ') || ' ', ' the ')"""),
 }

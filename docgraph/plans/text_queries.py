@@ -10,8 +10,16 @@ from docgraph.sources.adapter import conversation_pages, table, text_pages
 
 
 def catalog_pages(spark, sf):
+    """The catalog of documents, each linking to the one whose number is what is left of its own after 7."""
     p = text_pages(spark, sf)
-    return p.select("id", "path", "title", "kind", T.token_estimate("body").alias("tokens"), T.word_count("body").cast("long").alias("words"), T.title_case(T.derive_name("path")).alias("derived"))
+    d = table(spark, sf, "documents")
+    at = lambda c: F.concat(F.lit("doc_"), c.cast("string"))
+    edges = d.filter("doc_id >= 7").select(at(F.col("doc_id")).alias("src"), at(F.col("doc_id") % 7).alias("dst"), F.when(F.col("doc_id") % 2 == 0, "import").otherwise("link").alias("kind"))
+    rows = C.catalog(p, edges, p.select("id", F.lit(0.5).alias("rank")))
+    return rows.select(
+        "id", "path", "title", "kind", F.col("token_estimate").alias("tokens"), T.word_count("body").cast("long").alias("words"), T.title_case(T.derive_name("path")).alias("derived"),
+        F.col("degree_in").cast("long").alias("degree_in"), F.col("degree_out").cast("long").alias("degree_out"), F.size("imports_in").cast("long").alias("imports_in"), F.array_join("neighbors_out", ",").alias("to"),
+    )
 
 
 def kind_tag_filter(spark, sf):
@@ -43,7 +51,7 @@ def body_counts(spark, sf):
 
 
 def snippet(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.locate("eren", F.lower("text")).cast("long").alias("first"), F.when(F.locate("eren", F.lower("text")) > 0, F.substring(F.col("text"), F.greatest(F.locate("eren", F.lower("text")) - 60, F.lit(1)), F.lit(64))).alias("around")).filter("first > 0")
+    return table(spark, sf, "documents").select("doc_id", T.snippet("text", ["eren"]).alias("around")).filter("around is not null")
 
 
 def first_sentence(spark, sf):
@@ -105,8 +113,10 @@ def visible_names(spark, sf):
 QUERIES = {
     "catalog_pages": (catalog_pages, r"""
         select 'doc_' || doc_id as id, 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path, 'Doc ' || doc_id as title, 'text' as kind,
-          (length(text) // 4)::bigint as tokens, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint as words, 'Doc ' || doc_id as derived
-        from documents"""),
+          (length(text) // 4)::bigint as tokens, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint as words, 'Doc ' || doc_id as derived,
+          (select count(*) from documents o where o.doc_id >= 7 and o.doc_id % 7 = d.doc_id)::bigint as degree_in, (doc_id >= 7)::bigint as degree_out,
+          (select count(*) from documents o where o.doc_id >= 7 and o.doc_id % 7 = d.doc_id and o.doc_id % 2 = 0)::bigint as imports_in, case when doc_id >= 7 then 'doc_' || doc_id % 7 else '' end as "to"
+        from documents d"""),
     "kind_tag_filter": (kind_tag_filter, "select 'doc_' || doc_id as id, 'docs/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path from documents where lang = 'fr'"),
     "slugify_names": (slugify_names, r"""
         select name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') as slug
@@ -118,8 +128,15 @@ QUERIES = {
     "title_case": (title_case, "select name, list_aggregate(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') as title from (select distinct p_name || ' ' || lower(p_type) as name from part)"),
     "clip": (clip, r"select doc_id, case when length(t) > 80 then substr(t, 1, 79) || '…' else t end as line from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)"),
     "body_counts": (body_counts, "select doc_id, " + ", ".join(f"((length(t) - length(replace(t, '{w}', ''))) // 3)::bigint as n_{w}" for w in ("the", "ver", "eau", "ing")) + " from (select doc_id, lower(text) as t from documents)"),
-    "snippet": (snippet, "select doc_id, p::bigint as first, substr(text, greatest(p - 60, 1), 64) as around from (select doc_id, text, instr(lower(text), 'eren') as p from documents) where p > 0"),
-    "first_sentence": (first_sentence, None),
+    "snippet": (snippet, r"""
+        select doc_id, case when lo > 1 then '…' else '' end || trim(regexp_replace(substr(text, lo, hi - lo), '\s+', ' ', 'g')) || case when hi <= length(text) then '…' else '' end as around
+        from (select doc_id, text, greatest(p - 60, 1) as lo, least(p + 64, length(text) + 1) as hi from (select doc_id, text, instr(lower(text), 'eren') as p from documents) where p > 0)"""),
+    "first_sentence": (first_sentence, r"""
+        with d as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents),
+        e as (select doc_id, t, unnest(range(1, length(t) + 1)) as i from d),
+        f as (select doc_id, min(i) as i from e where substr(t, i, 1) in ('.', '!', '?') and (i = length(t) or substr(t, i + 1, 1) = ' ')
+          and not (i > 1 and regexp_matches(substr(t, i - 1, 1), '\p{Lu}') and (i = 2 or substr(t, i - 2, 1) in (' ', '.'))) group by doc_id)
+        select d.doc_id, case when f.i is null then t else substr(t, 1, f.i) end as sentence from d left join f using (doc_id)"""),
     "tokenize": (tokenize, r"""
         select item_id, string_agg(w, ' ' order by i) as tokens from (
           select item_id, w, min(i) as i from (
