@@ -24,7 +24,7 @@ class Engine:
         """files: path, content. Text and Markdown become pages, code becomes pages with items."""
         files = source_files.scripts(files)
         docs = readers.pages(files)
-        languages = F.create_map(*[F.lit(x) for e, (name, _) in extract.LANGUAGES.items() for x in (e, f"code:{name}")])
+        languages = F.create_map(*[F.lit(x) for e, (name, _) in extract._languages().items() for x in (e, f"code:{name}")])
         code = files.withColumn("kind", languages[T.extension("path")]).filter("kind is not null")
         none = F.array().cast("array<string>")
         code = code.select("path", T.derive_name("path").alias("name"), "kind", none.alias("aliases"), none.alias("tags"), F.lit(None).cast("string").alias("created"), F.lit(None).cast("string").alias("updated"), none.alias("supersedes"), F.lit(None).cast("string").alias("summary"), none.alias("headings"), F.col("content").alias("body"))
@@ -34,11 +34,16 @@ class Engine:
 
         items = cut(extract.items(files).join(ids.select(F.col("path").alias("page_id"), "id"), "page_id"))
         links = graph.link_edges(pages).withColumn("kind", F.lit("link"))
-        said = graph.mentions(pages, pages.select("id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")), 6).withColumn("kind", F.lit("mention"))
+        said = graph.mentions(pages, pages.select("id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")), 6)
+        said = graph.code_mentions(said, pages).withColumn("kind", F.lit("mention"))
         stems = pages.filter("kind like 'code:%'").select("id", "path", T.module_stem("path").alias("stem"), T.source_rank("path").alias("rank"))
         defined = resolve.defined_fold(items.filter("public and owner is null").join(stems.select("id", "rank"), "id").select("name", "id", "rank"))
-        imports = extract.imports(files).join(ids.select(F.col("path").alias("src"), "id"), "src").select(F.col("id").alias("src"), "import")
-        imported = resolve.import_edges(imports, resolve.least_rank(stems, "stem", "id", "rank", "path"), defined).withColumn("kind", F.lit("import"))
+        at = ids.select("path", "id")
+        by_path = resolve.least_rank(stems.withColumn("at", F.col("path")), "stem", "at", "rank", "path").select("stem", F.col("at").alias("id"))
+        named = defined.join(at, "id").select("name", F.col("path").alias("id"))
+        imported = resolve.file_edges(extract.imports(files), files, by_path, named)
+        imported = imported.join(at.select(F.col("path").alias("src"), F.col("id").alias("s")), "src").join(at.select(F.col("path").alias("dst"), F.col("id").alias("d")), "dst")
+        imported = imported.select(F.col("s").alias("src"), F.col("d").alias("dst")).withColumn("kind", F.lit("import"))
         edges = cut(links.unionByName(said).unionByName(imported))
         ranks = graph.pagerank(pages.select("id"), edges)
 

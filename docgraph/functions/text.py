@@ -117,7 +117,7 @@ def extension(path: Column | str) -> Column:
 
 def derive_name(path: Column | str) -> Column:
     """Name of a page without a title: the file name up to its first dot, in words."""
-    return title_case(F.translate(F.substring_index(basename(path), ".", 1), "_-", "  "))
+    return title_case(F.trim(F.translate(F.substring_index(basename(path), ".", 1), "_-", "  ")))
 
 
 def module_stem(path: Column | str) -> Column:

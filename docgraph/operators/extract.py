@@ -1,7 +1,8 @@
 """Code as rows: items, imports and call sites of source files.
 
-Python is read with the standard library's syntax tree. Shell, Go, JavaScript, TypeScript and Rust are read by line
-scanners that know declarations at the top level and in one type body: no more is claimed for them. A language is a
+Python is read with the standard library's syntax tree, C and C++ by a reader of tokens. Shell, Go, JavaScript,
+TypeScript and Rust are read by line scanners, with comments and strings blanked, that know declarations at the top level
+and in one type body: no more is claimed for them. A language is a
 function from text to a File; `LANGUAGES` may be extended.
 """
 
@@ -206,6 +207,16 @@ def shell(text: str) -> File:
     return out
 
 
+#: Comments, and strings and characters in their quotes; a lone quote as of a lifetime is neither.
+LITERAL = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\[^\n]+?)'|'(?:[^'\\\n]|\\.)*'(?=[\s,;:)\]}+.])", re.S)
+
+
+def blank(text: str) -> str:
+    """Code with comments and what stands between quotes as spaces, at the same places."""
+    space = lambda t: re.sub(r"[^\n]", " ", t)
+    return LITERAL.sub(lambda m: space(m[0]) if m[0][0] == "/" else m[0][0] + space(m[0][1:-1]) + m[0][-1], text)
+
+
 def _braces(lines: list[str], start: int) -> int:
     """Line of the brace that closes the first one opened at or after `start`; strings and comments may mislead it."""
     depth, opened = 0, False
@@ -225,12 +236,13 @@ def _scanner(patterns: list[tuple[str, str]], imports: str, public: Callable[[st
 
     def scan(text: str) -> File:
         out, lines, owners = File(), text.split("\n"), []
-        for k, line in enumerate(lines, 1):
+        code = blank(text).split("\n")
+        for k, (line, bare) in enumerate(zip(lines, code), 1):
             owners = [o for o in owners if o[1] >= k]
             for kind, p in compiled:
-                if m := p.match(line):
+                if m := p.match(bare):
                     d = m.groupdict()
-                    end = _braces(lines, k) if kind != "value" else k
+                    end = _braces(code, k) if kind != "value" else k
                     owner = d.get("owner") or (owners[-1][0] if owners and line[:1].isspace() else None)
                     if kind in ("owner", "type"):
                         owners.append((d["name"], end))
@@ -242,9 +254,9 @@ def _scanner(patterns: list[tuple[str, str]], imports: str, public: Callable[[st
                         doc = first_paragraph("\n".join(reversed(above)))
                         out.items.append(Item("method" if kind == "fn" and owner else kind, d["name"], owner, " ".join(line.strip().rstrip("{").split()), k, end, first_sentence(doc), doc, public(line, d["name"]), test=j >= 0 and "#[test]" in lines[j]))
                     break
-        for k, line in enumerate(lines, 1):
+        for k, line in enumerate(code, 1):
             spans = [(i.end - i.start, n) for n, i in enumerate(out.items) if i.kind in ("fn", "method") and i.start < k <= i.end]
-            if spans and not line.strip().startswith(comment):
+            if spans:
                 for m in calling.finditer(line):
                     if m[3] not in ("if", "for", "while", "match", "switch", "return", "func", "fn", "function", "catch"):
                         via = "bare" if not m[2] else "path" if m[2] == "::" else "self" if m[1] in ("self", "this") else "member"
@@ -280,22 +292,31 @@ def register(extension: str, language: str, reader: Callable[[str], File]) -> No
     LANGUAGES[extension] = (language, reader)
 
 
-def _read(path: str, text: str) -> File | None:
+def _languages() -> dict[str, tuple[str, Callable[[str], File]]]:
+    """The readers by extension, those of C and C++ among them unless others took their place."""
+    from docgraph.operators.cpp import cpp
+
+    c = {e: ("c", cpp) for e in ("c", "h")} | {e: ("cpp", cpp) for e in ("cc", "cpp", "cxx", "hh", "hpp", "hxx")}
+    for e, reader in c.items():
+        LANGUAGES.setdefault(e, reader)
+    return LANGUAGES
+
+
+def _read(path: str, text: str, languages: dict) -> File | None:
     ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    if ext in LANGUAGES:
-        return LANGUAGES[ext][1](text)
+    if ext in languages:
+        return languages[ext][1](text)
     return shell(text) if re.match(r"#!.*\b(?:ba)?sh\b", text[:128]) else None
 
 
 def _table(files: DataFrame, schema: str, rows: Callable[[str, File], list[tuple]]) -> DataFrame:
-    languages = dict(LANGUAGES)
+    languages = dict(_languages())
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     names = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches):
-        LANGUAGES.update(languages)
         for batch in batches:
-            got = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (f := _read(p, t or "")) for r in rows(p, f)]
+            got = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (f := _read(p, t or "", languages)) for r in rows(p, f)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])
 
     return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)

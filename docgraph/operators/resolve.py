@@ -233,3 +233,16 @@ def agreed(bindings: DataFrame, by: list[str], kind: str) -> DataFrame:
     """(by, kind): a local keeps its type only if all its bindings have the same one."""
     types = bindings.groupBy(*by).agg(F.min(kind).alias(kind), F.max(kind).alias("__max"), F.count_if(F.col(kind).isNull()).alias("__none"))
     return types.filter(f"`{kind}` = __max and __none = 0").select(*by, kind)
+
+
+def file_edges(imports: DataFrame, files: DataFrame, stems: DataFrame, defined: DataFrame, crates: list[str] = ()) -> DataFrame:
+    """(src, dst) of imports (src, import) whose src and dst are paths: what scripts source, headers that C and C++ include
+    by the ends of paths, and modules by stem or defined name. files: path; stems: stem, id; defined: name, id."""
+    ext = T.extension("src")
+    shell, c = ext.isin("sh", "bash"), ext.isin("c", "cc", "cpp", "cxx", *T.HEADERS)
+    sourced = source_join(imports.filter(shell).select(F.col("src").alias("path"), F.col("import").alias("literal")), files).select(F.col("path").alias("src"), F.col("target").alias("dst"))
+    named = imports.filter(c & T.is_header_import("import")).select("src", F.regexp_replace("import", "^<|>$|^(?:\\.\\.?/)+", "").alias("include"))
+    headers = suffix_join(named, files.select("path", F.col("path").alias("id")))
+    included = named.join(headers.select("include", F.col("id").alias("dst")), "include").select("src", "dst")
+    modules = import_edges(imports.filter(~shell & ~c), stems, defined, crates)
+    return sourced.unionByName(included).unionByName(modules).filter("src <> dst").distinct()

@@ -1,4 +1,4 @@
-"""Queries on code, flows and generated pages. Their inputs are fixtures, so they have no SQL."""
+"""Queries on code, flows and generated pages. Their inputs are fixtures, so their SQL lists the rows expected of those."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from docgraph.operators import flow as L
 from docgraph.operators import graph as G
 from docgraph.operators import identity as I
 from docgraph.operators import resolve as R
+from docgraph.plans.fixture_rows import ROWS
 from docgraph.sources import files as S
 from docgraph.sources import fixture
 from docgraph.sources.generator import generate
@@ -19,20 +20,50 @@ def _files(spark):
     return S.scripts(fixture.files(spark))
 
 
+def _items(files):
+    return E.items(files).select("page_id", F.col("ix").cast("long").alias("ix"), "kind", "name", "owner", "signature", F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"), "doc", "public", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"), "receiver")
+
+
+def _calls(files):
+    return E.calls(files).select("page_id", F.col("caller_ix").cast("long").alias("caller"), "name", "via", "qual", F.col("args").cast("long").alias("args"), F.col("line").cast("long").alias("line"))
+
+
 def code_items(spark, sf):
-    return E.items(_files(spark))
+    return _items(_files(spark))
 
 
 def code_calls(spark, sf):
-    return E.calls(_files(spark))
+    return _calls(_files(spark))
+
+
+def cpp_items(spark, sf):
+    return _items(fixture.cpp_files(spark))
+
+
+def cpp_calls(spark, sf):
+    return _calls(fixture.cpp_files(spark))
+
+
+def cpp_includes(spark, sf):
+    return _edges(fixture.cpp_files(spark))
+
+
+def cpp_pairs(spark, sf):
+    """Declarations in headers with the definitions of the same owner, name and number of parameters, where both are single."""
+    items = E.items(fixture.cpp_files(spark)).filter("kind in ('fn', 'method')").select(F.concat_ws("#", "page_id", F.col("ix").cast("string")).alias("id"), "page_id", F.coalesce(T.owner_key("owner"), F.lit("")).alias("owner"), "name", F.coalesce("most", F.lit(-1)).alias("most"))
+    header = T.extension("page_id").isin(*T.HEADERS)
+    return R.pair_unique(items.filter(header).withColumnRenamed("id", "declared"), items.filter(~header).withColumnRenamed("id", "defined"), ["owner", "name", "most"], "declared", "defined")
 
 
 def code_import_edges(spark, sf):
-    files = _files(spark)
+    return _edges(_files(spark))
+
+
+def _edges(files):
     pages = files.select(F.col("path").alias("id"), T.module_stem("path").alias("stem"), T.source_rank("path").alias("rank"))
     items = E.items(files).filter("public and owner is null").select("name", F.col("page_id").alias("id")).join(pages.select("id", "rank"), "id")
     stems = R.least_rank(pages.withColumn("path", F.col("id")), "stem", "id", "rank", "path").select("stem", "id")
-    return R.import_edges(E.imports(files), stems, R.defined_fold(items, "name", "id", "rank"))
+    return R.file_edges(E.imports(files), files, stems, R.defined_fold(items, "name", "id", "rank"))
 
 
 def code_call_edges(spark, sf):
@@ -46,7 +77,7 @@ def code_call_edges(spark, sf):
     edges = code_import_edges(spark, sf)
     nodes = files.select(F.col("path").alias("id"))
     modules = files.select(F.col("path").alias("page_id"), T.module_stem("path").alias("stem"))
-    return R.resolve_calls(sites, fns, G.sees(edges, nodes), modules)
+    return R.resolve_calls(sites, fns, G.sees(edges, nodes), modules).withColumn("tier", F.col("tier").cast("long"))
 
 
 def code_ids(spark, sf):
@@ -54,12 +85,17 @@ def code_ids(spark, sf):
     return I.assign(files.select(T.derive_name("path").alias("name"), "path"))
 
 
+def _long(rows):
+    """rows whose whole numbers are all long."""
+    return rows.select(*[F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in rows.dtypes])
+
+
 def flow_steps(spark, sf):
-    return L.steps(_files(spark).filter(F.col("path").endswith(".py")))
+    return _long(L.steps(_files(spark).filter(F.col("path").endswith(".py"))))
 
 
 def flow_edges(spark, sf):
-    return L.chart_edges(_files(spark).filter(F.col("path").endswith(".py")))
+    return _long(L.chart_edges(_files(spark).filter(F.col("path").endswith(".py"))))
 
 
 def flow_coverage(spark, sf):
@@ -70,4 +106,4 @@ def generated_pages(spark, sf):
     return generate(spark, 500, 42)
 
 
-QUERIES = {f.__name__: (f, None) for f in (code_items, code_calls, code_import_edges, code_call_edges, code_ids, flow_steps, flow_edges, flow_coverage, generated_pages)}
+QUERIES = {f.__name__: (f, ROWS.get(f.__name__)) for f in (code_items, code_calls, cpp_items, cpp_calls, cpp_includes, cpp_pairs, code_import_edges, code_call_edges, code_ids, flow_steps, flow_edges, flow_coverage, generated_pages)}

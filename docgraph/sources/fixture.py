@@ -52,3 +52,14 @@ def log(text):
 
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(FILES.items()), "path string, content string")
+
+
+CPP_FILES = {
+    "include/trading/level.h": '#pragma once\n#include <vector>\n#include "book/level.h"\n\nnamespace trading {\n\n// Orders of one price. Kept by time.\nstruct Level {\n  int price = 0;\n  /// Adds one.\n  void add(int id, double qty = 1.0);\n  int size() const { return count(ids_) + this->extra(); }\n private:\n  int extra() const;\n  std::vector<int> ids_;\n};\n\nclass Book : public Base {\n  void hidden();\n public:\n  explicit Book(const char* name) : name_(name), levels_(0) { init(name, 2); }\n  ~Book();\n  bool operator==(const Book& other) const;\n  static Book* open(std::map<int, int> m, ...);\n};\n\nenum class Side { Buy, Sell };\nusing Prices = std::vector<int>;\ntypedef unsigned long Id;\nconstexpr int kMost = 10;\nstatic int local(void) { return Level().size(); }\n\n}  // namespace trading\n',
+    "src/level.cpp": '#include "trading/level.h"\n#include <cstdio>\n\nnamespace {\nint hidden() { return 1; }\n}\n\nvoid trading::Level::add(int id, double qty) {\n  if (qty > 0) { ids_.push_back(id); }\n  log("x(y)", id);\n  Book* b = Book::open({}, 1);\n}\n\nBook::~Book() { close(); }\nint trading::Level::extra() const { return hidden() - 1; }\n',
+    "src/book/level.h": "struct Other { int size() const; };\n",
+}
+
+
+def cpp_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(CPP_FILES.items()), "path string, content string")
