@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
@@ -78,7 +79,57 @@ class Engine:
             rows = rows.filter(T.tag_filter("tags", tag))
             if not search.query_tokens(query):
                 return rows.orderBy("path", "id").select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
-        return search.search(rows, query, fields, limit, rank="rank")
+        return search.search(rows, query, fields, limit, rank="rank", stems=True)
+
+    def answer(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
+        """rank, id, path, title, score, snippet and symbols (up to three lines of code a page) of a search.
+
+        What identifiers in the query name is shown too: a query of them alone gives just their definitions, page by page."""
+        spark, tokens = self.pages.sparkSession, search.query_tokens(query)
+        hits = cut(self.search(query, kind, tag, limit))
+        at = self.pages.select("id", "path", "title")
+        names, only = search.query_names(query)
+        line = F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"), "name", F.coalesce("signature", "name").alias("signature"))
+        named = self.items.limit(0).select("id", F.lit(0).alias("nth"), line.alias("line"))
+        for k, name in enumerate(names):
+            named = named.unionByName(self.definitions(name).select("id", F.lit(k).alias("nth"), line.alias("line")))
+        own = self.items.join(F.broadcast(hits.select("id")), "id", "left_semi").filter("kind not in ('module', 'top_level')").withColumn("page_id", F.col("id"))
+        best = search.page_symbols(search.item_scores(own, tokens, [1.0] * len(tokens))) if tokens else own.limit(0).withColumn("rn", F.lit(0))
+        lines = best.select("id", (F.col("rn") - 1000).alias("nth"), line.alias("line")).unionByName(named).groupBy("id", "line").agg(F.min("nth").alias("nth"))
+        if only and not (found := cut(named)).isEmpty():
+            lines = found.groupBy("id", "line").agg(F.min("nth").alias("nth"))
+            pages = lines.groupBy("id").agg(F.min("nth").alias("order")).join(hits, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        else:
+            pages = hits.withColumn("order", F.lit(0)).unionByName(named.select("id").distinct().join(hits.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(1).alias("order")))
+        symbols = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]).alias("symbols"))
+        rows = pages.join(at, "id").join(symbols, "id", "left")
+        rank = F.row_number().over(W.orderBy("order", F.desc("score"), "id"))  # a few pages
+        return rows.select(rank.alias("rank"), "id", "path", "title", "score", "snippet", "symbols").orderBy("rank")
+
+    def answer_lines(self, query: str, **how) -> DataFrame:
+        return search.rendered_lines(self.answer(query, **how))
+
+    def not_found(self, query: str) -> DataFrame:
+        """(name): of a query made of identifiers alone, those that nothing is called by."""
+        names, only = search.query_names(query)
+        asked = self.pages.sparkSession.createDataFrame([(n,) for n in names if only], "name string")
+        items = self.items.select("name", T.qualified_name("owner", "name").alias("qualified"))
+        return resolve.not_found(asked, items, self.pages.select("id", "path", F.lit(False).alias("memory")))
+
+    def candidates(self, wanted: str) -> DataFrame:
+        """(id): what may have been meant where page() finds nothing."""
+        return resolve.candidate_ids(self.pages, wanted)
+
+    def hint_lines(self, prompt: str) -> DataFrame:
+        """Up to eight lines of code that a prompt speaks of: (path, start_line, end_line, name, signature)."""
+        pages = cut(self.hint(prompt)) if not search.is_machine_prompt(prompt) else self.hint("")
+        order = W.orderBy(F.desc("score"), "id")  # a few pages
+        ranked = pages.withColumn("page_rank", F.row_number().over(order)).select("id", "page_rank")
+        items = self.items.join(F.broadcast(ranked), "id").withColumn("page_id", F.col("id"))
+        tokens = [t for t in search.query_tokens(prompt) if len(t) > 1]
+        scored = search.item_scores(items, tokens, [1.0] * len(tokens)) if tokens else items.limit(0).withColumn("score", F.lit(0.0))
+        lines = search.page_symbols(scored).join(self.pages.select("id", "path"), "id")
+        return search.hint_rows(lines).select("path", "start_line", "end_line", "name", "signature")
 
     def hint(self, prompt: str) -> DataFrame:
         """Pages of code that a prompt speaks of: few, and none unless enough of it is known to the corpus."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
 from docgraph.functions.dates import QueryDate, dated_on, query_dates
+from docgraph.functions.stem import stem, stem_words
 from docgraph.sources.shared import cut
 
 #: Weights of the fields of a page and of an item.
@@ -58,39 +59,57 @@ class Fields:
     docs: str | None = None
 
 
-def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = False) -> DataFrame:
+def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = False, stems: bool = False) -> DataFrame:
     """For each page and token i: w_i (field weight), tf_i, file_i (names the page's file), hit_i; and len.
 
-    Field words of a page are computed once; aliases and headings are arrays, of which the best counts."""
+    Field words of a page are computed once; aliases and headings are arrays, of which the best counts. stems: words of a
+    field that share their stem with a token count as well, in part."""
     words = query_words(tokens)
     out = pages
+
+    def tier(column: str, t: str) -> Column:
+        if not stems:
+            return F.when(T.literal_hit(F.col(column), t), 1.0).otherwise(0.0)
+        return T.field_tier(F.col(column), F.col(f"{column}_stems"), F.lit(t), F.array(*[F.lit(stem(p)) for p in query_words([t])]))
+
     for name in ("title", "summary", "docs", "symbols"):
         if column := getattr(fields, name):
             out = out.withColumn(f"__{name}", T.field_words(F.coalesce(F.col(column).cast("string"), F.lit("")) if name != "symbols" else F.array_join(F.col(column), " ")))
+            if stems:
+                out = out.withColumn(f"__{name}_stems", stem_words(F.col(f"__{name}")))
     body = F.lower(F.coalesce(F.col(fields.body), F.lit(""))) if fields.body else F.lit("")
     out = out.withColumn("__body", body).withColumn("len", T.word_count(F.col(fields.body)).cast("long") if fields.body else F.lit(0).cast("long"))
     wanted = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     for i, t in enumerate(tokens):
         w = F.lit(0.0)
         if fields.title:
-            hit = T.literal_hit(F.col("__title"), t)
+            hit = tier("__title", t)
             whole, _, _ = word_sets(F.col("__title"), wanted)
-            w = w + F.when(hit, NAME).otherwise(0.0) + F.when(whole, TITLE).otherwise(0.0)
+            w = w + NAME * hit + F.when(whole, TITLE).otherwise(0.0)
         if fields.summary:
-            w = w + F.when(T.literal_hit(F.col("__summary"), t), SUMMARY).otherwise(0.0)
+            w = w + SUMMARY * tier("__summary", t)
         for column, weight in ((fields.aliases, ALIAS), (fields.headings, HEADING)):
             if column:
                 w = w + F.when(_some_hit(F.col(column), t), weight).otherwise(0.0)
         if fields.symbols:
             whole = F.array_contains(F.transform(F.col(fields.symbols), F.lower), t)
             part = F.array_contains(F.flatten(F.transform(F.col(fields.symbols), T.name_words)), t)
-            w = w + F.when(whole, SYMBOL).when(part, SYMBOL_WORD).otherwise(0.0)
+            near = F.array_contains(F.col("__symbols_stems"), stem(t)) if stems else F.lit(False)
+            w = w + F.when(whole, SYMBOL).when(part, SYMBOL_WORD).when(near, T.STEM_TIER * SYMBOL_WORD).otherwise(0.0)
         if fields.docs:
-            w = w + F.when(T.literal_hit(F.col("__docs"), t), SYMBOL_DOC).otherwise(0.0)
+            w = w + SYMBOL_DOC * tier("__docs", t)
         file_ = T.names_file(F.col(fields.path), F.lit(t)) if fields.path and not prompt else F.lit(False)
         out = out.withColumn(f"w_{i}", w).withColumn(f"tf_{i}", T.occurrences(F.col("__body"), t)).withColumn(f"file_{i}", file_)
         out = out.withColumn(f"hit_{i}", (F.col(f"w_{i}") > 0) | (F.col(f"tf_{i}") > 0) | F.col(f"file_{i}"))
-    return out.drop("__body", *[f"__{n}" for n in ("title", "summary", "docs", "symbols")])
+    return out.drop("__body", *[f"__{n}{s}" for n in ("title", "summary", "docs", "symbols") for s in ("", "_stems")])
+
+
+def date_facts(rows: DataFrame, first: int, dates: list[QueryDate], updated: str, note: str) -> DataFrame:
+    """rows of facts() with one further token for each date of a query: a note of that day hits it like a title."""
+    for i, day in enumerate(dates, first):
+        hit = F.coalesce(F.col(note) & dated_on(F.col(updated), [day]), F.lit(False))
+        rows = rows.withColumns({f"w_{i}": F.when(hit, TITLE).otherwise(0.0), f"tf_{i}": F.lit(0), f"file_{i}": F.lit(False), f"hit_{i}": hit})
+    return rows
 
 
 def word_sets(words: Column, wanted: Column) -> tuple[Column, Column, Column]:
@@ -134,8 +153,10 @@ def scored(rows: DataFrame, stats: DataFrame, k: int, terms: int | None = None,
     return out.filter(hit).withColumn("score", F.round(score, digits) if digits is not None else score)
 
 
-def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False) -> DataFrame:
-    """The best pages: id, score and snippet, by score, then rank, then id. No words, no pages."""
+def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None) -> DataFrame:
+    """The best pages: id, score and snippet, by score, then rank, then id. No words, no pages.
+
+    dated: columns of a note's day and of whether it is a note; each date in the query is then a token of its own."""
     tokens = query_tokens(query)
     if prompt:
         tokens = [t for t in tokens if len(t) > 1]
@@ -143,9 +164,13 @@ def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
     if not tokens:
         return pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
     # what scores need of each page is written once: statistics, scores and ranks come from a few numbers a page
-    numbers = [f"{c}_{i}" for i in range(len(tokens)) for c in ("w", "tf", "file", "hit")]
-    rows = cut(facts(pages, tokens, fields, prompt).select(F.col(fields.id), "len", *numbers, *([rank] if rank else [])))
-    found = scored(rows, statistics(rows, len(tokens)), len(tokens), terms, digits)
+    rows, dates = facts(pages, tokens, fields, prompt, stems), query_dates(query) if dated else []
+    k = len(tokens) + len(dates)
+    if dates:
+        rows = date_facts(rows, len(tokens), dates, *dated)
+    numbers = [f"{c}_{i}" for i in range(k) for c in ("w", "tf", "file", "hit")]
+    rows = cut(rows.select(F.col(fields.id), "len", *numbers, *([rank] if rank else [])))
+    found = scored(rows, statistics(rows, k), k, terms, digits)
     order = [F.desc("score"), *([F.desc(rank)] if rank else []), F.asc(fields.id)]
     top = found.orderBy(*order).limit(limit).select(fields.id, "score", *([rank] if rank else []))
     if not fields.body:
@@ -225,3 +250,44 @@ def reciprocal_rank(hits: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame
     """top1 and mrr@k over cases (query, expected) of ranked hits (query, id, rank)."""
     found = cases.join(hits.filter(F.col("rank") <= k), [F.col("expected") == F.col("id"), cases["query"] == hits["query"]], "left")
     return found.agg(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+
+
+def query_names(query: str) -> tuple[list[str], bool]:
+    """The identifiers of a query in order, each once, and whether it is made of them alone."""
+    words = [w for w in query.split() if re.search(r"[^\W_]", w)]
+    names = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in words if T.is_identifier(w)]
+    return list(dict.fromkeys(names)), bool(words) and len(names) == len(words)
+
+
+def lone_identifier(query: str, known: list[str]) -> bool:
+    """Whether just one token of a query is known, and is written like code: with _, :: or an upper letter after a lower one."""
+    found = [t for t in query_tokens(query) if len(t) > 1 and t in known]
+    words = (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in query.split())
+    return len(found) == 1 and any(w.lower() == found[0] and re.search(r"_|::|[a-z][A-Z]", w) for w in words)
+
+
+def is_machine_prompt(text: str) -> bool:
+    """Whether a prompt opens with a tag, as programs write them, not people."""
+    return bool(re.match(r"\s*<[A-Za-z]", text))
+
+
+PAGE_LINES, ALL_LINES = 2, 8
+
+
+def hint_rows(lines: DataFrame, page_lines: int = PAGE_LINES, all_lines: int = ALL_LINES) -> DataFrame:
+    """The lines of a hint in order (page_rank, rn): no tests or nested items, none that holds another shown line of its
+    page, two a page and eight in all. lines: page_rank, page_id, rn, start_line, end_line, test, nested."""
+    shown = lines.filter("not test and not nested")
+    inner = shown.select(F.col("page_id").alias("i_page"), F.col("start_line").alias("i_start"), F.col("end_line").alias("i_end"), F.col("rn").alias("i_rn"))
+    holds = (F.col("page_id") == F.col("i_page")) & (F.col("rn") != F.col("i_rn")) & (F.col("start_line") <= F.col("i_start")) & (F.col("i_end") <= F.col("end_line"))
+    plain = shown.join(inner, holds, "left_anti")
+    few = plain.withColumn("rn", F.row_number().over(W.partitionBy("page_id").orderBy("rn"))).filter(F.col("rn") <= page_lines)
+    return few.orderBy("page_rank", "rn").limit(all_lines)
+
+
+def rendered_lines(hits: DataFrame) -> DataFrame:
+    """(rank, line): each hit (rank, path, title, score, snippet, symbols) as text, its symbol lines under it."""
+    head = F.concat_ws("  ", F.col("path"), F.col("title"), F.format_number("score", 2))
+    own = F.transform(F.coalesce("symbols", F.array().cast("array<struct<start:int,end:int,name:string,signature:string>>")), lambda s: F.concat(F.lit("  "), F.col("path"), F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit("  "), s["name"], F.lit("  "), T.clip(T.one_line(s["signature"]), 120)))
+    said = F.when(F.col("snippet").isNotNull(), F.array(F.concat(F.lit("  "), "snippet"))).otherwise(F.array().cast("array<string>"))
+    return hits.select("rank", F.array_join(F.concat(F.array(head), own, said), "\n").alias("line"))

@@ -161,6 +161,18 @@ def _shared_words(docs, items, k):
     return words.mapInArrow(run, "item_id long, doc_id long, n long")
 
 
+def date_token_search(spark, sf):
+    """Orders as notes of their day: a date in the query is a word of its own."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", (F.col("o_custkey") % 2 == 0).alias("note"))
+    return S.search(o, "urgent 1998-07-03", S.Fields(id="o_orderkey", title="o_orderpriority"), limit=40, digits=6, dated=("o_orderdate", "note")).select("o_orderkey", "score")
+
+
+def hint_rows(spark, sf):
+    """Lines of orders as items of pages: two a page and eight in all."""
+    li = table(spark, sf, "lineitem").filter("l_orderkey < 40").select(F.col("l_orderkey").alias("page_id"), F.col("l_orderkey").alias("page_rank"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("rn"), (F.col("l_partkey") % 50).alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("int") % 30).alias("end_line"), (F.col("l_tax") > 0.07).alias("test"), (F.col("l_discount") > 0.09).alias("nested"))
+    return S.hint_rows(li).select("page_id", F.col("rn").cast("long").alias("rn"), F.col("start_line").cast("long").alias("start_line"))
+
+
 def eval_mrr_whole(spark, sf):
     """Each benchmark item as a query of all its words; the documents that hold its whole text are the expected ones."""
     items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
@@ -218,6 +230,15 @@ QUERIES = {
           order by score desc, id limit 10)
         order by trust desc, score desc, id limit 2"""),
     "eval_mrr": (eval_mrr_whole, _EVAL_SQL),
+    "date_token_search": (date_token_search, """
+        with f as (select o_orderkey, o_orderpriority = '1-URGENT' as a, o_custkey % 2 = 0 and o_orderdate::date = date '1998-07-03' as b from orders),
+        s as (select count(*)::double as n, count_if(a)::double as na, count_if(b)::double as nb from f)
+        select o_orderkey, round(3.0 * (case when a then ln(1 + (n - na + 0.5) / (na + 0.5)) else 0 end + case when b then ln(1 + (n - nb + 0.5) / (nb + 0.5)) else 0 end), 6) as score
+        from f, s where a or b order by score desc, o_orderkey limit 40"""),
+    "hint_rows": (hint_rows, """
+        with l as (select l_orderkey as page_id, l_linenumber * 1000000 + l_partkey as rn, l_partkey % 50 as a, l_partkey % 50 + trunc(l_quantity)::bigint % 30 as b from lineitem where l_orderkey < 40 and not l_tax > 0.07 and not l_discount > 0.09),
+        k as (select *, row_number() over (partition by page_id order by rn) as place from l x where not exists (select 1 from l y where y.page_id = x.page_id and y.rn <> x.rn and x.a <= y.a and y.b <= x.b))
+        select page_id, place as rn, a as start_line from k where place <= 2 order by page_id, place limit 8"""),
     "label_search": (label_search, """
         with s as (select conv_id, turn, role, length(text) - length(replace(text, chr(10), '')) + 1 as n from conversations),
         l as (select *, coalesce(sum(n + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) + 1 as start from s)

@@ -62,3 +62,29 @@ def test_lint_and_rendering(engine):
     assert [r["target"] for r in lint["broken"].collect()] == ["Gone"]
     assert engine.rendered().count() == engine.pages.count()
     assert engine.fingerprints().select("fingerprint").distinct().count() == engine.pages.count()
+
+
+def test_answers_show_lines_and_definitions(engine):
+    paths = {r["path"]: r["id"] for r in engine.pages.collect()}
+    got = engine.answer("cart total").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    shown = {r["path"]: [s["name"] for s in r["symbols"] or []] for r in got}
+    assert "total" in shown["shop/cart.py"] and len(shown["shop/cart.py"]) <= 3
+    named = engine.answer("price_of Cart::add").collect()
+    assert [(r["path"], [s["name"] for s in r["symbols"]]) for r in named] == [("shop/prices.py", ["price_of"]), ("shop/cart.py", ["add"])]
+    assert [r["name"] for r in engine.not_found("price_of no_such_thing").collect()] == ["no_such_thing"] and engine.not_found("plain words").count() == 0
+    assert {r["id"] for r in engine.search("pricing").collect()} == {paths["docs/prices.md"], paths["shop/prices.py"]}  # by its stem
+    assert "shop/prices.py:5-10  price_of" in "\n".join(r["line"] for r in engine.answer_lines("price_of").collect())
+    assert paths["docs/prices.md"] in {r["id"] for r in engine.candidates("elsewhere/prices.md").collect()}
+    lines = engine.hint_lines("please look at the cart total").collect()
+    assert 1 <= len(lines) <= 8 and ("shop/cart.py", "total") in {(r["path"], r["name"]) for r in lines}
+    assert engine.hint_lines("<note> cart total").count() == 0
+
+
+def test_stems():
+    from docgraph.functions.stem import english, stem
+
+    pairs = "consistency consist conspicuously conspicu knackeries knackeri kneaded knead happiness happi ties tie gas gas hoping hope hopping hop generously generous rationally ration skies sky early earli agreed agre controlling control"
+    words = pairs.split()
+    assert [english(w) for w in words[::2]] == words[1::2]
+    assert stem("mcp-running") == "mcp-run" and stem("сервери") == "сервери"
