@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,6 +23,22 @@ FILTER_BITS_AN_ID = 12
 FILTER_BYTES = 32 << 20
 
 
+#: From this size on, memory goes back to the system as soon as it is free; Python's workers outlive their tasks.
+RETURNED = 1 << 20
+
+
+def _return_memory() -> None:
+    """Ask the C library to map blocks of RETURNED bytes apart and to give back its heap's end; Arrow to use it as well."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, RETURNED)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, RETURNED)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
