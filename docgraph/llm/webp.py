@@ -10,7 +10,8 @@ The encoder for payloads stores bytes as grey pixels, 64 to a row, with subtract
 and back-references for repeated lines and runs. The encoder for images takes any transforms, a cache and code groups.
 
 Edge cases of the query: a null or empty text is 64 zero bytes; payloads over 16,384 rows get wider rows, whose last row
-is filled with zeros that reading back cuts off; equal texts give equal bytes; repeated rows keep their rows; an empty
+is filled with zeros that reading back cuts off; payloads over MOST bytes, more than an image holds, are several files one
+after another; equal texts give equal bytes; repeated rows keep their rows; an empty
 table gives no rows; other columns don't matter.
 """
 
@@ -30,6 +31,7 @@ from docgraph.llm.common import materialize, table
 
 ROW = 64
 SIDE = 1 << 14
+MOST = SIDE * SIDE
 #: Order in which lengths of the code for code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Columns and rows back of the 120 short distances.
@@ -794,11 +796,27 @@ def _features(width: int, height: int, grey: np.ndarray) -> str:
     values = np.arange(256)
     mean = float((counts * values).sum() / len(grey))
     spread = float(((counts * values * values).sum() / len(grey) - mean * mean))
-    flat = grey.reshape(-1, 8)[: len(grey) // 64 * 8].sum(axis=1, dtype=np.int64).reshape(-1, 8).sum(axis=0) if len(grey) < 64 * 64 else np.add.reduceat(grey.astype(np.int64), np.arange(64) * (len(grey) // 64))
+    flat = np.add.reduceat(grey.astype(np.int64), np.arange(64) * (len(grey) // 64))
     mark = "".join("1" if x else "0" for x in (flat > flat.mean()).tolist())
     return f"{width}x{height};mean={mean:.4f};var={spread:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};hash={int(mark, 2):x}"
 
 
+def encode_payload(payload: bytes) -> bytes:
+    """A payload of any size as one file, or as several."""
+    return b"".join(encode_bytes(payload[lo : lo + MOST]) for lo in range(0, len(payload), MOST))
+
+
+def decode_payload(media: bytes, size: int) -> tuple[int, int, np.ndarray]:
+    """Width, height and grey values of a payload of so many bytes; width of the first file, height of all together."""
+    parts, at, width, height = [], 0, 0, 0
+    while at < len(media):
+        end = at + 8 + struct.unpack_from("<I", media, at + 4)[0]
+        w, h, px = decode(media[at:end])
+        width, height, at = width or w, height + h, end
+        parts.append((px & np.uint32(255)).astype(np.uint8)[: min(MOST, size - MOST * len(parts))])
+    return width, height, np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def to_images(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, media): texts as lossless WebP files."""
 
@@ -809,7 +827,7 @@ def to_images(docs: DataFrame) -> DataFrame:
                 raw = (text or "").encode()
                 if (got := known.get(raw)) is None:
                     padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-                    got = (len(raw), len(padded), encode_bytes(padded))
+                    got = (len(raw), len(padded), encode_payload(padded))
                     if len(raw) < 4096:
                         known[raw] = got
                 out.append(got)
@@ -848,9 +866,8 @@ def read_back(images: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for size, media in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                width, height, px = decode(media)
-                grey = (px & np.uint32(255)).astype(np.uint8)
-                payload = grey[:size].tobytes()
+                width, height, grey = decode_payload(media, size)
+                payload = grey.tobytes()
                 out.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), _features(width, height, grey)))
             types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], names)

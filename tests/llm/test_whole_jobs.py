@@ -317,6 +317,13 @@ def test_webp_of_another_encoder():
     assert (width, height, len(px)) == (1, 1, 1) and int(px[0]) >> 24 == 0
 
 
+def test_webp_payloads_of_several_files(monkeypatch):
+    monkeypatch.setattr(webp, "MOST", 128)
+    payload = bytes(range(256)) + b"ab" * 32
+    media = webp.encode_payload(payload)
+    assert media.count(b"WEBPVP8L") == 3 and webp.decode_payload(media, len(payload))[2].tobytes() == payload
+
+
 def test_neighbours_reach_recall_on_random_directions(spark):
     x = np.random.default_rng(8).standard_normal((3000, 24)).astype(np.float32)
     got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
