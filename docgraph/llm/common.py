@@ -39,7 +39,19 @@ def _return_memory() -> None:
 _return_memory()
 
 
+#: Rows of a batch that goes to Python, at most: texts are long, and a batch is held by Spark and by Python.
+BATCH_ROWS = 2_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let this session's batches for Python have BATCH_ROWS rows at most; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +71,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends there, whoever dies later."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -297,7 +297,8 @@ def _by_texts(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             once = list({k: i for i, k in enumerate(keys)}.values())
-            batch = batch.take(pa.array(once, pa.int64()))
+            if len(once) < len(keys):
+                batch = batch.take(pa.array(once, pa.int64()))
             letter, total, at, h, times, strings = _scan(batch.column(2).to_pylist(), sent.value)
             order = np.argsort(at, kind="stable")
             offsets = pa.array(np.searchsorted(at[order], np.arange(len(once) + 1)).astype(np.int32))

@@ -118,8 +118,9 @@ def depth_of(rows: int, rows_a_part: int = ROWS_A_PART) -> int:
     return depth
 
 
-def learn(sample: np.ndarray, depth: int, recall: float = RECALL) -> tuple[Classifier | None, int, float]:
-    """Classifier, how many of the 2 ** depth parts to probe, and the recall that this reached on held-out sample vectors."""
+def learn(sample: np.ndarray, rows: int, recall: float = RECALL, rows_a_part: int = ROWS_A_PART) -> tuple[Classifier | None, int, float]:
+    """Classifier, how many parts to probe, and the recall that this reached on held-out sample vectors."""
+    depth = depth_of(rows, rows_a_part)
     if not depth or len(sample) < 16:
         return None, 1, 1.0
     rng = np.random.default_rng(SEED)
@@ -218,7 +219,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, rows_a_part:
     long_ = np.diff(drawn.offsets.to_numpy()) if len(drawn) else np.zeros(0, np.int64)
     d = int(np.bincount(long_).argmax()) if len(drawn) else 1
     index = index.filter(F.size("v") == d)
-    model, probes, _ = learn(_matrix(drawn.filter(pa.array(long_ == d)), d), depth, recall)
+    model, probes, _ = learn(_matrix(drawn.filter(pa.array(long_ == d)), d), n, recall, rows_a_part)
     parts = 1 << depth if model else 1
     sent = spark.sparkContext.broadcast(model)
 
