@@ -132,11 +132,9 @@ QUERIES = {
         select doc_id, case when lo > 1 then '…' else '' end || trim(regexp_replace(substr(text, lo, hi - lo), '\s+', ' ', 'g')) || case when hi <= length(text) then '…' else '' end as around
         from (select doc_id, text, greatest(p - 60, 1) as lo, least(p + 64, length(text) + 1) as hi from (select doc_id, text, instr(lower(text), 'eren') as p from documents) where p > 0)"""),
     "first_sentence": (first_sentence, r"""
-        with d as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents),
-        e as (select doc_id, t, unnest(range(1, length(t) + 1)) as i from d),
-        f as (select doc_id, min(i) as i from e where substr(t, i, 1) in ('.', '!', '?') and (i = length(t) or substr(t, i + 1, 1) = ' ')
-          and not (i > 1 and regexp_matches(substr(t, i - 1, 1), '\p{Lu}') and (i = 2 or substr(t, i - 2, 1) in (' ', '.'))) group by doc_id)
-        select d.doc_id, case when f.i is null then t else substr(t, 1, f.i) end as sentence from d left join f using (doc_id)"""),
+        with d as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as w from documents),
+        e as (select doc_id, w, list_position(list_transform(w, lambda x: regexp_matches(x, '[.!?]$') and not regexp_matches(x, '(^|\.)\p{Lu}[.!?]$')), true) as k from d)
+        select doc_id, array_to_string(case when coalesce(k, 0) = 0 then w else w[1 : k] end, ' ') as sentence from e"""),
     "tokenize": (tokenize, r"""
         select item_id, string_agg(w, ' ' order by i) as tokens from (
           select item_id, w, min(i) as i from (
