@@ -189,7 +189,8 @@ def _taken(placed: DataFrame, plan: list, block: int, seed: int) -> DataFrame:
     first, last = F.col("start"), F.col("start") + F.col("size") - 1
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(first / block), F.floor(last / block)))
     pieces = placed.withColumn("block", F.explode_outer(blocks))
-    joined = pieces.join(slots, ["six", "block"], "left")
+    # slots grow with the corpus, though Spark takes what comes of one drawing task for small: never broadcast
+    joined = pieces.join(slots.hint("merge"), ["six", "block"], "left")
     lo = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     hi = F.when(F.col("words").isNotNull(), F.least(F.col("size"), F.col("block") * block + F.col("words") - F.col("start"))).otherwise(lo)
     return joined.withColumn("word_lo", lo).withColumn("word_hi", F.greatest(lo, hi))
