@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import WORD, free_name, table, word_count
+from docgraph.llm.common import WORD, free_name, partitions, table, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -134,7 +134,7 @@ def _slots(spark: SparkSession, plan: list[tuple], block: int, seed: int) -> Dat
                 yield pd.concat(out)
 
     # one task draws, as each shard depends on those before: a few numbers for each of at most MOST_SHARDS shards
-    drawn = spark.range(0, 1, 1, 1).mapInPandas(draw, "shard long, six int, lo long, hi long").repartition("shard", "six")
+    drawn = spark.range(0, 1, 1, 1).mapInPandas(draw, "shard long, six int, lo long, hi long").repartition(partitions(spark), "shard", "six")
     lines = {p[0]: p for p in plan}
 
     def fill(batches):
