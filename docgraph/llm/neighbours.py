@@ -12,7 +12,8 @@ its TOP + 1 best, however many parts there are. A cell is searched in blocks of
 block stay in memory while its rows stream past, part by part.
 
 The sample has SAMPLE_A_PART vectors a part, LEAST_SAMPLE at least and MOST_SAMPLE at most, from which it follows that
-there are at most MOST_SAMPLE / SAMPLE_A_PART parts; parts of a larger table are larger. A table of ROWS_A_PART entries
+there are at most MOST_SAMPLE / SAMPLE_A_PART parts; parts of a larger table are larger. One task learns from it, HELD
+numbers of a matrix at a time; the driver gets the classifier alone. A table of ROWS_A_PART entries
 or less is one part. These are parameters; nothing else depends on the size of the table.
 
 Edge cases: vectors that are null, empty, zero, of another length than most of the sample, or hold null or non-finite
@@ -23,8 +24,11 @@ don't matter.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,17 +47,20 @@ QUERIES_A_BLOCK = 4096
 NEAR = 12
 RECALL = 0.94
 HIDDEN = 128
+#: Numbers of a matrix of the sample against itself or against the parts that are held at a time while learning.
+HELD = 1 << 21
 SEED = 5
 
 
 def knn(x: np.ndarray, queries: np.ndarray, k: int, own: bool) -> np.ndarray:
     """Indexes of the k rows of x of largest inner product, for each query; own: queries are x itself."""
-    out = []
-    for lo in range(0, len(queries), 256):
-        s = queries[lo : lo + 256] @ x.T
+    out, step = [], min(256, max(1, HELD // max(1, len(x))))
+    for lo in range(0, len(queries), step):
+        s = queries[lo : lo + step] @ x.T
         if own:
             s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
-        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
+        # a copy: a slice would keep all columns in memory
+        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -92,12 +99,15 @@ class Classifier:
         a, b, c, d = self.w
         return np.maximum(x @ a + b, 0) @ c + d
 
-    def fit(self, x: np.ndarray, target: np.ndarray, rng, epochs: int = 30, step: float = 3e-3) -> None:
+    def fit(self, x: np.ndarray, labels: np.ndarray, weights: np.ndarray, rng, epochs: int = 30, step: float = 3e-3) -> None:
+        """The target of a row of x gives each of its labels (parts) that label's weight; repeated ones add up."""
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for lo in range(0, len(x), 256):
-                xb, yb = x[order[lo : lo + 256]], target[order[lo : lo + 256]]
+                own = order[lo : lo + 256]
+                xb, yb = x[own], np.zeros((len(own), len(self.w[3])))
+                np.add.at(yb, (np.arange(len(own))[:, None], labels[own]), weights)
                 h = np.maximum(xb @ self.w[0] + self.w[1], 0)
                 z = h @ self.w[2] + self.w[3]
                 p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -130,16 +140,18 @@ def learn(sample: np.ndarray, rows: int, recall: float = RECALL, rows_a_part: in
     graph = knn(known, known, near, own=True)
     part = bisect(graph, depth, rng)
     parts = 1 << depth
-    target = np.zeros((len(known), parts))
-    np.add.at(target, (np.repeat(np.arange(len(known)), near), part[graph].ravel()), 1.0)
-    target[np.arange(len(known)), part] += near / 2
+    weights = np.array([1.0] * near + [near / 2])
     model = Classifier(sample.shape[1], parts, rng)
-    model.fit(known, target / target.sum(axis=1, keepdims=True), rng)
+    model.fit(known, np.column_stack([part[graph], part]), weights / weights.sum(), rng)
     # rows are dealt by the classifier, so recall is measured on such parts; near ones by the sample's own density
-    dealt = model.logits(known).argmax(axis=1)
+    step = max(1, HELD // parts)
+    dealt = np.concatenate([model.logits(known[lo : lo + step]).argmax(axis=1) for lo in range(0, len(known), step)])
     near = dealt[knn(known, test, min(TOP, len(known)), own=False)]
-    rank = np.argsort(np.argsort(-model.logits(test), axis=1), axis=1)
-    reach = np.take_along_axis(rank, near, axis=1)
+    reach = []
+    for lo in range(0, len(test), step):
+        rank = np.argsort(np.argsort(-model.logits(test[lo : lo + step]), axis=1), axis=1)
+        reach.append(np.take_along_axis(rank, near[lo : lo + step], axis=1))
+    reach = np.concatenate(reach)
     for probes in range(1, parts + 1):
         got = float((reach < probes).mean())
         if got >= recall:
@@ -215,11 +227,24 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, rows_a_part:
     # the sample: the entries of least hash, a bounded number, of which those that can't be are left out first
     mark = F.pmod(F.xxhash64("vid"), F.lit(1 << 30))
     drawn = index.select(mark.alias("mark"), "vid", "v").filter(F.col("mark") < int((1 << 30) * min(1.0, 1.2 * size / max(n, 1) + 64 / max(n, 1))))
-    drawn = drawn.orderBy("mark", "vid").limit(size).select("v").toArrow()["v"].combine_chunks()
-    long_ = np.diff(drawn.offsets.to_numpy()) if len(drawn) else np.zeros(0, np.int64)
-    d = int(np.bincount(long_).argmax()) if len(drawn) else 1
+
+    def taught(batches):
+        """In one task, which has room for the sample: the driver gets the classifier alone."""
+        by: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            long_ = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for k in np.unique(long_).tolist():
+                by.setdefault(k, []).append(_matrix(batch.column(0).filter(pa.array(long_ == k)), k))
+        if by:
+            d = max(by, key=lambda k: (sum(map(len, by[k])), -k))
+            own = np.concatenate(by.pop(d))
+            by.clear()
+            model, probes, _ = learn(own, n, recall, rows_a_part)
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([probes], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["d", "probes", "model"])
+
+    row = drawn.orderBy("mark", "vid").limit(size).select("v").mapInArrow(taught, "d int, probes int, model binary").collect()
+    d, probes, model = (row[0]["d"], row[0]["probes"], pickle.loads(row[0]["model"])) if row else (1, 1, None)
     index = index.filter(F.size("v") == d)
-    model, probes, _ = learn(_matrix(drawn.filter(pa.array(long_ == d)), d), n, recall, rows_a_part)
     parts = 1 << depth if model else 1
     sent = spark.sparkContext.broadcast(model)
 

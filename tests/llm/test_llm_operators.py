@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -354,3 +355,17 @@ def test_quotes_equal_their_sql(spark):
     names = quotes.link_quotes(df).columns
     assert sorted(want.columns) == sorted(names)
     assert sorted(map(str, con.sql(quotes.ORACLE_SQL).project(", ".join(names)).fetchall())) == sorted(str(tuple(r)) for r in quotes.link_quotes(df).collect())
+
+
+def test_the_driver_does_not_learn_from_the_sample(spark, monkeypatch):
+    learn, here = neighbours.learn, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != here
+        return learn(*args)
+
+    monkeypatch.setattr(neighbours, "learn", elsewhere)
+    x = np.random.default_rng(6).standard_normal((900, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, [1.0] * 3) for i in range(40)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_a_part=200).collect()
+    assert {r.query_id for r in got} == set(range(0, 900, 20)) and max(r.vec_id for r in got) < 900

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,15 @@ def test_learned_partitions_reach_the_recall_they_claim():
     near = neighbours.knn(x, q, 20, own=False)
     rank = np.argsort(np.argsort(-model.logits(q), axis=1), axis=1)
     assert claimed >= 0.95 and probes < 8 and (np.take_along_axis(rank, dealt[near], axis=1) < probes).mean() >= 0.9
+
+
+def test_learning_holds_little_of_the_sample_against_itself():
+    x = np.random.default_rng(3).standard_normal((6000, 8))
+    tracemalloc.start()
+    try:
+        near = neighbours.knn(x, x, 12, own=True)
+        neighbours.learn(x, 60_000, 0.5, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert near.shape == (6000, 12) and (near != np.arange(6000)[:, None]).all() and peak < 120e6
