@@ -7,6 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -141,17 +142,20 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def only(docs: DataFrame, ids: DataFrame, hit: bool = True) -> DataFrame:
-    """docs whose doc_id may be in ids, which spares the shuffle the others; or, without hit, just the others."""
+def only(docs: DataFrame, ids: DataFrame, hit: bool = True, also: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """docs whose doc_id may be in ids, which spares the shuffle the others; or, without hit, just the others.
+
+    also: turns batches of these into ones of `schema`, in the same worker of Python."""
     held = docs.sparkSession.sparkContext.broadcast(id_filter(ids, F.xxhash64("doc_id")))
-    schema, key = docs.schema, free_name(docs.columns, "key")
+    key = free_name(docs.columns, "key")
 
     def run(batches):
         for batch in batches:
             found = held.value.has(batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False))
-            yield batch.take(pa.array(np.flatnonzero(found == hit))).drop_columns([key])
+            batch = batch.take(pa.array(np.flatnonzero(found == hit))).drop_columns([key])
+            yield also(batch) if also else batch
 
-    return docs.withColumn(key, F.xxhash64("doc_id")).mapInArrow(run, schema)
+    return docs.withColumn(key, F.xxhash64("doc_id")).mapInArrow(run, schema or docs.schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -380,13 +380,13 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
     cls, text = free_name(docs.columns, "cls"), free_name(docs.columns, "left")
 
-    def name(batches):
-        for batch in batches:
-            classes = [digest(s) for s in sets_of(batch.column(batch.schema.get_field_index("text")), width)]
-            yield batch.append_column(cls, pa.array(classes, pa.int64()))
+    def name(batch):
+        classes = [digest(s) for s in sets_of(batch.column(batch.schema.get_field_index("text")), width)]
+        return batch.append_column(cls, pa.array(classes, pa.int64()))
 
-    some = only(docs, odd)
-    here = some.filter("doc_id is not null").mapInArrow(name, f"{_ddl(some)}, `{cls}` long")
+    # one worker of Python for each task: workers stay for a while after their stage, with the memory of an executor
+    known = docs.filter("doc_id is not null")
+    here = only(known, odd, also=name, schema=f"{_ddl(docs)}, `{cls}` long")
     id_, comp = free_name(docs.columns, "id"), free_name(docs.columns, "comp")
     told = told.select(F.col("doc_id").alias(id_), F.col("cls").alias(f"{cls}_"), F.col("comp").alias(comp), "goes")
     same = [F.col("doc_id").cast("long") == F.col(id_), F.col(cls) == F.col(f"{cls}_")]
@@ -394,7 +394,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     here = here.join(told.filter("not goes").drop("goes"), same, "left")
     here = here.withColumn(text, F.when(F.col(comp).isNull(), F.coalesce("text", F.lit(""))))
     here = here.dropDuplicates(["doc_id", comp, text]).select(*docs.columns)
-    return only(docs, odd, hit=False).unionByName(some.filter("doc_id is null")).unionByName(here)
+    return only(known, odd, hit=False).unionByName(docs.filter("doc_id is null")).unionByName(here)
 
 
 def _ddl(docs: DataFrame) -> str:

@@ -369,3 +369,11 @@ def test_the_driver_does_not_learn_from_the_sample(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, [1.0] * 3) for i in range(40)]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_a_part=200).collect()
     assert {r.query_id for r in got} == set(range(0, 900, 20)) and max(r.vec_id for r in got) < 900
+
+
+def test_near_duplicates_go_in_one_python_worker_a_task(docs):
+    kept = jaccard.keep_one(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # rows that may have to go, with their classes, and all others; rows without a doc_id need none
+    odd = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    assert rows(jaccard.keep_one(odd).filter("doc_id is not null")) == rows(kept) and jaccard.keep_one(odd).filter("doc_id is null").count() == 3
