@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from docgraph.llm.common import id_filter, materialize, table
 
 ARCHIVE_BYTES = 4 << 20
+PIECE = 1 << 12
 SALTS = 64
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
 EPOCH = datetime(2008, 1, 1, tzinfo=timezone.utc)
@@ -86,20 +87,22 @@ def _members(content: bytes, bad: list | None = None) -> Iterator[tuple[int, byt
     if content[:2] != b"\x1f\x8b":
         yield 0, content
         return
-    at = 0
+    at, whole = 0, memoryview(content)
     while at < len(content):
-        unzip = zlib.decompressobj(31)
+        unzip, out, end = zlib.decompressobj(31), [], at
         try:
-            data = unzip.decompress(memoryview(content)[at:]) + unzip.flush()
+            # by pieces: what a call is given beyond the member's end is copied
+            while not unzip.eof and end < len(content):
+                out.append(unzip.decompress(whole[end : end + PIECE]))
+                end += PIECE
+            out.append(unzip.flush())
         except zlib.error as e:
             if bad is None:
                 raise ValueError(f"gzip member at {at}: {e}") from e
             bad.append((at, 0, "damaged gzip member"))
             return
-        yield at, data
-        if not unzip.unused_data:
-            return
-        at = len(content) - len(unzip.unused_data)
+        yield at, b"".join(out)
+        at = min(end, len(content)) - len(unzip.unused_data)
 
 
 def _arc_fields(line: bytes, version: int) -> tuple[list[str], int] | None:

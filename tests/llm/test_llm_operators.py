@@ -1,8 +1,10 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import base64
+import gzip
 import hashlib
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -112,6 +114,25 @@ def test_arc_versions_and_lengths():
     assert archives.iso("20010203040506") == "2001-02-03T04:05:06Z"
 
 
+def test_gzip_members_are_read_without_copies_of_the_rest():
+    rng, sizes = np.random.default_rng(9), [0, 1, 100, archives.PIECE, 3 * archives.PIECE, *range(archives.PIECE - 40, archives.PIECE + 10)]
+    payloads = [rng.bytes(n) for n in [*sizes, *[2000] * 600]]
+    members = [gzip.compress(p, 1, mtime=0) for p in payloads]
+    # a member of one piece to the byte; without a file name it has 18 bytes around its blocks
+    assert any(len(m) == archives.PIECE for m in members)
+    whole, at = b"".join(sorted(members, key=lambda m: len(m) != archives.PIECE)), 0
+    tracemalloc.start()
+    try:
+        for offset, data in archives._members(whole):
+            assert offset == at and gzip.compress(data, 1, mtime=0) == whole[at : at + len(gzip.compress(data, 1, mtime=0))]
+            at += len(gzip.compress(data, 1, mtime=0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert at == len(whole) and peak < len(whole) // 2
+    assert [d for _, d in archives._members(members[-1][:-4])] == [payloads[-1]]  # cut short
+
+
 def test_jaccard_components(docs):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_components(docs).collect()}
     assert {(0, 26, 0), (1, 26, 0), (2, 27, 0), (11, 26, 0), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (10, 1, 10)} <= got
