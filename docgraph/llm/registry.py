@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgraph.llm import archives, bpe, jaccard, language, mixing, neighbours, pages, quotes, repeats, webp
+from docgraph.llm import archives, bpe, fim, jaccard, language, mixing, neighbours, pages, planes, quotes, repeats, runs, webp
 
 QUERIES = {
     "op1_lossless_webp": webp.op1_lossless_webp,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_nearest": neighbours.op8_nearest,
     "op9_mixing": mixing.op9_mixing,
     "op10_quotation_linking": quotes.op10_quotation_linking,
+    "op11_plane_files": planes.op11_plane_files,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
-ORACLES = {"op7_substring_dedup": repeats.ORACLE_SQL, "op10_quotation_linking": quotes.ORACLE_SQL}
+ORACLES = {"op7_substring_dedup": repeats.ORACLE_SQL, "op10_quotation_linking": quotes.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
