@@ -15,9 +15,9 @@ writes, and a task that is lost is written anew. Where a file's ids begin among
 one number a part.
 
 Edge cases: a null or empty text has the end id alone; rows that repeat a doc_id are ordered by their content; a null
-doc_id comes last; texts beyond PIECE characters are encoded in pieces, cut where the tokenizer cuts in any case (before a
-single space between a sign and a letter), or whole if there is no such place; an empty table gives no files and no rows;
-other columns don't matter; a damaged file raises ValueError.
+doc_id comes last; texts of any length are encoded whole, word by word, and those that go to the library as they are in pieces
+of some WHOLE characters, cut where the tokenizer cuts in any case (before a single space between a sign and a letter); an empty
+table gives no files and no rows; other columns don't matter; a damaged file raises ValueError.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.llm.bpe import LETTER, NUMBER, classes, cuts
 from docgraph.llm.common import materialize, mix, partitions, table
 
 MAGIC = b"BPF1"
@@ -46,8 +49,10 @@ HEAD, TAIL, ENTRY = struct.Struct("<4sBBI"), struct.Struct("<QI4s"), struct.Stru
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Characters of a text that are encoded at once, and of texts that go to the tokenizer together.
-PIECE = 1 << 18
+#: Characters of the texts that are encoded together, and of a piece of a text that goes to the library as it is.
+PIECE, WHOLE = 1 << 16, 1 << 18
+#: Words that a task's worker knows the ids of, and words that are encoded in a row.
+KNOWN, NEW = 1 << 20, 1 << 12
 CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
 
 
@@ -155,7 +160,7 @@ def tokenizer(path: str):
     return made
 
 
-def pieces(text: str, most: int = PIECE) -> list[str]:
+def pieces(text: str, most: int = WHOLE) -> list[str]:
     """The text in pieces of about `most` characters, cut where the tokenizer cuts in any case."""
     out, lo = [], 0
     while len(text) - lo > most and (m := CUT.search(text, lo + most)):
@@ -164,24 +169,139 @@ def pieces(text: str, most: int = PIECE) -> list[str]:
     return [*out, text[lo:]]
 
 
+@lru_cache(maxsize=1 << 16)
+def _settled(char: int) -> bool:
+    """Whether every version of Unicode since 3.2 puts a code point into one class; the library's tables are older than ours."""
+    return classes()[char] not in (LETTER, NUMBER) or unicodedata.ucd_3_2_0.category(chr(char))[0] in "LN"
+
+
+def _starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of the texts joined, where the tokenizer's words start, contractions included, and where texts begin."""
+    chars, start, at = cuts(texts)
+    flag = np.zeros(len(chars) + 1, bool)
+    flag[start] = True
+    mark = np.flatnonzero((chars == ord("'")) & flag[:-1])
+    if len(mark):
+        end = at[np.searchsorted(at, mark, "right")]
+        one, two = (np.where(mark + k < end, chars[np.minimum(mark + k, len(chars) - 1)], 0) for k in (1, 2))
+        size = np.where(np.isin(one, list(map(ord, "stmd"))), 2, 0)
+        for x, y in ("re", "ve", "ll"):
+            size = np.where((one == ord(x)) & (two == ord(y)), 3, size)
+        mark, size = mark[size > 0], size[size > 0]
+        flag[mark + 1] = False
+        flag[mark + size] = True
+    return chars, np.flatnonzero(flag[:-1]), at
+
+
+def _split(chars: np.ndarray, start: np.ndarray) -> list[str]:
+    """The words that begin at `start`, by a mark between them that no text has, or one by one."""
+    if not len(start):
+        return []
+    if not chars.all():
+        joined = chars.tobytes().decode("utf-32-le", "surrogatepass")
+        return [joined[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(joined)])]
+    return np.insert(chars, start[1:], 0).tobytes().decode("utf-32-le", "surrogatepass").split("\0")
+
+
+class _Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+class Words:
+    """Ids of the words met so far, each encoded once by the library; about KNOWN words at most are kept."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = _Numbers()
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.first, self.counts, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that begin with a space and go on otherwise are cut before it whatever comes before: they are encoded in a row."""
+        spaced = np.fromiter((w[0] == " " and not w.isspace() for w in words), bool, len(words))
+        in_row, alone = np.flatnonzero(spaced), np.flatnonzero(~spaced)
+        counts, ids = np.zeros(len(words), np.int32), []
+        for lo in range(0, len(in_row), NEW):
+            own = in_row[lo : lo + NEW]
+            got = self.tokenizer.encode("".join(map(words.__getitem__, own.tolist())), add_special_tokens=False)
+            counts[own] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(own))
+            ids.append(np.array(got.ids, self.flat.dtype))
+        if len(alone):
+            each = [e.ids for e in self.tokenizer.encode_batch(list(map(words.__getitem__, alone.tolist())), add_special_tokens=False)]
+            counts[alone] = list(map(len, each))
+            ids.append(np.array(list(chain.from_iterable(each)), self.flat.dtype))
+        while self.known + len(words) > len(self.first):
+            self.first, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.counts))
+        while self.used + int(counts.sum()) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        order = np.concatenate([in_row, alone])
+        ends = self.used + np.cumsum(counts[order], dtype=np.int64)
+        self.counts[self.known : self.known + len(words)] = counts
+        self.first[self.known + order] = ends - counts[order]
+        for part in ids:
+            self.flat[self.used : self.used + len(part)] = part
+            self.used += len(part)
+        self.known += len(words)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many each has."""
+        if self.known > KNOWN:
+            self.forget()
+        codes = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.new:
+            new, self.number.new = self.number.new, []
+            self._learn(new)
+        sizes = self.counts[codes]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.flat[np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(path)
+
+
 def encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text."""
-    made = tokenizer(path)
+    """Ids of each text, as the library gives them.
+
+    Words (the tokenizer's own, none of which depends on another) are told apart by array operations and encoded once
+    each. Texts with a letter or digit that the library's tables may not know go to it whole."""
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= PIECE):
             size += len(texts[hi] or "")
             hi += 1
-        if hi == lo + 1:
-            got = [np.array(made.encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces(texts[lo] or "")]
-            yield np.concatenate(got)
-        else:
-            for e in made.encode_batch([t or "" for t in texts[lo:hi]], add_special_tokens=False):
-                yield np.array(e.ids, np.uint32)
+        own = [t or "" for t in texts[lo:hi]]
+        odd = {} if all(map(str.isascii, own)) else _unsettled(own, path)
+        chars, start, at = _starts(["" if k in odd else t for k, t in enumerate(own)])
+        ids, sizes = _words(path).ids(_split(chars, start))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, at)].tolist()
+        for k in range(len(own)):
+            yield odd[k] if k in odd else ids[ends[k] : ends[k + 1]]
         lo = hi
 
 
+def _unsettled(texts: list[str], path: str) -> dict[int, np.ndarray]:
+    """Ids of the texts with a letter or digit that the library's tables may not know."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.cumsum([len(t) for t in texts])
+    wrong = [c for c in np.unique(chars[chars > 127]).tolist() if not _settled(c)]
+    odd = np.unique(np.searchsorted(at, np.flatnonzero(np.isin(chars, wrong)), "right")).tolist() if wrong else []
+    return {k: np.concatenate([np.array(tokenizer(path).encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces(texts[k])]) for k in odd}
+
+
 def ranges(keys: DataFrame, parts: int) -> np.ndarray:
     """The `parts` - 1 doc_ids that part the rows evenly; an id with many rows may stand there more than once."""
     if parts < 2:
@@ -191,24 +311,25 @@ def ranges(keys: DataFrame, parts: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, end: int | None = END, bounds: np.ndarray | None = None) -> DataFrame:
-    """(part, doc_id, ids): each text's ids as little-endian unsigned 32-bit integers, with the end id, and the range of its doc_id."""
+    """(part, doc_id, size, ids): each text's ids as little-endian integers of `size` bytes, with the end id, and the range of its doc_id."""
     bounds = np.zeros(0, np.int64) if bounds is None else bounds
     last = np.array([] if end is None else [end], np.uint32)
 
     def run(batches):
         for batch in batches:
-            ids = [np.concatenate([i, last]).astype("<u4").tobytes() for i in encoded(batch.column(1).to_pylist(), path)]
+            size = width(max(tokenizer(path).get_vocab_size() - 1, end or 0))
+            ids = [np.concatenate([i, last]).astype(f"<u{size}").tobytes() for i in encoded(batch.column(1).to_pylist(), path)]
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             key = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             low, high = (np.where(known, np.searchsorted(bounds, key, side), len(bounds)) for side in ("left", "right"))
             part = low + (mix(np.array([zlib.crc32(i) for i in ids], np.uint64)) % (high - low + 1).astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["part", "doc_id", "size", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, size int, ids binary")
 
 
 def write_ids(tokens: DataFrame, kind: int = BYTES, chunk: int = CHUNK, level: int = LEVEL, file_ids: int = FILE_IDS) -> DataFrame:
-    """The files (part, file, base, n_docs, n_ids, content) of tokens (part, doc_id, ids), parts being ranges of doc_id that ascend.
+    """The files (part, file, base, n_docs, n_ids, content) of tokens (part, doc_id, size, ids), parts being ranges of doc_id that ascend.
 
     base: ids of the part's files before; file: number within the part. They are written to the shared folder."""
     parts = partitions(tokens.sparkSession)
@@ -221,13 +342,13 @@ def write_ids(tokens: DataFrame, kind: int = BYTES, chunk: int = CHUNK, level: i
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "file", "base", "n_docs", "n_ids", "content"])
 
         for batch in batches:
-            for own, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for own, doc, bytes_, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 if held and (own != part or size >= file_ids):
                     yield done()
                     number, base = (0, 0) if own != part else (number + 1, base + size)
                     held, size = [], 0
                 part = own
-                held.append((doc, np.frombuffer(raw.as_buffer(), "<u4")))
+                held.append((doc, np.frombuffer(raw.as_buffer(), f"<u{bytes_}")))
                 size += len(held[-1][1])
         if held:
             yield done()
