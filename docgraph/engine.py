@@ -19,6 +19,8 @@ class Engine:
 
     def __init__(self, pages: DataFrame, edges: DataFrame, ranks: DataFrame, items: DataFrame, calls: DataFrame):
         self.pages, self.edges, self.ranks, self.items, self.calls_ = pages, edges, ranks, items, calls
+        self._fields: DataFrame | None = None
+        self._labels: DataFrame | None = None
 
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame) -> Engine:
@@ -33,9 +35,9 @@ class Engine:
         ids = cut(identity.assign(rows.select("name", "path")))
         pages = cut(rows.join(ids.select("path", "id"), "path").withColumnRenamed("name", "title"))
 
-        items = cut(extract.items(files).join(ids.select(F.col("path").alias("page_id"), "id"), "page_id"))
+        items = cut(search.item_facts(extract.items(files).join(ids.select(F.col("path").alias("page_id"), "id"), "page_id")))
         links = graph.link_edges(pages).withColumn("kind", F.lit("link"))
-        said = graph.mentions(pages, pages.select("id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")), 6)
+        said = graph.mentions(pages, pages.select("id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")))
         said = graph.code_mentions(said, pages).withColumn("kind", F.lit("mention"))
         stems = pages.filter("kind like 'code:%'").select("id", "path", T.module_stem("path").alias("stem"), T.source_rank("path").alias("rank"))
         defined = resolve.defined_fold(items.filter("public and owner is null").join(stems.select("id", "rank"), "id").select("name", "id", "rank"))
@@ -66,38 +68,55 @@ class Engine:
         return catalog.render(self.catalog())
 
     def _searchable(self) -> tuple[DataFrame, search.Fields]:
-        symbols = self.items.filter("not test and kind not in ('module', 'top_level') and not (nested and kind = 'value')").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("symbols"), F.array_join(F.array_sort(F.collect_set("doc")), " ").alias("docs"))
-        rows = self.pages.join(symbols, "id", "left").join(self.ranks, "id", "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
-        return rows, search.Fields("id", "title", "body", "summary", "aliases", "headings", "path", "symbols", "docs")
+        """Pages with the fields that a search looks at; symbol fields are made once."""
+        if self._fields is None:
+            own = self.items.filter("not test and kind not in ('module', 'top_level') and not (nested and kind = 'value')").select("id", "name", "owner", "doc", T.qualified_name("owner", "name").alias("qualified"))
+            titles = self.pages.select("id", F.split(F.lower("title"), r"\s+").alias("said"))
+            own = own.join(titles, "id")
+            # names that are words of the page's own title say nothing more; a method is known by its owner too
+            whole = F.array_compact(F.array(F.when(~F.array_contains("said", F.lower("name")), F.lower("name")), F.when(F.col("owner").isNotNull(), F.lower("qualified"))))
+            words = F.array_except(T.name_words("name"), "said")
+            symbols = own.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(whole)))).alias("symbols"), F.array_distinct(F.flatten(F.collect_list(words))).alias("symbol_words"), F.array_join(F.array_sort(F.collect_set("doc")), " ").alias("docs"))
+            symbols = symbols.withColumn("symbol_words", F.array_sort(F.array_except("symbol_words", "symbols")))
+            none = F.array().cast("array<string>")
+            rows = self.pages.join(symbols, "id", "left").join(self.ranks, "id", "left")
+            self._fields = cut(rows.withColumns({c: F.coalesce(c, none) for c in ("symbols", "symbol_words")}))
+        return self._fields, search.Fields("id", "title", "body", "summary", "aliases", "headings", "path", "symbols", "docs", "symbol_words")
 
     def search(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
         """id, score, snippet; without words but with a tag, its pages by path."""
+        return self._answer(query, kind, tag, limit).top
+
+    def _answer(self, query: str, kind: str | None, tag: str | None, limit: int) -> search.Answer:
         rows, fields = self._searchable()
         if kind:
             rows = rows.filter(T.kind_filter("kind", kind))
         if tag:
-            rows = rows.filter(T.tag_filter("tags", tag))
             if not search.query_tokens(query):
-                return rows.orderBy("path", "id").select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
-        return search.search(rows, query, fields, limit, rank="rank", stems=True)
+                found = search.tagged(rows, tag, limit=limit).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
+                return search.Answer(found, [], [], [])
+            rows = rows.filter(T.tag_filter("tags", tag))
+        return search.answer(rows, query, fields, limit, rank="rank", stems=True)
 
     def answer(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
         """rank, id, path, title, score, snippet and symbols (up to three lines of code a page) of a search.
 
-        What identifiers in the query name is shown too: a query of them alone gives just their definitions, page by page."""
-        spark, tokens = self.pages.sparkSession, search.query_tokens(query)
-        hits = cut(self.search(query, kind, tag, limit))
+        What identifiers in the query name is shown too: a query of them alone gives just their definitions, page by page.
+        Lines that score far below the best of their answer go, unless they are their page's best."""
+        found = self._answer(query, kind, tag, limit)
+        hits = cut(found.top)
         at = self.pages.select("id", "path", "title")
         names, only = search.query_names(query)
         line = F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"), "name", F.coalesce("signature", "name").alias("signature"))
         named = self.items.limit(0).select("id", F.lit(0).alias("nth"), line.alias("line"))
         for k, name in enumerate(names):
             named = named.unionByName(self.definitions(name).select("id", F.lit(k).alias("nth"), line.alias("line")))
-        own = self.items.join(F.broadcast(hits.select("id")), "id", "left_semi").filter("kind not in ('module', 'top_level')").withColumn("page_id", F.col("id"))
-        best = search.page_symbols(search.item_scores(own, tokens, [1.0] * len(tokens))) if tokens else own.limit(0).withColumn("rn", F.lit(0))
+        own = self.items.join(F.broadcast(hits.select("id")), "id", "left_semi").filter("kind not in ('module', 'top_level') and not (nested and kind = 'value')").withColumn("page_id", F.col("id"))
+        best = search.item_scores(own, found.tokens, found.idfs) if found.tokens else own.limit(0).withColumn("score", F.lit(0.0))
+        best = search.relative_cut(search.page_symbols(best), "id", "score")
         lines = best.select("id", (F.col("rn") - 1000).alias("nth"), line.alias("line")).unionByName(named).groupBy("id", "line").agg(F.min("nth").alias("nth"))
-        if only and not (found := cut(named)).isEmpty():
-            lines = found.groupBy("id", "line").agg(F.min("nth").alias("nth"))
+        if only and not (shown := cut(named)).isEmpty():
+            lines = shown.groupBy("id", "line").agg(F.min("nth").alias("nth"))
             pages = lines.groupBy("id").agg(F.min("nth").alias("order")).join(hits, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         else:
             pages = hits.withColumn("order", F.lit(0)).unionByName(named.select("id").distinct().join(hits.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(1).alias("order")))
@@ -122,24 +141,41 @@ class Engine:
 
     def hint_lines(self, prompt: str) -> DataFrame:
         """Up to eight lines of code that a prompt speaks of: (path, start_line, end_line, name, signature)."""
-        pages = cut(self.hint(prompt)) if not search.is_machine_prompt(prompt) else self.hint("")
+        found, top = self._hint(prompt)
+        pages = cut(top)
         order = W.orderBy(F.desc("score"), "id")  # a few pages
         ranked = pages.withColumn("page_rank", F.row_number().over(order)).select("id", "page_rank")
         items = self.items.join(F.broadcast(ranked), "id").withColumn("page_id", F.col("id"))
-        tokens = [t for t in search.query_tokens(prompt) if len(t) > 1]
-        scored = search.item_scores(items, tokens, [1.0] * len(tokens)) if tokens else items.limit(0).withColumn("score", F.lit(0.0))
+        scored = search.item_scores(items, found.tokens, found.idfs) if found.tokens else items.limit(0).withColumn("score", F.lit(0.0))
         lines = search.page_symbols(scored).join(self.pages.select("id", "path"), "id")
         return search.hint_rows(lines).select("path", "start_line", "end_line", "name", "signature")
 
     def hint(self, prompt: str) -> DataFrame:
-        """Pages of code that a prompt speaks of: few, and none unless enough of it is known to the corpus."""
+        """Pages of code that a prompt speaks of: few, and none unless enough of what it says is known to the corpus; see _hint."""
+        return self._hint(prompt)[1]
+
+    def _hint(self, prompt: str, function_words: frozenset[str] | None = None) -> tuple[search.Answer, DataFrame]:
+        """None for a machine's prompt or one of fewer words than HINT_WORDS; if the best page has less than its share of what
+        the prompt's known words weigh; if these are too few and not a lone name; or if function words alone carry it."""
+        none = search.Answer(self.pages.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet")), [], [], [])
+        if search.is_machine_prompt(prompt) or len(search.prompt_tokens(prompt)) < HINT_WORDS:
+            return none, none.top
         rows, fields = self._searchable()
-        found = search.search(rows.filter(T.kind_filter("kind", "code")), prompt, fields, HINT_PAGES, rank="rank", prompt=True)
-        tokens = [t for t in search.query_tokens(prompt) if len(t) > 1]
-        if len(tokens) < HINT_WORDS and not (tokens and T.is_identifier(prompt.strip())):
-            return found.limit(0)
-        best = F.broadcast(found.agg(F.max("score").alias("best")))
-        return found.crossJoin(best).filter(F.col("score") >= HINT_SHARE * F.col("best")).drop("best")
+        code = rows.filter(T.kind_filter("kind", "code"))
+        ask = lambda text: search.answer(code, text, fields, HINT_PAGES, rank="rank", prompt=True)
+        carries = lambda found: (found.top.agg(F.max("score")).first()[0] or 0.0) >= HINT_SHARE * found.available and not found.top.isEmpty()
+        found = ask(prompt)
+        known = [found.tokens[i] for i in found.counted]
+        if not carries(found) or (len(known) < HINT_WORDS and not search.lone_identifier(prompt, known)):
+            return none, none.top
+        words = prompt.split()
+        rest = [w for w in words if not set(search.query_tokens(w)) & (search.FUNCTION_WORDS if function_words is None else function_words)]
+        if len(rest) < len(words):
+            plain = " ".join(rest)
+            if not (search.lone_identifier(plain, known) if len(search.prompt_tokens(plain)) < HINT_WORDS else carries(ask(plain))):
+                return none, none.top
+        best = F.broadcast(found.top.agg(F.max("score").alias("best")))
+        return found, found.top.crossJoin(best).filter(F.col("score") >= HINT_SHARE * F.col("best")).drop("best")
 
     def page(self, wanted: str) -> DataFrame:
         return resolve.resolve_id(self.pages, wanted)
@@ -172,8 +208,10 @@ class Engine:
     def _functions(self, name: str) -> DataFrame:
         return self.items.filter((F.col("name") == name) & F.col("kind").isin("fn", "method")).select(F.concat_ws("#", F.col("id"), F.col("ix").cast("string")).alias("id"))
 
-    def doc_search(self, query: str, limit: int = 10) -> DataFrame:
-        return labels.search(labels.labels(self.pages.filter("kind = 'markdown'"), text="body"), query, limit)
+    def doc_search(self, query: str, limit: int | None = None) -> DataFrame:
+        if self._labels is None:
+            self._labels = cut(labels.labels(self.pages.filter("kind = 'markdown'"), text="body"))
+        return labels.search(self._labels, query, limit)
 
     def lint(self) -> dict[str, DataFrame]:
         ids = self.pages.select("id")

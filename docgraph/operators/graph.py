@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.operators.order import numbered, running_total
 from docgraph.sources.shared import cut
 
 DAMPING, ROUNDS, CUT = 0.85, 40, 4
@@ -65,6 +66,36 @@ def walk(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataF
     return seen
 
 
+def walk_order(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, level, via, place) of the nodes reached, in the order in which a queue would meet them, from 1.
+
+    starts: id, nth; edges: src, dst, nth (the order of a node's edges, the least of equal ones counting). A node is known by
+    the numbers on the way on which it is first met: at one level ways sort as the queue does, so that the order is one sort
+    at the end. Cycles end where they meet what was seen."""
+    ways = F.array(F.col("nth").cast("long"))
+    kind = starts.schema["id"].dataType
+    seen = cut(starts.groupBy("id").agg(F.min("nth").alias("nth")).select("id", F.lit(0).alias("level"), F.lit(None).cast(kind).alias("via"), ways.alias("way")))
+    edges = cut(edges.groupBy("src", "dst").agg(F.min("nth").cast("long").alias("nth")))
+    frontier, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
+        step = edges.join(frontier.select(F.col("id").alias("src"), "way"), "src").select(F.col("dst").alias("id"), F.col("src").alias("via"), F.concat("way", F.array("nth")).alias("way"))
+        step = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("way", "via")).alias("x"))
+        frontier = cut(step.select("id", F.lit(level).alias("level"), F.col("x.via").alias("via"), F.col("x.way").alias("way")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if level % CUT == 0:
+            seen = cut(seen)
+    reached = seen.filter("level > 0").withColumn("__all", F.lit(0))
+    return numbered(reached, ["__all"], [F.col("level"), F.col("way")], "place").select("id", "level", "via", "place")
+
+
+def first_that_fit(rows: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
+    """rows of each group up to the first that no longer fits into the budget, with `used`: sizes so far."""
+    return running_total(rows, group, order, size.cast("long"), "used").filter(F.col("used") <= budget)
+
+
 def neighbourhood(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(id, level, via) within `depth` steps along edges in either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -92,30 +123,63 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found.join(at, "target").filter("src <> dst").select("src", "dst").distinct()
 
 
-def mentions(pages: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """(src, dst): names (id, name) that bodies (id, body) mention.
+def _twice(old: Column, k: int, seed: int):
+    return lambda x, at: F.xxhash64(x, F.get(old, at + k), F.lit(seed))
+
+
+def _run(k: int, other: str):
+    return lambda x, at: F.struct(F.lit(k).alias("p"), at.alias("pos"), x.alias("a"), F.get(F.col(other), at).alias("b"))
+
+
+def _grams(w: str, most: int) -> tuple[dict[int, tuple[str, str]], list[tuple[str, Column]]]:
+    """Columns, made in turn, of two 64-bit hashes of each run of 1, 2, 4, ... `most` words of an array, by where it starts.
+
+    A run of 2 k words is told by the runs of k words that it is made of."""
+    names, made, k = {1: ("__a1", "__b1")}, [("__a1", F.transform(w, lambda x: F.xxhash64(x))), ("__b1", F.transform(w, lambda x: F.xxhash64(x, F.lit(1))))], 1
+    while 2 * k <= most:
+        for i, c in enumerate("ab"):
+            old = F.col(names[k][i])
+            starts = F.slice(old, 1, F.greatest(F.size(w) - 2 * k + 1, F.lit(0)))
+            made.append((f"__{c}{2 * k}", F.transform(starts, _twice(old, k, i))))
+        k *= 2
+        names[k] = (f"__a{k}", f"__b{k}")
+    return names, made
+
+
+def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst): names (id, name) of any length that bodies (id, body) mention.
 
     At each word the longest name that starts there wins, ties going to the least id; a page's own name wins its place
-    but is no edge. Runs of words, of the lengths that names have, are told by 96 bits of two hashes and equi-join the
-    names, with no pair of pages ever listed; a page's runs are made from its word array in one go."""
+    but is no edge. A name of n words is told by its first and its last p words, p being the greatest power of two that
+    n holds: runs of such lengths are hashed (128 bits) from the runs of half their length, those that no name begins or ends
+    with go, and what is left is joined by place and hash. No pair of pages is listed; of names that begin alike one
+    row a length is tried at a place."""
     word = r"[\p{L}\p{M}0-9']+"
-    phrase = names.select("id", F.regexp_extract_all(F.lower("name"), F.lit(word), F.lit(0)).alias("w")).filter(F.size("w").between(1, most))
-    phrase = phrase.select(F.size("w").alias("n"), F.array_join("w", " ").alias("phrase"), F.col("id").alias("dst")).groupBy("n", "phrase").agg(F.min("dst").alias("dst"))
-    phrase = cut(phrase.select("n", F.xxhash64("phrase").alias("h"), F.hash("phrase").alias("g"), "dst"))
-    lengths = sorted(r["n"] for r in phrase.select("n").distinct().collect())  # `most` at most
-    words = pages.select(F.col("id").alias("src"), F.regexp_extract_all(F.lower("body"), F.lit(word), F.lit(0)).alias("w"))
-
-    def run(k: int) -> Column:
-        def one(at: Column) -> Column:
-            text = F.get("w", at) if k == 1 else F.array_join(F.slice("w", at + 1, k), " ")
-            return F.struct(at.alias("pos"), F.lit(k).alias("n"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"))
-
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), one)).otherwise(F.array().cast("array<struct<pos:int,n:int,h:bigint,g:int>>"))
-
-    if not lengths:
-        return words.join(phrase, F.col("src") == F.col("dst")).filter("src <> dst").select("src", "dst")
-    grams = words.select("src", F.inline(F.concat(*map(run, lengths))))
-    best = grams.join(phrase, ["n", "h", "g"]).groupBy("src", "pos").agg(F.max_by("dst", "n").alias("dst"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(word), F.lit(0))
+    phrase = names.select(words("name").alias("w"), F.col("id").alias("dst")).filter(F.size("w") > 0).groupBy("w").agg(F.min("dst").alias("dst")).withColumn("n", F.size("w"))
+    most = phrase.agg(F.max("n").alias("n")).first()["n"]
+    if most is None:
+        return pages.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    columns, made = _grams("w", most)
+    for name, column in made:
+        phrase = phrase.withColumn(name, column)
+    at = lambda c, i: F.coalesce(*[F.when(F.col("p") == k, F.get(F.col(x[c]), i)) for k, x in columns.items()])
+    p = F.greatest(*[F.when(F.col("n") >= k, k) for k in columns], F.lit(0))
+    tail = F.col("n") - F.col("p")
+    phrase = cut(phrase.withColumn("p", p).select("p", "n", "dst", *[at(c, i).alias(x) for x, c, i in (("ha", 0, F.lit(0)), ("hb", 1, F.lit(0)), ("ta", 0, tail), ("tb", 1, tail))]))
+    sizes = {r["p"] for r in phrase.select("p").distinct().collect()}  # powers of two up to the longest name
+    grams = pages.select(F.col("id").alias("src"), words("body").alias("w"))
+    for name, column in made:
+        grams = grams.withColumn(name, column)
+    runs = [F.transform(a, _run(k, b)) for k, (a, b) in columns.items() if k in sizes]
+    rows = grams.select("src", F.inline(F.concat(*runs)))
+    ends = phrase.select("p", F.col("ha").alias("a"), F.col("hb").alias("b")).union(phrase.select("p", "ta", "tb")).distinct()
+    marks = cut(rows.join(ends, ["p", "a", "b"], "left_semi"))
+    lengths = phrase.groupBy("p", F.col("ha").alias("a"), F.col("hb").alias("b")).agg(F.collect_set("n").alias("lengths"))  # at most p
+    heads = marks.join(lengths, ["p", "a", "b"]).select("src", "p", "pos", F.col("a").alias("ha"), F.col("b").alias("hb"), F.explode("lengths").alias("n"))
+    tails = marks.select("src", "p", F.col("pos").alias("end"), F.col("a").alias("ta"), F.col("b").alias("tb"))
+    whole = heads.withColumn("end", F.col("pos") + F.col("n") - F.col("p")).join(tails, ["src", "p", "end"]).join(phrase, ["p", "n", "ha", "hb", "ta", "tb"])
+    best = whole.groupBy("src", "pos").agg(F.max_by("dst", "n").alias("dst"))
     return best.filter("src <> dst").select("src", "dst").distinct()
 
 

@@ -7,52 +7,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.operators.order import free_numbers, numbered
 from docgraph.sources.shared import cut
 
 #: Ids that the catalog's own files have.
 RESERVED = ("index", "llms", "agents", "graph")
-ROUNDS = 16
 
 
 def assign(pages: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """pages (name, path) with id, independent of their order.
 
-    Rounds over ids that several pages share: those whose folders differ take one more folder in front; then all but
-    the strictly least (source rank, number of dots) add the file's kind; what still collides, or is taken or
-    reserved, is numbered by path. Only pages whose id is shared take part in a round; others are settled."""
+    While several pages share an id and don't lie in one folder, they take one more folder in front; then all but
+    the strictly least (source rank, number of dots) add the file's kind; pages that still share an id are numbered by
+    path: the first keeps the id, unless it is reserved or taken, the others take the least numbers from 2 on that no
+    page's id has. Shares are told by aggregates joined back, numbers by ranges: no group of pages has to fit into one task.
+
+    A null name or path counts as an empty one; of pages that share a path and an id it is open which takes which number."""
     spark = pages.sparkSession
-    parts = F.split("path", "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    rows = pages.withColumn("__rank", T.source_rank("path")).withColumn("id", T.slugify("name")).withColumn("__dirs", folders).withColumn("__deep", F.lit(0))
-    group = W.partitionBy("id")
-    for _ in range(ROUNDS):
-        deeper = F.when(F.size("__dirs") > F.col("__deep"), F.element_at("__dirs", -(F.col("__deep") + 1)))
-        rows = rows.withColumn("__next", deeper)
-        shared = (F.count("*").over(group) > 1) & (F.size(F.collect_set(F.coalesce("__next", F.lit(""))).over(group)) > 1)
-        move = rows.withColumn("__move", shared & F.col("__next").isNotNull())
-        move = move.withColumn("id", F.when(F.col("__move"), F.concat(T.slugify("__next"), F.lit("_"), F.col("id"))).otherwise(F.col("id"))).withColumn("__deep", F.col("__deep") + F.col("__move").cast("int"))
-        rows = cut(move)
+    parts = F.split(F.coalesce("path", F.lit("")), "/")
+    rows = pages.withColumn("__path", F.coalesce("path", F.lit(""))).withColumn("__rank", T.source_rank("__path")).withColumn("id", T.slugify(F.coalesce("name", F.lit(""))))
+    rows = cut(rows.withColumn("__dirs", F.slice(parts, 1, F.size(parts) - 1)).withColumn("__deep", F.lit(0)))
+    while True:
+        rows = rows.withColumn("__next", F.when(F.size("__dirs") > F.col("__deep"), F.element_at("__dirs", -(F.col("__deep") + 1))))
+        apart = rows.groupBy("id").agg(F.min("__dirs").alias("__a"), F.max("__dirs").alias("__z")).filter("__a <> __z").select("id", F.lit(True).alias("__apart"))
+        move = F.coalesce("__apart", F.lit(False)) & F.col("__next").isNotNull()
+        rows = rows.join(apart, "id", "left").withColumn("__move", move).drop("__apart")
+        rows = cut(rows.withColumn("id", F.when(F.col("__move"), F.concat(T.slugify("__next"), F.lit("_"), F.col("id"))).otherwise(F.col("id"))).withColumn("__deep", F.col("__deep") + F.col("__move").cast("int")))
         if rows.filter("__move").isEmpty():
             break
     # the file's kind, but not for the strict winner
-    kind = F.struct("__rank", (F.size(F.split("path", r"\.")) - 1).alias("dots"))
-    rows = rows.withColumn("__n", F.count("*").over(group)).withColumn("__kind", kind)
-    rows = rows.withColumn("__best", F.min("__kind").over(group))
-    rows = rows.withColumn("__wins", (F.col("__kind") == F.col("__best")) & (F.count_if(F.col("__kind") == F.col("__best")).over(group) == 1))
-    ext = F.regexp_replace(T.slugify(F.concat_ws("_", F.lit("x"), F.slice(F.split(T.basename("path"), r"\."), 2, 9).cast("string"))), "^x_|^x$", "")
-    rows = rows.withColumn("id", F.when((F.col("__n") > 1) & ~F.col("__wins") & (ext != ""), F.concat("id", F.lit("_"), ext)).otherwise(F.col("id")))
+    dotted = F.split(T.basename("__path"), r"\.")
+    rows = rows.withColumn("__kind", F.struct("__rank", (F.size(F.split("__path", r"\.")) - 1).alias("dots")))
+    counts = rows.groupBy("id", "__kind").agg(F.count("*").alias("__same"))
+    least = counts.groupBy("id").agg(F.sum("__same").alias("__n"), F.min(F.struct("__kind", "__same")).alias("__least")).filter("__n > 1")
+    ext = F.regexp_replace(T.slugify(F.concat_ws("_", F.lit("x"), F.slice(dotted, 2, F.greatest(F.size(dotted) - 1, F.lit(0))).cast("string"))), "^x_|^x$", "")
+    wins = F.col("__n").isNull() | ((F.col("__kind") == F.col("__least.__kind")) & (F.col("__least.__same") == 1))
+    rows = rows.join(least, "id", "left").withColumn("id", F.when(~wins & (ext != ""), F.concat("id", F.lit("_"), ext)).otherwise(F.col("id")))
+    rows = cut(rows.drop("__n", "__least"))
     # numbers by path; taken and reserved ids count as claimed
     claimed = spark.createDataFrame([(r,) for r in RESERVED], "id string")
     if taken is not None:
         claimed = claimed.unionByName(taken.select("id")).distinct()
-    rows = rows.join(claimed.select(F.col("id").alias("__c")), F.col("id") == F.col("__c"), "left")
-    base = W.partitionBy("id").orderBy("path")
-    nth = F.row_number().over(base) + F.when(F.col("__c").isNotNull(), 1).otherwise(0)
-    rows = rows.withColumn("__id", F.when(nth > 1, F.concat("id", F.lit("_"), nth.cast("string"))).otherwise(F.col("id")))
-    # a number may meet another page's own id: such pages take a mark of their path
-    again = F.row_number().over(W.partitionBy("__id").orderBy((F.col("__id") != F.col("id")).cast("int"), "path"))
-    rows = rows.withColumn("__id", F.when(again > 1, F.concat("__id", F.lit("_"), F.substring(F.sha2("path", 256), 1, 8))).otherwise(F.col("__id")))
-    return rows.drop("id").withColumnRenamed("__id", "id").select(*pages.columns, "id")
+    shared = rows.groupBy("id").agg(F.count("*").alias("__n")).join(claimed.withColumn("__c", F.lit(True)), "id", "left").filter("__n > 1 or __c").select("id", F.coalesce("__c", F.lit(False)).alias("__c"))
+    settled = rows.join(shared, "id", "left_anti")
+    several = rows.join(shared, "id")
+    order = [F.col("__path"), F.xxhash64(*pages.columns)]
+    # the first of an id that nobody else has claimed keeps it
+    placed = numbered(several, ["id"], order, "__nth").withColumn("__stays", (F.col("__nth") == 1) & ~F.col("__c"))
+    number = F.regexp_extract("id", "^(.*)_([2-9]|[1-9][0-9]+)$", 2)
+    held = rows.select("id").unionByName(claimed).distinct().filter(number != "").select(F.regexp_extract("id", "^(.*)_([0-9]+)$", 1).alias("id"), number.try_cast("long").alias("number")).filter("number is not null")
+    rest = free_numbers(placed.filter("not __stays"), ["id"], [F.col("__nth")], held, 2, "__number")
+    rest = rest.withColumn("id", F.concat("id", F.lit("_"), F.col("__number").cast("string")))
+    columns = [*pages.columns, "id"]
+    return settled.select(columns).unionByName(placed.filter("__stays").select(columns)).unionByName(rest.select(columns))
 
 
 def ordinals(rows: DataFrame, slug: str, order: list[str]) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
+from docgraph.sources.shared import cut
 
 #: Roots of imports within a crate or package.
 LOCAL_ROOTS = ("crate", "super", "self")
@@ -31,6 +33,72 @@ def pair_unique(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     return a.join(b, on).select(left_id, right_id)
 
 
+def staged_pairs(left: DataFrame, right: DataFrame, stages: list[list[str]], left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id, stage): pairs by the keys of each stage in turn, the first stage that pairs a row counting.
+
+    A key pairs where it is unique on both sides, counting rows that are paired already: what an earlier stage has paired
+    still makes a later key ambiguous, and is never paired again. Rows with a null in a key pair by it like any other value."""
+    claimed: DataFrame | None = None
+    for k, keys in enumerate(stages):
+        pairs = pair_unique(left, right, keys, left_id, right_id).withColumn("stage", F.lit(k))
+        if claimed is not None:
+            pairs = pairs.join(claimed.select(left_id), left_id, "left_anti").join(claimed.select(right_id), right_id, "left_anti")
+            pairs = claimed.unionByName(pairs)
+        claimed = cut(pairs)
+    return claimed
+
+
+DEPTH = 16
+
+
+def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(class, name, found, open) for asked (class, name): the class from which a class inherits a method, or null.
+
+    Of the bases in their written order the first counts that has the method itself or inherits it: what is reached is
+    known by the positions on the way to it, and the least way wins. open: a base from outside (null, but for `object`, which
+    bases leaves out) stands before it on a way, or is too deep to look at, and may have the method first.
+
+    bases: class, position, base; methods: class, name. A round looks at one more level for all that is asked; of several ways
+    to a class of the same length the least is kept, so that a round has a row for each class at most."""
+    ways = "array<int>"
+    here = cut(asked.select("class", "name").distinct().withColumns({"node": F.col("class"), "way": F.array().cast(ways)}))
+    found, outside = [], []
+    for level in range(depth + 1):
+        step = here.join(bases.select(F.col("class").alias("node"), F.col("position").cast("int").alias("position"), "base"), "node").withColumn("way", F.concat("way", F.array("position"))).drop("node", "position")
+        last = level >= depth
+        gone = step.filter("base is null" if not last else "true").groupBy("class", "name").agg(F.min("way").alias("way"))
+        outside.append(gone)
+        if last:
+            break
+        step = step.filter("base is not null").groupBy("class", "name", F.col("base").alias("node")).agg(F.min("way").alias("way"))
+        own = methods.select(F.col("class").alias("node"), "name", F.lit(True).alias("has")).distinct()
+        step = cut(step.join(own, ["node", "name"], "left"))
+        found.append(step.filter("has").groupBy("class", "name").agg(F.min(F.struct("way", F.col("node").alias("found"))).alias("x")).select("class", "name", "x.*"))
+        here = step.filter("has is null").select("class", "name", "node", "way")
+        if here.isEmpty():
+            break
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    best = union(found).groupBy("class", "name").agg(F.min(F.struct("way", "found")).alias("b"))
+    least = union(outside).groupBy("class", "name").agg(F.min("way").alias("o"))
+    rows = asked.select("class", "name").distinct().join(best, ["class", "name"], "left").join(least, ["class", "name"], "left")
+    return rows.select("class", "name", F.col("b.found").alias("found"), (F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.col("b.way")))).alias("open"))
+
+
+def overrides(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class, name, sub): classes below a class, at any depth, that have the method asked for themselves."""
+    below = bases.filter("base is not null").select(F.col("base").alias("node"), F.col("class").alias("sub")).distinct()
+    seen = cut(asked.select("class").distinct().withColumn("node", F.col("class")))
+    here, parts = seen, [seen.limit(0)]
+    while True:
+        step = here.join(below, "node").select("class", F.col("sub").alias("node")).distinct()
+        here = cut(step.join(reduce(lambda a, b: a.unionByName(b), parts), ["class", "node"], "left_anti"))
+        if here.isEmpty():
+            break
+        parts.append(here)
+    reached = reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("node", "sub")
+    return asked.select("class", "name").distinct().join(reached, "class").join(methods.select(F.col("class").alias("sub"), "name").distinct(), ["sub", "name"]).select("class", "name", "sub")
+
+
 def strict_winner(rows: DataFrame, group: str, order: list[str], pick: str) -> DataFrame:
     """(group, winner): the row strictly least in `order`, null where two tie."""
     key = F.struct(*order)

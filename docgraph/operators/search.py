@@ -6,6 +6,7 @@ are one aggregate, and scores join one row of statistics to the scan. Nothing bu
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -23,6 +24,13 @@ NAME, TITLE, FILE, ALIAS, SYMBOL, SYMBOL_WORD, IN_ONE_NAME, SYMBOL_DOC, SYMBOL_D
 ITEM_WHOLE, ITEM_WORD, ITEM_DOC, ITEM_DOC_REST, TEST_FACTOR = 3.5, 2.0, 1.0, 0.5, 0.5
 K1, B = 1.2, 0.75
 SYMBOLS_A_PAGE, RELATIVE_LEAST = 3, 0.3
+#: English words that say nothing of what a prompt is about; other languages' are a parameter.
+FUNCTION_WORDS = frozenset(
+    "a an the and or but nor so yet if then else than as of to in on at by for from with into onto over under up out off about via per "
+    "is are was were be been am do does did has have had will would can could shall should may might must not no "
+    "i me my we us our you your he him his she her it its they them their this that these those there here "
+    "what which who whom whose where when why how all any some each both only also very just too because while until since whether".split()
+)
 PROMPT_TERMS, NOTES_AT_MOST, NOTES_CANDIDATES, NOTE_WORD = 24, 2, 10, 4
 
 
@@ -32,6 +40,11 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w))
 
 
+def prompt_tokens(text: str) -> list[str]:
+    """The tokens of a prompt: those of two characters or more."""
+    return [t for t in query_tokens(text) if len(t) > 1]
+
+
 def query_words(tokens: list[str]) -> list[str]:
     return sorted({p for t in tokens for p in re.split(r"[\W_]+", t) if p})
 
@@ -57,6 +70,7 @@ class Fields:
     path: str | None = None
     symbols: str | None = None
     docs: str | None = None
+    symbol_words: str | None = None
 
 
 def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = False, stems: bool = False) -> DataFrame:
@@ -74,7 +88,7 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
 
     for name in ("title", "summary", "docs", "symbols"):
         if column := getattr(fields, name):
-            out = out.withColumn(f"__{name}", T.field_words(F.coalesce(F.col(column).cast("string"), F.lit("")) if name != "symbols" else F.array_join(F.col(column), " ")))
+            out = out.withColumn(f"__{name}", T.field_words(F.coalesce(F.col(column).cast("string"), F.lit("")) if name != "symbols" else F.array_join(F.col(fields.symbol_words or column), " ")))
             if stems:
                 out = out.withColumn(f"__{name}_stems", stem_words(F.col(f"__{name}")))
     body = F.lower(F.coalesce(F.col(fields.body), F.lit(""))) if fields.body else F.lit("")
@@ -93,7 +107,7 @@ def facts(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool = Fa
                 w = w + F.when(_some_hit(F.col(column), t), weight).otherwise(0.0)
         if fields.symbols:
             whole = F.array_contains(F.transform(F.col(fields.symbols), F.lower), t)
-            part = F.array_contains(F.flatten(F.transform(F.col(fields.symbols), T.name_words)), t)
+            part = F.array_contains(F.col(fields.symbol_words) if fields.symbol_words else F.flatten(F.transform(F.col(fields.symbols), T.name_words)), t)
             near = F.array_contains(F.col("__symbols_stems"), stem(t)) if stems else F.lit(False)
             w = w + F.when(whole, SYMBOL).when(part, SYMBOL_WORD).when(near, T.STEM_TIER * SYMBOL_WORD).otherwise(0.0)
         if fields.docs:
@@ -153,16 +167,30 @@ def scored(rows: DataFrame, stats: DataFrame, k: int, terms: int | None = None,
     return out.filter(hit).withColumn("score", F.round(score, digits) if digits is not None else score)
 
 
-def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None) -> DataFrame:
-    """The best pages: id, score and snippet, by score, then rank, then id. No words, no pages.
+@dataclass(frozen=True)
+class Answer:
+    """The best pages (id, score, snippet) and what the words of the query weigh: idf of each token, and which tokens count."""
+
+    top: DataFrame
+    tokens: list[str]
+    idfs: list[float]
+    counted: list[int]
+
+    @property
+    def available(self) -> float:
+        """The idf of all tokens that count."""
+        return sum(self.idfs[i] for i in self.counted)
+
+
+def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None) -> Answer:
+    """The best pages by score, then rank, then id, with the weights of the query's words. No words, no pages.
 
     dated: columns of a note's day and of whether it is a note; each date in the query is then a token of its own."""
     tokens = query_tokens(query)
     if prompt:
-        tokens = [t for t in tokens if len(t) > 1]
-        terms = terms or PROMPT_TERMS
+        tokens, terms = prompt_tokens(query), terms or PROMPT_TERMS
     if not tokens:
-        return pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
+        return Answer(pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet")), [], [], [])
     # what scores need of each page is written once: statistics, scores and ranks come from a few numbers a page
     rows, dates = facts(pages, tokens, fields, prompt, stems), query_dates(query) if dated else []
     k = len(tokens) + len(dates)
@@ -170,14 +198,25 @@ def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
         rows = date_facts(rows, len(tokens), dates, *dated)
     numbers = [f"{c}_{i}" for i in range(k) for c in ("w", "tf", "file", "hit")]
     rows = cut(rows.select(F.col(fields.id), "len", *numbers, *([rank] if rank else [])))
-    found = scored(rows, statistics(rows, k), k, terms, digits)
+    stats = cut(statistics(rows, k))
+    row = stats.first()  # one row of numbers
+    df = [row[f"df_{i}"] or 0 for i in range(len(tokens))]
+    known = sorted((i for i, d in enumerate(df) if d), key=lambda i: (df[i], i))
+    found = scored(rows, stats, k, terms, digits)
     order = [F.desc("score"), *([F.desc(rank)] if rank else []), F.asc(fields.id)]
     top = found.orderBy(*order).limit(limit).select(fields.id, "score", *([rank] if rank else []))
     if not fields.body:
-        return top.withColumn("snippet", F.lit(None).cast("string")).select(fields.id, "score", "snippet")
-    # `limit` rows go out to the pages for their texts
-    shown = pages.select(F.col(fields.id), T.snippet(F.col(fields.body), tokens).alias("snippet"))
-    return shown.join(F.broadcast(top), fields.id).orderBy(*order).select(fields.id, "score", "snippet")
+        top = top.withColumn("snippet", F.lit(None).cast("string")).select(fields.id, "score", "snippet")
+    else:
+        # `limit` rows go out to the pages for their texts
+        shown = pages.select(F.col(fields.id), T.snippet(F.col(fields.body), tokens).alias("snippet"))
+        top = shown.join(F.broadcast(top), fields.id).orderBy(*order).select(fields.id, "score", "snippet")
+    return Answer(top, tokens, [math.log(1 + (row["n"] - d + 0.5) / (d + 0.5)) for d in df], known[:terms] if terms else known)
+
+
+def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, **how) -> DataFrame:
+    """id, score and snippet of the best pages; see answer()."""
+    return answer(pages, query, fields, limit, **how).top
 
 
 def tagged(pages: DataFrame, tag: str, path: str = "path", id_: str = "id", tags: str = "tags", limit: int | None = None) -> DataFrame:
@@ -206,18 +245,29 @@ def notes_tail(notes: DataFrame, query: str, best_code: float, columns: list[str
     return top.orderBy(F.desc(trust), F.desc("score"), F.desc("updated"), "id").limit(NOTES_AT_MOST)
 
 
+def item_facts(items: DataFrame) -> DataFrame:
+    """items with the words, and their stems, of name, doc and doc_text: made once, for any number of questions."""
+    words = {"__name": T.name_words("name"), "__doc": T.field_words(F.coalesce("doc", F.lit(""))), "__rest": T.field_words(F.coalesce("doc_text", F.lit("")))}
+    rows = items.withColumns(words)
+    return rows.withColumns({f"{c}_stems": stem_words(F.col(c)) for c in words})
+
+
 def item_scores(items: DataFrame, tokens: list[str], idfs: list[float]) -> DataFrame:
-    """Score of each item (name, owner, doc, doc_text, test) for a query's tokens with their idf."""
-    words = query_words(tokens)
-    own = T.name_words("name")
-    spelled = (F.size(own) > 1) & (F.size(F.array_except(own, F.array(*map(F.lit, words)))) == 0) & (F.size(F.array_except(F.array(*map(F.lit, words)), own)) == 0)
+    """Score of each item (name, owner, doc, doc_text, test) for a query's tokens with their idf; items that nothing hits go."""
+    made = [c for c in ("__name", "__doc", "__rest", "__name_stems", "__doc_stems", "__rest_stems") if c not in items.columns]
+    rows = item_facts(items) if made else items
+    wanted = F.array(*map(F.lit, query_words(tokens)))
+    own = F.col("__name")
+    spelled = (F.size(own) > 1) & (F.size(F.array_except(own, wanted)) == 0) & (F.size(F.array_except(wanted, own)) == 0)
     total = F.lit(0.0)
     for t, v in zip(tokens, idfs):
+        parts = F.array(*[F.lit(stem(p)) for p in query_words([t])])
         whole = spelled | (F.lower("name") == t) | (F.lower(T.qualified_name("owner", "name")) == t)
-        name = F.when(whole, ITEM_WHOLE).when(F.array_contains(own, t), ITEM_WORD).otherwise(0.0)
-        doc = F.when(T.literal_hit(T.field_words(F.coalesce("doc", F.lit(""))), t), ITEM_DOC).when(T.literal_hit(T.field_words(F.coalesce("doc_text", F.lit(""))), t), ITEM_DOC_REST).otherwise(0.0)
-        total = total + v * (name + doc)
-    return items.withColumn("score", F.when(F.col("test"), total * TEST_FACTOR).otherwise(total)).filter("score > 0")
+        name = F.when(whole, ITEM_WHOLE).when(F.array_contains(own, t), ITEM_WORD).when(F.array_contains("__name_stems", stem(t)), ITEM_WORD * T.STEM_TIER).otherwise(0.0)
+        doc, rest = (T.field_tier(F.col(c), F.col(f"{c}_stems"), F.lit(t), parts) for c in ("__doc", "__rest"))
+        total = total + v * (name + F.when(doc > 0, ITEM_DOC * doc).otherwise(ITEM_DOC_REST * rest))
+    rows = rows.withColumn("score", F.when(F.col("test"), total * TEST_FACTOR).otherwise(total)).filter("score > 0")
+    return rows.drop(*made)
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list, k: int, dedupe: list[str] | None = None) -> DataFrame:

@@ -79,13 +79,40 @@ def _runs_of_items(spark, sf, length):
 def mention_ngram_join(spark, sf):
     """Documents that hold five words in a row of a benchmark item."""
     pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return G.mentions(pages, _runs_of_items(spark, sf, F.lit(5)), 5)
+    return G.mentions(pages, _runs_of_items(spark, sf, F.lit(5)))
 
 
 def mention_longest(spark, sf):
     """The same with runs of one to six words as names, of which the longest at each word counts."""
     pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return G.mentions(pages, _runs_of_items(spark, sf, 1 + F.col("item_id") % 6), 6)
+    return G.mentions(pages, _runs_of_items(spark, sf, 1 + F.col("item_id") % 6))
+
+
+def mention_long_names(spark, sf):
+    """The same with names of one to twenty-one words."""
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return G.mentions(pages, _runs_of_items(spark, sf, 1 + 5 * (F.col("item_id") % 5)))
+
+
+def free_numbers(spark, sf):
+    """Parts as pages of a few names, of which a third end in a number that others would be given."""
+    p = table(spark, sf, "part")
+    tail = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), (F.col("p_partkey") % 400).cast("string"))).otherwise("")
+    pages = p.select(F.concat(F.lit("Lot "), (F.col("p_size") % 7).cast("string"), tail).alias("name"), F.concat(F.lit("lots/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("path"))
+    return I.assign(pages).select("path", "id")
+
+
+#: One page after the other takes the first number that is free.
+_FREE_SQL = """
+        with recursive p as (select 'lots/' || lpad(p_partkey::varchar, 12, '0') as path, 'lot_' || p_size % 7 || case when p_partkey % 3 = 0 then '_' || p_partkey % 400 else '' end as slug from part),
+        o as (select *, row_number() over (partition by slug order by path) as k, count(*) over (partition by slug) as n from p),
+        h as (select s.slug, list(distinct try_cast(substr(t.slug, length(s.slug) + 2) as bigint)) as held from (select distinct slug from o where n > 1) s join (select distinct slug from p) t on starts_with(t.slug, s.slug || '_') and regexp_full_match(substr(t.slug, length(s.slug) + 2), '[2-9]|[1-9][0-9]+') group by s.slug),
+        w as (
+          select slug, path, k, slug as id, 1::bigint as last from o where k = 1
+          union all
+          select o.slug, o.path, o.k, o.slug || '_' || x.m, x.m from w join o on o.slug = w.slug and o.k = w.k + 1 left join h on h.slug = o.slug,
+            lateral (select list_min(list_filter(range(w.last + 1, w.last + len(coalesce(h.held, [])) + 2), lambda v: not list_contains(coalesce(h.held, []), v))) as m) x)
+        select path, id from w"""
 
 
 _RUNS = r"""
@@ -248,6 +275,8 @@ QUERIES = {
         select distinct p.id as src, dst from (select *, unnest(h) as href from p) p join t on t.path = substr(p.href, 2) where p.id <> dst"""),
     "mention_ngram_join": (mention_ngram_join, "with" + _RUNS.format(n="5")),
     "mention_longest": (mention_longest, "with" + _RUNS.format(n="1 + item_id % 6")),
+    "mention_long_names": (mention_long_names, "with" + _RUNS.format(n="1 + 5 * (item_id % 5)")),
+    "free_numbers": (free_numbers, _FREE_SQL),
     "suffix_join": (suffix_join, r"""
         with p as (select page_id as id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') as path from pages),
         w as (select distinct array_to_string(string_split(path, '/')[-2:], '/') as include from p)

@@ -90,7 +90,7 @@ def test_target_forms(spark):
 def test_mentions_take_the_longest_name_at_each_word(spark):
     pages = spark.createDataFrame([(1, "the red bolt and a red nut"), (2, "red bolt is me")], "id int, body string")
     names = spark.createDataFrame([(2, "Red Bolt"), (3, "red"), (4, "bolt"), (5, "")], "id int, name string")
-    assert sorted(map(tuple, graph.mentions(pages, names, 3).collect())) == [(1, 2), (1, 3), (1, 4), (2, 4)]
+    assert sorted(map(tuple, graph.mentions(pages, names).collect())) == [(1, 2), (1, 3), (1, 4), (2, 4)]
 
 
 def test_ids_are_unique_and_do_not_depend_on_order(spark):
