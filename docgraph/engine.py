@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
 from docgraph.operators import catalog, extract, graph, identity, labels, readers, resolve, search
+from docgraph.operators.index import Index
 from docgraph.sources import files as source_files
 from docgraph.sources.shared import cut
 
@@ -21,6 +22,7 @@ class Engine:
         self.pages, self.edges, self.ranks, self.items, self.calls_ = pages, edges, ranks, items, calls
         self._fields: DataFrame | None = None
         self._labels: DataFrame | None = None
+        self._index: Index | None = None
 
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame) -> Engine:
@@ -83,6 +85,13 @@ class Engine:
             self._fields = cut(rows.withColumns({c: F.coalesce(c, none) for c in ("symbols", "symbol_words")}))
         return self._fields, search.Fields("id", "title", "body", "summary", "aliases", "headings", "path", "symbols", "docs", "symbol_words")
 
+    @property
+    def index(self) -> Index:
+        """The index of all bodies, built for the first question: no question reads bodies that it doesn't concern."""
+        if self._index is None:
+            self._index = Index.build(self.pages, search.Fields("id", body="body"))
+        return self._index
+
     def search(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
         """id, score, snippet; without words but with a tag, its pages by path."""
         return self._answer(query, kind, tag, limit).top
@@ -96,7 +105,7 @@ class Engine:
                 found = search.tagged(rows, tag, limit=limit).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
                 return search.Answer(found, [], [], [])
             rows = rows.filter(T.tag_filter("tags", tag))
-        return search.answer(rows, query, fields, limit, rank="rank", stems=True)
+        return search.answer(rows, query, fields, limit, rank="rank", stems=True, bodies=self.index)
 
     def answer(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
         """rank, id, path, title, score, snippet and symbols (up to three lines of code a page) of a search.
@@ -162,7 +171,7 @@ class Engine:
             return none, none.top
         rows, fields = self._searchable()
         code = rows.filter(T.kind_filter("kind", "code"))
-        ask = lambda text: search.answer(code, text, fields, HINT_PAGES, rank="rank", prompt=True)
+        ask = lambda text: search.answer(code, text, fields, HINT_PAGES, rank="rank", prompt=True, bodies=self.index)
         carries = lambda found: (found.top.agg(F.max("score")).first()[0] or 0.0) >= HINT_SHARE * found.available and not found.top.isEmpty()
         found = ask(prompt)
         known = [found.tokens[i] for i in found.counted]

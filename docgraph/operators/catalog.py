@@ -14,14 +14,16 @@ CHROME = ("Related", "Imported by", "Mentioned in", "Exports", "Imports", "Notes
 
 
 def catalog(pages: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """pages with degrees, rank, token estimate and sorted neighbours; kinds of edges are counted together, imports apart."""
-    e = edges.select("src", "dst", "kind").distinct()
-    out = e.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("neighbors_out"), F.array_sort(F.collect_set(F.when(F.col("kind") == "import", F.col("dst")))).alias("imports_out"))
-    into = e.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("neighbors_in"), F.array_sort(F.collect_set(F.when(F.col("kind") == "import", F.col("src")))).alias("imports_in"))
+    """pages with degrees, rank, token estimate and sorted neighbours; kinds of edges are counted together, imports apart.
+
+    What edges and ranks say of a page is gathered by its id first, so that texts meet one narrow table, once."""
+    e = edges.select("src", "dst", (F.col("kind") == "import").alias("import")).distinct()
+    ends = e.select(F.col("src").alias("id"), F.lit("out").alias("side"), F.col("dst").alias("other"), "import").unionByName(e.select(F.col("dst").alias("id"), F.lit("in").alias("side"), F.col("src").alias("other"), "import"))
+    told = ends.withColumn("rank", F.lit(None).cast("double")).unionByName(ranks.select("id", F.lit("rank").alias("side"), F.lit(None).cast("string").alias("other"), F.lit(False).alias("import"), F.col("rank").cast("double").alias("rank")))
+    sides = {"neighbors_out": F.col("side") == "out", "neighbors_in": F.col("side") == "in", "imports_out": (F.col("side") == "out") & F.col("import"), "imports_in": (F.col("side") == "in") & F.col("import")}
+    narrow = told.groupBy("id").agg(F.max("rank").alias("rank"), *[F.array_sort(F.collect_set(F.when(w, F.col("other")))).alias(c) for c, w in sides.items()])
     none = F.array().cast("array<string>")
-    rows = pages.join(out, "id", "left").join(into, "id", "left").join(ranks, "id", "left")
-    for c in ("neighbors_out", "neighbors_in", "imports_out", "imports_in"):
-        rows = rows.withColumn(c, F.coalesce(c, none))
+    rows = pages.join(narrow, "id", "left").withColumns({c: F.coalesce(c, none) for c in sides})
     return rows.withColumn("degree_out", F.size("neighbors_out")).withColumn("degree_in", F.size("neighbors_in")).withColumn("token_estimate", T.token_estimate("body"))
 
 

@@ -7,6 +7,7 @@ in a table in the shared folder, which survives lost executors.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +23,33 @@ DAMPING, ROUNDS, CUT = 0.85, 40, 4
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, rank): `rounds` rounds, dangling mass spread evenly. nodes: id; edges: src, dst, counted once."""
+    """(id, rank): `rounds` rounds, dangling mass spread evenly. nodes: id; edges: src, dst, counted once.
+
+    A round is r -> A r + s, A being the damped shares along edges and s one number, what is spread evenly. So the ranks
+    are sums of 1, A 1, A A 1, ..., each of which is one join and one aggregate of the one before; the numbers s follow from
+    their totals, as ranks add up to one. Rounds stop early where no edge is left to follow."""
     nodes = nodes.select("id").distinct()
     edges = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    edges = cut(edges.join(out, "src"))
-    ranks = cut(nodes.join(out, nodes["id"] == out["src"], "left").select("id", "out").withColumn("rank", F.lit(1.0 / n)))
+    shares = cut(edges.join(out, "src").select("src", "dst", (DAMPING / F.col("out")).alias("share")))
+    powers = []
+    for _ in range(rounds):
+        step = shares.withColumn("v", F.col("share")) if not powers else shares.join(powers[-1].select(F.col("id").alias("src"), F.col("v").alias("was")), "src").withColumn("v", F.col("share") * F.col("was"))
+        powers.append(cut(step.groupBy(F.col("dst").alias("id")).agg(F.sum("v").alias("v"))))
+        if powers[-1].isEmpty():
+            break
+    numbered_ = [p.withColumn("j", F.lit(j)) for j, p in enumerate(powers, 1)]
+    terms = reduce(lambda a, b: a.unionByName(b), numbered_) if powers else nodes.select("id", F.lit(0.0).alias("v"), F.lit(1).alias("j")).limit(0)
+    totals = dict(terms.groupBy("j").agg(F.sum("v")).collect())  # a number a round
+    weights = [1.0 / n]
     for _ in range(rounds):
-        given = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        loose = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")))  # one row
-        ranks = ranks.select("id", "out").join(given, F.col("id") == F.col("dst"), "left").crossJoin(loose)
-        ranks = ranks.select("id", "out", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        ranks = cut(ranks)
-    return ranks.select("id", "rank")
+        weights = [(1 - sum(w * totals.get(j, 0.0) for j, w in enumerate(weights, 1))) / n, *weights]
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("j") + 1)
+    got = terms.groupBy("id").agg(F.sum(weight * F.col("v")).alias("got"))
+    return nodes.join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) + weights[0]).alias("rank"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ from docgraph.functions import text as T
 from docgraph.operators import search as S
 from docgraph.sources.shared import cut, shared_dir
 
-#: Parts of terms, slots of bodies, pages of a posting block, and how many of a word's trigrams are read.
-PARTS, SLOTS, BLOCK, RARE = 32, 64, 50_000, 3
+#: Pages for each part of terms and slot of bodies, parts and slots at most, pages of a posting block, and how many of a
+#: word's trigrams are read.
+SHARE, PARTS, BLOCK, RARE = 20_000, 10_000, 50_000, 3
 #: Slots that are named in a filter, and candidates that are sent to all tasks, at most.
 SENT = 20_000
 CHARS = 1 << 22
@@ -83,14 +84,18 @@ class Index:
     bounds: dict[str, list[tuple[int, str, str]]]
 
     @classmethod
-    def build(cls, pages: DataFrame, fields: S.Fields, keep: tuple[str, ...] = (), folder: str | None = None, parts: int = PARTS, slots: int = SLOTS, block: int = BLOCK) -> Index:
-        """The index of pages, in a new folder under the shared one; keep: columns that searches filter or order by."""
+    def build(cls, pages: DataFrame, fields: S.Fields, keep: tuple[str, ...] = (), folder: str | None = None, parts: int | None = None, slots: int | None = None, block: int = BLOCK) -> Index:
+        """The index of pages, in a new folder under the shared one; keep: columns that searches filter or order by.
+
+        parts and slots: one for SHARE pages each, unless given."""
         spark = pages.sparkSession
         folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         has = [f for f in FIELDS if getattr(fields, f)]
         body = F.coalesce(F.col(fields.body).cast("string"), F.lit("")) if fields.body else F.lit("")
         rows = pages.select(F.col(fields.id).alias("id"), body.alias("body"), *[F.col(getattr(fields, f)).alias(f"f_{f}") for f in has], *keep)
-        blocks = 1 + pages.count() // block
+        n = pages.count()
+        blocks, share = 1 + n // block, min(PARTS, 1 + n // SHARE)
+        parts, slots = parts or share, slots or share
         title = F.size(F.array_distinct(T.field_words(F.coalesce(F.col("f_title").cast("string"), F.lit(""))))) if fields.title else F.lit(0)
         path = F.lower("f_path") if fields.path else F.lit(None).cast("string")
         rows.select("id", T.word_count("body").cast("long").alias("len"), title.alias("title_n"), path.alias("path_low"), *keep).write.parquet(f"{folder}/docs")

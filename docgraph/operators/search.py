@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -182,17 +182,19 @@ class Answer:
         return sum(self.idfs[i] for i in self.counted)
 
 
-def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None) -> Answer:
+def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None, bodies=None) -> Answer:
     """The best pages by score, then rank, then id, with the weights of the query's words. No words, no pages.
 
-    dated: columns of a note's day and of whether it is a note; each date in the query is then a token of its own."""
+    dated: columns of a note's day and of whether it is a note; each date in the query is then a token of its own.
+    bodies: an index of the pages' bodies, which are then looked up in it and never scanned."""
     tokens = query_tokens(query)
     if prompt:
         tokens, terms = prompt_tokens(query), terms or PROMPT_TERMS
     if not tokens:
         return Answer(pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet")), [], [], [])
     # what scores need of each page is written once: statistics, scores and ranks come from a few numbers a page
-    rows, dates = facts(pages, tokens, fields, prompt, stems), query_dates(query) if dated else []
+    rows = facts(pages, tokens, fields, prompt, stems) if bodies is None else _indexed(pages, tokens, fields, prompt, stems, bodies)
+    dates = query_dates(query) if dated else []
     k = len(tokens) + len(dates)
     if dates:
         rows = date_facts(rows, len(tokens), dates, *dated)
@@ -209,11 +211,22 @@ def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
         top = top.withColumn("snippet", F.lit(None).cast("string")).select(fields.id, "score", "snippet")
     else:
         # `limit` rows go out to the pages for their texts
-        shown = pages.select(F.col(fields.id), T.snippet(F.col(fields.body), tokens).alias("snippet"))
+        texts = pages.select(F.col(fields.id), F.col(fields.body).alias("__text")) if bodies is None else bodies.bodies(top.select(F.col(fields.id).alias("id"))).select(F.col("id").alias(fields.id), F.col("body").alias("__text"))
+        shown = texts.select(fields.id, T.snippet(F.col("__text"), tokens).alias("snippet"))
         top = shown.join(F.broadcast(top), fields.id).orderBy(*order).select(fields.id, "score", "snippet")
     return Answer(top, tokens, [math.log(1 + (row["n"] - d + 0.5) / (d + 0.5)) for d in df], known[:terms] if terms else known)
 
 
+def _indexed(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool, stems: bool, bodies) -> DataFrame:
+    """facts() of all fields but the body, joined with what an index says of the bodies."""
+    rows = facts(pages, tokens, replace(fields, body=None), prompt, stems).drop("len", *[f"tf_{i}" for i in range(len(tokens))])
+    said = bodies.counts(tokens).withColumnRenamed("id", "__id")
+    sizes = bodies.table("docs").select(F.col("id").alias("__key"), "len")
+    rows = rows.join(sizes, F.col(fields.id) == F.col("__key")).drop("__key").join(said, F.col(fields.id) == F.col("__id"), "left").drop("__id")
+    found = {f"tf_{i}": F.coalesce(f"tf_{i}", F.lit(0)) for i in range(len(tokens))}
+    return rows.withColumns(found).withColumns({f"hit_{i}": F.col(f"hit_{i}") | (F.col(f"tf_{i}") > 0) for i in range(len(tokens))})
+
+
 def search(pages: DataFrame, query: str, fields: Fields, limit: int = 10, **how) -> DataFrame:
     """id, score and snippet of the best pages; see answer()."""
     return answer(pages, query, fields, limit, **how).top
