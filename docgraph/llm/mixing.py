@@ -5,12 +5,14 @@ multinomial counts of its slots by source, in proportion to what each source sti
 draw leaves each source at its target. A slot's running number within its source goes through a pseudorandom
 permutation of that source's blocks (a new one for each pass over the source), and blocks join by their index.
 A source's last pass stops within a block, so that it gives its target to the word. What the draws decide is which
-shard holds which words: mix_documents(by_shard=True) gives the shards, mix_counts each document's first one.
+shard holds which words: mix_documents(by_shard=True) gives the shards, mix_counts each document's first one. A shard has
+SHARD_SLOTS slots, and more of them where there would be more than MOST_SHARDS shards, as one task draws for all.
 
 Edge cases: a null text has no words; documents without words take part in nothing and have taken 0; a null source
 is a source of its own, last in order; rows that repeat a doc_id each count, and rows equal in doc_id, text and source
 are told apart by their number; without any words all targets are 0; an empty table gives no rows. Other columns than
-doc_id, text and source don't matter, whatever they are called. One row for each source comes to the driver.
+doc_id, text and source don't matter, whatever they are called; a text of any length is cut into as many blocks as it has.
+One row for each source comes to the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import WORD, free_name, partitions, table, word_count
+from docgraph.llm.common import WORD, free_name, materialize, partitions, table, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -173,7 +175,8 @@ def _placed(docs: DataFrame, doc_id: str, text: str, source: str, block: int, we
     order = W.partitionBy("source", "bucket").orderBy("doc_id", "size", "text_hash")
     local = base.withColumn("rn", F.row_number().over(order)).withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     # of rows equal in doc_id, text and source the first, second, ...
-    local = local.withColumn("copy", F.col("rn") - F.min("rn").over(W.partitionBy("source", "bucket", "doc_id", "size", "text_hash")))
+    equal = W.partitionBy("source", "bucket", "doc_id", "size", "text_hash")
+    local = local.withColumn("copy", F.col("rn") - F.min("rn").over(equal)).withColumn("copies", F.count("*").over(equal))
     run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     offsets = base.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("offset", F.sum("n").over(run) - F.col("n"))
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset")
@@ -216,21 +219,26 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     placed, plan, _ = _placed(docs, doc_id, text, source, block, weights, repeats, seed)
     columns = [c for c in docs.columns if not (by_shard and c == "shard")]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    names = ("k", "h", "s", "e", "copy", "n", "whole", "parts", "words", "shard", "size")
+    names = ("k", "h", "s", "e", "copy", "copies", "n", "whole", "parts", "words", "shard", "size")
     own = {c: free_name(columns, f"mix_{c}") for c in names}
-    by = ["doc_id", "text_hash", "source", "copy", "size", "epoch", *(["shard"] if by_shard else [])]
+    by = ["doc_id", "text_hash", "source", "copy", "copies", "size", "epoch", *(["shard"] if by_shard else [])]
     none = F.lit(-(2**63))
     taken = _taken(placed, plan, block, seed).filter("word_hi > word_lo").groupBy("bucket", *by).agg(F.sort_array(F.collect_list(F.struct("word_lo", "word_hi"))).alias("parts"))
     taken = taken.select(
         F.coalesce(F.col("doc_id").cast("long"), none).alias(own["k"]), F.col("text_hash").alias(own["h"]), F.coalesce("source", F.lit("")).alias(own["s"]), F.col("source").isNull().alias(own["e"]),
-        (F.col("copy") + 1).alias(own["copy"]), F.col("size").alias(own["size"]), F.col("parts").alias(own["parts"]), *([F.col("shard").alias(own["shard"])] if by_shard else []),
+        (F.col("copy") + 1).alias(own["copy"]), F.col("copies").alias(own["copies"]), F.col("size").alias(own["size"]), F.col("parts").alias(own["parts"]), *([F.col("shard").alias(own["shard"])] if by_shard else []),
     )
     keys = [own[c] for c in ("k", "h", "s", "e")]
     rows = docs.withColumns({own["k"]: F.coalesce(F.col(doc_id).cast("long"), none), own["h"]: F.xxhash64(F.col(text)), own["s"]: F.coalesce(F.col(source).cast("string"), F.lit("")), own["e"]: F.col(source).isNull()})
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = rows.withColumn(own["n"], F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*plain))))
-    # rows equal in id, text and source are told apart by their number; written so that the join keeps the window's partitioning
-    joined = rows.join(taken, keys).filter(F.expr(f"{own['n']} <= {own['copy']} and {own['n']} >= {own['copy']}"))
+    # rows that no other equals in id, text and source, and the others, which are told apart by their number
+    taken = materialize(taken, "taken")
+    joined = rows.join(taken.filter(F.col(own["copies"]) == 1).drop(own["copies"], own["copy"]), keys)
+    several = taken.filter(F.col(own["copies"]) > 1).drop(own["copies"]).withColumnRenamed(own["copy"], own["n"])
+    if not several.isEmpty():
+        plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        alike = rows.join(several.select(*keys).distinct(), keys, "left_semi")
+        alike = alike.withColumn(own["n"], F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*plain))))
+        joined = joined.unionByName(alike.join(several, [*keys, own["n"]]).drop(own["n"]))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     parts = F.flatten(F.transform(own["parts"], lambda p: F.slice(F.col(own["words"]), p["word_lo"] + 1, p["word_hi"] - p["word_lo"])))
     whole = F.aggregate(own["parts"], F.lit(0).cast("long"), lambda a, p: a + p["word_hi"] - p["word_lo"]) == F.col(own["size"])

@@ -145,7 +145,7 @@ def test_jaccard_equals_all_pairs(docs, rows):
             least[c] = min(least.get(c, r[0]), r[0])
     want = sorted(((r[0], len(s), least.get(c) if s else r[0]) for r, c, s in zip(rows, comp, sets) if r[0] is not None), key=str)
     got = jaccard.near_components(docs.filter("doc_id is not null")).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want or any(r[0] is None for r in rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
     by = {r.doc_id: r.component_id for r in jaccard.near_components(docs).collect() if r.doc_id is not None}
     assert by == {w[0]: w[2] for w in want}
 
@@ -418,3 +418,13 @@ def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in apply("tokens", now).collect()) == want
     whole = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in whole) == want and all(r.n_tokens == len(r.ids) for r in whole)
+
+
+def test_equal_rows_are_mixed_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s", 7)] * 3000 + [(2, "e f", None, 3), (1, "a b c d", "t", 7)], "doc_id long, text string, source string, n_chars long")
+    got = mixing.mix_documents(docs).groupBy("doc_id", "source", "text").count().collect()
+    plan = {(r["doc_id"], r["size"]): r["n"] for r in mixing.mix_counts(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("n")).collect()}
+    words = Counter()
+    for r in got:
+        words[r["doc_id"]] += r["count"] * len(r["text"].split())
+    assert words == {1: plan[1, 4], 2: plan[2, 2]} and plan[1, 4] > 4000
