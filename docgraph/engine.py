@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
-from docgraph.operators import catalog, extract, graph, identity, labels, readers, resolve, search
+from docgraph.operators import catalog, extract, graph, identity, labels, readers, resolve, rewrite, search
 from docgraph.operators.index import Index
 from docgraph.sources import files as source_files
 from docgraph.sources.shared import cut
@@ -25,17 +25,25 @@ class Engine:
         self._index: Index | None = None
 
     @classmethod
-    def build(cls, spark: SparkSession, files: DataFrame) -> Engine:
-        """files: path, content. Text and Markdown become pages, code becomes pages with items."""
+    def build(cls, spark: SparkSession, files: DataFrame, notes: DataFrame | None = None) -> Engine:
+        """files: path, content. Text and Markdown become pages, code becomes pages with items.
+
+        notes: the same of notes about them, which take ids that no other page has and are searched apart."""
         files = source_files.scripts(files)
         docs = readers.pages(files)
         languages = F.create_map(*[F.lit(x) for e, (name, _) in extract._languages().items() for x in (e, f"code:{name}")])
         code = files.withColumn("kind", languages[T.extension("path")]).filter("kind is not null")
         none = F.array().cast("array<string>")
         code = code.select("path", T.derive_name("path").alias("name"), "kind", none.alias("aliases"), none.alias("tags"), F.lit(None).cast("string").alias("created"), F.lit(None).cast("string").alias("updated"), none.alias("supersedes"), F.lit(None).cast("string").alias("summary"), none.alias("headings"), F.col("content").alias("body"))
+        no, yes = F.lit(False).alias("memory"), F.lit(True).alias("memory")
         rows = docs.unionByName(code)
         ids = cut(identity.assign(rows.select("name", "path")))
-        pages = cut(rows.join(ids.select("path", "id"), "path").withColumnRenamed("name", "title"))
+        rows, known = rows.select("*", no), ids.select("path", "id", no)
+        if notes is not None:
+            said = readers.pages(notes)
+            rows = rows.unionByName(said.select("*", yes))
+            known = known.unionByName(cut(identity.assign(said.select("name", "path"), ids)).select("path", "id", yes))
+        pages = cut(rows.join(known, ["path", "memory"]).withColumnRenamed("name", "title"))
 
         items = cut(search.item_facts(extract.items(files).join(ids.select(F.col("path").alias("page_id"), "id"), "page_id")))
         links = graph.link_edges(pages).withColumn("kind", F.lit("link"))
@@ -66,8 +74,19 @@ class Engine:
     def catalog(self) -> DataFrame:
         return catalog.catalog(self.pages, self.edges, self.ranks)
 
-    def rendered(self) -> DataFrame:
-        return catalog.render(self.catalog())
+    def rendered(self, written: DataFrame | None = None) -> DataFrame:
+        """(id, page): pages as Markdown, with what code exports and imports; links in prose name ids.
+
+        written: (source, page) of pages written before, whose notes are kept."""
+        rows = self.catalog()
+        exports = catalog.exports(self.items.withColumn("signature", F.coalesce("signature", "name")), "id")
+        told = self.edges.filter("kind = 'import'").join(self.pages.select(F.col("id").alias("dst"), "path"), "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("path")).alias("imports"))
+        rows = rows.join(exports.join(told, "id", "full"), "id", "left")
+        prose = rewrite.rewrite_links(rows.filter("kind in ('markdown', 'text')"), self.pages.select("id", "path"))
+        rows = prose.unionByName(rows.filter("kind not in ('markdown', 'text')"))
+        if written is not None:
+            rows = catalog.with_notes(rows.withColumn("source", F.col("path")), written).drop("source")
+        return catalog.render(rows)
 
     def _searchable(self) -> tuple[DataFrame, search.Fields]:
         """Pages with the fields that a search looks at; symbol fields are made once."""
@@ -92,26 +111,31 @@ class Engine:
             self._index = Index.build(self.pages, search.Fields("id", body="body"))
         return self._index
 
-    def search(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
-        """id, score, snippet; without words but with a tag, its pages by path."""
-        return self._answer(query, kind, tag, limit).top
+    def search(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10, notes: bool | None = False) -> DataFrame:
+        """id, score, snippet; without words but with a tag, its pages by path. notes: of notes alone, or (None) of both."""
+        return self._answer(query, kind, tag, limit, notes).top
 
-    def _answer(self, query: str, kind: str | None, tag: str | None, limit: int) -> search.Answer:
+    def _answer(self, query: str, kind: str | None, tag: str | None, limit: int, notes: bool | None = False) -> search.Answer:
         rows, fields = self._searchable()
+        if notes is not None:
+            rows = rows.filter(F.col("memory") == notes)
         if kind:
             rows = rows.filter(T.kind_filter("kind", kind))
         if tag:
             if not search.query_tokens(query):
                 found = search.tagged(rows, tag, limit=limit).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
-                return search.Answer(found, [], [], [])
+                return search.Answer(found, found.select("id", "score"), [], [], [])
             rows = rows.filter(T.tag_filter("tags", tag))
-        return search.answer(rows, query, fields, limit, rank="rank", stems=True, bodies=self.index)
+        # a date in the query is a word that notes of that day have
+        rows = rows.withColumn("day", F.col("updated").try_cast("date"))
+        return search.answer(rows, query, fields, limit, rank="rank", stems=True, dated=("day", "memory") if notes is not False else None, bodies=self.index)
 
     def answer(self, query: str, kind: str | None = None, tag: str | None = None, limit: int = 10) -> DataFrame:
         """rank, id, path, title, score, snippet and symbols (up to three lines of code a page) of a search.
 
         What identifiers in the query name is shown too: a query of them alone gives just their definitions, page by page.
-        Lines that score far below the best of their answer go, unless they are their page's best."""
+        Lines that score far below the best of their answer go, unless they are their page's best. Up to two notes
+        follow: those that the query names or dates, or that score twice as high as any page."""
         found = self._answer(query, kind, tag, limit)
         hits = cut(found.top)
         at = self.pages.select("id", "path", "title")
@@ -130,10 +154,27 @@ class Engine:
         else:
             pages = hits.withColumn("order", F.lit(0)).unionByName(named.select("id").distinct().join(hits.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(1).alias("order")))
         symbols = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]).alias("symbols"))
+        if self.has_notes:
+            best = hits.agg(F.max("score")).first()[0] or 0.0
+            tail = self.notes_tail(query, best).withColumn("order", 2 + F.row_number().over(W.orderBy(F.desc("trust"), F.desc("score"), F.desc("updated"), "id")))  # two notes
+            pages = pages.unionByName(tail.select("id", "order", "score", F.lit(None).cast("string").alias("snippet")), allowMissingColumns=True)
         rows = pages.join(at, "id").join(symbols, "id", "left")
         rank = F.row_number().over(W.orderBy("order", F.desc("score"), "id"))  # a few pages
         return rows.select(rank.alias("rank"), "id", "path", "title", "score", "snippet", "symbols").orderBy("rank")
 
+    @property
+    def has_notes(self) -> bool:
+        return not self.pages.filter("memory").isEmpty()
+
+    def notes_tail(self, query: str, best: float) -> DataFrame:
+        """Up to two notes (id, score, updated, superseded, trust, ...) that may follow pages of which the best scores `best`."""
+        found = self._answer(query, None, None, search.NOTES_AT_MOST, True)
+        notes = self.pages.filter("memory")
+        gone = resolve.supersedes(notes.select("id", T.slugify("title").alias("slug"), "title", "aliases", "supersedes", F.lit(True).alias("local"))).select("id", F.lit(True).alias("gone"))
+        rows = notes.join(found.scores, "id", "left").join(gone, "id", "left")
+        rows = rows.select("id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("updated").try_cast("date").alias("updated"), F.coalesce("gone", F.lit(False)).alias("superseded"), F.lit(1.0).alias("trust"), "title", F.array_join("aliases", " ").alias("names"), "summary")
+        return search.notes_tail(rows, query, best, ["title", "names", "summary"])
+
     def answer_lines(self, query: str, **how) -> DataFrame:
         return search.rendered_lines(self.answer(query, **how))
 
@@ -142,7 +183,7 @@ class Engine:
         names, only = search.query_names(query)
         asked = self.pages.sparkSession.createDataFrame([(n,) for n in names if only], "name string")
         items = self.items.select("name", T.qualified_name("owner", "name").alias("qualified"))
-        return resolve.not_found(asked, items, self.pages.select("id", "path", F.lit(False).alias("memory")))
+        return resolve.not_found(asked, items, self.pages.select("id", "path", "memory"))
 
     def candidates(self, wanted: str) -> DataFrame:
         """(id): what may have been meant where page() finds nothing."""
@@ -166,7 +207,7 @@ class Engine:
     def _hint(self, prompt: str, function_words: frozenset[str] | None = None) -> tuple[search.Answer, DataFrame]:
         """None for a machine's prompt or one of fewer words than HINT_WORDS; if the best page has less than its share of what
         the prompt's known words weigh; if these are too few and not a lone name; or if function words alone carry it."""
-        none = search.Answer(self.pages.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet")), [], [], [])
+        none = search.nothing(self.pages)
         if search.is_machine_prompt(prompt) or len(search.prompt_tokens(prompt)) < HINT_WORDS:
             return none, none.top
         rows, fields = self._searchable()

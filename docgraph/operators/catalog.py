@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,15 +27,47 @@ def catalog(pages: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.withColumn("degree_out", F.size("neighbors_out")).withColumn("degree_in", F.size("neighbors_in")).withColumn("token_estimate", T.token_estimate("body"))
 
 
-def render(rows: DataFrame) -> DataFrame:
-    """(id, page): each catalog row as Markdown: front matter, body, and its neighbours as sections."""
-    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), T.yaml_string("title")), F.concat(F.lit("source: "), T.yaml_string("path")), F.concat(F.lit("kind: "), F.col("kind")), F.lit("---"), F.lit(""), F.concat(F.lit("# "), F.col("title")))
+#: What stands under Notes where nobody has written any.
+NO_NOTES = "_none yet_"
+
+
+def _section(name: str, lines: Column) -> Column:
+    lines = F.coalesce(lines, F.array().cast("array<string>"))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"## {name}\n"), text, F.lit("\n\n"))).otherwise("")
+
 
-    def section(name: str, column: str):
-        lines = F.array_join(F.transform(column, lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")
-        return F.when(F.size(column) > 0, F.concat(F.lit(f"\n\n## {name}\n\n"), lines)).otherwise("")
+def _linked(ids: Column) -> Column:
+    return F.transform(ids, lambda x: F.concat(F.lit("[["), x, F.lit("]]")))
 
-    page = F.concat(head, section("Related", "neighbors_out"), section("Imported by", "imports_in"), section("Mentioned in", "neighbors_in"), F.lit("\n\n## Body\n\n"), F.coalesce("body", F.lit("")))
+
+def fenced(body: Column, language: Column) -> Column:
+    """Code between fences that are longer than any run of backticks in it."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(body, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("`"), F.greatest(longest + 1, F.lit(3)))
+    return F.concat(fence, language, F.lit("\n"), body, F.lit("\n"), fence)
+
+
+def render(rows: DataFrame) -> DataFrame:
+    """(id, page): each catalog row as Markdown.
+
+    Front matter, title, the pages it links to, those that import it and others that mention it, of code what it exports and
+    imports, its text (code between fences) and its notes. Sections without lines are left out, but for the notes, whose place
+    is always there. Columns created, updated, aliases, tags, exports, imports and notes count if they are there."""
+    has = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    lists, code = "array<string>", F.col("kind").startswith("code:")
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\n"))).otherwise("")
+    some = lambda c: F.when(F.size(has(c, lists)) > 0, F.to_json(has(c, lists)))
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    notes = F.trim(F.coalesce(has("notes", "string"), F.lit("")))
+    page = F.concat(
+        F.lit("---\n"), F.concat(F.lit("title: "), T.yaml_string("title"), F.lit("\n")), line("created", has("created", "string")), line("updated", has("updated", "string")), line("aliases", some("aliases")), line("tags", some("tags")),
+        line("kind", F.col("kind")), line("source", T.yaml_string("path")), line("source_hash", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256)), F.lit("---\n"), F.lit("# "), F.col("title"), F.lit("\n\n"),
+        _section("Related", _linked(F.col("neighbors_out"))), _section("Imported by", _linked(F.col("imports_in"))), _section("Mentioned in", _linked(F.array_except("neighbors_in", "imports_in"))),
+        F.when(code, F.concat(_section("Exports", F.transform(has("exports", lists), lambda x: F.concat(F.lit("`"), x, F.lit("`")))), _section("Imports", has("imports", lists)))).otherwise(""),
+        F.when(body != "", F.concat(F.lit("## Body\n"), F.when(code, fenced(body, F.substring("kind", 6, 99))).otherwise(body), F.lit("\n\n"))).otherwise(""),
+        F.lit("## Notes\n"), F.when(notes == "", F.lit(NO_NOTES)).otherwise(notes), F.lit("\n"),
+    )
     return rows.select("id", page.alias("page"))
 
 

@@ -103,11 +103,6 @@ def walk_order(starts: DataFrame, edges: DataFrame, depth: int | None = None) ->
     return numbered(reached, ["__all"], [F.col("level"), F.col("way")], "place").select("id", "level", "via", "place")
 
 
-def first_that_fit(rows: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """rows of each group up to the first that no longer fits into the budget, with `used`: sizes so far."""
-    return running_total(rows, group, order, size.cast("long"), "used").filter(F.col("used") <= budget)
-
-
 def neighbourhood(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(id, level, via) within `depth` steps along edges in either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -248,18 +243,23 @@ def next_at_most(rows: DataFrame, group: list[str], at: str, level: str, last: s
     return rows.withColumn("ends", F.coalesce(later - 1, F.col(last)))
 
 
-def longest_prefix(rows: DataFrame, group: list[str], order: list, size: str, budget: int) -> DataFrame:
-    """Rows of each group in order while their sizes add up to the budget at most."""
-    run = F.sum(size).over(W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("used", run).filter(F.col("used") <= budget)
+def longest_prefix(rows: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
+    """rows of each group in order while their sizes add up to the budget at most, with `used`: sizes so far.
+
+    The totals run over ranges of rows, whatever a group holds; rows should be narrow, as they are written once."""
+    return running_total(rows, group, order, size.cast("long"), "used").filter(F.col("used") <= budget)
 
 
 def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """Rows (group, order) of each group that a scan in order admits: what does not fit is left out and the scan goes on.
 
-    Rows stream past in order, so that a group of any size takes the memory of a batch; what can never fit stays out of
-    the shuffle."""
+    Of one size the rows admitted are the group's first ones, budget / size of them at most: once one doesn't fit, none
+    after it does. So only these go to the scan, some budget * log(budget) rows a group, and rows without size are always
+    admitted: how many rows a group has doesn't matter to any task."""
     rows = rows.select(*group, *order, F.col(size).cast("long").alias("__size")).filter(F.col("__size") <= budget)
+    free = rows.filter("__size <= 0").drop("__size")
+    sized = numbered(rows.filter("__size > 0"), [*group, "__size"], [F.col(c) for c in order], "__nth")
+    rows = sized.filter(F.col("__nth") * F.col("__size") <= budget).drop("__nth")
     out = rows.drop("__size").schema
     key = F.struct(*group)
     rows = rows.withColumn("__group", F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256))
@@ -286,22 +286,24 @@ def greedy(rows: DataFrame, group: list[str], order: list[str], size: str, budge
                     lo += run
             yield batch.take(pa.array(kept, pa.int64())).select(batch.schema.names[:-2])
 
-    return rows.repartition("__group").sortWithinPartitions("__group", *order).mapInArrow(scan, out)
+    return rows.repartition("__group").sortWithinPartitions("__group", *order).mapInArrow(scan, out).unionByName(free)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(id, reached): what each node of edges reaches in one step or more, to the fixpoint, itself only over a loop.
 
-    Each round doubles the steps that are covered."""
-    known = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("reached")).distinct())
-    size = known.count()
+    A round follows the edges from the pairs that the last one has found, and keeps those that are new."""
+    edges = cut(edges.select("src", "dst").distinct())
+    known = frontier = edges.select(F.col("src").alias("id"), F.col("dst").alias("reached"))
+    level = 0
     while True:
-        step = known.alias("a").join(known.alias("b"), F.col("a.reached") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.reached").alias("reached"))
-        known = cut(known.unionByName(step).distinct())
-        now = known.count()
-        if now == size:
+        step = frontier.join(edges, F.col("reached") == F.col("src")).select("id", F.col("dst").alias("reached")).distinct()
+        frontier = cut(step.join(known, ["id", "reached"], "left_anti"))
+        if frontier.isEmpty():
             return known
-        size = now
+        known, level = known.unionByName(frontier), level + 1
+        if level % CUT == 0:
+            known = cut(known)
 
 
 def code_mentions(mentions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -169,9 +169,11 @@ def scored(rows: DataFrame, stats: DataFrame, k: int, terms: int | None = None,
 
 @dataclass(frozen=True)
 class Answer:
-    """The best pages (id, score, snippet) and what the words of the query weigh: idf of each token, and which tokens count."""
+    """The best pages (id, score, snippet), the scores of all that any word hits (id, score), and what the words of the query
+    weigh: idf of each token, and which tokens count."""
 
     top: DataFrame
+    scores: DataFrame
     tokens: list[str]
     idfs: list[float]
     counted: list[int]
@@ -182,6 +184,12 @@ class Answer:
         return sum(self.idfs[i] for i in self.counted)
 
 
+def nothing(pages: DataFrame, id_: str = "id") -> Answer:
+    """An answer without pages."""
+    none = pages.limit(0).select(F.col(id_), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
+    return Answer(none, none.select(id_, "score"), [], [], [])
+
+
 def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank: str | None = None, digits: int | None = None, terms: int | None = None, prompt: bool = False, stems: bool = False, dated: tuple[str, str] | None = None, bodies=None) -> Answer:
     """The best pages by score, then rank, then id, with the weights of the query's words. No words, no pages.
 
@@ -191,7 +199,7 @@ def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
     if prompt:
         tokens, terms = prompt_tokens(query), terms or PROMPT_TERMS
     if not tokens:
-        return Answer(pages.limit(0).select(F.col(fields.id), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet")), [], [], [])
+        return nothing(pages, fields.id)
     # what scores need of each page is written once: statistics, scores and ranks come from a few numbers a page
     rows = facts(pages, tokens, fields, prompt, stems) if bodies is None else _indexed(pages, tokens, fields, prompt, stems, bodies)
     dates = query_dates(query) if dated else []
@@ -214,7 +222,7 @@ def answer(pages: DataFrame, query: str, fields: Fields, limit: int = 10, rank:
         texts = pages.select(F.col(fields.id), F.col(fields.body).alias("__text")) if bodies is None else bodies.bodies(top.select(F.col(fields.id).alias("id"))).select(F.col("id").alias(fields.id), F.col("body").alias("__text"))
         shown = texts.select(fields.id, T.snippet(F.col("__text"), tokens).alias("snippet"))
         top = shown.join(F.broadcast(top), fields.id).orderBy(*order).select(fields.id, "score", "snippet")
-    return Answer(top, tokens, [math.log(1 + (row["n"] - d + 0.5) / (d + 0.5)) for d in df], known[:terms] if terms else known)
+    return Answer(top, found.select(F.col(fields.id), "score"), tokens, [math.log(1 + (row["n"] - d + 0.5) / (d + 0.5)) for d in df], known[:terms] if terms else known)
 
 
 def _indexed(pages: DataFrame, tokens: list[str], fields: Fields, prompt: bool, stems: bool, bodies) -> DataFrame:

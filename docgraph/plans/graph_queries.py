@@ -205,7 +205,7 @@ def repeated_label_cut(spark, sf):
 
 def budget_prefix(spark, sf):
     d = table(spark, sf, "documents").withColumn("size", T.token_estimate("text"))
-    return G.longest_prefix(d, ["source"], [F.desc("size"), "doc_id"], "size", 4000).select("source", "doc_id", "used")
+    return G.longest_prefix(d.select("source", "doc_id", "size"), ["source"], [F.desc("size"), F.col("doc_id")], F.col("size"), 4000).select("source", "doc_id", "used")
 
 
 def greedy_admission(spark, sf):

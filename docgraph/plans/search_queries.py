@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -127,10 +129,20 @@ def notes_tail(spark, sf):
     return S.notes_tail(n, "then what", 100.0, ["text"]).select("id", "score", "trust")
 
 
+#: Items of a benchmark that are sent together.
+ITEMS = 20_000
+
+
 def _shared_words(docs, items, k):
     """item_id, doc_id and n: how many distinct words they share, for at least the k best documents of each item.
 
-    The items' words are sent to all tasks: a benchmark doesn't grow with the documents."""
+    The items' words are sent to all tasks, ITEMS items (more or less) at a time, each of which passes over the documents once."""
+    groups = -(-items.count() // ITEMS)
+    parts = [_shared_with(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g), k) for g in range(groups)]
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else items.select("item_id", F.col("item_id").alias("doc_id"), F.lit(0).cast("long").alias("n")).limit(0)
+
+
+def _shared_with(docs, items, k):
     rows = items.select("item_id", F.array_distinct(T.field_words(F.coalesce("text", F.lit("")))).alias("words")).orderBy("item_id").collect()
     ids, postings = np.array([r.item_id for r in rows], np.int64), {}
     for i, r in enumerate(rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docgraph.operators import catalog as C
 from docgraph.operators import graph as G
 from docgraph.operators import labels as L
 from docgraph.operators import outline as O
@@ -205,6 +206,36 @@ _RANKED_SQL = """
     select doc, start::bigint as start, label, greatest(total - 37, 0) as cut from s where place <= slots"""
 
 
+def rendered_pages(spark, sf):
+    """Documents as pages of code and prose: links, mentions, exports, imports, bodies and notes."""
+    d = table(spark, sf, "documents").filter("doc_id is not null")
+    at = lambda c: F.concat(F.lit("doc_"), c.cast("string"))
+    code = F.col("doc_id") % 3 == 0
+    pages = d.select(
+        at(F.col("doc_id")).alias("id"), F.concat(F.lit("d/"), at(F.col("doc_id"))).alias("path"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.when(code, "code:python").otherwise("text").alias("kind"), F.col("text").alias("body"),
+        F.array(F.coalesce("lang", F.lit("none"))).alias("tags"), F.when(code, F.array(F.concat(F.lit("def f"), F.col("doc_id").cast("string")))).alias("exports"), F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("os"), F.lit("sys"))).alias("imports"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("kept "), F.col("doc_id").cast("string"))).alias("notes"),
+    )
+    edges = d.filter("doc_id >= 7").select(at(F.col("doc_id")).alias("src"), at(F.floor(F.col("doc_id") / 2)).alias("dst"), F.when(F.col("doc_id") % 2 == 0, "import").otherwise("link").alias("kind"))
+    rows = C.catalog(pages, edges, pages.select("id", F.lit(0.5).alias("rank")))
+    return C.render(rows).select("id", F.length("page").cast("long").alias("chars"), F.sha2("page", 256).alias("page"))
+
+
+_RENDER_SQL = r"""
+    with d as (select *, doc_id % 3 = 0 as code, regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') as body from documents where doc_id is not null),
+    e as (select doc_id as src, doc_id // 2 as dst, doc_id % 2 = 0 as import from d where doc_id >= 7),
+    i as (select dst, string_agg('- [[doc_' || src || ']]' || chr(10), '' order by 'doc_' || src) filter (where import) as importers, string_agg('- [[doc_' || src || ']]' || chr(10), '' order by 'doc_' || src) filter (where not import) as said from e group by dst),
+    f as (select *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0))) as fence from d left join i on dst = doc_id),
+    p as (select 'doc_' || doc_id as id, '---' || chr(10) || 'title: "Doc ' || doc_id || '"' || chr(10) || 'tags: ["' || coalesce(lang, 'none') || '"]' || chr(10) || 'kind: ' || case when code then 'code:python' else 'text' end || chr(10)
+      || 'source: "d/doc_' || doc_id || '"' || chr(10) || 'source_hash: ' || sha256(coalesce(text, '')) || chr(10) || '---' || chr(10) || '# Doc ' || doc_id || chr(10) || chr(10)
+      || case when doc_id >= 7 then '## Related' || chr(10) || '- [[doc_' || doc_id // 2 || ']]' || chr(10) || chr(10) else '' end
+      || coalesce('## Imported by' || chr(10) || importers || chr(10), '') || coalesce('## Mentioned in' || chr(10) || said || chr(10), '')
+      || case when code then '## Exports' || chr(10) || '- `def f' || doc_id || '`' || chr(10) || chr(10) || case when doc_id % 6 = 0 then '## Imports' || chr(10) || '- os' || chr(10) || '- sys' || chr(10) || chr(10) else '' end else '' end
+      || case when body <> '' then '## Body' || chr(10) || case when code then fence || 'python' || chr(10) || body || chr(10) || fence else body end || chr(10) || chr(10) else '' end
+      || '## Notes' || chr(10) || case when doc_id % 5 = 0 then 'kept ' || doc_id else '_none yet_' end || chr(10) as page from f)
+    select id, length(page)::bigint as chars, sha256(page) as page from p"""
+
+
 def item_scores(spark, sf):
     """Parts as items of code: whole names, words of names, shared stems and docs, by how rare the query's words are."""
     p = table(spark, sf, "part")
@@ -237,4 +268,5 @@ QUERIES = {
     "label_parts": (label_parts, _PARTS_SQL),
     "ranked_labels": (ranked_labels, _RANKED_SQL),
     "item_scores": (item_scores, _ITEMS_SQL),
+    "rendered_pages": (rendered_pages, _RENDER_SQL),
 }

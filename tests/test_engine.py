@@ -13,10 +13,30 @@ DOCS = {
 }
 
 
+NOTES = {
+    "n/discount.md": "---\ntitle: Discount rule\nupdated: 2024-05-03\n---\nWe agreed on rounding.\n",
+    "n/old.md": "---\ntitle: Rounding\nupdated: 2024-05-03\n---\nAn old rule of the cart.\n",
+    "n/new.md": "---\ntitle: Rounding again\nsupersedes: [Rounding]\nupdated: 2024-06-01\n---\nA new rule of the cart.\n",
+    "n/cart.md": "# Cart guide\n\nThe same name as a page.\n",
+}
+
+
 @pytest.fixture(scope="module")
 def engine(spark):
     files = spark.createDataFrame(sorted({**fixture.FILES, **DOCS}.items()), "path string, content string")
-    return Engine.build(spark, files)
+    return Engine.build(spark, files, spark.createDataFrame(sorted(NOTES.items()), "path string, content string"))
+
+
+def test_notes_follow_what_they_are_named_by(engine):
+    ids = {r["path"]: r["id"] for r in engine.pages.collect()}
+    assert len(set(ids.values())) == len(ids) and ids["docs/cart.md"] == "cart_guide" and ids["n/cart.md"] == "cart_guide_2"
+    tail = lambda q: [r["id"] for r in engine.answer(q).collect() if r["path"].startswith("n/")]
+    assert tail("rounding total") == [ids["n/new.md"], ids["n/discount.md"]]  # the old one is superseded
+    assert tail("what of 2024-05-03") == [ids["n/discount.md"]]
+    assert tail("price") == []
+    assert ids["n/discount.md"] in {r["id"] for r in engine.search("rounding", notes=True).collect()}
+    assert not {r["id"] for r in engine.search("rounding rule").collect()} & {ids[p] for p in NOTES}
+    assert ids["n/old.md"] in {r["id"] for r in engine.search("2024-05-03", notes=None).collect()}
 
 
 def test_readers():
@@ -30,7 +50,7 @@ def test_readers():
 
 def test_pages_have_unique_ids_and_edges(engine):
     ids = [r["id"] for r in engine.pages.collect()]
-    assert len(ids) == len(set(ids)) == len(fixture.FILES) + len(DOCS)
+    assert len(ids) == len(set(ids)) == len(fixture.FILES) + len(DOCS) + len(NOTES)
     edges = {(r["src"], r["dst"], r["kind"]) for r in engine.edges.collect()}
     paths = {r["path"]: r["id"] for r in engine.pages.collect()}
     assert (paths["docs/cart.md"], paths["docs/prices.md"], "link") in edges
@@ -60,7 +80,13 @@ def test_questions(engine):
 def test_lint_and_rendering(engine):
     lint = engine.lint()
     assert [r["target"] for r in lint["broken"].collect()] == ["Gone"]
-    assert engine.rendered().count() == engine.pages.count()
+    whole = {r["id"]: r["page"] for r in engine.rendered().collect()}
+    assert len(whole) == engine.pages.count()
+    code = next(p for p in whole.values() if 'source: "shop/cart.py"' in p)
+    assert "## Exports\n- `" in code and "## Imports\n- shop/" in code and "## Body\n```python\n" in code and code.endswith("## Notes\n_none yet_\n")
+    assert "](docs_prices.md)" in next(p for p in whole.values() if 'source: "docs/cart.md"' in p)
+    written = engine.pages.sparkSession.createDataFrame([("shop/cart.py", "# x\n\n## Notes\nkept by hand\n")], "source string, page string")
+    assert engine.rendered(written).filter("page like '%kept by hand%'").count() == 1
     assert engine.fingerprints().select("fingerprint").distinct().count() == engine.pages.count()
 
 

@@ -116,7 +116,7 @@ def test_a_walk_meets_nodes_as_a_queue_does(spark):
     assert got == want and len(got) > 10
     near = graph.walk_order(starts, spark.createDataFrame(edges, "src int, dst int, nth int"), 1)
     assert [(r["id"], r["level"]) for r in near.orderBy("place").collect()] == [x for x in want if x[1] == 1]
-    fits = graph.first_that_fit(rows.withColumn("all", F.lit(0)), ["all"], [F.col("place")], F.lit(4), 18)
+    fits = graph.longest_prefix(rows.withColumn("all", F.lit(0)), ["all"], [F.col("place")], F.lit(4), 18)
     assert [r["place"] for r in fits.orderBy("place").collect()] == [1, 2, 3, 4]
 
 
@@ -182,3 +182,18 @@ def test_items_are_scored_by_how_rare_the_words_are(spark):
     items = spark.createDataFrame([(1, "common_word", None, None, None, False), (2, "rare_word", None, None, None, False), (3, "x", "Owner", "provisioned", None, False), (4, "x", None, None, "rare", True), (5, "y", None, None, None, False)], schema)
     got = {r["id"]: round(r["score"], 6) for r in search.item_scores(items, ["common", "rare", "provisioning", "owner::x"], [0.1, 2.0, 1.0, 3.0]).collect()}
     assert got == {1: 0.2, 2: 4.0, 3: round(0.3 + 3 * 3.5, 6), 4: 0.5}
+
+
+def test_admission_in_order_needs_few_rows_of_each_size(spark):
+    rng = random.Random(4)
+    rows = [(g, k, rng.choice([0, 1, 2, 3, 5, 8, 40])) for g in "ab" for k in range(400)]
+    want = []
+    for g in "ab":
+        left = 50
+        for _, k, size in (r for r in rows if r[0] == g):
+            if size <= left:
+                left -= size
+                want.append((g, k))
+    rng.shuffle(rows)
+    got = graph.greedy(spark.createDataFrame(rows, "g string, k int, size long"), ["g"], ["k"], "size", 50)
+    assert sorted((r["g"], r["k"]) for r in got.collect()) == sorted(want)
