@@ -216,6 +216,39 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, settled: bool = Fal
     return _encoded(docs, path, pattern, False, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", settled)
 
 
+@lru_cache(maxsize=4)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, where each id's begin, and how many there are (0: no such id)."""
+    table_ = encoder(path, WHOLE)[1]
+    size = np.array([len(b) for b in table_], np.int64)
+    return np.frombuffer(b"".join(table_), np.uint8), np.cumsum(size) - size, size
+
+
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """(doc_id, decoded) of tokens (doc_id, ids): ids joined with the token-byte table, in order.
+
+    Null ids give null bytes; an id that the table doesn't have is a ValueError."""
+
+    def run(batches):
+        flat, first, size = byte_table(path)
+        for batch in batches:
+            out = []
+            for ids in batch.column(1):
+                ids = None if not ids.is_valid else ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                if ids is not None and len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
+                    raise ValueError("ids that the token-byte table doesn't have")
+                out.append(None if ids is None else b"".join(_spelled(flat, first, size, ids[lo : lo + CHARS]) for lo in range(0, len(ids), CHARS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
+
+
+def _spelled(flat: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray) -> bytes:
+    sizes = size[ids]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1])) + np.repeat(first[ids] - (ends - sizes), sizes)].tobytes()
+
+
 def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool, schema: str, settled: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not settled:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docgraph.llm import fim, planes, rope, runs
+from docgraph.llm import bpe, fim, planes, rope, runs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, part int, runs string, fim_text string, restored string, form string, low string"
 VOCABULARY = public_tokenizers.path(planes.VOCABULARY)
@@ -130,6 +130,22 @@ def test_no_documents_make_no_files(spark, tmp_path):
     assert runs.op13_periodic_runs(spark, folder).collect() == []
 
 
+def test_ids_decode_by_the_token_byte_table(spark):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    got = rows(20)
+    docs = spark.createDataFrame(got, "doc_id long, text string")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    back = bpe.decode(ids.unionByName(spark.createDataFrame([(99, None)], "doc_id long, ids array<int>")), path).collect()
+    assert sorted((r["doc_id"] or 0, None if r["decoded"] is None else bytes(r["decoded"]).decode()) for r in back if r["doc_id"] != 99) == sorted((d or 0, t or "") for d, t in got)
+    assert [r["decoded"] for r in back if r["doc_id"] == 99] == [None]
+    table_ = bpe.encoder(path, bpe.WHOLE)[1]
+    some = np.random.default_rng(3).integers(0, len(table_), 500)
+    flat, first, size = bpe.byte_table(path)
+    assert bpe._spelled(flat, first, size, some) == b"".join(table_[i] for i in some)
+    with pytest.raises(Exception, match="token-byte table"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), path).collect()
+
+
 # ---- ropes and fill-in-middle
 
 
