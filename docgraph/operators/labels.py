@@ -184,17 +184,17 @@ def search(found: DataFrame, query: str, limit: int | None = None) -> DataFrame:
         rows = found.withColumn("cut", F.greatest(F.lit(0), F.lit(found.count()) - limit).cast("long"))
         return rows.withColumn("reading", F.lit("all")).orderBy("doc", "start").limit(limit)
     rows = _ranked(found, words)
-    group = ["part", "loose", "bold", "late", "doc", "head"] if rows.columns else []
+    place = ["part", "loose", "bold", "late"]
     text = F.trim(F.when(F.instr("label", ": ") > 0, F.substring_index("label", ": ", 1)).otherwise(F.regexp_replace("label", ":$", "")))
     rows = rows.withColumn("head", F.lower(F.when(text == "", F.col("label")).otherwise(text)))
     # labels that several parts name are ordered as parts are, but share their heads across places
-    keyed = rows.withColumn("__key", F.when(F.col("reading") == "parts", F.lit("")).otherwise(F.concat_ws(",", *[F.col(c).cast("string") for c in group[:4]])))
-    order = ["part", "loose", "bold", "late", "doc", "start"]
+    keyed = rows.withColumn("__key", F.when(F.col("reading") == "parts", F.lit("")).otherwise(F.concat_ws(",", *[F.col(c).cast("string") for c in place])))
+    order = [*place, "doc", "start"]
     top = keyed.orderBy(*order).limit(limit)
     slots = F.broadcast(top.groupBy("__key", "doc", "head").agg(F.count("*").alias("__slots")))  # `limit` rows at most
     shown = alternate(keyed.join(slots, ["__key", "doc", "head"]), ["__key", "doc", "head"], order, F.col("__slots"))
     total = F.broadcast(rows.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("cut")))
-    return shown.crossJoin(total).orderBy("doc", *order[:4], "start").select(*found.columns, "reading", "cut")
+    return shown.crossJoin(total).orderBy("doc", *place, "start").select(*found.columns, "reading", "cut")
 
 
 def alternate(rows: DataFrame, head: list[str], order: list[str], keep: int | Column) -> DataFrame:

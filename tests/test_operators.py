@@ -118,7 +118,7 @@ def test_catalog_and_render(spark):
     rows = catalog.catalog(pages, edges, spark.createDataFrame([("a", 0.5), ("b", 0.5)], "id string, rank double"))
     got = {r["id"]: r for r in rows.collect()}
     assert got["a"]["neighbors_out"] == ["b"] and got["a"]["degree_in"] == 1 and got["a"]["imports_in"] == ["b"] and got["a"]["token_estimate"] == 2
-    assert "## Imported by\n\n- [[b]]" in {r["id"]: r["page"] for r in catalog.render(rows).collect()}["a"]
+    assert "## Imported by\n- [[b]]\n" in {r["id"]: r["page"] for r in catalog.render(rows).collect()}["a"]
 
 
 def test_labels():
