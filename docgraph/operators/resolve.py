@@ -58,30 +58,33 @@ def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame, depth: int
     known by the positions on the way to it, and the least way wins. open: a base from outside (null, but for `object`, which
     bases leaves out) stands before it on a way, or is too deep to look at, and may have the method first.
 
-    bases: class, position, base; methods: class, name. A round looks at one more level for all that is asked; of several ways
-    to a class of the same length the least is kept, so that a round has a row for each class at most."""
-    ways = "array<int>"
-    here = cut(asked.select("class", "name").distinct().withColumns({"node": F.col("class"), "way": F.array().cast(ways)}))
-    found, outside = [], []
+    bases: class, position, base; methods: class, name. Rounds going up gather, level by level, whose answer is wanted: each
+    (class, name) once a level, whoever asks. Rounds coming down answer each from the answers of its bases, so that the work
+    grows with classes and names, not with the ways between them."""
+    up = cut(bases.select(F.col("class").alias("node"), F.col("position").cast("int").alias("position"), "base"))
+    own = cut(methods.select(F.col("class").alias("base"), "name", F.lit(True).alias("has")).distinct())
+    wanted = asked.select(F.col("class").alias("node"), "name").distinct()
+    steps = []
     for level in range(depth + 1):
-        step = here.join(bases.select(F.col("class").alias("node"), F.col("position").cast("int").alias("position"), "base"), "node").withColumn("way", F.concat("way", F.array("position"))).drop("node", "position")
-        last = level >= depth
-        gone = step.filter("base is null" if not last else "true").groupBy("class", "name").agg(F.min("way").alias("way"))
-        outside.append(gone)
-        if last:
+        step = wanted.join(up, "node")
+        step = cut(step.join(own, ["base", "name"], "left") if level < depth else step.withColumn("has", F.lit(None).cast("boolean")))
+        steps.append(step)
+        further = step.filter("base is not null and has is null")
+        if level == depth or further.isEmpty():
             break
-        step = step.filter("base is not null").groupBy("class", "name", F.col("base").alias("node")).agg(F.min("way").alias("way"))
-        own = methods.select(F.col("class").alias("node"), "name", F.lit(True).alias("has")).distinct()
-        step = cut(step.join(own, ["node", "name"], "left"))
-        found.append(step.filter("has").groupBy("class", "name").agg(F.min(F.struct("way", F.col("node").alias("found"))).alias("x")).select("class", "name", "x.*"))
-        here = step.filter("has is null").select("class", "name", "node", "way")
-        if here.isEmpty():
-            break
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    best = union(found).groupBy("class", "name").agg(F.min(F.struct("way", "found")).alias("b"))
-    least = union(outside).groupBy("class", "name").agg(F.min("way").alias("o"))
-    rows = asked.select("class", "name").distinct().join(best, ["class", "name"], "left").join(least, ["class", "name"], "left")
-    return rows.select("class", "name", F.col("b.found").alias("found"), (F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.col("b.way")))).alias("open"))
+        wanted = further.select(F.col("base").alias("node"), "name").distinct()
+    answers = None
+    for level, step in reversed(list(enumerate(steps))):
+        way = F.array("position")
+        best, out = F.when(F.col("has"), F.struct(way.alias("way"), F.col("base").alias("found"))), F.when(F.col("base").isNull() | F.lit(level >= depth), way)
+        if answers is not None:
+            step = step.join(answers.withColumnRenamed("node", "base"), ["base", "name"], "left")
+            best = F.coalesce(best, F.when(F.col("b").isNotNull(), F.struct(F.concat(way, "b.way").alias("way"), F.col("b.found").alias("found"))))
+            out = F.coalesce(out, F.concat(way, "o"))
+        answers = step.groupBy("node", "name").agg(F.min(best).alias("b"), F.min(out).alias("o"))
+        answers = answers.withColumn("o", F.when(F.col("b").isNull() | (F.col("o") < F.col("b.way")), F.col("o")))  # what stands after the found one never counts
+    rows = asked.select("class", "name").distinct().join(answers.withColumnRenamed("node", "class"), ["class", "name"], "left")
+    return rows.select("class", "name", F.col("b.found").alias("found"), F.col("o").isNotNull().alias("open"))
 
 
 def overrides(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:

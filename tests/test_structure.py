@@ -1,8 +1,10 @@
 """Names, ids, labels, walks, pairs, links and outlines in the cases that tables of orders don't have."""
 
+import glob
 import random
 from collections import deque
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,27 @@ def test_the_first_base_in_order_gives_the_method(spark):
     assert {tuple(r) for r in below.collect()} == {("C", "own", "D")}
 
 
+def _written(folder):
+    """Rows in all cut points of a folder."""
+    return sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{folder}/cut-*/*.parquet"))
+
+
+def test_work_on_classes_grows_with_classes_not_with_ways(spark, tmp_path, monkeypatch):
+    from docgraph.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    width, depth = 6, 8  # each class of a layer has all classes of the layer below as bases
+    at = lambda layer, k: layer * width + k
+    rows = [(at(d, a), b, at(d - 1, b)) for d in range(1, depth) for a in range(width) for b in range(width)]
+    bases = spark.createDataFrame(rows, "class int, position int, base int")
+    methods = spark.createDataFrame([(at(0, 4), "run"), (at(2, 3), "run")], "class int, name string")
+    asked = spark.createDataFrame([(c, "run") for c in range(width * depth)], "class int, name string")
+    got = {r["class"]: (r["found"], r["open"]) for r in resolve.inherited(asked, bases, methods).collect()}
+    # the first base leads down to the last layer by 0, 0, ..., 4, which is before any way by class 3 of layer 2
+    assert got == {c: (at(0, 4) if c >= width else None, False) for c in range(width * depth)}
+    assert _written(tmp_path) < 2 * depth * len(rows)
+
+
 # ---- links and outlines
 
 
