@@ -87,19 +87,34 @@ def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame, depth: int
     return rows.select("class", "name", F.col("b.found").alias("found"), F.col("o").isNotNull().alias("open"))
 
 
-def overrides(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
-    """(class, name, sub): classes below a class, at any depth, that have the method asked for themselves."""
-    below = bases.filter("base is not null").select(F.col("base").alias("node"), F.col("class").alias("sub")).distinct()
-    seen = cut(asked.select("class").distinct().withColumn("node", F.col("class")))
-    here, parts = seen, [seen.limit(0)]
-    while True:
-        step = here.join(below, "node").select("class", F.col("sub").alias("node")).distinct()
-        here = cut(step.join(reduce(lambda a, b: a.unionByName(b), parts), ["class", "node"], "left_anti"))
-        if here.isEmpty():
-            break
+def _closed(start: DataFrame, edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(key, node) of start and of all that its nodes lead to by edges (node, to), its key going along; keep: the (node, key2)
+    a walk may enter. A row is walked from once."""
+    keys = [c for c in start.columns if c != "node"]
+    here = cut(start.distinct())
+    parts = [here]
+    while not here.isEmpty():
+        step = here.join(edges, "node").select(*keys, F.col("to").alias("node"))
+        if keep is not None:
+            step = step.join(keep, keep.columns, "left_semi")
+        here = cut(step.distinct().join(reduce(lambda a, b: a.unionByName(b), parts), [*keys, "node"], "left_anti"))
         parts.append(here)
-    reached = reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("node", "sub")
-    return asked.select("class", "name").distinct().join(reached, "class").join(methods.select(F.col("class").alias("sub"), "name").distinct(), ["sub", "name"]).select("class", "name", "sub")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def overrides(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class, name, sub): other classes below a class, at any depth, that have the method asked for themselves.
+
+    Walks up from the methods tell first which classes have a method of a name below them or themselves, each once; walks down
+    from what is asked enter these alone, so that they lead to pairs of the result and the few classes between."""
+    asked = asked.select("class", "name").distinct()
+    own = methods.select("class", "name").distinct().join(asked.select("name").distinct(), "name", "left_semi")
+    edges = cut(bases.filter("base is not null").select("class", "base").distinct())
+    useful = cut(_closed(own.select("name", F.col("class").alias("node")), edges.select(F.col("class").alias("node"), F.col("base").alias("to"))))
+    below = edges.select(F.col("base").alias("node"), F.col("class").alias("to"))
+    reached = _closed(asked.select("class", "name", F.col("class").alias("node")), below, useful)
+    found = reached.filter("class <> node").withColumnRenamed("node", "sub")
+    return found.join(own.withColumnRenamed("class", "sub"), ["sub", "name"], "left_semi").select("class", "name", "sub")
 
 
 def strict_winner(rows: DataFrame, group: str, order: list[str], pick: str) -> DataFrame:

@@ -161,6 +161,27 @@ def test_work_on_classes_grows_with_classes_not_with_ways(spark, tmp_path, monke
     assert _written(tmp_path) < 2 * depth * len(rows)
 
 
+def test_walks_to_overrides_enter_only_classes_that_lead_to_one(spark, tmp_path, monkeypatch):
+    from docgraph.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    width, depth = 6, 8
+    at = lambda layer, k: layer * width + k
+    rows = [(at(d, a), b, at(d - 1, b)) for d in range(1, depth) for a in range(width) for b in range(width)]
+    bases = spark.createDataFrame(rows, "class int, position int, base int")
+    methods = spark.createDataFrame([(at(0, 4), "run"), (at(2, 3), "run")], "class int, name string")
+    leaves = [(1000 + k, 0, at(depth - 1, k % width)) for k in range(500)]  # without the method and nobody's base
+    below = resolve.overrides(methods, bases.unionByName(spark.createDataFrame(leaves, bases.schema)), methods)
+    assert {tuple(r) for r in below.collect()} == {(at(0, 4), "run", at(2, 3))}
+    assert _written(tmp_path) < 2 * len(rows) + len(leaves)
+
+
+def test_a_class_in_a_cycle_is_not_below_itself(spark):
+    bases = spark.createDataFrame([("A", 0, "B"), ("B", 0, "A")], "class string, position int, base string")
+    methods = spark.createDataFrame([("A", "run"), ("B", "run")], "class string, name string")
+    assert {tuple(r) for r in resolve.overrides(methods, bases, methods).collect()} == {("A", "run", "B"), ("B", "run", "A")}
+
+
 # ---- links and outlines
 
 
