@@ -2,6 +2,7 @@
 
 import glob
 import random
+import time
 from collections import deque
 
 import pyarrow.parquet as pq
@@ -207,6 +208,17 @@ def test_links_are_rewritten_outside_code(spark, text, want):
     assert out.columns == pages.columns and out.first()["body"] == want
 
 
+def test_a_page_of_very_many_links_takes_time_by_its_length(spark):
+    ids = spark.createDataFrame([("big_page", "x/big.md")], "id string, path string")
+    parts = [("[[Big Page|{}]] [[Gone]] #1st", "[[big_page|{}]] [[Gone]] \\#1st"), ("[a](../x/big.md#{0}) `[[Big Page]]` w{0}", "[a](big_page.md#{0}) `[[Big Page]]` w{0}")]
+    text, want = (" ".join(parts[i % 2][k].format(i) for i in range(60_000)) for k in (0, 1))
+    pages = spark.createDataFrame([("p", "d/p.md", text), ("q", None, "[[Big Page]] [b](/x/big.md) [c](x/big.md)")], "id string, path string, body string")
+    start = time.monotonic()
+    got = {r["id"]: r["body"] for r in rewrite.rewrite_links(pages, ids).collect()}
+    assert got["p"] == want and got["q"] == "[[big_page]] [b](big_page.md) [c](x/big.md)"
+    assert time.monotonic() - start < 120  # looking each piece up in a list of all links took 10^10 steps
+
+
 def test_outlines_are_cut_as_little_as_it_takes(spark):
     def page(name, *lines):
         return [(name, k + 1, kind, test, size, doc) for k, (kind, test, size, doc) in enumerate(lines)]
