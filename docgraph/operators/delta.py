@@ -76,9 +76,7 @@ def build(store: Store, pages: DataFrame, owner: str = OWNER) -> dict[str, int]:
         full = {"pages": new, "links": links, "rendered": rendered(new, links, owner=owner)}
         if shown is not None:  # others' rows
             full["rendered"] = full["rendered"].join(shown.select("id"), "id", "left_anti")
-        full = {t: cut(r.withColumn("gone", no)) for t, r in full.items()}
-        store.commit(full)
-        return {t: r.count() for t, r in full.items()}
+        return store.written(store.commit({t: r.withColumn("gone", no) for t, r in full.items()}))
     changed = cut(changes(old_pages, new))
     gone = changed.filter("not now").select("id")
     again = new.join(changed.filter("now").select("id"), "id", "left_semi")
@@ -105,6 +103,4 @@ def build(store: Store, pages: DataFrame, owner: str = OWNER) -> dict[str, int]:
         "links": new_links.withColumn("gone", no).unionByName(old_links.join(gone, "id", "left_semi").withColumn("gone", ~no)),
         "rendered": differs.withColumn("gone", no).unionByName(stale.withColumn("gone", ~no)),
     }
-    delta = {t: cut(r) for t, r in delta.items()}
-    store.commit(delta)
-    return {t: r.count() for t, r in delta.items()}
+    return store.written(store.commit(delta))

@@ -77,6 +77,10 @@ class Store:
         self.spark.createDataFrame(list(made.items()), "table string, generations array<int>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/g{generation}")
         return generation
 
+    def written(self, generation: int) -> dict[str, int]:
+        """The rows that a generation wrote of each table."""
+        return {t: self.spark.read.parquet(f"{self.folder}/{t}/g{generation}").count() for t, made in self.parts(generation).items() if generation in made}
+
     def compact(self) -> int:
         """The tables as they are, as one generation."""
         return self.commit({t: self._read(t, made).withColumn("gone", F.lit(False)) for t, made in self.parts().items()}, whole=True)

@@ -232,3 +232,17 @@ def test_the_live_loop_caps_compiles_and_marks_stale_answers(spark, tmp_path):
     for k, own in events.items():
         got = sorted((tuple(r)[1:] for r in found if r["key"] == k), key=str)
         assert got == sorted(replay(own, 300, 1000, 400), key=str)
+
+
+def test_a_delta_build_writes_bodies_once_beside_the_store(spark, tmp_path, monkeypatch):
+    from docgraph.sources import shared
+
+    cuts = tmp_path / "cuts"
+    cuts.mkdir()
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{cuts}")
+    store = Store(spark, f"file://{tmp_path}/store", delta.KEYS)
+    made = spark.createDataFrame([(k, f"d/{k}.md", f"Doc {k}", f"[a]({k + 1}.md)") for k in range(50)], "id long, path string, title string, body string")
+    assert delta.build(store, made) == {"pages": 50, "links": 50, "rendered": 50}
+    assert delta.build(store, made.filter("id <> 7")) == {"pages": 1, "links": 1, "rendered": 3}  # 7 went, 6 and 8 were beside it
+    with_body = [spark.read.parquet(str(c)) for c in cuts.iterdir() if "body" in spark.read.parquet(str(c)).columns]
+    assert sum(c.count() for c in with_body) == 50 + 49
