@@ -2,16 +2,17 @@
 
 Tables of an index's folder, each written once and read with partition filters:
 
-    docs    id, len, title_n, path and the columns kept, a row for each page
-    grams   part | gram, block, n, ids: pages by the three characters that stand in their lower-cased body
+    bodies  slot | id, body, block, ord, len, title_n, path and the columns kept, a row for each page
+    grams   part | gram, block, n, ords: pages by the three characters that stand in their lower-cased body
     words   part | word, field, block, n, places (id, elem): pages by the words of their fields
-    bodies  slot | id, body
     bounds  what each part of grams and words begins and ends with; stats: pages and words in all; shape: fields, slots
 
-Terms are dealt to parts by range, so a word's parts are known from `bounds`, of which there is a row a part; a term of very
-many pages is cut into blocks of some BLOCK pages, which may lie in several parts. A body is followed by two marks, so that
-words of one or two characters are ranges of trigrams. A longer word is looked up by its RARE rarest trigrams; what these
-leave is verified on the bodies, which are read from the slots that hold them. All counts and statistics are exact.
+Pages are dealt to blocks of some BLOCK pages, and to slots of whole blocks; in a block they are numbered, so that postings
+hold numbers of two bytes and are made block by block from the stored bodies, without dealing out single ids. Terms are dealt
+to parts by range, so a word's parts are known from `bounds`, of which there is a row a part; the blocks of a term of very many
+pages may lie in several parts. A body is followed by two marks, so that words of one or two characters are ranges of
+trigrams. A longer word is looked up by its RARE rarest trigrams; what these leave is verified on the bodies, which are read
+from the slots that hold them, or from all slots if it is more than SENT pages. All counts and statistics are exact.
 
 Edge cases: null texts are empty; empty words find nothing; an empty table makes an empty index; page ids are
 taken to be distinct, and a page with a null id is never found; other columns don't matter.
@@ -19,6 +20,7 @@ taken to be distinct, and a page with a null id is never found; other columns do
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -26,15 +28,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgraph.functions import text as T
 from docgraph.operators import search as S
 from docgraph.sources.shared import cut, shared_dir
 
-#: Pages for each part of terms and slot of bodies, parts and slots at most, pages of a posting block, and how many of a
-#: word's trigrams are read.
-SHARE, PARTS, BLOCK, RARE = 20_000, 10_000, 50_000, 3
+#: Pages for each part of terms and slot of bodies, parts and slots at most, pages of a block (numbered in two bytes), and how
+#: many of a word's trigrams are read.
+SHARE, PARTS, BLOCK, RARE = 20_000, 10_000, 16_000, 3
 #: Slots that are named in a filter, and candidates that are sent to all tasks, at most.
 SENT = 20_000
 CHARS = 1 << 22
@@ -43,10 +47,35 @@ BITS = 21
 FIELDS = ("title", "summary", "aliases", "headings", "path")
 
 
+def postings(lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row), sorted: numbers of the distinct trigrams of lower-cased texts and the two marks after each."""
+    ends = np.cumsum([len(t) + 2 for t in lows])
+    c = np.frombuffer("".join(t + "\0\0" for t in lows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(1 << BITS, bool)
+    seen[c] = True
+    chars = np.flatnonzero(seen)
+    bits, rows = len(chars).bit_length(), len(lows).bit_length()
+    if 3 * bits + rows > 63 and len(lows) > 1:  # more than 32,000 different characters
+        half = len(lows) // 2
+        (g, r), (h, q) = postings(lows[:half]), postings(lows[half:])
+        gram, row = np.append(g, h), np.append(r, q + half)
+        order = np.lexsort((row, gram))
+        return gram[order], row[order]
+    rows = min(rows, 63 - 3 * bits)  # the only row is 0
+    code = (np.cumsum(seen) - 1)[c]
+    inside = np.ones(len(c), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    row = np.repeat(np.arange(len(lows)), np.diff(ends, prepend=0))
+    key = (((code[:-2] << 2 * bits) | (code[1:-1] << bits) | code[2:]) << rows | row[:-2])[inside[:-2]]
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+    row, key, mask = key & ((1 << rows) - 1), key >> rows, (1 << bits) - 1
+    return (chars[key >> 2 * bits] << 2 * BITS) | (chars[key >> bits & mask] << BITS) | chars[key & mask], row
+
+
 def grams_of(low: str) -> np.ndarray:
     """Numbers of the distinct trigrams of a lower-cased text and the two marks after it."""
-    c = np.frombuffer((low + "\0\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.unique((c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:])
+    return postings([low])[0]
 
 
 def _span(word: str) -> tuple[int, int]:
@@ -80,53 +109,54 @@ class Index:
     folder: str
     fields: tuple[str, ...]
     slots: int
+    blocks: int
     kind: str
+    page: StructType
     bounds: dict[str, list[tuple[int, str, str]]]
 
     @classmethod
     def build(cls, pages: DataFrame, fields: S.Fields, keep: tuple[str, ...] = (), folder: str | None = None, parts: int | None = None, slots: int | None = None, block: int = BLOCK) -> Index:
         """The index of pages, in a new folder under the shared one; keep: columns that searches filter or order by.
 
-        parts and slots: one for SHARE pages each, unless given."""
+        parts and slots: one for SHARE pages each, and so many at least; block: pages of a block, 16,000 at most."""
         spark = pages.sparkSession
         folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         has = [f for f in FIELDS if getattr(fields, f)]
         body = F.coalesce(F.col(fields.body).cast("string"), F.lit("")) if fields.body else F.lit("")
         rows = pages.select(F.col(fields.id).alias("id"), body.alias("body"), *[F.col(getattr(fields, f)).alias(f"f_{f}") for f in has], *keep)
         n = pages.count()
-        blocks, share = 1 + n // block, min(PARTS, 1 + n // SHARE)
-        parts, slots = parts or share, slots or share
+        blocks, share = 1 + n // min(block, BLOCK), min(PARTS, 1 + n // SHARE)
+        parts, slots = max(parts or 1, share), max(slots or 1, share)
         title = F.size(F.array_distinct(T.field_words(F.coalesce(F.col("f_title").cast("string"), F.lit(""))))) if fields.title else F.lit(0)
         path = F.lower("f_path") if fields.path else F.lit(None).cast("string")
-        rows.select("id", T.word_count("body").cast("long").alias("len"), title.alias("title_n"), path.alias("path_low"), *keep).write.parquet(f"{folder}/docs")
-        docs = spark.read.parquet(f"{folder}/docs")
-        docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{folder}/stats")
-        rows.select("id", "body", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")).repartition(slots, "slot").sortWithinPartitions("slot", "id").write.partitionBy("slot").parquet(f"{folder}/bodies")
+        own = F.when(F.col("id").isNotNull(), _block(F.col("id"), blocks)).otherwise(_block(F.col("body"), blocks))
+        dealt = rows.withColumn("block", own).withColumn("slot", F.pmod("block", F.lit(slots)).cast("int")).repartition("slot", "block")
+        dealt = dealt.withColumn("ord", (F.dense_rank().over(W.partitionBy("slot", "block").orderBy("id")) - 1).cast("smallint"))
+        stored = dealt.select("id", "body", "block", "ord", T.word_count("body").cast("long").alias("len"), title.alias("title_n"), path.alias("path_low"), *keep, "slot")
+        stored.write.partitionBy("slot").parquet(f"{folder}/bodies")
+        bodies = spark.read.schema(stored.schema).parquet(f"{folder}/bodies")
+        bodies.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).write.parquet(f"{folder}/stats")
 
         kind = rows.schema["id"].dataType.simpleString()
 
         def spread(batches):
             for batch in batches:
-                lows, at = batch.column(2).to_pylist(), 0
+                block_, ord_, lows, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), 0
                 while at < len(lows):
                     to, size = at, 0
-                    while to < len(lows) and (to == at or size + len(lows[to]) <= CHARS):
+                    while to < len(lows) and block_[to] == block_[at] and (to == at or size + len(lows[to]) <= CHARS):
                         size += len(lows[to])
                         to += 1
-                    own = [grams_of(t) for t in lows[at:to]]
-                    row = np.repeat(np.arange(at, to), [len(g) for g in own])
-                    gram, block_ = np.concatenate(own), batch.column(1).to_numpy()[row]
-                    order = np.lexsort((row, block_, gram))
-                    gram, block_, row = gram[order], block_[order], row[order]
-                    head = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (block_[1:] != block_[:-1]))[: len(gram)])
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)), pa.int32()), batch.column(0).take(pa.array(row)))
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[head]), pa.array(block_[head], pa.int32()), lists], ["gram", "block", "ids"])
+                    gram, row = postings(lows[at:to])
+                    head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+                    ends = np.append(head, len(row))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ord_[at:to][row], pa.int16()))
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[head]), pa.array(np.full(len(head), block_[at]), pa.int32()), pa.array(np.diff(ends), pa.int32()), lists], ["gram", "block", "n", "ords"])
                     at = to
 
-        lowered = rows.select("id", _block(F.col("id"), blocks).alias("block"), F.lower("body").alias("low"))
-        grams = lowered.mapInArrow(spread, f"gram long, block int, ids array<{kind}>")
-        grams = grams.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-        bounds = _store(grams.select("gram", "block", F.size("ids").alias("n"), "ids"), ["gram", "block"], f"{folder}/grams", parts).select(F.lit("grams").alias("table"), "*")
+        # written before they are dealt by range, which reads its rows twice
+        grams = cut(bodies.filter("id is not null").select("block", "ord", F.lower("body")).mapInArrow(spread, "gram long, block int, n int, ords array<smallint>"))
+        bounds = _store(grams, ["gram", "block"], f"{folder}/grams", parts).select(F.lit("grams").alias("table"), "*")
         if has:
             texts = [
                 F.transform(F.array(F.col(f"f_{f}").cast("string")) if f not in ("aliases", "headings") else F.coalesce(F.col(f"f_{f}"), F.array().cast("array<string>")), _element(f))
@@ -139,7 +169,7 @@ class Index:
             own = _store(words.select("word", "field", "block", F.size("places").alias("n"), "places"), ["word", "field", "block"], f"{folder}/words", parts)
             bounds = bounds.unionByName(own.select(F.lit("words").alias("table"), "*"))
         bounds.coalesce(1).write.parquet(f"{folder}/bounds")
-        spark.createDataFrame([(has, slots, kind)], "fields array<string>, slots int, kind string").coalesce(1).write.parquet(f"{folder}/shape")
+        spark.createDataFrame([(has, slots, blocks, kind, stored.schema.json())], "fields array<string>, slots int, blocks int, kind string, page string").coalesce(1).write.parquet(f"{folder}/shape")
         return cls.open(spark, folder)
 
     @classmethod
@@ -149,13 +179,16 @@ class Index:
         for r in spark.read.parquet(f"{folder}/bounds").collect():  # a row for each part
             bounds[r["table"]].append((r["part"], r["first"], r["last"]))
         shape = spark.read.parquet(f"{folder}/shape").first()
-        return cls(spark, folder, tuple(shape["fields"]), shape["slots"], shape["kind"], bounds)
+        return cls(spark, folder, tuple(shape["fields"]), shape["slots"], shape["blocks"], shape["kind"], StructType.fromJson(json.loads(shape["page"])), bounds)
 
     def table(self, name: str) -> DataFrame:
+        """A table of the folder; docs: bodies without their texts."""
+        if name == "docs":
+            return self.table("bodies").drop("body", "slot")
         schemas = {
-            "grams": f"gram long, block int, n int, ids array<{self.kind}>, part int",
+            "grams": "gram long, block int, n int, ords array<smallint>, part int",
             "words": f"word string, field string, block int, n int, places array<struct<id: {self.kind}, elem: int>>, part int",
-            "bodies": f"id {self.kind}, body string, slot int",
+            "bodies": self.page,
         }
         read = self.spark.read.schema(schemas[name]) if name in schemas else self.spark.read
         return read.parquet(f"{self.folder}/{name}")
@@ -185,23 +218,33 @@ class Index:
         kept = {t: own for t, own in spans.items() if own}
         if not kept:
             return self.table("docs").select("id").limit(0)
-        rows = self._grams(sorted({s for own in kept.values() for s in own})).select("gram", F.explode("ids").alias("id"))
+        rows = self._grams(sorted({s for own in kept.values() for s in own})).select("gram", "block", F.explode("ords").alias("ord"))
         seen = [F.count_if(reduce(lambda a, b: a | b, [F.col("gram").between(lo, hi) for lo, hi in own])) >= (1 if len(t) <= 3 else len(own)) for t, own in kept.items()]
-        return rows.groupBy("id").agg(reduce(lambda a, b: a | b, seen).alias("any")).filter("any").select("id")
+        found = rows.groupBy("block", "ord").agg(reduce(lambda a, b: a | b, seen).alias("any")).filter("any")
+        return self.table("docs").filter("id is not null").join(found, ["block", "ord"], "left_semi").select("id")
+
+    def _many(self, tokens: list[str]) -> bool:
+        """Whether one trigram that begins with a token of up to three characters stands on more than SENT pages alone."""
+        short = [_span(t) for t in tokens if 0 < len(t) <= 3]
+        return bool(short) and (self._grams(short).groupBy("gram").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > SENT
 
     def bodies(self, ids: DataFrame) -> DataFrame:
-        """(id, body) of some pages: few are sent to all tasks and read from their slots alone, many are joined."""
-        few = ids.limit(SENT + 1).count() <= SENT
-        rows = self.table("bodies")
-        if not few:
-            return rows.join(ids.distinct(), "id", "left_semi").select("id", "body")
-        held = [r[0] for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(self.slots)).cast("int").alias("s")).distinct().collect()]  # as many as there are slots, at most
-        return rows.filter(F.col("slot").isin(held)).join(F.broadcast(ids.distinct()), "id", "left_semi").select("id", "body")
-
-    def counts(self, tokens: list[str], ids: DataFrame | None = None) -> DataFrame:
-        """(id, tf_0, tf_1, ...): how often the bodies hold each token, for pages that hold any."""
-        found = cut(self.candidates(tokens) if ids is None else self.candidates(tokens).join(ids, "id", "left_semi"))
-        rows = self.bodies(found).withColumn("low", F.lower("body")).select("id", *[T.occurrences(F.col("low"), t).alias(f"tf_{i}") for i, t in enumerate(tokens)])
+        """(id, body) of some pages, SENT at most: they are sent to all tasks and read from their slots alone."""
+        slot = F.pmod(_block(F.col("id"), self.blocks), F.lit(self.slots)).cast("int")
+        held = [r[0] for r in ids.select(slot.alias("s")).distinct().collect()]  # as many as there are slots, at most
+        return self.table("bodies").filter(F.col("slot").isin(held)).join(F.broadcast(ids.distinct()), "id", "left_semi").select("id", "body")
+
+    def counts(self, tokens: list[str], where: Column | None = None) -> DataFrame:
+        """(id, tf_0, tf_1, ...): how often the bodies hold each token, for pages that hold any; where: on kept columns.
+
+        Few candidates are read from their slots; if they are many, the bodies are read where they lie and none is dealt out."""
+        rows = self.table("bodies").filter("id is not null") if where is None else self.table("bodies").filter(F.col("id").isNotNull() & where)
+        if where is not None or not self._many(tokens):
+            found = self.candidates(tokens)
+            found = cut(found if where is None else found.join(self.table("docs").filter(where).select("id"), "id", "left_semi"))
+            if found.limit(SENT + 1).count() <= SENT:
+                rows = self.bodies(found)
+        rows = rows.withColumn("low", F.lower("body")).select("id", *[T.occurrences(F.col("low"), t).alias(f"tf_{i}") for i, t in enumerate(tokens)])
         rows = rows.groupBy("id").agg(*[F.sum(f"tf_{i}").cast("int").alias(f"tf_{i}") for i in range(len(tokens))])
         return rows.filter(reduce(lambda a, b: a | b, [F.col(f"tf_{i}") > 0 for i in range(len(tokens))], F.lit(False)))
 
@@ -236,7 +279,7 @@ class Index:
         if not tokens:
             return docs.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"))
         k = len(tokens)
-        said = self.counts(tokens, None if where is None else docs.select("id"))
+        said = self.counts(tokens, where)
         rows = self.weights(tokens, prompt).join(said, "id", "full") if self.fields else said.select("id", *[x for i in range(k) for x in (F.lit(0.0).alias(f"w_{i}"), F.lit(False).alias(f"file_{i}"))], *[f"tf_{i}" for i in range(k)])
         rows = rows.join(docs.select("id", "len", *([rank] if rank else [])), "id")
         numbers = [x for i in range(k) for x in (F.coalesce(f"w_{i}", F.lit(0.0)).alias(f"w_{i}"), F.coalesce(f"tf_{i}", F.lit(0)).alias(f"tf_{i}"), F.coalesce(f"file_{i}", F.lit(False)).alias(f"file_{i}"))]

@@ -58,6 +58,19 @@ def test_terms_are_read_from_the_parts_that_hold_them(built):
     assert some and some < {p for p, _, _ in made.bounds["words"]}
 
 
+def test_many_candidates_are_counted_where_the_bodies_lie(spark, built, monkeypatch):
+    rows, _ = built
+    monkeypatch.setattr(index, "SHARE", 10)
+    monkeypatch.setattr(index, "SENT", 5)
+    made = index.Index.build(rows, FIELDS, keep=("kind",), parts=3, slots=4, block=7)
+    assert made.slots >= 7 and made.table("grams").schema["ords"].dataType.elementType.simpleString() == "smallint"
+    assert {r["part"] for r in made.table("grams").select("part").distinct().collect()} > {0, 1, 2}
+    for query, where in (("ab bolt", None), ("bolts cold", None), ("ab bolt", F.col("kind") == "a")):
+        assert "Join" not in made.counts(query.split(), where)._jdf.queryExecution().executedPlan().toString()
+        want = search.search(rows if where is None else rows.filter(where), query, FIELDS, limit=25, digits=6).collect()
+        assert [tuple(r) for r in made.search(query, limit=25, digits=6, where=where).collect()] == [tuple(r) for r in want]
+
+
 def test_an_empty_table_makes_an_empty_index(spark):
     made = index.Index.build(spark.createDataFrame([], SCHEMA), FIELDS, parts=2, slots=2)
     assert made.search("red bolt").collect() == []
