@@ -11,9 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docgraph.functions import text as T
 from docgraph.operators.order import numbered, running_total
@@ -153,20 +155,109 @@ def _grams(w: str, most: int) -> tuple[dict[int, tuple[str, str]], list[tuple[st
     return names, made
 
 
-def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """(src, dst): names (id, name) of any length that bodies (id, body) mention.
-
-    At each word the longest name that starts there wins, ties going to the least id; a page's own name wins its place
-    but is no edge. A name of n words is told by its first and its last p words, p being the greatest power of two that
-    n holds: runs of such lengths are hashed (128 bits) from the runs of half their length, those that no name begins or ends
-    with go, and what is left is joined by place and hash. No pair of pages is listed; of names that begin alike one
-    row a length is tried at a place."""
-    word = r"[\p{L}\p{M}0-9']+"
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(word), F.lit(0))
-    phrase = names.select(words("name").alias("w"), F.col("id").alias("dst")).filter(F.size("w") > 0).groupBy("w").agg(F.min("dst").alias("dst")).withColumn("n", F.size("w"))
+def _named(words: list[list[str]]) -> tuple[list[str], dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """What names (their words) are matched by: the words, sorted by number; for each power of two p the keys of
+    runs of p words, made of two runs of half the length; for each length the keys of names, made of their first and last
+    p words, and which name each is. Runs are numbered by the place of their key, from 1."""
+    vocabulary = sorted({w for name in words for w in name})
+    number = {w: k for k, w in enumerate(vocabulary, 1)}
+    size = np.array([len(w) for w in words])
+    runs = np.array([number[w] for name in words for w in name], np.int64)
+    first = np.cumsum(size) - size
+    left = np.repeat(first + size, size) - np.arange(len(runs))  # words up to the end of the name
+    levels, names, p = {}, {}, 1
+    while True:
+        for n in np.unique(size[(size >= p) & (size < 2 * p)]).tolist():
+            own = np.flatnonzero(size == n)
+            key = runs[first[own]] << 32 | runs[first[own] + n - p]
+            order = np.argsort(key)
+            names[n] = key[order], own[order]
+        if 2 * p > size.max():
+            return vocabulary, levels, names
+        at = np.flatnonzero(left >= 2 * p)
+        levels[2 * p], made = np.unique(runs[at] << 32 | runs[at + p], return_inverse=True)
+        runs = np.zeros(len(runs), np.int64)
+        runs[at] = made + 1
+        p *= 2
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands in sorted keys, or -1."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _longest(runs: np.ndarray, left: np.ndarray, levels: dict[int, np.ndarray], names: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, name, length) of the longest name at each place; runs: the number of each word or 0, left: words up to the page's end."""
+    best, length = np.full(len(runs), -1), np.zeros(len(runs), np.int64)
+    at = np.flatnonzero(runs)
+    p = 1
+    while len(at):
+        for n in sorted(n for n in names if p <= n < 2 * p):
+            heads = at[left[at] >= n]
+            tail = runs[heads + n - p]
+            heads, tail = heads[tail > 0], tail[tail > 0]
+            found = _find(names[n][0], runs[heads] << 32 | tail)
+            heads, found = heads[found >= 0], found[found >= 0]
+            best[heads], length[heads] = names[n][1][found], n  # longer ones come later
+        if 2 * p not in levels:
+            break
+        at = at[left[at] >= 2 * p]
+        at = at[runs[at + p] > 0]
+        found = _find(levels[2 * p], runs[at] << 32 | runs[at + p])
+        at, found = at[found >= 0], found[found >= 0]
+        runs = np.zeros(len(runs), np.int64)
+        runs[at] = found + 1
+        p *= 2
+    place = np.flatnonzero(best >= 0)
+    return place, best[place], length[place]
+
+
+#: Words of names that are sent to all tasks, and words of pages that are matched at once, at most (but for one page).
+SENT, WORDS = 1_000_000, 1 << 20
+
+
+def _matches(pages: DataFrame, names: DataFrame, places: bool) -> DataFrame:
+    """(src, dst) of the names (w, dst; SENT words at most) that win a place in a page (src, w), each once a page; places: (src, pos, n, dst), the winner at each place."""
+    rows = names.collect()
+    vocabulary, levels, keys = _named([r["w"] for r in rows])
+    kinds = {f.name: f.dataType.simpleString() for f in (pages.schema["src"], names.schema["dst"])}
+    target = pa.array([r["dst"] for r in rows], to_arrow_type(names.schema["dst"].dataType))
+    sent = pages.sparkSession.sparkContext.broadcast((pa.array(vocabulary), levels, keys, target))
+
+    def match(batches):
+        vocabulary, levels, keys, target = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat, row, done = lists.flatten(), 0, 0
+            while row < len(ends):
+                to = max(row + 1, int(np.searchsorted(ends, done + WORDS, "right")))
+                own, size = ends[row:to] - done, int(ends[to - 1] - done)
+                runs = pc.fill_null(pc.index_in(flat.slice(done, size), vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                sizes = np.diff(own, prepend=0)
+                left = np.repeat(own, sizes) - np.arange(size)
+                place, name, n = _longest(runs, left, levels, keys)
+                page = np.searchsorted(own, place, "right")
+                if places:
+                    columns = [pa.array(place - (own - sizes)[page]), pa.array(n)]
+                else:
+                    key = np.unique(page * len(target) + name)
+                    page, name, columns = key // len(target), key % len(target), []
+                out = [batch.column(0).take(pa.array(page + row)), *columns, target.take(pa.array(name))]
+                yield pa.RecordBatch.from_arrays(out, ["src", "pos", "n", "dst"] if places else ["src", "dst"])
+                done, row = done + size, to
+
+    return pages.mapInArrow(match, f"src {kinds['src']}, {'pos long, n long, ' if places else ''}dst {kinds['dst']}")
+
+
+def _joined(pages: DataFrame, phrase: DataFrame) -> DataFrame:
+    """(src, dst): as _matches() gives them, for any number of names (w, n, dst) and by joins.
+
+    Runs are hashed (128 bits) from the runs of half their length, those that no name begins or ends with go, and what is
+    left is joined by place and hash. No pair of pages is listed; of names that begin alike one row a length is tried at a
+    place."""
     most = phrase.agg(F.max("n").alias("n")).first()["n"]
-    if most is None:
-        return pages.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
     columns, made = _grams("w", most)
     for name, column in made:
         phrase = phrase.withColumn(name, column)
@@ -175,7 +266,7 @@ def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     tail = F.col("n") - F.col("p")
     phrase = cut(phrase.withColumn("p", p).select("p", "n", "dst", *[at(c, i).alias(x) for x, c, i in (("ha", 0, F.lit(0)), ("hb", 1, F.lit(0)), ("ta", 0, tail), ("tb", 1, tail))]))
     sizes = {r["p"] for r in phrase.select("p").distinct().collect()}  # powers of two up to the longest name
-    grams = pages.select(F.col("id").alias("src"), words("body").alias("w"))
+    grams = pages
     for name, column in made:
         grams = grams.withColumn(name, column)
     runs = [F.transform(a, _run(k, b)) for k, (a, b) in columns.items() if k in sizes]
@@ -187,7 +278,32 @@ def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     tails = marks.select("src", "p", F.col("pos").alias("end"), F.col("a").alias("ta"), F.col("b").alias("tb"))
     whole = heads.withColumn("end", F.col("pos") + F.col("n") - F.col("p")).join(tails, ["src", "p", "end"]).join(phrase, ["p", "n", "ha", "hb", "ta", "tb"])
     best = whole.groupBy("src", "pos").agg(F.max_by("dst", "n").alias("dst"))
-    return best.filter("src <> dst").select("src", "dst").distinct()
+    return best.select("src", "dst")
+
+
+
+def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst): names (id, name) of any length that bodies (id, body) mention.
+
+    At each word the longest name that starts there wins, ties going to the least id; a page's own name wins its place
+    but is no edge. A name of n words is told by its first and its last p words, p being the greatest power of two that
+    n holds. Names of SENT words in all are sent to all tasks, and a page is matched where it lies; places of its words are
+    dealt out only if several pages have one id, or if the names are more."""
+    word = r"[\p{L}\p{M}0-9']+"
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(word), F.lit(0))
+    phrase = names.select(words("name").alias("w"), F.col("id").alias("dst")).filter(F.size("w") > 0).groupBy("w").agg(F.min("dst").alias("dst")).withColumn("n", F.size("w"))
+    phrase = cut(phrase)
+    total = phrase.agg(F.sum("n").alias("n")).first()["n"]
+    if total is None:
+        return pages.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    rows = pages.filter("id is not null").select(F.col("id").alias("src"), words("body").alias("w"))
+    if total > SENT:
+        return _joined(rows, phrase).filter("src <> dst").distinct()
+    several = cut(rows.groupBy("src").count().filter("count > 1").select("src"))
+    if several.isEmpty():
+        return _matches(rows, phrase, False).filter("src <> dst").distinct()
+    won = _matches(rows.join(several, "src", "left_semi"), phrase, True).groupBy("src", "pos").agg(F.min(F.struct(-F.col("n"), "dst"))["dst"].alias("dst")).select("src", "dst")
+    return _matches(rows.join(several, "src", "left_anti"), phrase, False).unionByName(won).filter("src <> dst").distinct()
 
 
 def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:

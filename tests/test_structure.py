@@ -31,6 +31,31 @@ def test_names_of_any_length_are_found(spark):
     assert graph.mentions(pages, named.limit(0)).collect() == []
 
 
+def test_pages_are_matched_where_they_lie_whatever_the_names(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4)]
+    texts = [(rng.randrange(30), " ".join(rng.choice(words) for _ in range(rng.randrange(50)))) for _ in range(25)] + [(None, "w0 w1")]
+    names = [(f"n{k}", " ".join(rng.choice(words) for _ in range(k % 9 + 1))) for k in range(30)]
+    pages = spark.createDataFrame([(f"p{i}" if i is not None else None, b) for i, b in texts], "id string, body string")
+    named = spark.createDataFrame(names, "id string, name string")
+    places = {}
+    for i, body in texts:
+        t = body.split()
+        for at in range(len(t)) if i is not None else ():
+            found = [(-len(n.split()), d) for d, n in names if t[at : at + len(n.split())] == n.split()]
+            places[i, at] = min([*found, *([places[i, at]] if (i, at) in places else [])], default=(0, None))
+    want = {(f"p{i}", d) for (i, _), (_, d) in places.items() if d}
+    assert len({i for i, _ in texts}) < len(texts) - 1  # pages of one id: the longest name at a place of any counts
+    assert {tuple(r) for r in graph.mentions(pages, named).collect()} == want
+    monkeypatch.setattr(graph, "WORDS", 20)
+    assert {tuple(r) for r in graph.mentions(pages, named).collect()} == want
+    alone = pages.dropDuplicates(["id"])
+    got = graph.mentions(alone, named)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "SENT", 10)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in graph.mentions(alone, named).collect()}
+
+
 def test_ids_of_deep_trees_and_many_suffixes_come_apart(spark):
     deep = [f"{c}/{'/'.join(['x'] * 30)}/mod.rs" for c in "abc"]
     dotted = ["p/y.a.b.c.d.e.f.g.h.i.j.k.md", "p/y.a.b.c.d.e.f.g.h.i.j.l.md"]
