@@ -5,8 +5,9 @@ due = min(last + quiet, first + cap); an edit at or after the due time opens the
 question asked at some time wants all edits up to it: it is answered at once if they are compiled, else when they are, and
 after `wait` at the latest, then marked stale.
 
-State is kept for each key (edits not compiled yet, questions not answered yet, the generations done); timers of event time
-say when the next thing is due. Nothing is decided before the watermark has passed it, so rows may come in any order within
+Keys are dealt to GROUPS groups by hash. The state of a group is one value, a row for each key (edits not compiled yet,
+questions not answered yet, the generations done, when its next thing is due), which is read and written once a visit, as
+each call goes out of the Python worker and back; a group's timer of event time says when the first of its keys is due. Nothing is decided before the watermark has passed it, so rows may come in any order within
 the watermark's delay, and a stream that is stopped and started again goes on where it was.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+GROUPS = 1024
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "key string, kind string, at long, started long, ended long, n long, generation long, stale boolean"
@@ -31,28 +33,39 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", "generation long")
-        self.edits = handle.getListState("edits", "at long")
-        self.asked = handle.getListState("asked", "at long")
+        self.state = handle.getValueState("state", "wake long, keys array<struct<key: string, edits: array<long>, asked: array<long>, generation: long, wake: long>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        edits, asked = [], []
+        more: dict[str | None, tuple[list[int], list[int]]] = {}
         for r in rows:
-            (edits if r.edit else asked).append((r.at,))
-        if edits:
-            self.edits.appendList(edits)
-        if asked:
-            self.asked.appendList(asked)
-        return self._go(key, timerValues.getCurrentWatermarkInMs())
+            more.setdefault(r.key, ([], []))[0 if r.edit else 1].append(r.at)
+        return self._go(timerValues.getCurrentWatermarkInMs(), more, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._go(key, timerValues.getCurrentWatermarkInMs())
-
-    def _go(self, key, now: int) -> Iterator[Row]:
-        """What is decided by `now`: all that happened before is known."""
-        edits, asked = (sorted(x[0] for x in s.get()) if s.exists() else [] for s in (self.edits, self.asked))
-        generation = self.done.get()[0] if self.done.exists() else 0
-        out, due = [], None
+        return self._go(timerValues.getCurrentWatermarkInMs(), {}, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _go(self, now: int, more: dict, expired: int | None) -> Iterator[Row]:
+        """What is decided by `now` of a group's keys, with more edits and questions. An expired timer is gone."""
+        wake, known = self.state.get() or (None, ())
+        keys = {k: own for k, *own in known}
+        out = []
+        for key in [*more, *(k for k, own in keys.items() if k not in more and own[3] is not None and own[3] < now)]:
+            edits, asked, generation, _ = keys.get(key, ((), (), 0, None))
+            new = more.get(key, ((), ()))
+            keys[key] = self._decide(key, now, sorted([*edits, *new[0]]), sorted([*asked, *new[1]]), generation, out)
+        first = min((own[3] for own in keys.values() if own[3] is not None), default=None)
+        then = None if first is None else max(first, now) + 1
+        self.state.update((then, [(k, *own) for k, own in keys.items() if own[2] or own[3] is not None]))
+        if then != wake:
+            if wake is not None and wake != expired:
+                self.handle.deleteTimer(wake)
+            if then is not None:
+                self.handle.registerTimer(then)
+        return iter([Row(key=k, kind=kind, at=at_, started=a, ended=b, n=n_, generation=g, stale=s) for k, kind, at_, a, b, n_, g, s in out])
+
+    def _decide(self, key, now: int, edits: list[int], asked: list[int], generation: int, out: list[tuple]) -> tuple[list[int], list[int], int, int | None]:
+        """What a key keeps; what is decided goes to out. All that happened before `now` is known."""
+        due = None
         while True:
             at, n, due = 0, 0, None
             while n < len(edits) and (due is None or edits[n] < due):
@@ -73,16 +86,7 @@ class Debounce(StatefulProcessor):
                 late = due > t + self.wait
                 out.append((key, "answer", t + self.wait if late else due, t, None, None, generation - n if late else generation, late))
             asked, edits = asked[len(inside) :], edits[n:]
-        (self.edits.put([(t,) for t in edits]) if edits else self.edits.clear())
-        (self.asked.put([(t,) for t in asked]) if asked else self.asked.clear())
-        if generation:
-            self.done.update((generation,))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        wake = [t for t in (due, asked[0] if asked else None) if t is not None]
-        if wake:
-            self.handle.registerTimer(max(min(wake), now) + 1)
-        return iter([Row(key=k[0] if isinstance(k, tuple) else k, kind=kind, at=at_, started=a, ended=b, n=n_, generation=g, stale=s) for k, kind, at_, a, b, n_, g, s in out])
+        return edits, asked, generation, min([t for t in (due, asked[0] if asked else None) if t is not None], default=None)
 
     def close(self) -> None:
         pass
@@ -94,7 +98,8 @@ def live(changes: DataFrame, quiet_ms: int, cap_ms: int, wait_ms: int, late: str
     compile: at = due time, started and ended (first and last edit), n, generation; answer: at, started = when it was
     asked, generation it was answered from, stale. Times are milliseconds since 1970."""
     rows = changes.select("key", "ts", F.unix_millis("ts").alias("at"), "edit").withWatermark("ts", late)
-    return rows.groupBy("key").transformWithState(statefulProcessor=Debounce(quiet_ms, cap_ms, wait_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+    return rows.groupBy("group").transformWithState(statefulProcessor=Debounce(quiet_ms, cap_ms, wait_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def run_live(spark: SparkSession, folder: str, out: str, checkpoint: str, quiet_ms: int, cap_ms: int, wait_ms: int, late: str = "10 seconds", files: int = 4) -> StreamingQuery:

@@ -7,6 +7,7 @@ import uuid
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docgraph.operators import automaton, delta, index, order, search
@@ -247,6 +248,43 @@ def test_the_live_loop_caps_compiles_and_marks_stale_answers(spark, tmp_path):
         assert got == sorted(replay(own, 300, 1000, 400), key=str)
 
 
+def test_a_group_of_keys_is_visited_once(monkeypatch):
+    calls = []
+
+    class Handle:
+        kept = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+    class Times:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+            self.getExpiryTimeInMs = lambda: 301
+
+    loop, handle = live.Debounce(300, 1000, 400), Handle()
+    loop.init(handle)
+    rows = [Row(key=f"k{i}", at=i, edit=True) for i in range(50)]
+    assert list(loop.handleInputRows((3,), iter(rows), Times(0))) == [] and calls == ["get", "update", 301]
+    calls.clear()
+    got = list(loop.handleExpiredTimer((3,), Times(310), Times(310)))
+    assert sorted((r.key, r.at) for r in got) == sorted((f"k{i}", 300 + i) for i in range(10)) and calls == ["get", "update", 311]
+
+
 def test_a_delta_build_writes_bodies_once_beside_the_store(spark, tmp_path, monkeypatch):
     from docgraph.sources import shared
 
