@@ -5,9 +5,11 @@ styles or reader comments (by tag, role, class or id) are left out; a header wit
 marks its article (article, else main, else an element whose class or id says content), its text is that element's; if
 main holds more than twice the text of the articles, they are teasers, and all of main and the articles is the text.
 
-Other pages are compared within their host: the token streams of their blocks are put end to end, a suffix array with
-longest common prefixes finds runs of RUN tokens or more that stand in two different pages, the runs are removed, and
-what is unique stays. Pages equal in all tokens count as one there. A host's pages are dealt to shards of about
+All pages are compared within their host, by what is open on them: all blocks of a page that marks no article; of others what
+stands outside the article, furniture too, and elements in it whose class or id holds a word of furniture beside one that is
+not (related-work). The token streams are put end to end, and a suffix array with longest common prefixes finds runs of
+RUN tokens or more that stand in two different pages. Of pages that mark no article the runs are removed, and
+what is unique stays; of a marked article an element in doubt goes if runs cover half of its tokens or more. Pages equal in all tokens count as one there. A host's pages are dealt to shards of about
 SHARD pages, so that no host is one task's; what a shard holds on one page alone is looked up in the host's other
 shards by 64-bit hashes of all windows of RUN tokens, so that the text doesn't depend on the shards. Repeated runs never
 remove marked articles: copies of an article on several pages are articles all the same.
@@ -19,6 +21,7 @@ template, iframe, xmp or noframes runs to the end, of other raw elements never c
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 
@@ -50,6 +53,12 @@ NAMES = {
     "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
     "comment", "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar",
 }
+#: Words beside them that tell of layout, not of what a text is about.
+LAYOUT = {
+    "area", "articles", "author", "bar", "block", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "column", "container", "content", "count", "entry", "feed", "fixed", "float", "form", "global", "group",
+    "icon", "icons", "inner", "item", "items", "js", "layout", "left", "links", "link", "list", "lists", "main", "meta", "mobile", "module", "news", "outer", "page", "panel", "policy", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "site", "slot", "small", "stories", "sticky", "story", "text", "thread", "title", "top", "ui", "unit", "user", "view", "wp", "wrap", "wrapper", "zone",
+}
 #: Words in a class or id that mark the article where no tag does.
 CONTENT = {"content", "article", "post", "entry", "story", "main", "body-text", "articlebody", "post-content", "entry-content", "article-body"}
 #: Tags without content.
@@ -68,6 +77,8 @@ SPLIT = re.compile(r"[\s_\-]+")
 
 #: Kinds of elements, BOTH being an article within main.
 DROP, PLAIN, NAMED, MAIN, ARTICLE, BOTH = -1, 0, 1, 2, 3, 4
+#: Added to the kind of an element that the host's pages decide on.
+DOUBT = 10
 
 
 def _kind(tag: str, attrs: str, inside: int) -> int:
@@ -82,8 +93,10 @@ def _kind(tag: str, attrs: str, inside: int) -> int:
         if kind == PLAIN and ("class" in found or "id" in found) and tag not in ("body", "html"):
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             words = set(SPLIT.split(names))
-            if (words & NAMES) - ({"header"} if inside >= ARTICLE else set()):
-                return DROP
+            furniture = NAMES - ({"header"} if inside >= ARTICLE else set())
+            if words & furniture:
+                sure = inside < NAMED or any(own & furniture and all(w in LAYOUT or w in NAMES or not w.isalpha() for w in own) for own in (set(SPLIT.split(n)) for n in names.split()))
+                return DROP if sure else DOUBT
             if words & CONTENT or set(names.split()) & CONTENT:
                 return NAMED
     return kind
@@ -98,23 +111,28 @@ def _within(outer: int, own: int) -> int:
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block outside furniture: the kind is the most telling element around it."""
+    return [(kind, text) for kind, _, text in _blocks(page) if kind != DROP]
+
+
+def _blocks(page: str | None) -> list[tuple[int, int, str]]:
+    """(kind, doubt, text) of each block, furniture too: doubt is the number of the element in doubt around it, or 0."""
     page = page or ""
-    out: list[tuple[int, list[str]]] = []
-    stack: list[tuple[str, int]] = []
-    kind, at = PLAIN, 0
+    out: list[tuple[int, int, str]] = []
+    stack: list[tuple[str, int, int]] = []
+    kind, doubt, doubts, at = PLAIN, 0, 0, 0
     closed: dict[str, re.Pattern | None] = {}
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
-            if text and kind != DROP:
-                out.append((kind, text))
+            if text:
+                out.append((kind, doubt, text))
             parts.clear()
 
-    def shut(n: int) -> int:
+    def shut(n: int) -> tuple[int, int]:
         del stack[n:]
-        return stack[-1][1] if stack else PLAIN
+        return stack[-1][1:] if stack else (PLAIN, 0)
 
     while at < len(page):
         m = TAG.search(page, at)
@@ -132,7 +150,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 if stack[k][0] == tag:
                     if tag not in INLINE:
                         flush()
-                    kind = shut(k)
+                    kind, doubt = shut(k)
                     break
             else:
                 if tag not in INLINE:
@@ -152,7 +170,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" and tag not in VOID | {"body", "html"}:
-                    kind = shut(k)
+                    kind, doubt = shut(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
@@ -162,29 +180,43 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     if stack[k][0] in stop:
                         break
                     if stack[k][0] in own:
-                        kind = shut(k)
+                        kind, doubt = shut(k)
                         break
         if tag not in VOID:
-            new = _within(kind, _kind(tag, m[3], kind))
-            if new != kind and tag in INLINE:
+            own, inner = _kind(tag, m[3], kind), doubt
+            if own == DOUBT:
+                own = PLAIN
+                if not doubt:
+                    doubts += 1
+                    inner = doubts
+            new = _within(kind, own)
+            if (new, inner) != (kind, doubt) and tag in INLINE:
                 flush()
-            stack.append((tag, new))
-            kind = new
+            stack.append((tag, new, inner))
+            kind, doubt = new, inner
     flush()
     return out
 
 
-def main_text(page: str | None) -> tuple[str | None, list[str]]:
-    """The text of a page that marks its article; else None and its blocks."""
-    found = blocks(page)
-    best = max((k for k, _ in found), default=PLAIN)
-    if best == PLAIN:
-        return (None, [t for _, t in found]) if found else ("", [])
+def article(page: str | None) -> tuple[list[tuple[int, str]] | None, list[str]]:
+    """(doubt, text) of the blocks of a page's marked article, or None; and the blocks that the host's pages are compared by."""
+    found = _blocks(page)
+    best = max((k for k, _, _ in found), default=DROP)
+    if best <= PLAIN:
+        own = [t for k, _, t in found if k == PLAIN]
+        return (None, own) if own else ([], [t for _, _, t in found])
+    least = best
     if best >= ARTICLE:
-        size = lambda *kinds: sum(len(t) for k, t in found if k in kinds)
+        size = lambda *kinds: sum(len(t) for k, _, t in found if k in kinds)
         least = MAIN if size(MAIN, BOTH) > 2 * size(ARTICLE, BOTH) else ARTICLE
-        return " ".join(t for k, t in found if k >= least), []
-    return " ".join(t for k, t in found if k == best), []
+    kept = [(d, t) for k, d, t in found if k >= least]
+    return kept, [*(t for d, t in kept if d), *(t for k, _, t in found if k < least)]
+
+
+def main_text(page: str | None) -> tuple[str | None, list[str]]:
+    """The text of a page that marks its article, with all that is in doubt; else None and its blocks."""
+    kept, open_ = article(page)
+    return (None, open_) if kept is None else (" ".join(t for _, t in kept), [])
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -214,7 +246,12 @@ def common(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
 
 
 def unique_runs(streams: list[list[str]], run: int = RUN, elsewhere: list[np.ndarray] | None = None) -> list[list[str]]:
-    """Token streams without the runs of `run` tokens or more that two different streams share; equal ones count once.
+    """Token streams without the runs of `run` tokens or more that two different streams share; equal ones count once."""
+    return [[t for t, g in zip(s, gone.tolist()) if not g] for s, gone in zip(streams, shared_runs(streams, run, elsewhere))]
+
+
+def shared_runs(streams: list[list[str]], run: int = RUN, elsewhere: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each token of each stream whether it is in a run of `run` tokens or more that another stream shares; equal ones count once.
 
     elsewhere: for each stream, where runs begin that streams not given here share."""
     keys = [tuple(s) for s in streams]
@@ -227,7 +264,7 @@ def unique_runs(streams: list[list[str]], run: int = RUN, elsewhere: list[np.nda
         tokens.append(-1 - k)  # no run goes beyond a page
         owner.append(k)
     if not tokens:
-        return [[] for _ in streams]
+        return [np.zeros(0, bool) for _ in streams]
     order, ranks = suffix_array(np.array(tokens, np.int64))
     lcp = common(order, ranks)
     group = np.cumsum(lcp < run)
@@ -245,12 +282,8 @@ def unique_runs(streams: list[list[str]], run: int = RUN, elsewhere: list[np.nda
     gone[at] += 1
     gone[at + run] -= 1
     gone = np.cumsum(gone)[: len(tokens)] > 0
-    kept: dict[tuple, list[str]] = {}
-    lo = 0
-    for s in distinct:
-        kept[s] = [t for t, g in zip(s, gone[lo : lo + len(s)].tolist()) if not g]
-        lo += len(s) + 1
-    return [kept[k] for k in keys]
+    at_ = dict(zip(distinct, np.cumsum([0, *(len(s) + 1 for s in distinct)]).tolist()))
+    return [gone[at_[k] : at_[k] + len(k)] for k in keys]
 
 
 def run_hashes(texts: pa.Array | pa.ChunkedArray, seed: int) -> list[np.ndarray]:
@@ -296,17 +329,27 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            got = [main_text(h) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))], ["page_id", "url", "text", "blocks"])
-
-    parsed = materialize(rows.mapInArrow(parse, "page_id long, url string, text string, blocks array<string>"), "parsed")
+            text, pieces, doubts, stream = [], [], [], []
+            for html in batch.column(2).to_pylist():
+                kept, open_ = article(html)
+                sure = kept is not None and not any(d for d, _ in kept)
+                text.append(" ".join(t for _, t in kept) if sure else None)
+                pieces.append([] if sure or kept is None else [t for _, t in kept])
+                doubts.append(None if sure or kept is None else [d for d, _ in kept])
+                # what tells pages with different articles and the same furniture apart
+                own = [] if kept is None or not open_ else ["\0" + hashlib.md5(" ".join(t for _, t in kept).encode("utf-8", "surrogatepass")).hexdigest()]
+                stream.append(" ".join(open_ + own))
+            columns = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(pieces, pa.list_(pa.string())), pa.array(doubts, pa.list_(pa.int32())), pa.array(stream, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "pieces", "doubts", "stream"])
+
+    parsed = materialize(rows.mapInArrow(parse, "page_id long, url string, text string, pieces array<string>, doubts array<int>, stream string"), "parsed")
     told = parsed.filter("text is not null").select("page_id", "url", "text")
 
-    # pages without a marked article, by host and shard
-    open_ = parsed.filter("text is null").select("page_id", "url", F.array_join("blocks", " ").alias("text"), host.alias("host"))
+    # what is open on all pages, by host and shard
+    open_ = parsed.filter("stream <> ''").select("page_id", "url", F.col("text").isNotNull().alias("told"), "pieces", "doubts", F.col("stream").alias("text"), host.alias("host"))
     shards = open_.groupBy("host").agg(F.expr(f"count(*) div {SHARD} + 1").alias("shards"))
     open_ = open_.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("url", "page_id"), "shards"))
-    open_ = open_.select("page_id", "url", "text", F.xxhash64("host").alias("host_key"), F.xxhash64("text").alias("content"), F.xxhash64("host", "shard").alias("part"), "shards")
+    open_ = open_.select("page_id", "url", "told", "pieces", "doubts", "text", F.xxhash64("host").alias("host_key"), F.xxhash64("text").alias("content"), F.xxhash64("host", "shard").alias("part"), "shards")
     asked = shared_elsewhere(open_.filter("shards > 1").select("part", "host_key", "content", "text"))
 
     def compare(group: pa.Table, shared: pa.Table) -> pa.Table:
@@ -314,10 +357,21 @@ def extract(pages: DataFrame) -> DataFrame:
         if len(shared):
             known = shared["h"].to_numpy().view(np.uint64)
             elsewhere = [np.flatnonzero(np.isin(h, known)) for h in run_hashes(group["text"], group["host_key"][0].as_py())]
-        kept = unique_runs([t.split(" ") for t in group["text"].to_pylist()], RUN, elsewhere)
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array([" ".join(k) for k in kept], pa.string())})
+        streams = [t.split(" ") for t in group["text"].to_pylist()]
+        gone = shared_runs(streams, RUN, elsewhere)
+        ask = np.flatnonzero(~group["told"].to_numpy(zero_copy_only=False))
+        some, texts = group.take(pa.array(ask)), []
+        for k, pieces, doubts in zip(ask.tolist(), some["pieces"].to_pylist(), some["doubts"].to_pylist()):
+            if doubts is None:
+                texts.append(" ".join(t for t, g in zip(streams[k], gone[k].tolist()) if not g))
+                continue
+            sizes = [t.count(" ") + 1 if d else 0 for t, d in zip(pieces, doubts)]
+            owner = np.repeat(doubts, sizes)  # the elements in doubt stand first in the stream
+            shared, total = np.bincount(owner, gone[k][: len(owner)], max(doubts) + 1), np.bincount(owner, minlength=max(doubts) + 1)
+            texts.append(" ".join(t for t, d in zip(pieces, doubts) if not d or 2 * shared[d] < total[d]))
+        return pa.table({"page_id": some["page_id"], "url": some["url"], "text": pa.array(texts, pa.string())})
 
-    groups = open_.select("page_id", "url", "text", "host_key", "part").groupBy("part")
+    groups = open_.select("page_id", "url", "told", "pieces", "doubts", "text", "host_key", "part").groupBy("part")
     compared = groups.cogroup(asked.groupBy("part")).applyInArrow(compare, "page_id long, url string, text string")
     return told.unionByName(compared).withColumn("n_chars", F.length("text").cast("long"))
 

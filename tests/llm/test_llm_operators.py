@@ -325,6 +325,20 @@ def test_pages_of_a_host_are_compared_across_shards(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want and got[1000] == notes[0]
 
 
+def test_elements_in_doubt_are_decided_by_the_pages_of_the_host(spark, monkeypatch):
+    box = "read these other fine stories that we have picked out for you today"
+    page = lambda i: f"<nav>one two {i}</nav><article><p>a{i}</p><div class='related-work'><p>own w{i} {' '.join(f'u{i}x{k}' for k in range(9))}</p></div><section id='notice-period'>{box}</section><div class='ad-box'>buy{i}</div><p>z{i}</p></article>"
+    own = lambda i: f"a{i} own w{i} {' '.join(f'u{i}x{k}' for k in range(9))}"
+    table = [(i, f"http://h/{i}", page(i)) for i in range(20)] + [(50, "http://k/1", page(50)), (51, "http://k/1", page(50)), (52, "http://k/2", f"<nav>{box}</nav><p>alone")]
+    table += [(60, "http://m/1", page(60)), (61, "http://m/1", page(60)), (62, "http://n/1", page(62)), (63, "http://n/2", f"<aside>{box}</aside><article>x</article>")]
+    for shard in (512, 4):
+        monkeypatch.setattr(pages, "SHARD", shard)
+        got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(20)] == [f"{own(i)} z{i}" for i in range(20)]  # the box stands on all of them
+        assert got[60] == got[61] == f"{own(60)} {box} z60"  # copies of one page are one
+        assert got[62] == f"{own(62)} z62" and got[63] == "x" and got[52] == "alone"  # furniture of a marked page tells, too
+
+
 def test_pages_survive_odd_markup():
     for odd in ("<", "<p", "<<p>>", "</p></p>x", '<a href="x>y', "<article><article>a</article>b", "<p>" * 3000 + "x", "<script>never closed", "&#xZZ; &#99999999;", "<div class='ad'><p>q</div>r"):
         pages.main_text(odd)
