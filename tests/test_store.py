@@ -72,6 +72,21 @@ def test_many_candidates_are_counted_where_the_bodies_lie(spark, built, monkeypa
         assert [tuple(r) for r in made.search(query, limit=25, digits=6, where=where).collect()] == [tuple(r) for r in want]
 
 
+def test_an_index_shuffles_a_page_and_a_list_of_pages_once(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    rows = spark.createDataFrame([(i, text) for i in range(160)], "id int, body string").repartition(16).localCheckpoint()
+
+    def moved():  # records that all stages so far have shuffled
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = moved()
+    made = index.Index.build(rows, search.Fields("id", body="body"), parts=2, slots=2, block=1000)
+    lists = made.table("grams").count()
+    assert lists > 200 and moved() - before < 2 * (160 + lists)
+
+
 def test_an_empty_table_makes_an_empty_index(spark):
     made = index.Index.build(spark.createDataFrame([], SCHEMA), FIELDS, parts=2, slots=2)
     assert made.search("red bolt").collect() == []
