@@ -102,19 +102,45 @@ def _closed(start: DataFrame, edges: DataFrame, keep: DataFrame | None = None) -
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _heights(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(class, base, at), (class, base), top: the height of each class over the classes that are nobody's base, by taking
+    these away time and again; what is left is on a loop or above one and has height top, like classes without bases."""
+    rest, levels = edges, []
+    while True:
+        split = cut(rest.join(rest.select(F.col("base").alias("class"), F.lit(1).alias("held")).distinct(), "class", "left"))
+        free, rest = split.filter("held is null"), split.filter("held = 1").select("class", "base")
+        if free.isEmpty():
+            break
+        levels.append(free.select("class", "base", F.lit(len(levels)).alias("at")))
+    return reduce(lambda a, b: a.unionByName(b), levels, rest.withColumn("at", F.lit(len(levels)))), rest, len(levels)
+
+
 def overrides(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
     """(class, name, sub): other classes below a class, at any depth, that have the method asked for themselves.
 
     Walks up from the methods tell first which classes have a method of a name below them or themselves, each once; walks down
-    from what is asked enter these alone, so that they lead to pairs of the result and the few classes between."""
+    from what is asked enter these alone, so that they lead to pairs of the result and the few classes between. The walks go
+    down by height: whoever reaches a class has reached it when its turn comes, so that each level meets its own rows alone.
+    Only among classes on loops and above them a round looks at all that was reached before."""
     asked = asked.select("class", "name").distinct()
     own = methods.select("class", "name").distinct().join(asked.select("name").distinct(), "name", "left_semi")
-    edges = cut(bases.filter("base is not null").select("class", "base").distinct())
+    edges = cut(bases.filter("base is not null and class <> base").select("class", "base").distinct())
     useful = cut(_closed(own.select("name", F.col("class").alias("node")), edges.select(F.col("class").alias("node"), F.col("base").alias("to"))))
-    below = edges.select(F.col("base").alias("node"), F.col("class").alias("to"))
-    reached = _closed(asked.select("class", "name", F.col("class").alias("node")), below, useful)
-    found = reached.filter("class <> node").withColumnRenamed("node", "sub")
-    return found.join(own.withColumnRenamed("class", "sub"), ["sub", "name"], "left_semi").select("class", "name", "sub")
+    high, loops, top = _heights(edges.join(useful.select(F.col("node").alias("class")), "class", "left_semi"))
+    heights = high.select(F.col("class").alias("node"), "at").distinct()
+    below = high.select(F.col("base").alias("node"), F.col("class").alias("to"), F.col("at").alias("to_at")).join(heights, "node", "left").withColumn("at", F.coalesce("at", F.lit(top)))
+    below = cut(below.join(useful.withColumnRenamed("node", "to"), "to").select("name", "node", "to", "to_at", "at"), "at")
+    starts = asked.select("class", "name", F.col("class").alias("node")).join(useful, ["name", "node"], "left_semi").join(heights, "node", "left")
+    parts = [cut(starts.select("class", "name", "node", F.coalesce("at", F.lit(top)).alias("at")), "at")]
+    if not loops.isEmpty():
+        around = _closed(parts[0].filter(F.col("at") == top).drop("at"), loops.select(F.col("base").alias("node"), F.col("class").alias("to")), useful)
+        parts.append(around.withColumn("at", F.lit(top)))
+    for at in range(top, 0, -1):
+        here = reduce(lambda a, b: a.unionByName(b), [p.filter(F.col("at") == at) for p in parts]).drop("at")  # noqa: B023
+        step = here.repartition("name", "node").distinct().join(below.filter((F.col("at") == at) & (F.col("to_at") < at)).drop("at"), ["name", "node"])
+        parts.append(cut(step.select("class", "name", F.col("to").alias("node"), F.col("to_at").alias("at")), "at"))
+    found = reduce(lambda a, b: a.unionByName(b), parts).filter("class <> node").select("class", "name", F.col("node").alias("sub"))
+    return found.repartition("name", "sub").join(own.withColumnRenamed("class", "sub"), ["sub", "name"], "left_semi").select("class", "name", "sub").distinct()
 
 
 def strict_winner(rows: DataFrame, group: str, order: list[str], pick: str) -> DataFrame:

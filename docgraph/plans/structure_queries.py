@@ -36,7 +36,7 @@ def _staged_sql() -> str:
 
 
 def _classes(spark, sf):
-    """Parts as classes: asked, bases (some from outside, some in cycles) and methods."""
+    """Parts as classes: asked, bases (some from outside, some in cycles) and a method of each."""
     k = F.col("p_partkey")
     p = table(spark, sf, "part").select(k.alias("class"))
     c = F.col("class")
@@ -44,19 +44,22 @@ def _classes(spark, sf):
     bases = base(0, F.when(c % 13 != 0, F.floor(c / 2)), c > 1).unionByName(base(1, F.floor(c / 3), c > 2)).unionByName(base(2, c + 1, c % 7 == 0)).join(p.select(F.col("class").alias("base")), "base", "left_semi")
     bases = bases.unionByName(base(0, F.lit(None), (c > 1) & (c % 13 == 0)))
     name = lambda m: F.concat(F.lit("m"), (m % 11).cast("string"))
-    return p.withColumn("name", name(c * 3)), bases, p.filter(c % 4 == 0).withColumn("name", name(c))
+    return p.withColumn("name", name(c * 3)), bases, p.withColumn("name", name(c))
 
 
-_CLASSES = """
-    p as (select p_partkey as class from part), a as (select class, 'm' || class * 3 % 11 as name from p), m as (select class, 'm' || class % 11 as name from p where class % 4 = 0),
+_BASES = """
     b as (
       select class, 0 as position, case when class % 13 <> 0 then class // 2 end as base from p where class > 1
       union all select class, 1, class // 3 from p where class > 2 union all select class, 2, class + 1 from p where class % 7 = 0),
     h as (select * from b where base is null or base in (select class from p))"""
+_CLASSES = f"""
+    p as (select p_partkey as class from part), a as (select class, 'm' || class * 3 % 11 as name from p), m as (select class, 'm' || class % 11 as name from p where class % 4 = 0),{_BASES}"""
 
 
 def inherited_methods(spark, sf):
-    return R.inherited(*_classes(spark, sf))
+    """Of all parts a quarter has a method of its own, others look for it among their bases."""
+    asked, bases, methods = _classes(spark, sf)
+    return R.inherited(asked, bases, methods.filter(F.col("class") % 4 == 0))
 
 
 _INHERITED_SQL = f"""
@@ -72,15 +75,15 @@ _INHERITED_SQL = f"""
 
 
 def overridden_methods(spark, sf):
-    asked, bases, methods = _classes(spark, sf)
-    return R.overrides(methods.filter(F.col("class") % 8 == 0), bases, methods)
+    """All parts, each with a method of its own: the classes below each that have it too."""
+    _, bases, methods = _classes(spark, sf)
+    return R.overrides(methods, bases, methods)
 
 
 _OVERRIDES_SQL = f"""
-    with recursive {_CLASSES},
-    q as (select * from m where class % 8 = 0),
-    r as (select class, class as node from q union select r.class, h.class from r join h on h.base = r.node)
-    select distinct q.class, q.name, r.node as sub from q join r on q.class = r.class and r.node <> q.class join m on m.class = r.node and m.name = q.name"""
+    with recursive p as (select p_partkey as class from part), m as (select class, 'm' || class % 11 as name from p),{_BASES},
+    r as (select class, class as node from m union select r.class, h.class from r join h on h.base = r.node)
+    select distinct q.class, q.name, r.node as sub from m q join r on q.class = r.class and r.node <> q.class join m on m.class = r.node and m.name = q.name"""
 
 
 def walk_order(spark, sf):

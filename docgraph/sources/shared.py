@@ -21,8 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back, so that its lineage ends there."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """df, written to the shared folder and read back, so that its lineage ends there; by: columns whose values get folders
+    of their own, so that a filter on them reads no others."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

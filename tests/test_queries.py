@@ -47,6 +47,21 @@ def test_query_without_sql_returns_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_overrides_are_asked_of_every_part(spark):
+    parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    bases = {c: {b for b, has in ((c // 2, c > 1 and c % 13), (c // 3, c > 2), (c + 1, c % 7 == 0)) if has and b in parts} for c in parts}
+    want = set()
+    for c in parts:
+        above, open_ = set(), [c]
+        while open_:
+            more = bases[open_.pop()] - above
+            above |= more
+            open_ += more
+        want |= {(b, f"m{b % 11}", c) for b in above - {c} if b % 11 == c % 11}
+    got = [tuple(r) for r in registry.QUERIES["overridden_methods"](spark, SF).select("class", "name", "sub").collect()]
+    assert sorted(got) == sorted(want) and {c % 8 for c, _, _ in got} == set(range(8))
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).columns == ["doc_id", "score", "snippet"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -208,6 +208,27 @@ def test_a_class_in_a_cycle_is_not_below_itself(spark):
     assert {tuple(r) for r in resolve.overrides(methods, bases, methods).collect()} == {("A", "run", "B"), ("B", "run", "A")}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_overrides_equal_a_walk_from_each_class(spark, seed):
+    rng = random.Random(seed)
+    # classes 0 to 29 without loops but that of 7, 30 to 49 with some, one of them above and below the others
+    edges = {(c, rng.randrange(c)) for c in range(1, 30) for _ in range(2)} | {(rng.randrange(30, 50), rng.randrange(30, 50)) for _ in range(22)} | {(30, 31), (31, 32), (32, 30), (4, 30), (31, 20), (7, 7)}
+    methods = {(c, f"m{rng.randrange(3)}") for c in range(50) if rng.random() < 0.6}
+    asked = {m for m in methods if rng.random() < 0.7} | {(c, "m0") for c in range(0, 50, 9)} | {(99, "m1")}
+    want = set()
+    for c, name in asked:
+        seen, open_ = {c}, [c]
+        while open_:
+            node = open_.pop()
+            more = {a for a, b in edges if b == node} - seen
+            seen |= more
+            open_ += more
+        want |= {(c, name, node) for node in seen - {c} if (node, name) in methods}
+    bases = spark.createDataFrame([(a, 0, b) for a, b in edges] + [(5, 1, None), (40, 1, None)], "class int, position int, base int")
+    got = [tuple(r) for r in resolve.overrides(spark.createDataFrame(list(asked), "class int, name string"), bases, spark.createDataFrame(list(methods), "class int, name string")).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 20
+
+
 # ---- links and outlines
 
 
